@@ -328,7 +328,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = find_repeats(docs, id_col, text_col, min_bytes)
 
     def kept(text, spans):
-        return None if text is None else keep_outside(text.encode(), [(s["start"], s["stop"]) for s in spans]).decode("utf-8", "ignore")
+        return None if text is None else keep_outside(text.encode(), [(s["start"], s["stop"]) for s in spans or []]).decode("utf-8", "ignore")
 
     cut = F.udf(kept, "string", useArrow=True)
     out = found.table.withColumn(text_col, F.when(F.col("_cl_spans").isNotNull(), cut(F.col(text_col), F.col("_cl_spans"))).otherwise(F.col(text_col)))
