@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Outer punctuation, characters that mask letters, and letter-like marks made ASCII.
 WRAPPERS = '"“”«»‹›()[]{}<>,.!?:;…—–~|/\\¡¿+=&^%'
@@ -20,7 +21,7 @@ def strip_wrappers(c: Column) -> Column:
     return F.trim(F.btrim(F.trim(c), F.lit(WRAPPERS)))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _fold_unicode(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in texts.to_pylist()], pa.string())
 
