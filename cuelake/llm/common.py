@@ -51,6 +51,22 @@ def release(df: DataFrame) -> None:
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Stored:
+    """A bucketed table below the shared folder: joins on its keys don't shuffle it."""
+
+    def __init__(self, df: DataFrame, name: str, keys: list[str]):
+        self.spark = df.sparkSession
+        self.name, self.path = f"{name.replace('-', '_')}_{uuid.uuid4().hex}", new_folder(self.spark, name)
+        writer = df.write.format("parquet").option("path", self.path).option("compression", "zstd")
+        writer.bucketBy(shuffle_partitions(self.spark), *keys).saveAsTable(self.name)
+        self.table = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

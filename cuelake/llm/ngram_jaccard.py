@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import Stored, connected_components, materialise
 from .hashing import mix, shingles, text_slices
 
 SKETCH = 1 << 18
@@ -70,29 +70,34 @@ def _prefix_sizes(size: int, num: int, den: int) -> tuple[int, int]:
     return look, found
 
 
-def _heads(batches: Iterator[pa.RecordBatch], n: int, rank: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """First part of each set in the common order, as far as prefix and bound need it."""
+def _first(s: np.ndarray, keep: int, rank: np.ndarray) -> np.ndarray:
+    """The first ``keep`` of a set in the common order."""
+    by = rank[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
+    if keep < len(s):
+        near = np.flatnonzero(by <= np.partition(by, keep - 1)[keep - 1])
+        s, by = s[near], by[near]
+    return s[np.lexsort((s, by))[:keep]]
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], n: int, rank: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, sets in _distinct(batch, n):
-            heads = []
-            for s in sets:
-                keep = min(len(s), _prefix_sizes(len(s), num, den)[0] + BEYOND)
-                by = rank[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-                if keep < len(s):
-                    near = np.flatnonzero(by <= np.partition(by, keep - 1)[keep - 1])
-                    s, by = s[near], by[near]
-                heads.append(s[np.lexsort((s, by))[:keep]])
-            flat = np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
-            yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "head"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+            heads = [_first(s, _prefix_sizes(len(s), num, den)[0] if len(s) else 0, rank) for s in sets]
+            yield pa.record_batch([part.column("id"), _lists(heads)], names=["id", "prefix"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], n: int, rank: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Whole sets, and their first part as far as prefix and bound need it."""
     for batch in batches:
         for part, sets in _distinct(batch, n):
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "grams"])
+            heads = [_first(s, min(len(s), _prefix_sizes(len(s), num, den)[0] + BEYOND), rank) for s in sets]
+            yield pa.record_batch([part.column("id"), pa.array([len(s) for s in sets], pa.int32()), _lists(heads), _lists(sets)], names=["id", "n", "head", "grams"])
 
 
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -100,14 +105,14 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts link when intersection * den >= union * num for similarity (num, den) of their sets of
     distinct ``n``-word shingles; A-Z count as a-z, words are cut at ASCII space. Null texts, empty ones
-    and those without words have no shingles and link with nothing. Ids are expected to be unique; rows that
-    repeat an id with different texts join the components of all of them. Rows with a null id link with nothing.
+    and those without words have no shingles and link with nothing. Rows that repeat an id are texts of their
+    own. Rows with a null id link with nothing and have a null component.
     Shingles are compared by 64-bit hashes. An empty table gives no rows.
     """
     num, den = similarity
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     described = materialise(rows.mapInArrow(lambda b: _describe(b, n), "id long, n int, sig1 long, sig2 long, counts binary"), "sets")
-    counts, tasks = described.where("counts is not null").select("counts"), None
+    counts = described.where("counts is not null").select("counts")
     tasks = counts.count()
     while tasks > 1:
         tasks = -(-tasks // 32)
@@ -119,44 +124,38 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rank[np.argsort(total, kind="stable")] = np.arange(SKETCH, dtype=np.int32)
     described = described.where("counts is null").drop("counts")
     sig = ["n", "sig1", "sig2"]
+    if described.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
+        return _own_numbers(rows, n, similarity)
     classes = materialise(described.where("n > 0 and id is not null").groupBy(*sig).agg(F.min("id").alias("rep")), "classes")
 
-    heads = rows.mapInArrow(lambda b: _heads(b, n, rank, num, den), "id long, head array<long>")
-    heads = classes.select(F.col("rep").alias("id"), "n").join(heads.dropDuplicates(["id"]) if described.groupBy("id").count().where("count > 1").limit(1).count() else heads, "id")
-    look = F.expr(f"n - int(ceil({num} * n / {den})) + 1")
+    prefixes = rows.mapInArrow(lambda b: _prefixes(b, n, rank, num, den), "id long, prefix array<long>")
+    prefixes = classes.select(F.col("rep").alias("id"), "n").join(prefixes, "id")
+    prefixes = Stored(prefixes.select("id", "n", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2"), "prefix"), "prefixes", ["id"])
+    small = prefixes.table.select("id", "n", "p1", "p2")
+    member = materialise(small.withColumn("gid", F.min("id").over(Window.partitionBy("n", "p1", "p2"))).select("gid", "id", "n"), "group-members")
+
     found = F.expr(f"n - int(ceil({2 * num} * n / {den + num})) + 1")
-    heads = heads.withColumn("look", look.cast("int")).withColumn("found", found.cast("int"))
-    heads = heads.withColumn("prefix", F.slice("head", F.lit(1), F.col("look")))
-    heads = materialise(heads.select("id", "n", "look", "found", "head", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")), "heads")
-    groups = heads.groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"))
-    member = heads.select("id", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).select("gid", "id", "n")
-    member = materialise(member, "group-members")
-
-    postings = heads.join(member.where("gid = id").select("id"), "id").select(
-        F.col("id").alias("gid"), "n", "found", "look", F.posexplode(F.slice("head", F.lit(1), F.col("look"))).alias("pos", "token")
-    )
+    postings = prefixes.table.join(member.where("gid = id").select("id"), "id").select(F.col("id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
     # A token that one group has alone brings nothing together.
     lists = Window.partitionBy("token")
-    postings = postings.withColumn("crowd", F.count("*").over(lists)).where("crowd > 1").select("token", "gid", "n", (F.col("pos") < F.col("found")).alias("found"))
+    postings = postings.withColumn("crowd", F.count("*").over(lists)).where("crowd > 1").select("token", "gid", "n", (F.col("pos") < found).alias("found"))
     postings = materialise(postings, "postings")
+    prefixes.drop()
     crowded = member.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
     busy = postings.select("gid").union(crowded).distinct()
     wanted = materialise(member.join(busy, "gid").select("id"), "candidates")
-    grams = materialise(rows.join(wanted, "id").mapInArrow(lambda b: _sets(b, n), "id long, grams array<long>"), "grams")
-    if grams.groupBy("id").count().where("count > 1").limit(1).count():
-        grams = grams.join(classes.select(F.col("rep").alias("id"), "n"), "id").where("size(grams) = n").dropDuplicates(["id"]).select("id", "grams")
+    whole = Stored(rows.join(wanted, "id").mapInArrow(lambda b: _sets(b, n, rank, num, den), "id long, n int, head array<long>, grams array<long>"), "sets", ["id"])
 
     need = f"ceil({num} * (a_n + b_n) / {den + num})"
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of members that link. Sizes, then the bound from both heads, then the exact test."""
-        side = lambda name: heads.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col("head").alias(f"{name}_head"))
-        whole = lambda name: grams.select(F.col("id").alias(name), F.col("grams").alias(f"{name}_set"))
-        near = pairs.where("a < b").distinct().join(side("a"), "a").join(side("b"), "b")
+        side = lambda name, column: whole.table.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col(column).alias(f"{name}_{column}"))
+        near = pairs.where("a < b").distinct().join(side("a", "head"), "a").join(side("b", "head"), "b")
         near = near.where(f"a_n * {den} >= b_n * {num} and b_n * {den} >= a_n * {num}")
         near = near.where(f"size(array_intersect(a_head, b_head)) + greatest(a_n - size(a_head), b_n - size(b_head)) >= {need}")
-        near = materialise(near.select("a", "b", "a_n", "b_n"), "near")
-        exact = near.join(whole("a"), "a").join(whole("b"), "b").withColumn("common", F.expr("size(array_intersect(a_set, b_set))"))
+        near = materialise(near.select("a", "b"), "near")
+        exact = near.join(side("a", "grams"), "a").join(side("b", "grams"), "b").withColumn("common", F.expr("size(array_intersect(a_grams, b_grams))"))
         return materialise(exact.where(f"common * {den} >= (a_n + b_n - common) * {num}").select("a", "b"), "links")
 
     links: list[DataFrame] = []
@@ -192,6 +191,7 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = rest.select("i", "j").union(within.select("i", "j"))
     links.append(verified(rest.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))))
     parts = connected_components(reduce(DataFrame.union, links))
+    whole.drop()
 
     # Rows meet their class in shares: a set that a third of all texts have is told to each share.
     told = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select(*sig, F.coalesce("component", "rep").alias("part"))
@@ -200,6 +200,18 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("part", "id")).alias("component_id"))
 
 
+def _own_numbers(rows: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
+    """For tables in which ids repeat: each row gets a number, and components their smallest id."""
+    keyed = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = near_documents(keyed.withColumn("row", F.when(F.col("id").isNotNull(), F.col("row"))).where("row is not null").drop("id"), "row", "text", n, similarity)
+    named = keyed.select("row", F.col("id").alias("doc")).join(found.withColumnRenamed("id", "row"), "row")
+    named = materialise(named, "named")
+    least = named.groupBy("component_id").agg(F.min("doc").alias("least"))
+    out = named.join(least, "component_id").select(F.col("doc").alias("id"), "n_shingles", F.col("least").alias("component_id"))
+    lone = rows.where("id is null").mapInArrow(lambda b: _describe(b, n), "id long, n int, sig1 long, sig2 long, counts binary").where("counts is null")
+    return out.union(lone.select("id", F.col("n").cast("long"), F.lit(None).cast("long")))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id; columns as they were.
 
