@@ -296,7 +296,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     while n > 1:
         n = -(-n // 32)
         counts = counts.repartition(n).mapInArrow(_sum_counts, "counts binary")
-    total = np.frombuffer(zlib.decompress(counts.first()[0]), np.int64)
+    first = counts.first()
+    total = np.frombuffer(zlib.decompress(first[0]), np.int64) if first else np.zeros(1 << 16, np.int64)
     lengths = code_lengths(total)
     size = int((total * lengths).sum()) // 8
     ids = tokens.where("id is not null").select("id", "ids")
