@@ -10,8 +10,6 @@ its own evidence times the odds of its path against the global odds.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -82,25 +80,23 @@ class Head:
         return np.clip(self.inputs(styles, words) @ self.weights + self.bias, -12, 12)
 
 
-def fit_head(styles: np.ndarray, words: list[set[str]], truth: np.ndarray, n_words: int = WORDS) -> Head:
-    """Newton steps of a ridge-penalised logistic regression. Words are told by a z-score of their log odds."""
-    bad, good = max(1, int(truth.sum())), max(1, int((1 - truth).sum()))
+def telling_words(measured: DataFrame, k: int, n_words: int = WORDS) -> list[str]:
+    """At most ``n_words`` words that tell documents with target ``k`` by a z-score of their log odds, best first."""
+    bad = F.col("targets")[k]
+    total, all_bad = measured.agg(F.count("*"), F.sum(bad)).first()
+    bad_docs, good_docs = all_bad or 0, total - (all_bad or 0)
+    seen = measured.select(F.explode("words").alias("word"), bad.alias("bad")).groupBy("word").agg(F.sum("bad").alias("k"), F.count("*").alias("n"))
+    seen = seen.where("k >= 3").selectExpr("word", "k + 0.5D as a", "n - k + 0.5D as b", f"{bad_docs} - k + 0.5D as c", f"{good_docs} - n + k + 0.5D as d")
+    seen = seen.withColumn("odds", F.expr("ln(a / c) - ln(b / d)")).withColumn("z", F.expr("odds / sqrt(1 / a + 1 / b + 1 / c + 1 / d)"))
+    return [r[0] for r in seen.where("z > 5 and odds > 2").orderBy(F.desc("z"), "word").limit(n_words).collect()]
+
+
+def fit_head(styles: np.ndarray, words: list[set[str]], truth: np.ndarray, telling: list[str]) -> Head:
+    """Newton steps of a ridge-penalised logistic regression on style and the telling words."""
     if truth.sum() in (0, len(truth)):
         rate = (truth.sum() + 0.5) / (len(truth) + 1)
         return Head(bias=float(np.log(rate / (1 - rate))))
-    seen = {label: Counter() for label in (0, 1)}
-    for found, label in zip(words, truth):
-        seen[int(label)].update(found)
-    score = {}
-    for w, k in seen[1].items():
-        g = seen[0][w]
-        if k >= 3:
-            odds = np.log((k + 0.5) / (bad - k + 0.5)) - np.log((g + 0.5) / (good - g + 0.5))
-            z = odds / np.sqrt(1 / (k + 0.5) + 1 / (g + 0.5) + 1 / (bad - k + 0.5) + 1 / (good - g + 0.5))
-            if z > 5 and odds > 2:
-                score[w] = z
-    top = sorted(score, key=lambda w: (-score[w], w))[:n_words]
-    head = Head({w: i for i, w in enumerate(top)})
+    head = Head({w: i for i, w in enumerate(telling)})
     x = np.hstack([head.inputs(styles, words), np.ones((len(words), 1))])
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.05)
     ridge[-1] = 1e-6
@@ -117,9 +113,9 @@ def fit_head(styles: np.ndarray, words: list[set[str]], truth: np.ndarray, n_wor
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        styles = [np.array(style_of(t)).tobytes() for t in texts]
-        found = [zlib.compress(" ".join(sorted(words_of(t))).encode(), 1) for t in texts]
-        yield pa.record_batch([pa.array(styles, pa.binary()), pa.array(found, pa.binary()), batch.column("targets")], names=["style", "words", "targets"])
+        styles = pa.array([style_of(t) for t in texts], pa.list_(pa.float64()))
+        found = pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string()))
+        yield pa.record_batch([styles, found, batch.column("targets")], names=["style", "words", "targets"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, int], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict[str, Head]:
@@ -127,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, int], id_col: str
 
     Labels with a null id or a null target, and labels of unknown documents, are left out; an id with
     several labels takes part with each. Without labels a head rejects nothing. At most ``sample``
-    labelled documents are read.
+    labelled documents are read. Their words are counted by Spark; the driver gets the telling ones.
     """
     known = labels.where(F.col(id_col).isNotNull())
     for t in targets:
@@ -136,13 +132,16 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, int], id_col: str
     # No more than ``sample`` rows of an id and a few numbers: small enough to broadcast.
     known = known.select(F.col(id_col).alias("_id"), wanted.alias("targets")).orderBy(F.xxhash64("_id"), "targets").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
-    got = rows.select("text", "targets").mapInArrow(_measured, "style binary, words binary, targets array<int>").limit(2 * sample).collect()
-    if not got:
+    measured = materialise(rows.select("text", "targets").mapInArrow(_measured, "style array<double>, words array<string>, targets array<int>"), "labelled")
+    telling = [telling_words(measured, k) for k in range(len(targets))]
+    any_words = F.array(*[F.lit(w) for w in sorted(set().union(*telling))]).cast("array<string>")
+    got = measured.select("style", F.array_intersect("words", any_words).alias("words"), "targets").limit(2 * sample).toArrow()
+    if not got.num_rows:
         return {t: Head() for t in targets}
-    styles = np.array([np.frombuffer(r["style"]) for r in got])
-    words = [set(zlib.decompress(r["words"]).decode().split(" ")) - {""} for r in got]
-    truth = np.array([r["targets"] for r in got], np.float64)
-    return {t: fit_head(styles, words, truth[:, k]) for k, t in enumerate(targets)}
+    styles = np.array(got["style"].to_pylist())
+    words = [set(x) for x in got["words"].to_pylist()]
+    truth = np.array(got["targets"].to_pylist(), np.float64)
+    return {t: fit_head(styles, words, truth[:, k], telling[k]) for k, t in enumerate(targets)}
 
 
 def evidence(text: Column, heads: dict[str, Head]) -> Column:
