@@ -173,3 +173,34 @@ def drift_measure(deltas: DataFrame) -> DataFrame:
     )
     whole = deltas.groupBy("item_id").agg(F.coalesce(F.percentile("delta", F.lit(0.5)), F.lit(0.0)).alias("offset"), F.count_distinct("word").alias("heard"))
     return probes.join(whole, "item_id")
+
+
+def uncovered(spans: DataFrame, detections: DataFrame, keys: list[str], width: int = 15_000) -> DataFrame:
+    """``spans`` (item_id, start_ms, end_ms) that overlap no detection (item_id, d0, d1); touching is no overlap."""
+    a, b = bucketed(spans, "start_ms", "end_ms", width, "_b"), bucketed(detections.select("item_id", "d0", "d1"), "d0", "d1", width, "_b")
+    met = a.join(b, ["item_id", "_b"]).where("start_ms < d1 and d0 < end_ms").select(*keys).distinct()
+    return spans.join(met, keys, "left_anti")
+
+
+def stt_only(words: DataFrame, forms: DataFrame, detections: DataFrame, longest: int = 1) -> DataFrame:
+    """Hits in the transcript alone: runs of up to ``longest`` words (item_id, word_index, norm, start_ms, end_ms,
+    probability) that are a form (key, canonical, category) and overlap no detection; confidence is their mean probability."""
+    order = Window.partitionBy("item_id").orderBy("word_index")
+    run = words.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(longest)))) if longest > 1 else words.withColumn("_n", F.lit(1))
+    if longest > 1:
+        ahead = words.withColumn("_next", F.collect_list(F.struct("norm", "end_ms", "probability")).over(order.rowsBetween(0, longest - 1)))
+        run = ahead.withColumn("_n", F.explode(F.sequence(F.lit(1), F.size("_next")))).withColumn("_run", F.slice("_next", F.lit(1), F.col("_n")))
+        run = run.withColumns({
+            "norm": F.array_join(F.transform("_run", lambda x: x["norm"]), " "), "end_ms": F.element_at("_run", -1)["end_ms"],
+            "probability": F.aggregate("_run", F.lit(0.0), lambda t, x: t + x["probability"]) / F.col("_n"),
+        }).drop("_next", "_run")
+    hits = run.join(forms, F.col("norm") == F.col("key")).select("item_id", "word_index", F.col("_n").alias("n_words"), "canonical", "category", "start_ms", "end_ms", F.col("probability").alias("confidence"))
+    return uncovered(hits, detections, ["item_id", "word_index", "n_words"])
+
+
+def standalone_censored(tokens: DataFrame, candidates: DataFrame, detections: DataFrame) -> DataFrame:
+    """Masked words (token_id, item_id, start_ms, end_ms) that no detection overlaps and that may stand for something:
+    under the one name they may stand for, or as ``<censored>``; at confidence 0.6, to be looked at."""
+    names = candidates.groupBy("token_id").agg(F.count_distinct("canonical").alias("_n"), F.min("canonical").alias("_one"))
+    free = uncovered(tokens.join(names, "token_id"), detections, ["token_id"])
+    return free.select("token_id", "item_id", "start_ms", "end_ms", F.when(F.col("_n") == 1, F.col("_one")).otherwise("<censored>").alias("canonical"), F.lit("strong").alias("category"), F.lit(0.6).alias("confidence"), F.lit(True).alias("suspicious"))

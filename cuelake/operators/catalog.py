@@ -112,3 +112,51 @@ def resolve_profile(items: DataFrame, titles: DataFrame, profiles: DataFrame, de
     wide = named.join(profiles.select("profile_id", "categories"), "profile_id", "left")
     base = F.array(*[F.lit(c) for c in default_categories])
     return wide.select("item_id", "profile_id", F.when(F.col("categories").isNull() | (F.size("categories") == 0), base).otherwise(F.col("categories")).alias("categories"))
+
+
+def mirror_children(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Children of titles made equal to the feed: keys, fields and ``outcome`` (inserted, updated, same, deleted).
+    A null in the feed keeps the old value; deleted rows are listed with their old values."""
+    a = old.select(*keys, *fields, F.lit(True).alias("_o")).alias("a")
+    b = new.select(*keys, *fields, F.lit(True).alias("_n")).alias("b")
+    changed = F.lit(False)
+    for c in fields:
+        changed = changed | (F.col(f"b.{c}").isNotNull() & ~F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")))
+    outcome = F.when(F.col("_o").isNull(), "inserted").when(F.col("_n").isNull(), "deleted").when(changed, "updated").otherwise("same")
+    return a.join(b, keys, "full_outer").select(*keys, *[F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) for c in fields], outcome.alias("outcome"))
+
+
+def audit_candidates(items: DataFrame, audits: DataFrame, longest: float = 4 * 3600, retries: int = 2) -> DataFrame:
+    """Items to listen to in full: clean, enabled, last run windowed, original kept, short enough, no finished audit of
+    the same content and rules, fewer than ``retries`` failed ones. ``items``: item_id, status, enabled, mode,
+    original_kept, duration, content, rules, cleaned; ``audits``: item_id, content, rules, state. In order of ``cleaned``."""
+    key = ["item_id", "content", "rules"]
+    failed = audits.where("state = 'failed'").groupBy(*key).agg(F.count("*").alias("failures"))
+    able = (F.col("status") == "clean") & F.col("enabled") & (F.col("mode") == "windowed") & F.col("original_kept") & (F.col("duration") < longest)
+    open_ = items.where(able).join(audits.where("state = 'done'").select(*key), key, "left_anti").join(failed, key, "left")
+    return open_.where(F.coalesce("failures", F.lit(0)) < retries).select("item_id", "cleaned").orderBy("cleaned", "item_id")
+
+
+def audits_to_promote(audits: DataFrame, evidence: DataFrame, runs: DataFrame, findings: DataFrame, newest: int = 50) -> DataFrame:
+    """Of the ``newest`` finished audits (run_id, item_id, finished) those of items whose evidence is another run, that
+    no later real run has overtaken, and that found something to promote. ``findings``: run_id, outcome."""
+    top = audits.orderBy(F.desc("finished"), F.desc("run_id")).limit(newest)
+    other = top.join(evidence, "item_id").where(F.col("evidence_run_id").isNull() | (F.col("evidence_run_id") != F.col("run_id")))
+    later = runs.where(~F.col("dry_run")).groupBy("item_id").agg(F.max("created").alias("last_real"))
+    current = other.join(later, "item_id", "left").where(F.col("last_real").isNull() | (F.col("last_real") <= F.col("finished")))
+    return current.join(findings.where(F.col("outcome").isin("new", "improved")).select("run_id"), "run_id", "left_semi").select("run_id", "item_id")
+
+
+def defer_existing(items: DataFrame, runs: DataFrame) -> DataFrame:
+    """``items`` with ``skip`` set for those of series (``pre_existing``) that never ran and weren't marked yet."""
+    ran = runs.select("item_id").distinct().withColumn("_ran", F.lit(True))
+    mark = F.col("pre_existing") & F.col("_ran").isNull() & F.col("skip").isNull()
+    return items.join(ran, "item_id", "left").withColumn("skip", F.when(mark, True).otherwise(F.coalesce("skip", F.lit(False)))).drop("_ran")
+
+
+def orphan_backups(backups: DataFrame, gone: DataFrame, today: Column, days: int) -> DataFrame:
+    """``backups``: kept ones of items that are gone become orphans, due after ``days``, or never with 0."""
+    marked = backups.join(gone.select("item_id").distinct().withColumn("_gone", F.lit(True)), "item_id", "left")
+    hit = F.coalesce(F.col("_gone"), F.lit(False)) & (F.col("state") == "kept")
+    due = F.date_add(today, days) if days else F.lit(None).cast("date")
+    return marked.withColumn("purge_after", F.when(hit, due).otherwise(F.col("purge_after"))).withColumn("state", F.when(hit, "orphaned").otherwise(F.col("state"))).drop("_gone")

@@ -169,10 +169,14 @@ def lexicon_sync_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def ruleset_fingerprint(items: DataFrame, entries_key: str, rules: DataFrame) -> DataFrame:
     """(item_id, fingerprint): equal exactly when the rules in scope and the entries are equal, in any order."""
-    scoped = items.select("item_id", "title_id").join(
-        rules, (F.col("scope") == "global") | ((F.col("scope") == "title") & (F.col("scope_id") == F.col("title_id"))) | ((F.col("scope") == "item") & (F.col("scope_id") == F.col("item_id"))), "left"
-    )
-    parts = scoped.groupBy("item_id").agg(F.array_sort(F.collect_set(F.to_json(F.struct("canonical", "scope", "context_text", F.when(F.col("mode") != "suppress", F.col("mode")).alias("mode"))))).alias("rules"))
+    line = F.to_json(F.struct("canonical", "scope", "context_text", F.when(F.col("mode") != "suppress", F.col("mode")).alias("mode")))
+    told = rules.select("scope", "scope_id", line.alias("line"))
+    # One row of global rules for all, then an equality join for each narrower scope.
+    every = told.where("scope = 'global'").agg(F.collect_set("line").alias("g"))
+    of = lambda scope, name: told.where(F.col("scope") == scope).groupBy(F.col("scope_id").alias(f"{scope}_id")).agg(F.collect_set("line").alias(name))
+    scoped = items.select("item_id", "title_id").join(of("title", "t"), "title_id", "left").join(of("item", "i"), "item_id", "left").crossJoin(F.broadcast(every))
+    empty = F.array().cast("array<string>")
+    parts = scoped.select("item_id", F.array_sort(F.array_distinct(F.concat("g", F.coalesce("t", empty), F.coalesce("i", empty)))).alias("rules"))
     return parts.select("item_id", F.sha1(F.to_json(F.struct(F.lit(entries_key).alias("entries"), "rules"))).alias("fingerprint"))
 
 

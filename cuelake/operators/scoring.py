@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import related
-from .intervals import bucketed
+from .intervals import bucketed, merge_ranges
 
 
 def claim_pairs(pairs: DataFrame, left: str, right: str, order: list[str]) -> DataFrame:
@@ -72,3 +72,14 @@ def median_run(runs: DataFrame) -> DataFrame:
     ranked = runs.withColumn("nth", F.row_number().over(part.orderBy("f1", "precision", "run_no")) - 1).withColumn("n", F.count("*").over(part))
     ranked = ranked.withColumn("fp_min", F.min("fp").over(part)).withColumn("fp_max", F.max("fp").over(part))
     return ranked.where("nth = n div 2").drop("nth", "n")
+
+
+def merged_run(prior: DataFrame, found: DataFrame, outcomes: DataFrame, gap: float = 0) -> tuple[DataFrame, DataFrame]:
+    """The run that an audit leads to, as detections and as mute ranges: prior ones that nothing improved, and found ones
+    that are new or improve one. Both sides have mute_start and mute_end, padded already; they are merged, not padded again."""
+    cols = ["item_id", "canonical", "start", "end", "source", "mute_start", "mute_end"]
+    better = outcomes.where("outcome = 'improved'").select("item_id", F.col("prior_idx").alias("idx"))
+    carried = prior.join(better, ["item_id", "idx"], "left_anti").select(*cols, F.lit("carried").alias("part"))
+    added = found.join(outcomes.where("outcome != 'matched'").select("item_id", "idx", F.col("outcome").alias("part")), ["item_id", "idx"]).select(*cols, "part")
+    rows = carried.union(added)
+    return rows, merge_ranges(rows.select("item_id", F.col("mute_start").alias("start"), F.col("mute_end").alias("end")), gap)

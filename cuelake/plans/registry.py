@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_runs, queries_text
+from . import queries_more, queries_runs, queries_text
 
 FLAGSHIP = "match_word_counts"
-QUERIES: dict = queries_text.Q | queries_runs.Q
-ORACLE_SQL: dict = queries_text.SQL | queries_runs.SQL
+QUERIES: dict = queries_text.Q | queries_runs.Q | queries_more.Q
+ORACLE_SQL: dict = queries_text.SQL | queries_runs.SQL | queries_more.SQL
