@@ -182,7 +182,9 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links: list[DataFrame] = []
     for turn in range(2):
         order = ["n", "gid"] if turn == 0 else [F.xxhash64("gid", F.lit(turn))]
-        beside = postings.withColumn("next", F.lead("gid").over(lists.orderBy(*order))).where("next is not null").select("gid", "next").distinct()
+        # Neighbours whose sizes rule out a link are left out before any set travels.
+        beside = postings.withColumns({"next": F.lead("gid").over(lists.orderBy(*order)), "next_n": F.lead("n").over(lists.orderBy(*order))})
+        beside = beside.where(f"next is not null and n * {den} >= next_n * {num} and next_n * {den} >= n * {num}").select("gid", "next").distinct()
         tries = beside.select(F.least("gid", "next").alias("a"), F.greatest("gid", "next").alias("b"))
         if turn == 0:
             inner = member.withColumn("next", F.lead("id").over(Window.partitionBy("gid").orderBy("id"))).where("next is not null")
