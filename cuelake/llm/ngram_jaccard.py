@@ -31,7 +31,6 @@ from .hashing import mix, shingles, text_slices
 SKETCH = 1 << 18
 #: Tokens kept beyond the prefix, for the bound before the exact test.
 BEYOND = 32
-_SHARES = 32
 
 
 def _distinct(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -221,10 +220,9 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = connected_components(reduce(DataFrame.union, links))
     whole.drop()
 
-    # Rows meet their class in shares: a set that a third of all texts have is told to each share.
+    # A set that a third of all texts have is one row on the right; adaptive execution splits its rows on the left.
     told = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select(*sig, F.coalesce("component", "rep").alias("part"))
-    told = told.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))))
-    out = described.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(_SHARES)).cast("int")).join(told, [*sig, "share"], "left")
+    out = described.join(told, sig, "left")
     return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("part", "id")).alias("component_id"))
 
 
