@@ -37,8 +37,10 @@ def compile_lexicon(entries: list[tuple]) -> str | None:
 
 
 def surface_key(c: Column) -> Column:
-    """What a hit and a form are compared by: folded, separators as single spaces dropped at the ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.translate(c, "’ ", "' ")), "[\\s'-]+", " "), " +", " "))
+    """What a hit and a form are compared by: folded, separators as single spaces dropped at the ends. Upper case comes
+    first, so that letters which the matcher takes for one another (long s, Kelvin sign, dotted I, final sigma) have one key.
+    Spark drops an upper() right below a lower()."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.translate(F.upper(F.translate(c, "’ İ", "' i")), "Σ", "σ")), "[\\s'-]+", " "), " +", " "))
 
 
 def form_owners(entries: list[tuple], spark: SparkSession) -> DataFrame:
@@ -46,7 +48,7 @@ def form_owners(entries: list[tuple], spark: SparkSession) -> DataFrame:
     rows, seen = [], set()
     for canonical, category, forms, _, enabled in sorted(entries, key=lambda e: (-max(map(len, e[2]), default=0), e[0])):
         for f in forms:
-            key = " ".join(p for p in re.split(r"[\s'’-]+", f.lower()) if p)
+            key = " ".join(p for p in re.split(r"[\s'’-]+", f.replace("İ", "i").upper().lower().replace("ς", "σ")) if p)
             if enabled and key not in seen:
                 seen.add(key)
                 rows.append((key, canonical, category))
@@ -102,11 +104,12 @@ def effective_lexicon(base: DataFrame, overrides: DataFrame, custom: DataFrame)
 SCOPES = {"global": 0, "title": 1, "item": 2}
 
 
-def suppress(hits: DataFrame, rules: DataFrame) -> DataFrame:
+def suppress(hits: DataFrame, rules: DataFrame, ascii_only: bool = False) -> DataFrame:
     """``hits`` (hit_id, item_id, title_id, canonical, context) with ``mode`` of the winning rule and ``whitelisted``.
 
     Narrowest scope first, then a rule with a context over one without, then allow over suppress. A context
     rule applies where its folded text stands in the hit's folded context. Suppressed hits stay, flagged.
+    ``ascii_only`` says that contexts and rules are ASCII.
     """
     rank = F.create_map(*[F.lit(x) for p in SCOPES.items() for x in p])
     r = rules.select("canonical", "scope", F.col("scope_id"), F.col("context_text"), "mode")
@@ -118,7 +121,7 @@ def suppress(hits: DataFrame, rules: DataFrame) -> DataFrame:
     cols = ["hit_id", "context", "scope", "context_text", "mode"]
     found = scoped[0].select(*cols).union(scoped[1].select(*cols)).union(scoped[2].select(*cols))
     has = F.coalesce(F.col("context_text") != "", F.lit(False))
-    applies = ~has | fold(F.col("context"), True).contains(fold(F.col("context_text"), True))
+    applies = ~has | fold(F.col("context"), ascii_only).contains(fold(F.col("context_text"), ascii_only))
     won = found.where(applies).groupBy("hit_id").agg(
         F.max_by("mode", F.struct(F.try_element_at(rank, F.col("scope")), has.cast("int"), (F.col("mode") == "allow").cast("int"))).alias("mode")
     )

@@ -28,6 +28,11 @@ def ascii_english(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where((F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7F]*$"))
 
 
+def texts(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    """English ASCII documents, for which there is SQL, or every document."""
+    return table(spark, d, "documents") if every else ascii_english(spark, d)
+
+
 ASCII_SQL = f"(SELECT * FROM documents WHERE lang = 'en' AND {ASCII})"
 
 
@@ -38,11 +43,16 @@ def cues(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def spoken(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    """ASCII cues, for which there is SQL, or every cue."""
+    return cues(spark, d) if every else cues(spark, d).where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+
+
 CUES_SQL = "(SELECT conv_id AS item_id, turn AS cue_index, turn * 12000 AS start_ms, turn * 12000 + least(10000, 60 * length(text)) AS end_ms, text FROM conversations)"
 
 
-def words(spark: SparkSession, d: str) -> DataFrame:
-    rows = ascii_english(spark, d).select(F.col("doc_id").alias("item_id"), F.posexplode(F.split("text", r"\s+")).alias("word_index", "word"))
+def words(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    rows = texts(spark, d, every).select(F.col("doc_id").alias("item_id"), F.posexplode(F.split("text", r"(?U)\s+" if every else r"\s+")).alias("word_index", "word"))
     return rows.withColumns({
         "start_ms": F.col("word_index").cast("long") * 400, "end_ms": F.col("word_index").cast("long") * 400 + 300,
         "probability": ((F.col("item_id") * 31 + F.col("word_index") * 17) % 100) / 100,

@@ -18,8 +18,12 @@ SQL: dict = {}
 
 
 def add(name: str, sql: str | None = None):
+    """A query that takes ``every`` is also registered over all rows, as ``name``_all. SQL stands for its English ASCII rows only."""
+
     def keep(f):
         Q[name] = f
+        if f.__code__.co_argcount == 3:
+            Q[f"{name}_all"] = lambda spark, d: f(spark, d, True)
         if sql:
             SQL[name] = sql
         return f
@@ -211,8 +215,8 @@ def _(spark, d):
 
 # Times.
 @add("shifted_words", f"SELECT item_id, word_index, greatest(0, start_ms / 1000 - 1.25)::DOUBLE AS at FROM {fx.WORDS_SQL}")
-def _(spark, d):
-    return fx.words(spark, d).select("item_id", "word_index", rules.shift_clock(F.col("start_ms") / 1000, F.lit(1.25)).alias("at"))
+def _(spark, d, every=False):
+    return fx.words(spark, d, every).select("item_id", "word_index", rules.shift_clock(F.col("start_ms") / 1000, F.lit(1.25)).alias("at"))
 
 
 @add("cue_batches", f"""
@@ -256,8 +260,8 @@ _NORM = "lower(trim(trim(trim(word), '\"“”«»‹›()[]{}<>,.!?:;…—–~
 @add("stt_only", f"""
 WITH w AS (SELECT item_id, word_index, start_ms, regexp_replace({_NORM}, '[''-]', '', 'g') AS norm FROM {fx.WORDS_SQL})
 SELECT item_id, word_index, lx.canonical FROM w JOIN {fx.SQL_FORMS} ON lx.form = norm WHERE NOT EXISTS (SELECT 1 FROM {fx.WORDS_SQL} x WHERE x.word_index % 9 = 0 AND x.item_id = w.item_id AND w.start_ms < x.end_ms + 300 AND x.start_ms - 300 < w.start_ms + 300)""")
-def _(spark, d):
-    words = fx.words(spark, d).withColumn("norm", text.fold(text.strip_wrappers(F.col("word")), True))
+def _(spark, d, every=False):
+    words = fx.words(spark, d, every).withColumn("norm", text.fold(text.strip_wrappers(F.col("word")), not every))
     found = words.where("word_index % 9 = 0").select("item_id", (F.col("start_ms") - 300).alias("d0"), (F.col("end_ms") + 300).alias("d1"))
     forms = F.broadcast(lexicon.form_owners([e for e in fx.LEXICON if not e[3]], spark))  # as many rows as the caller listed
     return align.stt_only(words, forms, found).select("item_id", "word_index", "canonical")
@@ -265,10 +269,10 @@ def _(spark, d):
 
 @add("standalone_censored")
 def _(spark, d):
-    words = fx.words(spark, d).withColumn("censor", text.detect_censored(text.strip_wrappers(F.col("word")))).where("censor is not null")
+    words = fx.words(spark, d, True).withColumn("censor", text.detect_censored(text.strip_wrappers(F.col("word")))).where("censor is not null")
     tokens = words.select("item_id", "start_ms", "end_ms", "censor", F.struct("item_id", "word_index").alias("token_id"))
     forms = lexicon.form_owners([e for e in fx.LEXICON if not e[3]], spark).select(F.col("key").alias("form"), "canonical")
-    found = fx.words(spark, d).where("word_index % 9 = 0").select("item_id", F.col("start_ms").alias("d0"), F.col("end_ms").alias("d1"))
+    found = fx.words(spark, d, True).where("word_index % 9 = 0").select("item_id", F.col("start_ms").alias("d0"), F.col("end_ms").alias("d1"))
     return align.standalone_censored(tokens.drop("censor"), lexicon.censored_candidates(tokens.select("token_id", "censor"), forms), found)
 
 
