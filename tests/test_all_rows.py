@@ -1,13 +1,15 @@
 """Text queries over every row against plain versions, on texts in several languages and beyond ASCII."""
 
+import random
 import re
 import unicodedata
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from cuelake.functions.text import WRAPPERS
-from cuelake.operators import lexicon
+from cuelake.operators import align, lexicon
 from cuelake.plans import fixtures as fx
 from cuelake.plans.registry import ORACLE_SQL, QUERIES
 
@@ -88,3 +90,31 @@ def test_context_rules_fold_unicode(spark):
     found = spark.createDataFrame([(1, 1, 1, "darn", "ＣＡＦÉ straße"), (2, 1, 1, "darn", "cafe")], "hit_id long, item_id long, title_id long, canonical string, context string")
     table = spark.createDataFrame([("darn", "global", None, "café STRASSE", "suppress")], "canonical string, scope string, scope_id long, context_text string, mode string")
     assert {r.hit_id: r.whitelisted for r in lexicon.suppress(found, table).collect()} == {1: True, 2: False}
+
+
+def test_segments_without_the_product(spark, data):
+    """Gaps, overlaps, ties and far edges against the distance to every segment, and no join on the item alone."""
+    rng = random.Random(3)
+    said = [(i, k, t, t + 300) for i in range(3) for k, t in enumerate(sorted(rng.randrange(400_000) for _ in range(150)))] + [(9, 0, 5, 10)]
+    segs = [(i, k, t, t + rng.choice([0, 500, 20_000, 90_000])) for i in range(3) for k, t in enumerate(rng.randrange(100_000, 300_000) for _ in range(6 + i))]
+    segs += [(0, 50, 350_000, 350_100), (0, 51, 350_000, 350_100)]
+    out = align.assign_to_segment(spark.createDataFrame(said, "item_id long, word_index int, start_ms long, end_ms long"), spark.createDataFrame(segs, "item_id long, seg_index int, start long, end long"))
+    want = {}
+    for i, k, a, b in said:
+        mid = (a + b) / 2
+        near = [(s0 - mid if mid < s0 else mid - s1 if mid > s1 else 0, n) for j, n, s0, s1 in segs if i == j]
+        if near:
+            want[i, k] = min(near)[1]
+    assert {(r.item_id, r.word_index): r.seg_index for r in out.collect()} == want
+    assert {r[0:2]: r[2] for r in rows(spark, data, "assign_to_segment_all")}[8, 470] == 9
+
+
+def test_segments_of_a_long_text_are_linear(spark):
+    """6,000 words and segments of one item: no join of the plan makes more than a few rows a word."""
+    said = spark.range(6000).select(F.lit(1).alias("item_id"), F.col("id").alias("word_index"), (F.col("id") * 400).alias("start_ms"), (F.col("id") * 400 + 300).alias("end_ms"))
+    segs = said.select("item_id", F.col("word_index").alias("seg_index"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
+    out = align.assign_to_segment(said, segs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert joins and all("_b" in x for x in joins)
+    assert out.where("word_index = seg_index").count() == 6000
