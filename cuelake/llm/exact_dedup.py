@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, shuffle_partitions
@@ -52,6 +52,11 @@ def _merge_round(runs: DataFrame, largest: bool) -> DataFrame:
     return met.mapInArrow(lambda batches: _fold(batches, largest), _ENTRY)
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the text's bytes; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """One row per input row: id, digest (SHA-256 of the text), n_bytes, keep_id, group_size.
 
@@ -65,7 +70,7 @@ def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
         F.col(id_col).cast("long").alias("id"),
-        F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
+        text_digest(F.col(text_col)).alias("digest"),
         F.octet_length(text).alias("n_bytes"),
     ).withColumn("run", F.pmod(F.xxhash64("id"), F.lit(RUNS)).cast("int"))
     base = materialise(base, "digests")
@@ -90,15 +95,18 @@ def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """``docs`` without the copies: of equal texts the row with the surviving id stays, columns as they were.
 
-    Of rows that repeat the surviving id with the same text one stays.
+    Of rows that repeat the surviving id with the same text one stays. A row is known by its id and the digest
+    of its text, so other texts of the same id, or of rows without one, are not touched.
     """
-    groups = digest_groups(docs, id_col, text_col, keep)
-    gone = groups.where("group_size > 1").select("id", "keep_id", "group_size")
-    drop = gone.groupBy("id").agg(F.max(F.col("id").eqNullSafe(F.col("keep_id"))).alias("stays"), F.count("*").alias("rows"))
+    groups = digest_groups(docs, id_col, text_col, keep).where("group_size > 1")
+    key = ["id", "digest", "n_bytes"]
+    drop = groups.groupBy(*key).agg(F.max(F.col("id").eqNullSafe(F.col("keep_id"))).alias("stays"), F.count("*").alias("rows"))
     drop = materialise(drop, "drop")
-    marked = docs.join(drop.where("not stays").select(F.col("id").alias("_gone")), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = drop.where("not stays").select(F.col("id").alias("_gone"), F.col("digest").alias("_gone_digest"))
+    digest = text_digest(F.col(text_col))
+    marked = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (digest == F.col("_gone_digest")), "left_anti")
     if drop.where("stays and rows > 1").limit(1).count():
-        marked = marked.dropDuplicates([id_col, text_col])
+        marked = marked.withColumn("_digest", digest).dropDuplicates([id_col, "_digest"]).drop("_digest")
     return marked
 
 

@@ -241,15 +241,22 @@ def _own_numbers(rows: DataFrame, n: int, similarity: tuple[int, int]) -> DataFr
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id; columns as they were.
 
-    Of rows that repeat that id one stays.
+    Where ids repeat, each row is a text of its own: of a component's rows with the smallest id one stays, and
+    rows whose texts link with nothing all stay, as do rows without an id.
     """
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
+    if ids.groupBy("id").count().where("count > 1").limit(1).count():
+        docs_n = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "near-numbered")
+        known = docs_n.select("_row", F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
+        found = near_documents(known.where("_doc is not null"), "_row", "_text", n, similarity)
+        placed = materialise(found.join(known.select(F.col("_row").alias("id"), "_doc"), "id"), "near-flags")
+        # A row that links with nothing is its own component.
+        stays = placed.groupBy("component_id").agg(F.min_by("id", F.struct("_doc", "id")).alias("id"))
+        gone = placed.join(stays.select("id"), "id", "left_anti").select(F.col("id").alias("_gone"))
+        return docs_n.join(gone, docs_n["_row"] == gone["_gone"], "left_anti").select(*docs.columns)
     found = near_documents(docs, id_col, text_col, n, similarity)
-    flagged = materialise(found.groupBy("id").agg(F.min("component_id").alias("top"), F.count("*").alias("rows")), "near-flags")
-    gone = flagged.where("top < id").select(F.col("id").alias("_gone"))
-    out = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    if flagged.where("rows > 1 and id is not null").limit(1).count():
-        out = out.where(F.col(id_col).isNull()).union(out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
-    return out
+    gone = materialise(found.where("component_id < id").select(F.col("id").alias("_gone")), "near-flags")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
