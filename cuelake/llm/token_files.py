@@ -29,6 +29,8 @@ from .encoding import Encoder
 MAGIC = b"CLTK1"
 HEAD = struct.Struct("<qIII")
 END = 0xFFFFFFFF
+#: Set in the block number where a document has no id.
+NO_ID = 1 << 31
 
 LONGEST = 16
 STEP = 256
@@ -158,7 +160,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     """Ids of each document as 2-byte integers, and with each task's last row its counts of ids."""
     encoder = Encoder(path, 2)
     counts = np.zeros(1 << 16, np.int64)
-    kinds = [pa.int64(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
     end = np.array([end_id], "<u2").tobytes()
     for batch in batches:
         texts = batch.column("text")
@@ -166,8 +168,8 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
         for i in range(batch.num_rows):
             lists.append(encoder.encode(texts[i].as_py()) + end)
             counts += np.bincount(np.frombuffer(lists[-1], "<u2"), minlength=1 << 16)
-        yield pa.record_batch([pa.array(docs, kinds[0]), pa.array(lists, kinds[1]), pa.nulls(len(docs), kinds[2])], names=["id", "ids", "counts"])
-    yield pa.record_batch([pa.nulls(1, kinds[0]), pa.nulls(1, kinds[1]), pa.array([zlib.compress(counts.tobytes())], kinds[2])], names=["id", "ids", "counts"])
+        yield pa.record_batch([pa.array(docs, kinds[0]), pa.array(lists, kinds[1]), pa.nulls(len(docs), kinds[2]), batch.column("row")], names=["id", "ids", "counts", "row"])
+    yield pa.record_batch([pa.nulls(1, kinds[0]), pa.nulls(1, kinds[1]), pa.array([zlib.compress(counts.tobytes())], kinds[2]), pa.nulls(1, kinds[3])], names=["id", "ids", "counts", "row"])
 
 
 def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,19 +182,19 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _packed(batches: Iterator[pa.RecordBatch], lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
     codes = canonical_codes(lengths)
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    names = ["id", "block", "n_ids", "offsets", "payload"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["id", "mark", "row", "block", "n_ids", "offsets", "payload"]
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             rows, arrays = [], []
-            for doc, ids in zip(part.column("id").to_pylist(), part.column("ids").to_pylist()):
+            for doc, mark, row, ids in zip(*[part.column(c).to_pylist() for c in ("id", "mark", "row", "ids")]):
                 ids = np.frombuffer(ids, "<u2")
                 for k, start in enumerate(range(0, len(ids), BLOCK_IDS)):
                     arrays.append(ids[start : start + BLOCK_IDS])
-                    rows.append((doc, k, len(arrays[-1])))
+                    rows.append((doc, mark, row, k, len(arrays[-1])))
             done = encode_blocks(arrays, lengths, codes)
-            cols = [*zip(*rows)] + [*zip(*done)] if rows else [[]] * 5
+            cols = [*zip(*rows)] + [*zip(*done)] if rows else [[]] * len(kinds)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
 
@@ -206,7 +208,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, lengths: np.ndarray)
             cols = [batch.column(c).to_pylist() for c in ("id", "block", "n_ids", "offsets", "payload")]
             whole = []
             for doc, block, n, offsets, payload in zip(*cols):
-                whole.append(HEAD.pack(doc, block, n, len(payload)) + offsets + payload)
+                whole.append(HEAD.pack(doc or 0, block | NO_ID if doc is None else block, n, len(payload)) + offsets + payload)
                 ids += n
             out.write(b"".join(whole))
         out.write(HEAD.pack(0, 0, END, 0))
@@ -228,7 +230,7 @@ def read_blocks(path: str) -> Iterator[tuple]:
             if n == END:
                 return
             offsets = file.read(4 * -(-n // STEP))
-            yield doc, block, n, offsets, file.read(size)
+            yield None if block & NO_ID else doc, block & ~NO_ID, n, offsets, file.read(size)
 
 
 def _read(batches: Iterator[pa.RecordBatch], with_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -283,13 +285,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     """Write the ids of all texts in ascending order of document id and return the manifest (file, path, n_ids).
 
     A document is the tokenizer's ids of its text and then ``end_id``; null and empty texts are the end
-    id alone. Ids must be below 65,536. Rows that repeat a document id are documents of their own, side
-    by side; null document ids raise. An empty table gives files without documents.
+    id alone. Ids must be below 65,536. Rows that repeat a document id are documents of their own, one
+    after another in an order that their ids of tokens give; documents without an id come first and are
+    read back without one. An empty table gives files without documents.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select(F.coalesce("id", F.raise_error(F.lit("a document has no id")).cast("long")).alias("id"), "text")
-    tokens = materialise(rows.mapInArrow(lambda b: _tokens(b, tokenizer, end_id), "id long, ids binary, counts binary"), "token-ids")
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    tokens = materialise(rows.mapInArrow(lambda b: _tokens(b, tokenizer, end_id), "id long, ids binary, counts binary, row long"), "token-ids")
     counts = tokens.where("counts is not null").select("counts")
     # One row of 65,536 counts a task, added up in a tree of tasks before the driver sees one row.
     n = counts.count()
@@ -300,8 +303,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     total = np.frombuffer(zlib.decompress(first[0]), np.int64) if first else np.zeros(1 << 16, np.int64)
     lengths = code_lengths(total)
     size = int((total * lengths).sum()) // 8
-    ids = tokens.where("id is not null").select("id", "ids")
-    packed = ids.mapInArrow(lambda b: _packed(b, lengths), "id long, block int, n_ids int, offsets binary, payload binary")
+    ids = tokens.where("counts is null").select("id", "ids", "row", F.xxhash64("ids").alias("mark"))
+    packed = ids.mapInArrow(lambda b: _packed(b, lengths), "id long, mark long, row long, block int, n_ids int, offsets binary, payload binary")
     files = max(1, min(shuffle_partitions(spark), size // (1 << 20) + 1), size // file_bytes + 1)
     # Borders between files from the ids alone: the text and the tokens are not read for a sample.
     cuts = ids.select(F.percentile_approx("id", [k / files for k in range(1, files)], 100 * files)).first()[0] if files > 1 else []
@@ -312,7 +315,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     else:
         dealt = packed.repartitionByRange(files, "id")
     folder = new_folder(spark, "token-files")
-    written = dealt.sortWithinPartitions("id", "block").mapInArrow(lambda b: _write(b, folder, lengths), "file int, path string, n_ids long")
+    written = dealt.sortWithinPartitions("id", "mark", "row", "block").mapInArrow(lambda b: _write(b, folder, lengths), "file int, path string, n_ids long")
     return materialise(written, "token-manifest")
 
 

@@ -202,6 +202,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of the batch with digest and size of ``html``."""
     for batch in batches:
         html, found, size = batch.column("html"), [], []
         for i in range(batch.num_rows):
@@ -211,7 +212,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sha.update(buf.slice(k, min(CHUNK, n - k)))
             found.append(base32_digest(sha.digest()))
             size.append(n)
-        yield pa.record_batch([batch.column("record_id"), pa.array(found, pa.string()), pa.array(size, pa.int64())], names=["record_id", "digest", "payload_bytes"])
+        yield pa.record_batch([*batch.columns, pa.array(found, pa.string()), pa.array(size, pa.int64())], names=[*batch.schema.names, "digest", "payload_bytes"])
 
 
 def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, archive_bytes: int = 64 << 20) -> DataFrame:
@@ -219,13 +220,13 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Of records with equal payloads of at least ``min_revisit_bytes`` bytes the one with the smallest id
     is a response and the others are revisits of it; smaller payloads are all responses. Null html is
-    an empty payload, a null url leaves out the target. Ids are expected to be unique and not null;
-    a row that repeats an id gets a record of its own, and all records of the id that survives are
-    responses. An empty table gives no archive. Payloads are shuffled once.
+    an empty payload, a null url leaves out the target. A row that repeats an id gets a record of its
+    own, with its own payload, and all records of the id that survives are responses, as are those
+    without an id. A row is known by id, digest and size. An empty table gives no archive. Payloads are shuffled once.
     """
     spark = pages.sparkSession
     base = pages.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).alias("target"), F.col(html_col).alias("html"))
-    found = materialise(base.select("record_id", "html").mapInArrow(_digests, "record_id long, digest string, payload_bytes long"), "warc-digests")
+    found = materialise(base.select("record_id", "html").mapInArrow(_digests, "record_id long, html string, digest string, payload_bytes long").drop("html"), "warc-digests")
     firsts = found.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("digest", "payload_bytes").agg(F.min("record_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     # A payload that a third of the pages share meets its first record in SHARES pieces.
     shares = 32
@@ -233,11 +234,13 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     plan = found.dropDuplicates(["record_id", "digest", "payload_bytes"]).withColumn("share", F.pmod(F.xxhash64("record_id"), F.lit(shares)).cast("int"))
     plan = plan.join(firsts, ["digest", "payload_bytes", "share"], "left").withColumn("revisit", F.coalesce(F.col("first") < F.col("record_id"), F.lit(False)))
     plan = plan.select(
-        F.col("record_id").alias("_id"), "digest", "payload_bytes",
+        F.col("record_id").alias("_id"), F.col("digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"),
         F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"),
         F.when(F.col("revisit"), F.col("first")).alias("refers_to"),
     )
-    joined = base.join(plan, F.col("record_id").eqNullSafe(F.col("_id"))).drop("_id").sortWithinPartitions("record_id")
+    known = base.mapInArrow(_digests, "record_id long, target string, html string, digest string, payload_bytes long")
+    same = F.col("record_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
+    joined = known.join(plan, same).drop("_id", "_digest", "_bytes").sortWithinPartitions("record_id")
     folder = new_folder(spark, "warc")
     manifest = joined.mapInArrow(lambda b: _write(_cut(b, CHUNK), folder, archive_bytes), "path string, records long")
     return materialise(manifest, "warc-manifest")

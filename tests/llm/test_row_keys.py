@@ -1,8 +1,12 @@
 """Tables in which ids repeat or are missing while the rows differ."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from cuelake.llm import exact_dedup, ngram_jaccard
+from cuelake.llm import exact_dedup, ngram_jaccard, token_files, warc
+
+from . import brute
 
 KINDS = "doc_id long, text string, mark int"
 
@@ -33,3 +37,36 @@ def test_near_copies_of_single_ids(spark):
     near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
     df = spark.createDataFrame([(7, near, 0), (9, near + " end", 1), (8, "another text of some words", 2), (None, near, 3)], KINDS)
     assert {r.mark for r in ngram_jaccard.drop_near_copies(df, n=3, similarity=(8, 10)).collect()} == {0, 2, 3}
+
+
+def test_warc_records_of_repeated_and_missing_ids(spark):
+    big = "é\r\n" * 600_000
+    pages = [(1, "a", "x"), (1, "b", "other"), (2, "c", "x"), (None, "d", "x"), (None, "e", "only here"), (None, None, None), (3, "f", big), (3, "g", big + "!"), (1, "h", "x")]
+    out = warc.read_warc(warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string")))
+    rows = []
+    for i, u, h in pages:
+        data = (h or "").encode()
+        of_text = [j for j, _, t in pages if (t or "") == (h or "") and j is not None]
+        again = i is not None and min(of_text) < i
+        rows.append((i, u, "revisit" if again else "response", min(of_text) if again else None, len(data), warc.base32_digest(hashlib.sha1(data).digest())))
+    assert sorted((tuple(r) for r in out.select("record_id", "target", "record_type", "refers_to", "payload_bytes", "payload_digest").collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_token_files_of_repeated_and_missing_ids(spark):
+    """Documents of several blocks side by side, two of one id and two without an id."""
+    import public_tokenizers
+
+    def long(word):
+        return " ".join(f"{word}{k}" for k in range(30_000))
+
+    docs = [(5, long("a")), (5, long("b")), (None, long("c")), (None, long("d")), (None, None), (-(2**63), "least id"), (7, "last")]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = token_files.read_token_files(token_files.write_token_files(spark.createDataFrame(docs, "doc_id long, text string"), path)).orderBy("start").collect()
+    want = []
+    for i, text in docs:
+        (row,) = brute.token_files([(0, text)])
+        want.append((i, *row[2:]))
+    assert max(w[1] for w in want) > token_files.BLOCK_IDS
+    assert sorted(((r.id, r.n_tokens, r.ids_crc32) for r in out), key=repr) == sorted(want, key=repr)
+    assert [r.id for r in out] == [None] * 3 + [-(2**63), 5, 5, 7]
+    assert [r.start for r in out] == [sum(r.n_tokens for r in out[:k]) for k in range(len(out))]
