@@ -110,10 +110,11 @@ def near_vectors(
 
     Vectors link when their labels are equal and not null and their cosine is at least ``threshold``
     in double precision; vectors of other lengths never link. Null, empty and zero vectors and those
-    with null or non-finite components link with nothing. Equal vectors always link. A pair of other
+    with null or non-finite components link with nothing. Equal vectors of a label always link. A pair of other
     vectors at cosine c shares a table's bucket with probability (1 - acos(c) / pi) ** bits, so with
     the defaults a pair at 0.98 is missed once in about a million. Rows that repeat an id count as
-    further vectors. An empty table gives no rows.
+    further vectors: classes are told apart by a key of label and vector, and a component is named by its
+    smallest id at the end, null if none of its rows has one. An empty table gives no rows.
     """
     ids = F.col(id_col).cast("long").alias("id")
     good = (
@@ -129,8 +130,9 @@ def near_vectors(
     member = materialise(rows.select("id", "label", "mark"), "vec-members")
     # A map-side combined minimum: a vector that makes up a third of the rows costs one row a task.
     classes = rows.where("good").groupBy("label", "mark").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
-    classes = materialise(classes, "vec-classes")
-    signed = classes.select("rep", "label", "vector").mapInArrow(
+    # Classes are known by a number of their own: one id may stand on several vectors or labels, or on none.
+    classes = materialise(classes.withColumn("class", F.monotonically_increasing_id()), "vec-classes")
+    signed = classes.select(F.col("class").alias("rep"), "label", "vector").mapInArrow(
         lambda b: _signatures(b, tables, bits, seed),
         "rep long, label long, vector array<double>, signature binary, codes array<long>",
     )
@@ -149,24 +151,25 @@ def near_vectors(
     full = full.repartition(shuffle_partitions(vectors.sparkSession), *sort).sortWithinPartitions(*sort)
     links = full.select("rep", *sort, "block", "vector", "signature").mapInArrow(lambda b: _pairs_in_blocks(b, threshold), "a long, b long")
     links = materialise(links, "vec-links")
-    size = classes.select("rep", "copies")
-    both = links.union(links.select("b", "a")).toDF("rep", "other")
-    degree = both.join(size.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("outside"))
-    parts = connected_components(links)
+    size = classes.select("class", "copies")
+    both = links.union(links.select("b", "a")).toDF("class", "other")
+    degree = both.join(size.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("copies").alias("outside"))
+    parts = connected_components(links).withColumnRenamed("id", "class")
+    placed = classes.select("class", "label", "mark", "rep", "copies").join(parts, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    placed = materialise(placed, "vec-placed")
+    named = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     classed = (
-        classes.select("label", "mark", "rep", "copies")
-        .join(degree, "rep", "left")
-        .join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("label", "mark", "rep", (F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+        placed.join(degree, "class", "left").join(named, "component")
+        .select("label", "mark", "rep", (F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), "component_id", F.lit(True).alias("classed"))
+    )
     # Back to the rows in pieces: a copied vector's class is told to each of SALT shares of its rows.
     salt = 16
     shares = classed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     member = member.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
     return member.join(shares, ["label", "mark", "share"], "left").select(
-        "id", F.coalesce("rep", "id").alias("rep"),
+        "id", F.when(F.col("classed"), F.col("rep")).otherwise(F.col("id")).alias("rep"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
+        F.when(F.col("classed"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
 
 

@@ -1,10 +1,11 @@
 """Tables in which ids repeat or are missing while the rows differ."""
 
 import hashlib
+import math
 
 from pyspark.sql import functions as F
 
-from cuelake.llm import exact_dedup, ngram_jaccard, token_files, warc
+from cuelake.llm import embedding_dedup, exact_dedup, ngram_jaccard, token_files, warc
 
 from . import brute
 
@@ -70,3 +71,25 @@ def test_token_files_of_repeated_and_missing_ids(spark):
     assert sorted(((r.id, r.n_tokens, r.ids_crc32) for r in out), key=repr) == sorted(want, key=repr)
     assert [r.id for r in out] == [None] * 3 + [-(2**63), 5, 5, 7]
     assert [r.start for r in out] == [sum(r.n_tokens for r in out[:k]) for k in range(len(out))]
+
+
+def test_vectors_of_repeated_and_missing_ids(spark):
+    """One id on two vectors and on two labels, and vectors without ids, against all pairs of rows."""
+    near, far, other = [1.0, 0.0, 0.01], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, near, 0), (1, far, 0), (1, near, 1), (2, [1.0, 0.0, 0.02], 0), (2, near, 0), (3, [0.0, 1.0, 0.01], 0), (4, near, 1), (None, near, 0), (None, other, 0), (6, [0.0, 0.01, 1.0], 0), (None, far, 2), (None, [0.01, 1.0, 0.0], 2)]
+
+    def links(a, b):
+        dot = sum(x * y for x, y in zip(a[1], b[1]))
+        return a[2] == b[2] and dot / math.sqrt(sum(x * x for x in a[1]) * sum(x * x for x in b[1])) >= 0.98
+
+    want = []
+    for i, row in enumerate(rows):
+        reached, at = {i}, [i]
+        while at:
+            k = at.pop()
+            more = {j for j in range(len(rows)) if j not in reached and links(rows[k], rows[j])}
+            reached |= more
+            at += more
+        want.append((row[0], sum(j != i and links(row, rows[j]) for j in range(len(rows))), min((rows[j][0] for j in reached if rows[j][0] is not None), default=None)))
+    out = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted((tuple(r) for r in out.select("id", "n_links", "component_id").collect()), key=repr) == sorted(want, key=repr)
