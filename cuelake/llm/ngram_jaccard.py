@@ -128,8 +128,28 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own. Rows with a null id link with nothing and have a null component.
     Shingles are compared by 64-bit hashes. An empty table gives no rows.
     """
-    num, den = similarity
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return _near(rows, n, similarity)
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (8, 10)) -> tuple[DataFrame, DataFrame]:
+    """All links of ``near_documents``: (class_a, class_b) with class_a < class_b, and one row per row: id, n_shingles, class.
+
+    A class stands for the rows with one set of shingles, which all link with each other; two classes link as
+    all their rows do. No pair that may link is left out: groups meet at every token of their prefixes, whatever
+    component they are in, so the number of pairs grows with the square of a token's groups. Rows without
+    shingles have no class. Classes are numbers of rows, so repeated and missing ids mix nothing.
+    """
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("id"))
+    keyed = materialise(keyed, "numbered")
+    links, classed = _near(keyed.select("id", "text"), n, similarity, every=True)
+    members = keyed.select("id", "doc").join(classed, "id").select(F.col("doc").alias("id"), "n_shingles", "class")
+    return links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b")), members
+
+
+def _near(rows: DataFrame, n: int, similarity: tuple[int, int], every: bool = False):
+    """``near_documents`` of (id, text); with ``every`` the verified pairs of classes and (id, n_shingles, class), ids being unique."""
+    num, den = similarity
     described = materialise(rows.mapInArrow(lambda b: _describe(b, n), "id long, n int, sig1 long, sig2 long, counts binary"), "sets")
     counts = described.where("counts is not null").select("counts")
     tasks = counts.count()
@@ -178,6 +198,17 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         exact = near.join(side("a", "grams"), "a").join(side("b", "grams"), "b").withColumn("common", F.expr("size(array_intersect(a_grams, b_grams))"))
         return materialise(exact.where(f"common * {den} >= (a_n + b_n - common) * {num}").select("a", "b"), "links")
 
+    end = lambda frame, s, names: frame.select("token", *[F.col(c).alias(f"{to}{s}") for c, to in names.items()])
+    fits = " and ".join(f"n{s} * {den} >= n{t} * {num} and n{s} - p{s} >= ceil({num} * (nx + ny) / {den + num})" for s, t in ("xy", "yx"))
+    if every:
+        one = {"gid": "g", "n": "n", "pos": "p"}
+        met = end(postings, "x", one).join(end(postings, "y", one), "token").where(f"gx < gy and {fits}").select("gx", "gy").distinct()
+        met = met.union(crowded.select(F.col("gid").alias("gx"), F.col("gid").alias("gy")))
+        tries = met.join(member.select(F.col("gid").alias("gx"), F.col("id").alias("i")), "gx").join(member.select(F.col("gid").alias("gy"), F.col("id").alias("j")), "gy")
+        found = verified(tries.where("i != j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
+        whole.drop()
+        return found, described.join(classes, sig, "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class"))
+
     links: list[DataFrame] = []
     for turn in range(2):
         order = ["n", "gid"] if turn == 0 else [F.xxhash64("gid", F.lit(turn))]
@@ -200,14 +231,12 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # At the first token that two linking sets share, both have at least as many tokens left as they need
     # in common. Bundles meet if some sizes and places in them allow that, then their groups by their own.
     bundle = bundled.groupBy("token", "bundle").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"))
-    end = lambda frame, s, names: frame.select("token", *[F.col(c).alias(f"{to}{s}") for c, to in names.items()])
     one = {"bundle": "b", "lo": "lo", "hi": "hi", "pos": "p"}
     may = " and ".join(
         f"hi{s} * {den} >= lo{t} * {num} and hi{s} - p{s} >= ceil({num} * (hi{s} + lo{t}) / {den + num})" for s, t in ("xy", "yx")
     )
     meets = end(bundle, "x", one).join(end(bundle, "y", one), "token").where(f"bx < by and {may}").select("token", "bx", "by")
     one = {"bundle": "b", "gid": "g", "n": "n", "pos": "p"}
-    fits = " and ".join(f"n{s} * {den} >= n{t} * {num} and n{s} - p{s} >= ceil({num} * (nx + ny) / {den + num})" for s, t in ("xy", "yx"))
     across = meets.join(end(bundled, "x", one), ["token", "bx"]).join(end(bundled, "y", one), ["token", "by"]).where(fits).select("gx", "gy").distinct()
     left = placed.select(F.col("gid").alias("gx"), F.col("id").alias("i"), F.col("part").alias("pi"))
     right = placed.select(F.col("gid").alias("gy"), F.col("id").alias("j"), F.col("part").alias("pj"))

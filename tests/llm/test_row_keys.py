@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -93,3 +95,29 @@ def test_vectors_of_repeated_and_missing_ids(spark):
         want.append((row[0], sum(j != i and links(row, rows[j]) for j in range(len(rows))), min((rows[j][0] for j in reached if rows[j][0] is not None), default=None)))
     out = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     assert sorted((tuple(r) for r in out.select("id", "n_links", "component_id").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_every_link_inside_components(spark):
+    """Variants of a few texts, with copies, repeated and missing ids: every pair of rows, not only what connects them."""
+    rng, rows = random.Random(5), [(1, None), (2, "")]
+    bases = [[f"w{rng.randrange(60)}" for _ in range(80)] for _ in range(2)]
+    for i in range(50):
+        words = list(bases[i % 2])
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(80)] = f"v{rng.randrange(5)}"
+        rows.append((None if i % 9 == 0 else i % 20, " ".join(words)))
+    rows += rows[10:14]
+    links, members = ngram_jaccard.near_links(spark.createDataFrame(rows, "doc_id long, text string"), n=2, similarity=(9, 10))
+    sets = [{tuple(w[k : k + 2]) for k in range(len(w) - 1)} for w in ((t or "").split() for _, t in rows)]
+    want = Counter()
+    for a in range(len(rows)):
+        n = sum(1 for b in range(len(rows)) if a != b and sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b]))
+        want[rows[a][0], len(sets[a]), n] += 1
+    pairs, of = [tuple(r) for r in links.collect()], members.collect()
+    assert len(set(pairs)) == len(pairs) and all(a < b for a, b in pairs)
+    size, degree = Counter(r["class"] for r in of), Counter()
+    for a, b in pairs:
+        degree[a] += size[b]
+        degree[b] += size[a]
+    assert Counter((r.id, r.n_shingles, 0 if r["class"] is None else size[r["class"]] - 1 + degree[r["class"]]) for r in of) == want
+    assert len(pairs) > len(size)
