@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,35 @@ def words_near(hits: DataFrame, words: DataFrame, slack: int = 1000, offset: int
     return left.join(right, ["item_id", "_b"]).where(F.col("word_start_ms").between(F.col("_from"), F.col("_to"))).drop("_b", "_from", "_to")
 
 
+def claim_first(pairs: DataFrame, left: str, right: str, order: list[Column]) -> DataFrame:
+    """One-to-one choice per item: left sides in order take their first right side, by ``order``, that is free.
+
+    Left sides that share no right side with another one choose by themselves. The pairs of the others pass in
+    order, and only the right sides taken so far in an item are held.
+    """
+    wanted = pairs.groupBy("item_id", right).agg(F.count_distinct(left).alias("n")).where("n > 1").select("item_id", right)
+    contested = pairs.join(wanted, ["item_id", right], "left_semi").select("item_id", left).distinct()
+    first = Window.partitionBy("item_id", left).orderBy(*order)
+    plain = pairs.join(contested, ["item_id", left], "left_anti").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item, taken, served = None, set(), None
+        for batch in batches:
+            rows = []
+            for i, (at, who, what) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("item_id", left, right)])):
+                if at != item:
+                    item, taken, served = at, set(), None
+                if who != served and what not in taken:
+                    taken.add(what)
+                    served = who
+                    rows.append(i)
+            yield batch.take(pa.array(rows, pa.int64()))
+
+    rest = pairs.join(contested, ["item_id", left], "left_semi").select(*pairs.columns)
+    rest = rest.repartition("item_id").sortWithinPartitions("item_id", left, *order)
+    return plain.select(*pairs.columns).union(rest.mapInArrow(choose, pairs.schema))
+
+
 def pick_timing(hits: DataFrame, words: DataFrame, threshold: float = 85.0, farthest: int = 2500, **near) -> DataFrame:
     """For each hit (hit_id, item_id, start_ms, end_ms, expected_ms, targets) the word that gives its time.
 
@@ -34,22 +66,7 @@ def pick_timing(hits: DataFrame, words: DataFrame, threshold: float = 85.0, fart
     score = F.when(equal, 100.0).when(long_enough, F.array_max(F.transform("targets", lambda t: similarity(F.col("word"), t))))
     pairs = pairs.withColumn("score", score).where(F.col("score") >= threshold)
     ranked = pairs.select("item_id", "hit_id", "word_index", "score", F.abs(F.col("mid") - F.col("expected_ms")).alias("distance"))
-    wanted = ranked.groupBy("item_id", "word_index").agg(F.count_distinct("hit_id").alias("n"))
-    contested = ranked.join(wanted.where("n > 1"), ["item_id", "word_index"], "left_semi").select("item_id").distinct()
-    order = Window.partitionBy("hit_id").orderBy(F.desc("score"), "distance", "word_index")
-    plain = ranked.join(contested, "item_id", "left_anti").withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for _, group in pdf.sort_values(["hit_id", "score", "distance", "word_index"], ascending=[True, False, True, True]).groupby("hit_id", sort=True):
-            free = group[~group["word_index"].isin(taken)]
-            if len(free):
-                taken.add(free.iloc[0]["word_index"])
-                rows.append(free.iloc[0])
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    settled = ranked.join(contested, "item_id", "left_semi").groupBy("item_id").applyInPandas(claim, ranked.schema)
-    out = plain.unionByName(settled)
+    out = claim_first(ranked, "hit_id", "word_index", [F.desc("score"), F.col("distance"), F.col("word_index")])
     confidence = F.when(F.col("score") >= 100, 0.95).otherwise(F.round(F.col("score") / 100 * 0.9, 3))
     return out.select("hit_id", "item_id", "word_index", "score", confidence.alias("confidence"), F.when(F.col("score") >= 100, "exact").otherwise("fuzzy").alias("kind"))
 

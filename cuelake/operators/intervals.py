@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,20 +89,25 @@ def cue_windows(cues: DataFrame, hits: DataFrame, pad: float, gap: float, offset
 
 def batch_segments(df: DataFrame, max_span: float = 300, max_n: int = 128) -> DataFrame:
     """Number of the batch of each segment: a batch ends before it spans ``max_span`` or holds ``max_n``. Where a
-    batch starts depends on all before it, so an item's segments are taken in order."""
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end"], kind="stable").reset_index(drop=True)
-        batch, first, count, out = -1, 0.0, 0, []
-        for start, end in zip(pdf["start"], pdf["end"]):
-            if batch < 0 or end - first > max_span or count >= max_n:
-                batch, first, count = batch + 1, start, 0
-            count += 1
-            out.append(batch)
-        return pdf.assign(batch=pd.Series(out, dtype="int32"))
+    batch starts depends on all before it, so an item's segments pass in order; one state per item is held."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item, batch, first, count = None, -1, 0.0, 0
+        for rows in batches:
+            out = []
+            for at, start, end in zip(*[rows.column(c).to_pylist() for c in ("item_id", "start", "end")]):
+                if at != item:
+                    item, batch = at, -1
+                unknown = batch >= 0 and (end is None or first is None)
+                if batch < 0 or count >= max_n or (not unknown and end - first > max_span):
+                    batch, first, count = batch + 1, start, 0
+                count += 1
+                out.append(batch)
+            yield pa.record_batch([*rows.columns, pa.array(out, pa.int32())], names=[*rows.schema.names, "batch"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", batch int"
-    return df.groupBy("item_id").applyInPandas(number, kinds)
+    nulls_last = [F.asc_nulls_last(c) for c in ("start", "end")]
+    return df.repartition("item_id").sortWithinPartitions("item_id", *nulls_last).mapInArrow(number, kinds)
 
 
 def stage_progress(events: DataFrame, weights: dict[str, int]) -> DataFrame:

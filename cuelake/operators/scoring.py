@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .align import related
+from .align import claim_first, related
 from .intervals import bucketed, merge_ranges
 
 
 def claim_pairs(pairs: DataFrame, left: str, right: str, order: list[str]) -> DataFrame:
-    """One-to-one choice per item: in order of ``left`` (then ``order``) each takes its first right side that is free.
-
-    Only items in which a right side is wanted twice need one step after another; in the others each left side's first
-    pair stands.
-    """
-    wanted = pairs.groupBy("item_id", right).agg(F.count_distinct(left).alias("n")).where("n > 1").select("item_id").distinct()
-    first = Window.partitionBy("item_id", left).orderBy(*order)
-    plain = pairs.join(wanted, "item_id", "left_anti").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for _, group in pdf.sort_values([left, *order], kind="stable").groupby(left, sort=True):
-            free = group[~group[right].isin(taken)]
-            if len(free):
-                taken.add(free.iloc[0][right])
-                rows.append(free.iloc[0])
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    return plain.unionByName(pairs.join(wanted, "item_id", "left_semi").groupBy("item_id").applyInPandas(choose, pairs.schema))
+    """One-to-one choice per item: in order of ``left`` (then ``order``) each takes its first right side that is free."""
+    return claim_first(pairs, left, right, [F.col(c) for c in order])
 
 
 def compare_runs(prior: DataFrame, found: DataFrame, slack: int = 1000, width: int = 60_000) -> DataFrame:
