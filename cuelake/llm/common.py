@@ -6,7 +6,9 @@ import contextlib
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +33,47 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cuelake/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths and bucketed tables written within each open ``scratch``, innermost last.
+_OPEN: list[list] = []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end, also after a failure, what was materialised inside. ``keep(df)`` hands a table on
+    to the caller, or to the scratch around this one."""
+    _OPEN.append(mine := [])
+    try:
+        yield
+    finally:
+        _OPEN.remove(mine)
+        for held in mine:
+            if isinstance(held, Stored):
+                held.drop()
+            else:
+                delete_folder(spark, held)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Spares a materialised table from the innermost scratch."""
+    if _OPEN and df._cuelake_path in _OPEN[-1]:
+        _OPEN[-1].remove(df._cuelake_path)
+        if len(_OPEN) > 1:
+            _OPEN[-2].append(df._cuelake_path)
+    return df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: the lineage ends there,
     so a lost executor costs a reread and no recomputation."""
     spark = df.sparkSession
     path = new_folder(spark, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cuelake_path = path
@@ -46,9 +84,9 @@ def release(df: DataFrame) -> None:
     """Delete a materialised table that no later plan reads."""
     path = getattr(df, "_cuelake_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        delete_folder(df.sparkSession, path)
+        if _OPEN and path in _OPEN[-1]:
+            _OPEN[-1].remove(path)
 
 
 class Stored:
@@ -60,11 +98,30 @@ class Stored:
         writer = df.write.format("parquet").option("path", self.path).option("compression", "zstd")
         writer.bucketBy(shuffle_partitions(self.spark), *keys).saveAsTable(self.name)
         self.table = self.spark.table(self.name)
+        if _OPEN:
+            _OPEN[-1].append(self)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        delete_folder(self.spark, self.path)
+        if _OPEN and self in _OPEN[-1]:
+            _OPEN[-1].remove(self)
+
+
+def gathered(blobs: DataFrame, fold: Callable[[Iterator[bytes]], bytes], fan: int = 32) -> bytes | None:
+    """Folds the one binary column of ``blobs``, one of bounded size from each task, in a tree of tasks, ``fan``
+    at a time; the driver gets the last. None: there was none."""
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch([pa.array([fold(x.as_py() for b in batches for x in b.column(0))], pa.binary())], names=["blob"])
+
+    blobs = blobs.toDF("blob")
+    n = blobs.count()
+    while n > 1:
+        n = -(-n // fan)
+        blobs = blobs.repartition(n).mapInArrow(folded, "blob binary")
+    first = blobs.first()
+    return bytes(first[0]) if first else None
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -99,7 +156,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternating large-star and small-star rounds, each a shuffle over the edges, until no edge
     changes. Ids without an edge to another id give no row; null ends are dropped. Edge tables of
-    any shape work: a hub's smallest neighbour is found by a map-side combined minimum.
+    any shape work: a hub's smallest neighbour is found by a map-side combined minimum, and the join that
+    tells it to the hub's edges has one row on that side, so that adaptive execution can split the edges.
     """
     # One row per edge with u > v.
     now = materialise(

@@ -4,33 +4,37 @@
    and counts all shingles in a sketch of fixed size. Equal sets fold into a class.
 2. Shingles are ordered by their count in the sketch, then by hash. Any total order gives right
    results; this one puts common shingles last, where prefixes don't reach. Classes of equal size and
-   equal prefix form a group, and groups meet where they share a token of their prefixes.
-3. Only components are asked for, so a pair whose ends are already connected needs no test. Two rounds
-   join each group with its neighbour in every token's list, in two orders: as many pairs as rows, not
-   as their square. What then still lies in different components meets in full: per token, bundles of
-   groups of one component pair up where sizes and places allow a link, and only pairs across bundles
-   are expanded and verified.
-4. A pair is verified by the exact size of the intersection. Before that, bit fields of both sets and then
-   the first parts of both in order give upper bounds, which cost a fiftieth and a tenth of the bytes.
+   equal prefix form a group, and groups meet where they share a token of their prefixes. A bitmap of
+   fixed size tells most tokens that one group has alone before anything is shuffled.
+3. Only components are asked for, so a pair whose ends are already connected needs no test. First every
+   group of a token's list meets the list's smallest, then its neighbours in the list that belong to other
+   components: as many pairs as rows, not as their square. Such rounds go on, each in another order and
+   over lists that still hold several components, while they find links and many pairs are left. What
+   then still lies in different components meets in full: per token, bundles of groups of one component pair
+   up where sizes and places allow a link, and only pairs across bundles are expanded and verified.
+4. A pair is verified by the exact size of the intersection. Before that, bit fields of both sets give
+   an upper bound, which costs a fiftieth of the bytes. Only sets that some list needs travel, and texts never do.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, connected_components, materialise
+from .common import Stored, connected_components, gathered, keep, materialise, scratch, shuffle_partitions
 from .hashing import mix, shingles, text_slices
 
-SKETCH = 1 << 18
-#: Tokens kept beyond the prefix, for the bound before the exact test.
-BEYOND = 32
+#: Places of the sketch of counts, of the bitmap of tokens and of that of ids: 4, 8 and 2 MB, whatever the input.
+SKETCH = 1 << 22
+TOKENS = 1 << 26
+IDS = 1 << 24
+#: Rows of a token's list that one task orders at a time.
+STRETCH = 1 << 16
 
 
 def _distinct(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -41,26 +45,42 @@ def _distinct(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, l
 
 def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """(id, size, sig1, sig2) of each text's set, and with the task's last row its counts of shingles by sketch place."""
-    counts = np.zeros(SKETCH, np.int64)
+    counts = np.zeros(SKETCH, np.uint32)
     names, kinds = ["id", "n", "sig1", "sig2", "counts"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    waiting: list[np.ndarray] = []
+
+    def count() -> None:
+        if waiting:
+            np.add(counts, np.bincount((np.concatenate(waiting) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32), out=counts)
+            waiting.clear()
+
     for batch in batches:
         for part, sets in _distinct(batch, n):
             sig = np.zeros((2, len(sets)), np.uint64)
             for i, s in enumerate(sets):
                 sig[0, i], sig[1, i] = s.sum(dtype=np.uint64), mix(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)
-            if sets:
-                counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            waiting += sets
+            if sum(map(len, waiting)) > SKETCH:
+                count()
             cols = [part.column("id"), pa.array([len(s) for s in sets], kinds[1]), pa.array(sig[0].view(np.int64)), pa.array(sig[1].view(np.int64)), pa.nulls(len(sets), kinds[4])]
             yield pa.record_batch(cols, names=names)
-    yield pa.record_batch([*[pa.nulls(1, k) for k in kinds[:4]], pa.array([zlib.compress(counts.tobytes(), 1)], kinds[4])], names=names)
+    count()
+    yield pa.record_batch([*[pa.nulls(1, k) for k in kinds[:4]], pa.array([zlib.compress(counts, 1)], kinds[4])], names=names)
 
 
-def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SKETCH, np.int64)
-    for batch in batches:
-        for x in batch.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(x), np.int64)
-    yield pa.record_batch([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["counts"])
+def _sum_counts(blobs: Iterator[bytes]) -> bytes:
+    total = np.zeros(SKETCH, np.uint32)
+    for x in blobs:
+        more = np.frombuffer(zlib.decompress(x), np.uint32)
+        # Counts stay at the top instead of running over.
+        total = np.where(total > ~more, np.uint32(0xFFFFFFFF), total + more)
+    return zlib.compress(total, 1)
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte: themselves up to 63, then sixteenths of powers of two, up to the top."""
+    fine = 64 + 16 * (np.log2(np.maximum(counts, 64)) - 6)
+    return np.where(counts < 64, counts, np.minimum(fine, 255)).astype(np.uint8)
 
 
 def _prefix_size(size: int, num: int, den: int) -> int:
@@ -69,19 +89,19 @@ def _prefix_size(size: int, num: int, den: int) -> int:
 
 
 def _bits(s: np.ndarray) -> np.ndarray:
-    """One bit for each token's place in a field of 1 to 2 bits per token, in 8-byte words."""
-    field = np.zeros(max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64, bool)
+    """One bit for each token's place in a field of 2 to 4 bits per token, in 8-byte words."""
+    field = np.zeros(max(64, 2 << (len(s) - 1).bit_length()) if len(s) else 64, bool)
     field[((s >> np.uint64(32)) & np.uint64(len(field) - 1)).astype(np.int64)] = True
     return np.packbits(field, bitorder="little").view(np.int64)
 
 
-def _first(s: np.ndarray, keep: int, rank: np.ndarray) -> np.ndarray:
-    """The first ``keep`` of a set in the common order."""
-    by = rank[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-    if keep < len(s):
-        near = np.flatnonzero(by <= np.partition(by, keep - 1)[keep - 1])
+def _first(s: np.ndarray, size: int, level: np.ndarray) -> np.ndarray:
+    """The first ``size`` of a set in the common order."""
+    by = level[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
+    if size < len(s):
+        near = np.flatnonzero(by <= np.partition(by, size - 1)[size - 1])
         s, by = s[near], by[near]
-    return s[np.lexsort((s, by))[:keep]]
+    return s[np.lexsort((s, by))[:size]]
 
 
 def _lists(sets: list[np.ndarray]) -> pa.ListArray:
@@ -90,19 +110,80 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], n: int, rank: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], n: int, level, num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, sets in _distinct(batch, n):
-            heads = [_first(s, _prefix_size(len(s), num, den), rank) for s in sets]
-            yield pa.record_batch([part.column("id"), _lists(heads)], names=["id", "prefix"])
+            heads = [_first(s, _prefix_size(len(s), num, den), level.value) for s in sets]
+            yield pa.record_batch([part.column("id"), _lists([_bits(s) for s in sets]), _lists(heads)], names=["id", "bits", "prefix"])
+
+
+def _marked(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bitmap[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _bitmap(places: np.ndarray, size: int) -> np.ndarray:
+    field = np.zeros(size, bool)
+    field[places] = True
+    return np.packbits(field, bitorder="little")
+
+
+def _token_places(tokens: np.ndarray) -> np.ndarray:
+    return (mix(tokens.view(np.uint64)) >> np.uint64(38)).astype(np.int64)
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefixes to two bitmaps by token place: seen at all, and more than once."""
+    once, twice = np.zeros(TOKENS // 8, np.uint8), np.zeros(TOKENS // 8, np.uint8)
+    for batch in batches:
+        places, n = np.unique(_token_places(batch.column("prefix").flatten().to_numpy()), return_counts=True)
+        new = _bitmap(places, TOKENS)
+        twice |= once & new | _bitmap(places[n > 1], TOKENS)
+        once |= new
+    yield pa.record_batch([pa.array([zlib.compress(np.concatenate([once, twice]), 1)], pa.binary())], names=["blob"])
+
+
+def _sum_seen(blobs: Iterator[bytes]) -> bytes:
+    total = np.zeros(TOKENS // 4, np.uint8)
+    once, twice = total[: TOKENS // 8], total[TOKENS // 8 :]
+    for x in blobs:
+        more = np.frombuffer(zlib.decompress(x), np.uint8)
+        twice |= more[TOKENS // 8 :] | once & more[: TOKENS // 8]
+        once |= more[: TOKENS // 8]
+    return zlib.compress(total, 1)
+
+
+def _shared(batches: Iterator[pa.RecordBatch], twice) -> Iterator[pa.RecordBatch]:
+    """Tokens of prefixes that may stand in another one too: (gid, n, pos, token)."""
+    for batch in batches:
+        prefix = batch.column("prefix")
+        tokens, size = prefix.flatten().to_numpy(), prefix.value_lengths().to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(size)), size)
+        pos = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+        stay = np.flatnonzero(_marked(twice.value, _token_places(tokens)))
+        column = lambda c: pa.array(batch.column(c).to_numpy(zero_copy_only=False)[of[stay]])
+        yield pa.record_batch([column("id"), column("n"), pa.array(pos[stay].astype(np.int32)), pa.array(tokens[stay])], names=["gid", "n", "pos", "token"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int, rank: np.ndarray, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Whole sets, their bit fields, and their first part as far as prefix and bound need it."""
+def _places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = np.zeros(IDS // 8, np.uint8)
     for batch in batches:
+        found |= _bitmap(batch.column(0).to_numpy(), IDS)
+    yield pa.record_batch([pa.array([zlib.compress(found, 1)], pa.binary())], names=["blob"])
+
+
+def _either(blobs: Iterator[bytes]) -> bytes:
+    found = np.zeros(IDS // 8, np.uint8)
+    for x in blobs:
+        found |= np.frombuffer(zlib.decompress(x), np.uint8)
+    return zlib.compress(found, 1)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], n: int, wanted) -> Iterator[pa.RecordBatch]:
+    """Whole sets of the texts whose id's place is marked."""
+    for batch in batches:
+        batch = batch.filter(pa.array(_marked(wanted.value, batch.column("place").to_numpy())))
         for part, sets in _distinct(batch, n):
-            heads = [_first(s, min(len(s), _prefix_size(len(s), num, den) + BEYOND), rank) for s in sets]
-            yield pa.record_batch([part.column("id"), pa.array([len(s) for s in sets], pa.int32()), _lists([_bits(s) for s in sets]), _lists(heads), _lists(sets)], names=["id", "n", "bits", "head", "grams"])
+            yield pa.record_batch([part.column("id"), _lists(sets)], names=["id", "grams"])
 
 
 def _folded(a: str, b: str) -> list[Column]:
@@ -147,110 +228,138 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b")), members
 
 
+def _verified(pairs: DataFrame, heads: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes that link. Sizes, then a bound by bit fields, then the exact test."""
+    need = f"ceil({num} * (a_n + b_n) / {den + num})"
+
+    def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
+        return table.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    near = pairs.where("a < b").distinct().join(side(heads, "a", "n", "bits"), "a").join(side(heads, "b", "n", "bits"), "b")
+    near = near.where(f"a_n * {den} >= b_n * {num} and b_n * {den} >= a_n * {num}").select("a", "b", "a_n", "b_n", *_folded("a_bits", "b_bits"))
+    near = near.where(f"a_n - {_lone('a_bits', 'b_bits')} >= {need} and b_n - {_lone('b_bits', 'a_bits')} >= {need}").select("a", "b", "a_n", "b_n")
+    near = materialise(near, "near-bits")
+    exact = near.join(side(whole, "a", "grams"), "a").join(side(whole, "b", "grams"), "b").withColumn("common", F.expr("size(array_intersect(a_grams, b_grams))"))
+    return materialise(exact.where(f"common * {den} >= (a_n + b_n - common) * {num}").select("a", "b"), "links")
+
+
+def _fits(num: int, den: int, x: str = "x", y: str = "y") -> str:
+    """At the first token that two linking sets share, both have at least as many tokens left as they need
+    in common: a condition on sizes and places of two rows of a token's list."""
+    return " and ".join(f"n{s} * {den} >= n{t} * {num} and n{s} - p{s} >= ceil({num} * (n{x} + n{y}) / {den + num})" for s, t in ((x, y), (y, x)))
+
+
 def _near(rows: DataFrame, n: int, similarity: tuple[int, int], every: bool = False):
     """``near_documents`` of (id, text); with ``every`` the verified pairs of classes and (id, n_shingles, class), ids being unique."""
-    num, den = similarity
+    with scratch(rows.sparkSession):
+        found = _found(rows, n, similarity, every)
+        return tuple(keep(materialise(f, "near-found")) for f in found) if every else keep(materialise(found, "near-found"))
+
+
+def _found(rows: DataFrame, n: int, similarity: tuple[int, int], every: bool):
+    spark, (num, den) = rows.sparkSession, similarity
+    parts = shuffle_partitions(spark)
     described = materialise(rows.mapInArrow(lambda b: _describe(b, n), "id long, n int, sig1 long, sig2 long, counts binary"), "sets")
-    counts = described.where("counts is not null").select("counts")
-    tasks = counts.count()
-    while tasks > 1:
-        tasks = -(-tasks // 32)
-        counts = counts.repartition(tasks).mapInArrow(_sum_counts, "counts binary")
-    first = counts.first()
-    total = np.frombuffer(zlib.decompress(first[0]), np.int64) if first else np.zeros(SKETCH, np.int64)
-    # Ranks of the sketch places by count: 2 ** 18 integers, whatever the input.
-    rank = np.empty(SKETCH, np.int32)
-    rank[np.argsort(total, kind="stable")] = np.arange(SKETCH, dtype=np.int32)
+    counts = gathered(described.where("counts is not null").select("counts"), _sum_counts)
+    level = spark.sparkContext.broadcast(_levels(np.frombuffer(zlib.decompress(counts), np.uint32) if counts else np.zeros(SKETCH, np.uint32)))
     described = described.where("counts is null").drop("counts")
     sig = ["n", "sig1", "sig2"]
     if described.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
         return _own_numbers(rows, n, similarity)
     classes = materialise(described.where("n > 0 and id is not null").groupBy(*sig).agg(F.min("id").alias("rep")), "classes")
 
-    prefixes = rows.mapInArrow(lambda b: _prefixes(b, n, rank, num, den), "id long, prefix array<long>")
+    prefixes = rows.mapInArrow(lambda b: _prefixes(b, n, level, num, den), "id long, bits array<long>, prefix array<long>")
     prefixes = classes.select(F.col("rep").alias("id"), "n").join(prefixes, "id")
-    prefixes = Stored(prefixes.select("id", "n", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2"), "prefix"), "prefixes", ["id"])
-    small = prefixes.table.select("id", "n", "p1", "p2")
-    member = materialise(small.withColumn("gid", F.min("id").over(Window.partitionBy("n", "p1", "p2"))).select("gid", "id", "n"), "group-members")
-
-    postings = prefixes.table.join(member.where("gid = id").select("id"), "id").select(F.col("id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
-    # A token that one group has alone brings nothing together.
-    lists = Window.partitionBy("token")
-    postings = postings.withColumn("crowd", F.count("*").over(lists)).where("crowd > 1").select("token", "gid", "n", "pos")
-    postings = materialise(postings, "postings")
-    prefixes.drop()
-    crowded = member.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
-    busy = postings.select("gid").union(crowded).distinct()
-    wanted = materialise(member.join(busy, "gid").select("id"), "candidates")
-    whole = Stored(rows.join(wanted, "id").mapInArrow(lambda b: _sets(b, n, rank, num, den), "id long, n int, bits array<long>, head array<long>, grams array<long>"), "sets", ["id"])
-
-    need = f"ceil({num} * (a_n + b_n) / {den + num})"
+    heads = Stored(prefixes.select("id", "n", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2"), "bits", "prefix"), "prefixes", ["id"]).table
+    # Groups of equal size and prefix, known by their smallest id.
+    group = heads.groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"), F.count("*").alias("c"))
+    crowded = materialise(group.where("c > 1"), "crowded-groups")
+    more = heads.select("id", "n", "p1", "p2").join(crowded, ["n", "p1", "p2"]).select("gid", "id", "n")
+    more = materialise(more, "group-members")
+    other = more.where("gid != id").select("id")
+    firsts = heads.join(other, "id", "left_anti").select("id", "n", "prefix")
+
+    seen = gathered(firsts.select("prefix").mapInArrow(_seen, "blob binary"), _sum_seen)
+    twice = spark.sparkContext.broadcast(np.frombuffer(zlib.decompress(seen), np.uint8)[TOKENS // 8 :] if seen else np.zeros(TOKENS // 8, np.uint8))
+    raw = firsts.mapInArrow(lambda b: _shared(b, twice), "gid long, n int, pos int, token long")
+    top = raw.groupBy("token").agg(F.count("*").alias("crowd"), F.min(F.struct("gid", "n", "pos")).alias("top")).where("crowd > 1")
+    postings = materialise(raw.join(top, "token").select("token", "gid", "n", "pos", "crowd", "top"), "postings")
+    postings_n = postings.count()
+
+    wanted = postings.select(F.col("gid").alias("id")).union(more.select("id"))
+    place = F.pmod(F.xxhash64("id"), F.lit(IDS)).cast("long")
+    marked = gathered(wanted.distinct().select(place.alias("p")).mapInArrow(_places_of, "blob binary"), _either)
+    marked = spark.sparkContext.broadcast(np.frombuffer(zlib.decompress(marked), np.uint8) if marked else np.zeros(IDS // 8, np.uint8))
+    grams = rows.where("id is not null").withColumn("place", place).mapInArrow(lambda b: _sets(b, n, marked), "id long, grams array<long>")
+    whole = Stored(grams.repartition(parts, "id"), "sets", ["id"]).table
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of members that link. Sizes, then two bounds, each of few bytes, then the exact test."""
-        side = lambda name, column: whole.table.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), F.col(column).alias(f"{name}_{column}"))
-        near = pairs.where("a < b").distinct().join(side("a", "bits"), "a").join(side("b", "bits"), "b")
-        near = near.where(f"a_n * {den} >= b_n * {num} and b_n * {den} >= a_n * {num}").select("a", "b", "a_n", "b_n", *_folded("a_bits", "b_bits"))
-        near = materialise(near.where(f"a_n - {_lone('a_bits', 'b_bits')} >= {need} and b_n - {_lone('b_bits', 'a_bits')} >= {need}").select("a", "b"), "near-bits")
-        near = near.join(side("a", "head"), "a").join(side("b", "head"), "b")
-        near = near.where(f"size(array_intersect(a_head, b_head)) + greatest(a_n - size(a_head), b_n - size(b_head)) >= {need}")
-        near = materialise(near.select("a", "b"), "near")
-        exact = near.join(side("a", "grams"), "a").join(side("b", "grams"), "b").withColumn("common", F.expr("size(array_intersect(a_grams, b_grams))"))
-        return materialise(exact.where(f"common * {den} >= (a_n + b_n - common) * {num}").select("a", "b"), "links")
+        return _verified(pairs, heads, whole, num, den)
+
+    def expanded(groups: DataFrame, members: DataFrame) -> DataFrame:
+        """Pairs of groups to pairs of members; a group without rows in ``members`` is its own one member."""
+        of = lambda side, member: members.select(F.col("gid").alias(side), F.col("id").alias(member))
+        both = groups.join(of("gx", "i"), "gx", "left").join(of("gy", "j"), "gy", "left")
+        return both.select(F.coalesce("i", "gx").alias("i"), F.coalesce("j", "gy").alias("j"))
 
     end = lambda frame, s, names: frame.select("token", *[F.col(c).alias(f"{to}{s}") for c, to in names.items()])
-    fits = " and ".join(f"n{s} * {den} >= n{t} * {num} and n{s} - p{s} >= ceil({num} * (nx + ny) / {den + num})" for s, t in ("xy", "yx"))
+    one = {"gid": "g", "n": "n", "pos": "p"}
     if every:
-        one = {"gid": "g", "n": "n", "pos": "p"}
-        met = end(postings, "x", one).join(end(postings, "y", one), "token").where(f"gx < gy and {fits}").select("gx", "gy").distinct()
+        met = end(postings, "x", one).join(end(postings, "y", one), "token").where(f"gx < gy and {_fits(num, den)}").select("gx", "gy").distinct()
         met = met.union(crowded.select(F.col("gid").alias("gx"), F.col("gid").alias("gy")))
-        tries = met.join(member.select(F.col("gid").alias("gx"), F.col("id").alias("i")), "gx").join(member.select(F.col("gid").alias("gy"), F.col("id").alias("j")), "gy")
-        found = verified(tries.where("i != j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
-        whole.drop()
-        return found, described.join(classes, sig, "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class"))
-
-    links: list[DataFrame] = []
-    for turn in range(2):
+        links = verified(expanded(met, more).where("i != j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
+        return links, described.join(classes, sig, "left").select("id", F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class"))
+
+    # Every group meets the smallest one of each of its lists, and every member the group's smallest.
+    star = postings.where("gid != top.gid").selectExpr("gid", "n as nx", "pos as px", "top.gid as g", "top.n as ny", "top.pos as py")
+    star = star.where(_fits(num, den)).select(F.least("gid", "g").alias("a"), F.greatest("gid", "g").alias("b"))
+    links = verified(star.union(more.where("gid != id").select(F.col("gid").alias("a"), F.col("id").alias("b"))))
+    known = materialise(connected_components(links), "near-parts")
+
+    # Members of other components than their group's are groups of their own from here on: in the group's
+    # lists, and in one that they have with the group alone.
+    part_of = lambda frame, c, to: frame.join(known.select(F.col("id").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+    split = materialise(part_of(part_of(more.where("gid != id"), "gid", "gp"), "id", "ip").where("gp != ip").select("gid", "id", "n"), "split")
+    stay = more.join(split.select("id"), "id", "left_anti").select("gid", "id")
+    own = split.union(split.select("gid", F.col("gid").alias("id"), "n").distinct())
+    own = own.join(own.groupBy("gid").agg(F.count("*").alias("crowd")), "gid").select(F.xxhash64("gid", F.lit("group")).alias("token"), F.col("id").alias("gid"), "n", F.lit(0).alias("pos"), "crowd")
+    postings = postings.select("token", "gid", "n", "pos", "crowd")
+    postings = postings.union(postings.join(split.select("gid", "id"), "gid").select("token", F.col("id").alias("gid"), "n", "pos", "crowd")).union(own)
+
+    turn, before = 0, float("inf")
+    while True:
+        # Lists that hold one component have done their part.
+        placed = part_of(postings.select("token", "gid", "n", "pos", "crowd"), "gid", "part")
+        mixed = placed.groupBy("token", "part").agg(F.count("*").cast("double").alias("c"))
+        mixed = mixed.groupBy("token").agg(F.count("*").alias("parts"), F.expr("(power(sum(c), 2) - sum(power(c, 2))) / 2").alias("pairs")).where("parts > 1")
+        mixed = materialise(mixed, "mixed-lists")
+        postings = materialise(placed.join(mixed.select("token"), "token"), "mixed-postings")
+        left = mixed.agg(F.sum("pairs")).first()[0] or 0
+        if left <= postings_n or left > 0.9 * before:
+            break
+        before = left
+        # Neighbours of other components, in order of size first and then in other orders.
         order = ["n", "gid"] if turn == 0 else [F.xxhash64("gid", F.lit(turn))]
-        # Neighbours whose sizes rule out a link are left out before any set travels.
-        beside = postings.withColumns({"next": F.lead("gid").over(lists.orderBy(*order)), "next_n": F.lead("n").over(lists.orderBy(*order))})
-        beside = beside.where(f"next is not null and n * {den} >= next_n * {num} and next_n * {den} >= n * {num}").select("gid", "next").distinct()
-        tries = beside.select(F.least("gid", "next").alias("a"), F.greatest("gid", "next").alias("b"))
-        if turn == 0:
-            inner = member.withColumn("next", F.lead("id").over(Window.partitionBy("gid").orderBy("id"))).where("next is not null")
-            tries = tries.union(inner.select(F.col("id").alias("a"), F.col("next").alias("b")))
-        links.append(verified(tries))
-    parts = connected_components(reduce(DataFrame.union, links))
-    placed = materialise(member.join(parts, "id", "left").select("gid", "id", "n", F.coalesce("component", "id").alias("part")), "placed")
-
-    # A bundle is what a token's list holds of one component; groups that span several stand alone.
-    spans = placed.groupBy("gid").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
-    bundled = postings.join(spans.select("gid", F.when(F.expr("lo = hi"), F.col("lo")).otherwise(-F.col("gid") - 1).alias("bundle")), "gid")
-    mixed = bundled.groupBy("token").agg(F.min("bundle").alias("lo"), F.max("bundle").alias("hi")).where("lo < hi").select("token")
-    bundled = materialise(bundled.join(mixed, "token"), "bundles")
-    # At the first token that two linking sets share, both have at least as many tokens left as they need
-    # in common. Bundles meet if some sizes and places in them allow that, then their groups by their own.
-    bundle = bundled.groupBy("token", "bundle").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"))
-    one = {"bundle": "b", "lo": "lo", "hi": "hi", "pos": "p"}
-    may = " and ".join(
-        f"hi{s} * {den} >= lo{t} * {num} and hi{s} - p{s} >= ceil({num} * (hi{s} + lo{t}) / {den + num})" for s, t in ("xy", "yx")
-    )
-    meets = end(bundle, "x", one).join(end(bundle, "y", one), "token").where(f"bx < by and {may}").select("token", "bx", "by")
-    one = {"bundle": "b", "gid": "g", "n": "n", "pos": "p"}
-    across = meets.join(end(bundled, "x", one), ["token", "bx"]).join(end(bundled, "y", one), ["token", "by"]).where(fits).select("gx", "gy").distinct()
-    left = placed.select(F.col("gid").alias("gx"), F.col("id").alias("i"), F.col("part").alias("pi"))
-    right = placed.select(F.col("gid").alias("gy"), F.col("id").alias("j"), F.col("part").alias("pj"))
-    rest = across.join(left, "gx").join(right, "gy").where("pi != pj")
-    # Within a group of several components, pairs across them.
-    torn = spans.where("lo < hi").select(F.col("gid").alias("gx"))
-    within = left.join(torn, "gx").join(right.withColumnRenamed("gy", "gx"), "gx").where("pi < pj")
-    rest = rest.select("i", "j").union(within.select("i", "j"))
-    links.append(verified(rest.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))))
-    parts = connected_components(reduce(DataFrame.union, links))
-    whole.drop()
+        lists = Window.partitionBy("token", F.expr(f"pmod(xxhash64(gid, {turn}, 1), crowd div {STRETCH} + 1)")).orderBy(*order)
+        beside = postings.withColumn("next", F.lead(F.struct("gid", "n", "pos", "part")).over(lists)).where("next.part != part")
+        beside = beside.selectExpr("gid", "next.gid as g", "n as nx", "pos as px", "next.n as ny", "next.pos as py").where(_fits(num, den))
+        links = verified(beside.select(F.least("gid", "g").alias("a"), F.greatest("gid", "g").alias("b")))
+        known = materialise(connected_components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "near-parts")
+        turn += 1
+
+    # A bundle is what a token's list holds of one component. Bundles meet if some sizes and places in them
+    # allow a link, then their groups by their own, then the members of the groups.
+    bundle = postings.groupBy("token", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"))
+    may = " and ".join(f"hi{s} * {den} >= lo{t} * {num} and hi{s} - p{s} >= ceil({num} * (hi{s} + lo{t}) / {den + num})" for s, t in ("xy", "yx"))
+    ends = {"part": "b", "lo": "lo", "hi": "hi", "pos": "p"}
+    meets = end(bundle, "x", ends).join(end(bundle, "y", ends), "token").where(f"bx < by and {may}").select("token", "bx", "by")
+    one |= {"part": "b"}
+    across = meets.join(end(postings, "x", one), ["token", "bx"]).join(end(postings, "y", one), ["token", "by"]).where(_fits(num, den)).select("gx", "gy").distinct()
+    links = verified(expanded(across, stay).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
+    known = connected_components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
 
     # A set that a third of all texts have is one row on the right; adaptive execution splits its rows on the left.
-    told = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select(*sig, F.coalesce("component", "rep").alias("part"))
+    told = classes.join(known.withColumnRenamed("id", "rep"), "rep", "left").select(*sig, F.coalesce("component", "rep").alias("part"))
     out = described.join(told, sig, "left")
     return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("part", "id")).alias("component_id"))
 
