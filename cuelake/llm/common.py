@@ -58,13 +58,14 @@ def scratch(spark: SparkSession):
                 delete_folder(spark, held)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Spares a materialised table from the innermost scratch."""
-    if _OPEN and df._cuelake_path in _OPEN[-1]:
-        _OPEN[-1].remove(df._cuelake_path)
+def keep(table):
+    """Spares a materialised or bucketed table from the innermost scratch."""
+    held = table if isinstance(table, Stored) else table._cuelake_path
+    if _OPEN and held in _OPEN[-1]:
+        _OPEN[-1].remove(held)
         if len(_OPEN) > 1:
-            _OPEN[-2].append(df._cuelake_path)
-    return df
+            _OPEN[-2].append(held)
+    return table
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """N-gram Jaccard join: a grouped prefix join that keeps components.
 
-1. One pass describes every text: its number of distinct shingles and two order-free hashes of the set,
-   and counts all shingles in a sketch of fixed size. Equal sets fold into a class.
-2. Shingles are ordered by their count in the sketch, then by hash. Any total order gives right
-   results; this one puts common shingles last, where prefixes don't reach. Classes of equal size and
-   equal prefix form a group, and groups meet where they share a token of their prefixes. A bitmap of
-   fixed size tells most tokens that one group has alone before anything is shuffled.
+1. One pass describes every text: its number of distinct shingles and two order-free hashes of the set.
+   Equal sets fold into a class.
+2. Shingles are counted exactly over all classes. A task sends the shingles of a chunk of texts to buckets by
+   hash, six bytes each; a bucket counts them and answers each chunk with those that it has seen elsewhere too.
+   The chunk then knows each text's order of shingles: what it has alone first, then by count, then
+   by hash. A prefix whose tokens are all the text's own meets nothing and is left out there, as are
+   own tokens of the others. Classes of equal size and equal prefix form a group, and groups meet
+   where they share a token of their prefixes.
 3. Only components are asked for, so a pair whose ends are already connected needs no test. First every
    group of a token's list meets the list's smallest, then its neighbours in the list that belong to other
    components: as many pairs as rows, not as their square. Such rounds go on, each in another order and
@@ -23,18 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stored, connected_components, gathered, keep, materialise, scratch, shuffle_partitions
 from .hashing import mix, shingles, text_slices
 
-#: Places of the sketch of counts, of the bitmap of tokens and of that of ids: 4, 8 and 2 MB, whatever the input.
-SKETCH = 1 << 22
-TOKENS = 1 << 26
+#: Places of a bitmap of ids: 2 MB, whatever the input.
 IDS = 1 << 24
+#: Shingles that a task sends at a time, and that a bucket counts at a time.
+CHUNK_TOKENS, BUCKET_TOKENS = 1 << 22, 1 << 21
 #: Rows of a token's list that one task orders at a time.
 STRETCH = 1 << 16
+_MESSAGE = "chunk long, bucket int, docs binary, tokens binary, levels binary"
 
 
 def _distinct(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -44,37 +48,57 @@ def _distinct(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, l
 
 
 def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(id, size, sig1, sig2) of each text's set, and with the task's last row its counts of shingles by sketch place."""
-    counts = np.zeros(SKETCH, np.uint32)
-    names, kinds = ["id", "n", "sig1", "sig2", "counts"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    waiting: list[np.ndarray] = []
-
-    def count() -> None:
-        if waiting:
-            np.add(counts, np.bincount((np.concatenate(waiting) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32), out=counts)
-            waiting.clear()
-
+    """(id, size, sig1, sig2) of each text's set."""
+    names = ["id", "n", "sig1", "sig2"]
     for batch in batches:
         for part, sets in _distinct(batch, n):
             sig = np.zeros((2, len(sets)), np.uint64)
             for i, s in enumerate(sets):
                 sig[0, i], sig[1, i] = s.sum(dtype=np.uint64), mix(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)
-            waiting += sets
-            if sum(map(len, waiting)) > SKETCH:
-                count()
-            cols = [part.column("id"), pa.array([len(s) for s in sets], kinds[1]), pa.array(sig[0].view(np.int64)), pa.array(sig[1].view(np.int64)), pa.nulls(len(sets), kinds[4])]
-            yield pa.record_batch(cols, names=names)
-    count()
-    yield pa.record_batch([*[pa.nulls(1, k) for k in kinds[:4]], pa.array([zlib.compress(counts, 1)], kinds[4])], names=names)
+            yield pa.record_batch([part.column("id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(sig[0].view(np.int64)), pa.array(sig[1].view(np.int64))], names=names)
 
 
-def _sum_counts(blobs: Iterator[bytes]) -> bytes:
-    total = np.zeros(SKETCH, np.uint32)
-    for x in blobs:
-        more = np.frombuffer(zlib.decompress(x), np.uint32)
-        # Counts stay at the top instead of running over.
-        total = np.where(total > ~more, np.uint32(0xFFFFFFFF), total + more)
-    return zlib.compress(total, 1)
+def _messages(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, kinds)], names=["chunk", "bucket", "docs", "tokens", "levels"])
+
+
+def _requests(batches: Iterator[pa.RecordBatch], n: int, reps, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of texts to one message for each bucket: which document (2 bytes) has which token (4 bytes), the bucket
+    standing for the token's other bytes. One more message tells the chunk's ids and sizes; its bucket is negative."""
+    chunk = TaskContext.get().partitionId() << 32
+    ids: list[np.ndarray] = []
+    sets: list[np.ndarray] = []
+    held = 0
+
+    def sent() -> list[tuple]:
+        size = np.array([len(s) for s in sets], np.int32)
+        grams, doc = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), size)
+        bucket = ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        doc, grams = doc[order], grams[order].astype(np.uint32)
+        rows = [(chunk, -1 - chunk % buckets, np.concatenate(ids).tobytes(), size.tobytes(), None)]
+        rows += [(chunk, b, doc[x:y].tobytes(), grams[x:y].tobytes(), None) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:])) if x < y]
+        return rows
+
+    for batch in batches:
+        batch = batch.filter(pa.array(_marked(reps.value, batch.column("place").to_numpy())))
+        for part, found in _distinct(batch, n):
+            mine = part.column("id").to_numpy()
+            for i, s in enumerate(found):
+                if not len(s):
+                    continue
+                if sets and (held + len(s) > CHUNK_TOKENS or len(sets) == 1 << 16):
+                    yield _messages(sent())
+                    chunk, held = chunk + 1, 0
+                    ids.clear()
+                    sets.clear()
+                ids.append(mine[i : i + 1])
+                sets.append(s)
+                held += len(s)
+    if sets:
+        yield _messages(sent())
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -83,11 +107,71 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 64, counts, np.minimum(fine, 255)).astype(np.uint8)
 
 
+def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages sorted by bucket to answers with the tokens that the bucket has seen more than once, and their levels."""
+    held: list[tuple] = []
+
+    def answers() -> pa.RecordBatch:
+        tokens = [np.frombuffer(x[3], np.uint32) for x in held]
+        _, inverse, counts = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+        level, ends, rows = _levels(counts)[inverse], np.cumsum([len(t) for t in tokens]), []
+        for (chunk, bucket, docs, _, _), mine, end in zip(held, tokens, ends):
+            of = level[end - len(mine) : end]
+            again = np.flatnonzero(of > 1)
+            if len(again):
+                rows.append((chunk, bucket, np.frombuffer(docs, np.uint16)[again].tobytes(), mine[again].tobytes(), of[again].tobytes()))
+        held.clear()
+        return _messages(rows)
+
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if held and held[-1][1] != row[1]:
+                yield answers()
+            if row[1] < 0:
+                yield _messages([row])
+            else:
+                held.append(row)
+    if held:
+        yield answers()
+
+
 def _prefix_size(size: int, num: int, den: int) -> int:
     """How much of a set, in the common order, holds a token of every smaller set that may link with it."""
     return size - -(-num * size // den) + 1 if size else 0
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Answers sorted by chunk to the prefixes that hold tokens of other texts: (id, n, own, prefix). ``own`` tokens
+    that no other text has come before those of ``prefix``."""
+    held: list[tuple] = []
+
+    def heads() -> pa.RecordBatch:
+        (ids, size), = [(np.frombuffer(x[2], np.int64), np.frombuffer(x[3], np.int32)) for x in held if x[1] < 0]
+        told = [x for x in held if x[1] >= 0]
+        doc = np.concatenate([np.frombuffer(x[2], np.uint16) for x in told] or [np.zeros(0, np.uint16)]).astype(np.int64)
+        level = np.concatenate([np.frombuffer(x[4], np.uint8) for x in told] or [np.zeros(0, np.uint8)])
+        token = np.concatenate([np.frombuffer(x[3], np.uint32).astype(np.int64) | x[1] << 32 for x in told] or [np.zeros(0, np.int64)])
+        held.clear()
+        order = np.lexsort((token, level, doc))
+        doc, token = doc[order], token[order]
+        shared = np.bincount(doc, minlength=len(ids))
+        own = size - shared
+        wanted = np.maximum(0, np.array([_prefix_size(k, num, den) for k in size.tolist()], np.int64) - own)
+        place = np.arange(len(doc)) - (np.cumsum(shared) - shared)[doc]
+        token = token[place < wanted[doc]]
+        rows = np.flatnonzero(wanted)
+        ends = np.concatenate([[0], np.cumsum(wanted[rows])]).astype(np.int32)
+        return pa.record_batch([pa.array(ids[rows]), pa.array(size[rows]), pa.array(own[rows].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(token))], names=["id", "n", "own", "prefix"])
+
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if held and held[-1][0] != row[0]:
+                yield heads()
+            held.append(row)
+    if held:
+        yield heads()
+
+
 def _bits(s: np.ndarray) -> np.ndarray:
     """One bit for each token's place in a field of 2 to 4 bits per token, in 8-byte words."""
     field = np.zeros(max(64, 2 << (len(s) - 1).bit_length()) if len(s) else 64, bool)
@@ -95,28 +179,12 @@ def _bits(s: np.ndarray) -> np.ndarray:
     return np.packbits(field, bitorder="little").view(np.int64)
 
 
-def _first(s: np.ndarray, size: int, level: np.ndarray) -> np.ndarray:
-    """The first ``size`` of a set in the common order."""
-    by = level[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-    if size < len(s):
-        near = np.flatnonzero(by <= np.partition(by, size - 1)[size - 1])
-        s, by = s[near], by[near]
-    return s[np.lexsort((s, by))[:size]]
-
-
 def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
     ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], n: int, level, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, sets in _distinct(batch, n):
-            heads = [_first(s, _prefix_size(len(s), num, den), level.value) for s in sets]
-            yield pa.record_batch([part.column("id"), _lists([_bits(s) for s in sets]), _lists(heads)], names=["id", "bits", "prefix"])
-
-
 def _marked(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (bitmap[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
 
@@ -127,43 +195,6 @@ def _bitmap(places: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(field, bitorder="little")
 
 
-def _token_places(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens.view(np.uint64)) >> np.uint64(38)).astype(np.int64)
-
-
-def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefixes to two bitmaps by token place: seen at all, and more than once."""
-    once, twice = np.zeros(TOKENS // 8, np.uint8), np.zeros(TOKENS // 8, np.uint8)
-    for batch in batches:
-        places, n = np.unique(_token_places(batch.column("prefix").flatten().to_numpy()), return_counts=True)
-        new = _bitmap(places, TOKENS)
-        twice |= once & new | _bitmap(places[n > 1], TOKENS)
-        once |= new
-    yield pa.record_batch([pa.array([zlib.compress(np.concatenate([once, twice]), 1)], pa.binary())], names=["blob"])
-
-
-def _sum_seen(blobs: Iterator[bytes]) -> bytes:
-    total = np.zeros(TOKENS // 4, np.uint8)
-    once, twice = total[: TOKENS // 8], total[TOKENS // 8 :]
-    for x in blobs:
-        more = np.frombuffer(zlib.decompress(x), np.uint8)
-        twice |= more[TOKENS // 8 :] | once & more[: TOKENS // 8]
-        once |= more[: TOKENS // 8]
-    return zlib.compress(total, 1)
-
-
-def _shared(batches: Iterator[pa.RecordBatch], twice) -> Iterator[pa.RecordBatch]:
-    """Tokens of prefixes that may stand in another one too: (gid, n, pos, token)."""
-    for batch in batches:
-        prefix = batch.column("prefix")
-        tokens, size = prefix.flatten().to_numpy(), prefix.value_lengths().to_numpy(zero_copy_only=False)
-        of = np.repeat(np.arange(len(size)), size)
-        pos = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
-        stay = np.flatnonzero(_marked(twice.value, _token_places(tokens)))
-        column = lambda c: pa.array(batch.column(c).to_numpy(zero_copy_only=False)[of[stay]])
-        yield pa.record_batch([column("id"), column("n"), pa.array(pos[stay].astype(np.int32)), pa.array(tokens[stay])], names=["gid", "n", "pos", "token"])
-
-
 def _places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = np.zeros(IDS // 8, np.uint8)
     for batch in batches:
@@ -178,12 +209,22 @@ def _either(blobs: Iterator[bytes]) -> bytes:
     return zlib.compress(found, 1)
 
 
+def _place() -> Column:
+    return F.expr(f"pmod(xxhash64(id), {IDS})")
+
+
+def _bitmap_of(ids: DataFrame):
+    """Broadcast bitmap of the places of the ids: all of them are marked, and few others as long as there are few."""
+    marks = gathered(ids.distinct().select(_place().alias("p")).mapInArrow(_places_of, "blob binary"), _either)
+    return ids.sparkSession.sparkContext.broadcast(np.frombuffer(zlib.decompress(marks), np.uint8) if marks else np.zeros(IDS // 8, np.uint8))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], n: int, wanted) -> Iterator[pa.RecordBatch]:
-    """Whole sets of the texts whose id's place is marked."""
+    """Whole sets and their bit fields, of the texts whose id's place is marked."""
     for batch in batches:
         batch = batch.filter(pa.array(_marked(wanted.value, batch.column("place").to_numpy())))
         for part, sets in _distinct(batch, n):
-            yield pa.record_batch([part.column("id"), _lists(sets)], names=["id", "grams"])
+            yield pa.record_batch([part.column("id"), pa.array([len(s) for s in sets], pa.int32()), _lists([_bits(s) for s in sets]), _lists(sets)], names=["id", "n", "bits", "grams"])
 
 
 def _folded(a: str, b: str) -> list[Column]:
@@ -228,18 +269,18 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b")), members
 
 
-def _verified(pairs: DataFrame, heads: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of classes that link. Sizes, then a bound by bit fields, then the exact test."""
     need = f"ceil({num} * (a_n + b_n) / {den + num})"
 
-    def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
-        return table.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    def side(name: str, *columns: str) -> DataFrame:
+        return whole.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    near = pairs.where("a < b").distinct().join(side(heads, "a", "n", "bits"), "a").join(side(heads, "b", "n", "bits"), "b")
+    near = pairs.where("a < b").distinct().join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
     near = near.where(f"a_n * {den} >= b_n * {num} and b_n * {den} >= a_n * {num}").select("a", "b", "a_n", "b_n", *_folded("a_bits", "b_bits"))
     near = near.where(f"a_n - {_lone('a_bits', 'b_bits')} >= {need} and b_n - {_lone('b_bits', 'a_bits')} >= {need}").select("a", "b", "a_n", "b_n")
     near = materialise(near, "near-bits")
-    exact = near.join(side(whole, "a", "grams"), "a").join(side(whole, "b", "grams"), "b").withColumn("common", F.expr("size(array_intersect(a_grams, b_grams))"))
+    exact = near.join(side("a", "grams"), "a").join(side("b", "grams"), "b").withColumn("common", F.expr("size(array_intersect(a_grams, b_grams))"))
     return materialise(exact.where(f"common * {den} >= (a_n + b_n - common) * {num}").select("a", "b"), "links")
 
 
@@ -259,42 +300,41 @@ def _near(rows: DataFrame, n: int, similarity: tuple[int, int], every: bool = Fa
 def _found(rows: DataFrame, n: int, similarity: tuple[int, int], every: bool):
     spark, (num, den) = rows.sparkSession, similarity
     parts = shuffle_partitions(spark)
-    described = materialise(rows.mapInArrow(lambda b: _describe(b, n), "id long, n int, sig1 long, sig2 long, counts binary"), "sets")
-    counts = gathered(described.where("counts is not null").select("counts"), _sum_counts)
-    level = spark.sparkContext.broadcast(_levels(np.frombuffer(zlib.decompress(counts), np.uint32) if counts else np.zeros(SKETCH, np.uint32)))
-    described = described.where("counts is null").drop("counts")
+    described = materialise(rows.mapInArrow(lambda b: _describe(b, n), "id long, n int, sig1 long, sig2 long"), "sets")
     sig = ["n", "sig1", "sig2"]
     if described.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
         return _own_numbers(rows, n, similarity)
     classes = materialise(described.where("n > 0 and id is not null").groupBy(*sig).agg(F.min("id").alias("rep")), "classes")
-
-    prefixes = rows.mapInArrow(lambda b: _prefixes(b, n, level, num, den), "id long, bits array<long>, prefix array<long>")
-    prefixes = classes.select(F.col("rep").alias("id"), "n").join(prefixes, "id")
-    heads = Stored(prefixes.select("id", "n", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2"), "bits", "prefix"), "prefixes", ["id"]).table
-    # Groups of equal size and prefix, known by their smallest id.
-    group = heads.groupBy("n", "p1", "p2").agg(F.min("id").alias("gid"), F.count("*").alias("c"))
+    placed = rows.where("id is not null").withColumn("place", _place())
+
+    # A bucket's tokens fit into a task; there are as many buckets as the tokens ask for.
+    buckets = max(parts, (classes.agg(F.sum("n")).first()[0] or 0) // BUCKET_TOKENS + 1)
+    reps = _bitmap_of(classes.select(F.col("rep").alias("id")))
+    asked = placed.mapInArrow(lambda b: _requests(b, n, reps, buckets), _MESSAGE)
+    told = asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_replies, _MESSAGE)
+    heads = told.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(lambda b: _prefixes(b, num, den), "id long, n int, own int, prefix array<long>")
+    # The bitmap may let copies through, which aren't representatives.
+    heads = materialise(heads.join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "prefixes")
+
+    # Groups of equal size and prefix, known by their smallest id. A prefix with a token of its own is like no other.
+    group = heads.where("own = 0").groupBy("n", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")).agg(F.min("id").alias("gid"), F.count("*").alias("c"))
     crowded = materialise(group.where("c > 1"), "crowded-groups")
-    more = heads.select("id", "n", "p1", "p2").join(crowded, ["n", "p1", "p2"]).select("gid", "id", "n")
+    more = heads.where("own = 0").select("id", "n", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")).join(crowded, ["n", "p1", "p2"]).select("gid", "id", "n")
     more = materialise(more, "group-members")
-    other = more.where("gid != id").select("id")
-    firsts = heads.join(other, "id", "left_anti").select("id", "n", "prefix")
-
-    seen = gathered(firsts.select("prefix").mapInArrow(_seen, "blob binary"), _sum_seen)
-    twice = spark.sparkContext.broadcast(np.frombuffer(zlib.decompress(seen), np.uint8)[TOKENS // 8 :] if seen else np.zeros(TOKENS // 8, np.uint8))
-    raw = firsts.mapInArrow(lambda b: _shared(b, twice), "gid long, n int, pos int, token long")
+    firsts = heads.join(more.where("gid != id").select("id"), "id", "left_anti")
+    raw = firsts.select(F.col("id").alias("gid"), "n", "own", F.posexplode("prefix").alias("pos", "token"))
+    # Two shingles of a text may look alike to a bucket: the first stands for both.
+    raw = raw.groupBy("gid", "n", "token").agg(F.min(F.col("pos") + F.col("own")).alias("pos"))
     top = raw.groupBy("token").agg(F.count("*").alias("crowd"), F.min(F.struct("gid", "n", "pos")).alias("top")).where("crowd > 1")
     postings = materialise(raw.join(top, "token").select("token", "gid", "n", "pos", "crowd", "top"), "postings")
     postings_n = postings.count()
 
-    wanted = postings.select(F.col("gid").alias("id")).union(more.select("id"))
-    place = F.pmod(F.xxhash64("id"), F.lit(IDS)).cast("long")
-    marked = gathered(wanted.distinct().select(place.alias("p")).mapInArrow(_places_of, "blob binary"), _either)
-    marked = spark.sparkContext.broadcast(np.frombuffer(zlib.decompress(marked), np.uint8) if marked else np.zeros(IDS // 8, np.uint8))
-    grams = rows.where("id is not null").withColumn("place", place).mapInArrow(lambda b: _sets(b, n, marked), "id long, grams array<long>")
-    whole = Stored(grams.repartition(parts, "id"), "sets", ["id"]).table
+    wanted = _bitmap_of(postings.select(F.col("gid").alias("id")).union(more.select("id")))
+    sets = placed.mapInArrow(lambda b: _sets(b, n, wanted), "id long, n int, bits array<long>, grams array<long>")
+    whole = Stored(sets.repartition(parts, "id"), "sets", ["id"]).table
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return _verified(pairs, heads, whole, num, den)
+        return _verified(pairs, whole, num, den)
 
     def expanded(groups: DataFrame, members: DataFrame) -> DataFrame:
         """Pairs of groups to pairs of members; a group without rows in ``members`` is its own one member."""
@@ -372,7 +412,7 @@ def _own_numbers(rows: DataFrame, n: int, similarity: tuple[int, int]) -> DataFr
     named = materialise(named, "named")
     least = named.groupBy("component_id").agg(F.min("doc").alias("least"))
     out = named.join(least, "component_id").select(F.col("doc").alias("id"), "n_shingles", F.col("least").alias("component_id"))
-    lone = rows.where("id is null").mapInArrow(lambda b: _describe(b, n), "id long, n int, sig1 long, sig2 long, counts binary").where("counts is null")
+    lone = rows.where("id is null").mapInArrow(lambda b: _describe(b, n), "id long, n int, sig1 long, sig2 long")
     return out.union(lone.select("id", F.col("n").cast("long"), F.lit(None).cast("long")))
 
 
