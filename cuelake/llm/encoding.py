@@ -3,7 +3,8 @@
 A text is cut before every space that a non-space follows. Neither tokenizer lets a token cross
 such a place, and what stands on one side doesn't change the ids of the other, so the ids of a text
 are the ids of its pieces one after another. Pieces recur, so each worker keeps the ids of those it
-has met; the tokenizer itself encodes the others.
+has met; the tokenizer itself encodes the others. Arrow cuts a whole batch of texts into words and tells the
+distinct ones; Python sees only these, and the ids of all texts are then gathered at once.
 """
 
 from __future__ import annotations
@@ -13,9 +14,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ODD_SPACE = re.compile(r" \s|\A | \Z")
 _CUT = re.compile(r"(?= \S)")
+#: Texts that can't be cut at each space alone: a space at an end or before any other white space.
+_NOT_PLAIN = r" [\s\x0b\x1c-\x1f\x{85}\p{Z}]|\A | \z"
 #: Units of plain Latin text. What _STRANGE finds is left to the tokenizer's own rules.
 _RUNS = re.compile(r" ?[^\W\d_]+| ?[0-9]+| ?[^\w\s]+|.", re.S)
 _STRANGE = re.compile(r"['_\t\r\x0b\x0c\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]|\n\n|.<\||\A<\||\n |. \Z")
@@ -130,8 +135,10 @@ class Encoder:
                 out.extend(map(self.tail.__getitem__, rest))
         return b"".join(out)
 
-    def array(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.encode(text), self.dtype)
+    def batch(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``end_id`` if there is one, and the borders between texts."""
+        end = b"" if end_id is None else self._pack([end_id])
+        return encode_batch(texts, self.tail.__getitem__, self.encode, self.dtype, end)
 
 
 class _Words(dict):
@@ -153,3 +160,59 @@ class _Words(dict):
         if end in ".,!|" and word[:-1].isalpha():
             return self[word[:-1]] + encoder.runs[end]
         return encoder.piece(" " + word)
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``pool`` that ``wanted`` numbers, one after another, and where each ends."""
+    size = sizes[wanted]
+    ends = np.cumsum(size)
+    at = np.repeat(starts[wanted] - (ends - size), size)
+    at += np.arange(len(at))
+    return pool[at], ends
+
+
+class Pool:
+    """Parts of bytes, to be put together by number."""
+
+    def __init__(self, parts: list[bytes], dtype: str):
+        self.flat = np.frombuffer(b"".join(parts), dtype)
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(dtype).itemsize
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def put(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _gathered(self.flat, self.starts, self.sizes, wanted)
+
+
+def encode_batch(texts: pa.Array, after_space: Callable[[str], bytes], whole: Callable[[str], bytes], dtype: str, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, each followed by ``end``, and the borders between texts.
+
+    ``after_space`` gives the ids of a word with a space before it, ``whole`` those of any text. Null texts are empty.
+    """
+    texts = pc.fill_null(texts, "")
+    odd = pc.match_substring_regex(texts, _NOT_PLAIN)
+    lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    words = lists.flatten().dictionary_encode()
+    codes, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
+    # The first word of a text has no space before it; a text that can't be cut at each space is one part.
+    n = len(texts)
+    odd_rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    heads = [names[c] for c in codes[offsets[:-1]]] if len(codes) else []
+    for i in odd_rows:
+        heads[i] = texts[int(i)].as_py()
+    inner = np.ones(len(codes), bool)
+    inner[offsets[:-1]] = False
+    used = np.unique(codes[inner])
+    parts = [b""] * len(names)
+    for u in used.tolist():
+        parts[u] = after_space(names[u])
+    pool = Pool([*parts, *map(whole, heads), end], dtype)
+    # A slot more for each text, for its end.
+    wanted = np.empty(len(codes) + n, np.int64)
+    wanted[np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(offsets))] = codes
+    wanted[offsets[:-1] + np.arange(n)] = len(names) + np.arange(n)
+    wanted[offsets[1:] + np.arange(n)] = len(names) + n
+    flat, ends = pool.put(wanted)
+    borders = np.concatenate([[0], ends[offsets[1:] + np.arange(n)]]) if n else np.zeros(1, np.int64)
+    return flat, borders

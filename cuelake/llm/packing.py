@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, shuffle_partitions
 from .encoding import Encoder
+from .hashing import text_slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -89,18 +90,24 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder, end = Encoder(path, 4), np.array([end_id], "<u4").tobytes()
+    encoder = Encoder(path, 4)
     for batch in batches:
-        texts = batch.column("text")
-        rows: list[tuple] = []
-        for i, doc_id in enumerate(batch.column("id").to_pylist()):
-            ids = encoder.encode(texts[i].as_py()) + end
-            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                piece = ids[at : at + 4 * capacity]
-                rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece), *([piece] if with_ids else [])))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
-        names = ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=names)
+        for part, _, _ in text_slices(batch):
+            flat, borders = encoder.batch(part.column("text"), end_id)
+            size = np.diff(borders)
+            pieces = -(-size // capacity)
+            of = np.repeat(np.arange(len(size)), pieces)
+            number = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = number * capacity
+            length = np.minimum(capacity, size[of] - start)
+            at = borders[of] + start
+            raw = memoryview(flat.tobytes())
+            cut = [raw[4 * a : 4 * b] for a, b in zip(at.tolist(), (at + length).tolist())]
+            columns = [part.column("id").take(pa.array(of)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(list(map(zlib.crc32, cut)), pa.int64())]
+            names = ["id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                columns, names = [*columns, pa.array(list(map(bytes, cut)), pa.binary())], [*names, "ids"]
+            yield pa.record_batch(columns, names=names)
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
