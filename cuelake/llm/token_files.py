@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, new_folder, opened_file, shuffle_partitions, written_file
 from .encoding import Encoder
+from .hashing import text_slices
 
 #: Fixed values of the file format.
 MAGIC = b"CLTK1"
@@ -161,15 +162,14 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     encoder = Encoder(path, 2)
     counts = np.zeros(1 << 16, np.int64)
     kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-    end = np.array([end_id], "<u2").tobytes()
+    names = ["id", "ids", "counts", "row"]
     for batch in batches:
-        texts = batch.column("text")
-        docs, lists = batch.column("id").to_pylist(), []
-        for i in range(batch.num_rows):
-            lists.append(encoder.encode(texts[i].as_py()) + end)
-            counts += np.bincount(np.frombuffer(lists[-1], "<u2"), minlength=1 << 16)
-        yield pa.record_batch([pa.array(docs, kinds[0]), pa.array(lists, kinds[1]), pa.nulls(len(docs), kinds[2]), batch.column("row")], names=["id", "ids", "counts", "row"])
-    yield pa.record_batch([pa.nulls(1, kinds[0]), pa.nulls(1, kinds[1]), pa.array([zlib.compress(counts.tobytes())], kinds[2]), pa.nulls(1, kinds[3])], names=["id", "ids", "counts", "row"])
+        for part, _, _ in text_slices(batch):
+            flat, borders = encoder.batch(part.column("text"), end_id)
+            counts += np.bincount(flat, minlength=1 << 16)
+            lists = pa.BinaryArray.from_buffers(kinds[1], len(borders) - 1, [None, pa.py_buffer((2 * borders).astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.record_batch([part.column("id"), lists, pa.nulls(part.num_rows, kinds[2]), part.column("row")], names=names)
+    yield pa.record_batch([pa.nulls(1, kinds[0]), pa.nulls(1, kinds[1]), pa.array([zlib.compress(counts.tobytes())], kinds[2]), pa.nulls(1, kinds[3])], names=names)
 
 
 def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
