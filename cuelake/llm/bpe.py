@@ -17,11 +17,13 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import Memo, byte_letters, pieces_of, stretches
+from .encoding import Memo, Pool, byte_letters, encode_batch, pieces_of, stretches
+from .hashing import text_slices
 
 #: Fixed value: the pattern of public byte-level vocabularies that cuts text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,6 +39,12 @@ class PrefixBpe:
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        # Other files cut or prepare their texts in other ways, which would give other ids.
+        cut = file.get("pre_tokenizer") or {}
+        if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or file.get("normalizer"):
+            raise ValueError(f"{path} is no byte-level file with the usual pattern and no normalizer")
+        if any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in file["added_tokens"]):
+            raise ValueError("added tokens with spaces or with stripping rules aren't provided for")
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         vocab = file["model"]["vocab"]
         self.text = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items() if all(c in byte_of for c in t)}
@@ -52,6 +60,8 @@ class PrefixBpe:
             made = vocab[left + right]
             self.merge_rank[vocab[left], vocab[right]] = rank
             self.parts.setdefault(made, (rank, vocab[left], vocab[right]))
+        #: Texts of the ids from 0 to the largest; numbers between that are no ids have none.
+        self.texts = Pool([self.text.get(i, b"") for i in range(max(self.text, default=0) + 1)], "u1")
         self.size = {i: len(t) for i, t in self.text.items()}
         self.automaton = ahocorasick.Automaton()
         for t, i in vocab.items():
@@ -126,10 +136,21 @@ class PrefixBpe:
         of = self.piece_ids.__getitem__
         return b"".join(b"".join(map(of, pieces_of(part))) for part in stretches(text))
 
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the borders between texts."""
+        return encode_batch(texts, lambda word: self.piece_ids[" " + word], self.encode, "<u4")
+
     def decode(self, ids: bytes) -> str:
         """Text of the ids, with added tokens shown; bytes that aren't UTF-8 become U+FFFD."""
         return b"".join(map(self.text.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
+    def decode_batch(self, ids: np.ndarray, borders: np.ndarray) -> list[str]:
+        """Texts of the ids between the borders, as ``decode`` gives them."""
+        raw, ends = self.texts.put(ids)
+        at = np.concatenate([[0], ends])[borders].tolist()
+        raw = raw.tobytes()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
+
 
 class _Pairs(dict):
     def __init__(self, bpe: PrefixBpe, limit: int = 700_000):
@@ -145,15 +166,16 @@ class _Pairs(dict):
 
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     bpe = PrefixBpe(path)
+    names, kinds = ["id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()]
+    sha = lambda data: hashlib.sha256(data).hexdigest()
     for batch in batches:
-        texts, out = batch.column("text"), []
-        for i, doc_id in enumerate(batch.column("id").to_pylist()):
-            ids = bpe.encode(texts[i].as_py())
-            back = bpe.decode(ids)
-            out.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), *([ids, back] if with_ids else [])))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.binary(), pa.string()] if with_ids else [])]
-        names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=names)
+        for part, _, _ in text_slices(batch):
+            flat, borders = bpe.encode_batch(part.column("text"))
+            back, raw = bpe.decode_batch(flat, borders), memoryview(flat.tobytes())
+            cut = [raw[4 * a : 4 * b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
+            columns = [part.column("id"), pa.array(np.diff(borders)), pa.array(list(map(sha, cut)), kinds[2]), pa.array([sha(t.encode()) for t in back], kinds[3])]
+            more = [pa.array(list(map(bytes, cut)), pa.binary()), pa.array(back, pa.string())] if with_ids else []
+            yield pa.record_batch([*columns, *more], names=[*names, *(["ids", "decoded"] if with_ids else [])])
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
