@@ -7,7 +7,8 @@ The corpus is cut into small suffix-sorted blocks such that equal strings always
    anchor are its context. Equal windows have equal anchors. Anchors are matched by their hash.
 2. Contexts that are equal as a whole are repeats in all their windows. Anchors seen once are none. What
    is left are anchors with several different contexts; one of each kind is compared byte by byte.
-3. The contexts of whole anchors are joined to blocks of about ``BLOCK`` bytes. A block gets its
+3. The contexts of whole anchors are sieved by the hashes of their windows, and what may repeat is joined
+   to blocks of about ``BLOCK`` bytes. A block gets its
    Burrows-Wheeler transform, and the threshold-bounded interval expansion: starting from the empty
    string, intervals of equal prefixes are extended backward breadth first, which yields the common
    prefixes of neighbouring suffixes by increasing length; it stops at ``min_bytes``. Neighbours still
@@ -21,7 +22,6 @@ Texts that are equal as a whole are found first, by digest, and only one of them
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, new_folder, shuffle_partitions
+from .common import Stored, keep, materialise, release, scratch, shuffle_partitions
 from .hashing import mix, running_sums, stretch_hashes, text_slices
 
 MIN_BYTES = 200
@@ -133,6 +133,8 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 def repeated_starts(contexts: list[bytes], min_bytes: int) -> list[np.ndarray]:
     """Where in each of the contexts a string starts that another of them holds too."""
+    if not contexts:
+        return []
     size = np.array([len(c) for c in contexts], np.int64)
     ends = np.cumsum(size + 1) - 1
     ends_n = len(contexts)
@@ -164,6 +166,27 @@ def repeated_starts(contexts: list[bytes], min_bytes: int) -> list[np.ndarray]:
     return np.split(starts - begin[of], np.searchsorted(of, np.arange(1, ends_n)))
 
 
+def shared_stretches(contexts: list[bytes], min_bytes: int) -> list[tuple[int, int, bytes]]:
+    """(context, start, bytes) of the stretches whose windows have a hash that another window has too. Equal windows
+    have equal hashes, so that nothing that repeats is left out; what only seems to repeat is for the sorting to tell."""
+    size = np.array([len(c) for c in contexts], np.int64)
+    begin = np.cumsum(size) - size
+    sums = running_sums(np.frombuffer(b"".join(contexts), np.uint8))
+    count = size - min_bytes + 1
+    of = np.repeat(np.arange(len(contexts)), count)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    value = mix(stretch_hashes(sums, begin[of] + at, begin[of] + at + min_bytes))
+    ordered = np.sort(value)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return []
+    places = np.minimum(np.searchsorted(twice, value), len(twice) - 1)
+    hit = np.flatnonzero(twice[places] == value)
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(of[hit]) > 0)]))
+    last = np.concatenate([first[1:], [len(hit)]]) - 1
+    return [(c, a, contexts[c][a : b + min_bytes]) for c, a, b in zip(of[hit[first]].tolist(), at[hit[first]].tolist(), at[hit[last]].tolist())]
+
+
 def _runs(starts: np.ndarray, min_bytes: int) -> Iterator[tuple[int, int]]:
     """Byte ranges that windows at these starts cover, those side by side as one."""
     if len(starts):
@@ -173,23 +196,37 @@ def _runs(starts: np.ndarray, min_bytes: int) -> Iterator[tuple[int, int]]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by anchor, in blocks of whole anchors, to the byte ranges that repeat."""
+    """Contexts sorted by anchor to the byte ranges that repeat. Whole anchors are sieved by the hashes of their windows;
+    what stays is put into blocks of whole anchors."""
+    raw: list[tuple] = []
     held: list[tuple] = []
-    size = 0
+    raw_size = size = 0
+
+    def sieved() -> int:
+        kept = [(*raw[c][:2], raw[c][3] + a, data) for c, a, data in shared_stretches([x[4] for x in raw], min_bytes)]
+        held.extend(kept)
+        raw.clear()
+        return sum(len(x[3]) for x in kept)
 
     def done() -> pa.RecordBatch:
         out = []
-        for (row, mark, _, start, _), starts in zip(held, repeated_starts([x[4] for x in held], min_bytes)):
+        for (row, mark, start, _), starts in zip(held, repeated_starts([x[3] for x in held], min_bytes)):
             out += [(row, mark, start + a, start + b) for a, b in _runs(starts, min_bytes)]
+        held.clear()
         return pa.record_batch([pa.array(c, pa.int64()) for c in list(zip(*out)) or [[]] * 4], names=["row", "mark", "start", "stop"])
 
     for batch in batches:
         for x in zip(*(batch.column(c).to_pylist() for c in ("row", "mark", "key", "start", "bytes"))):
-            if size >= BLOCK and x[2] != held[-1][2]:
-                yield done()
-                held, size = [], 0
-            held.append(x)
-            size += len(x[4])
+            if raw_size >= BLOCK and x[2] != raw[-1][2]:
+                size += sieved()
+                raw_size = 0
+                if size >= BLOCK:
+                    yield done()
+                    size = 0
+            raw.append(x)
+            raw_size += len(x[4])
+    if raw:
+        sieved()
     if held:
         yield done()
 
@@ -228,14 +265,50 @@ class Repeats:
     """Documents with what repeats in them. ``table`` has the documents' columns, then row, mark, copies
     and spans (sorted, disjoint byte ranges; null: none). ``close()`` deletes the tables behind it."""
 
-    def __init__(self, table: DataFrame, name: str, path: str):
-        self.table, self.name, self.path = table, name, path
+    def __init__(self, table: DataFrame, behind: list):
+        self.table, self.behind = table, behind
 
     def close(self) -> None:
-        spark = self.table.sparkSession
-        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        target = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        for held in self.behind:
+            held.drop() if isinstance(held, Stored) else release(held)
+
+
+def _hot_keys(texts: DataFrame, min_bytes: int) -> list[int]:
+    """Anchors that so many texts hold that their rows are worth splitting: at most 256, found in a 32nd of the texts.
+    Which anchors are split changes no result."""
+    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(32)) == 0).mapInArrow(lambda b: _anchors(b, min_bytes), _ANCHORS)
+    counted = some.groupBy("key").agg(F.count("*").alias("n")).where("n >= 64")
+    return [r[0] for r in counted.orderBy(F.desc("n"), "key").limit(256).collect()]
+
+
+def _told(anchors: DataFrame, hot: list[int]) -> DataFrame:
+    """Rows that may repeat, with ``same`` (rows of equal anchor and context), ``kinds`` (contexts of the anchor), ``single``
+    (one of them stands once) and ``nth`` (1: the row that stands for its context).
+
+    Rows of a hot anchor are counted in ``_SHARES`` shares by row, then over the shares.
+    """
+    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    anchors = anchors.withColumn("share", F.when(is_hot, F.pmod("row", F.lit(_SHARES))).otherwise(-1))
+    by_key, by_context = Window.partitionBy("key", "share"), Window.partitionBy("key", "share", "context")
+    counted = (
+        anchors.withColumn("nth", F.row_number().over(by_context.orderBy("row", "start")))
+        .withColumn("same", F.count("*").over(by_context))
+        .withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(by_key))
+        .withColumn("single", F.min("same").over(by_key) == 1)
+        .where("share >= 0 or same > 1 or (kinds > 1 and single)")
+    )
+    counted = materialise(counted, "anchors")
+    if not hot:
+        return counted.drop("context", "share")
+    rows = counted.where("share >= 0").select("row", "mark", "key", "context", "start", "windows", "same", "nth")
+    whole = rows.where("nth = 1").groupBy("key", "context").agg(F.sum("same").alias("same"), F.min(F.struct("row", "start")).alias("first"))
+    whole = materialise(whole, "hot-contexts")
+    # No more rows than hot anchors.
+    keys = F.broadcast(whole.groupBy("key").agg(F.count("*").alias("kinds"), (F.min("same") == 1).alias("single")))
+    rows = rows.drop("same", "nth").join(whole.join(keys, "key"), ["key", "context"])
+    rows = rows.withColumn("nth", F.when(F.struct("row", "start") == F.col("first"), 1).otherwise(2)).where("same > 1 or (kinds > 1 and single)")
+    names = ["row", "mark", "key", "start", "windows", "nth", "same", "kinds", "single"]
+    return counted.where("share < 0").select(*names).union(rows.select(*names))
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, crowd: int = CROWD) -> Repeats:
@@ -256,56 +329,47 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digest = F.sha2(text.cast("binary"), 256)
     mark = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     row = F.xxhash64(F.col(id_col), digest)
-    base = materialise(docs.select(row.alias("row"), mark.alias("mark"), F.unhex(digest).alias("digest")), "texts")
-    classes = base.groupBy("digest").agg(F.count("*").alias("copies"), F.min("row").alias("one")).where("copies > 1")
-    told = classes.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))))
-    flags = base.dropDuplicates(["row", "mark"]).withColumn("share", F.pmod("row", F.lit(_SHARES)).cast("int")).join(told, ["digest", "share"], "left")
-    flags = flags.select(F.col("row").alias("_cl_row"), F.col("mark").alias("_cl_mark"), F.coalesce("copies", F.lit(1)).alias("_cl_copies"), F.coalesce(F.col("one") == F.col("row"), F.lit(True)).alias("_cl_one"))
-    flags = materialise(flags, "text-flags")
-    keys = ["_cl_row", "_cl_mark"]
-    name, path = f"repeats_{uuid.uuid4().hex}", new_folder(spark, "repeats")
-    whole = docs.withColumn("_cl_row", row).withColumn("_cl_mark", mark).join(flags, keys)
-    whole.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(parts, *keys).saveAsTable(name)
-    stored = spark.table(name)
-    texts = stored.where("_cl_one").select(F.col("_cl_row").alias("row"), F.col("_cl_mark").alias("mark"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-
-    anchors = texts.where(F.octet_length("text") >= min_bytes).mapInArrow(lambda b: _anchors(b, min_bytes), _ANCHORS)
-    by_key, by_context = Window.partitionBy("key"), Window.partitionBy("key", "context")
-    anchors = (
-        anchors.withColumn("nth", F.row_number().over(by_context.orderBy("row", "start")))
-        .withColumn("same", F.count("*").over(by_context))
-        .withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(by_key))
-        .withColumn("single", F.min("same").over(by_key) == 1)
-        .where("same > 1 or (kinds > 1 and single)")
-    )
-    anchors = materialise(anchors.drop("context"), "anchors")
-    equal = anchors.where("same > 1").select("row", "mark", "start", (F.col("start") + F.col("windows") + (min_bytes - 1)).alias("stop"))
-    wanted = anchors.where("nth = 1 and kinds > 1 and single").groupBy("row", "mark").agg(F.collect_list(F.struct("key", "start", "windows", "kinds")).alias("wanted"))
-
-    def cut(which: str) -> DataFrame:
-        some = wanted.withColumn("wanted", F.expr(f"filter(wanted, x -> x.kinds {which} {crowd})")).where("size(wanted) > 0")
-        joined = stored.where("_cl_one").join(some.select(F.col("row").alias("_cl_row"), F.col("mark").alias("_cl_mark"), "wanted"), keys)
-        joined = joined.select(F.col("_cl_row").alias("row"), F.col("_cl_mark").alias("mark"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), "wanted")
-        return joined.mapInArrow(lambda b: _contexts(b, min_bytes), "row long, mark long, key long, start long, bytes binary")
-
-    blocks = cut("<=").repartition(parts, "key").sortWithinPartitions("key")
-    spans = [equal, blocks.mapInArrow(lambda b: _compare(b, min_bytes), _SPANS)]
-    if anchors.where(f"kinds > {crowd}").limit(1).count():
-        windows = materialise(cut(">").mapInArrow(lambda b: _window_digests(b, min_bytes), "row long, mark long, start long, digest binary"), "windows")
-        twice = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-        spans.append(windows.join(twice, "digest").select("row", "mark", "start", (F.col("start") + min_bytes).alias("stop")))
-    spans = [materialise(s, "spans") for s in spans]
-    every = spans[0]
-    for s in spans[1:]:
-        every = every.union(s)
-    runs = every.groupBy("row", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    merged = F.udf(lambda spans: merge_spans([tuple(s) for s in spans]), T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])), useArrow=True)
-    runs = runs.select(F.col("row").alias("_cl_row"), F.col("mark").alias("_cl_mark"), merged("spans").alias("found"))
+    with scratch(spark):
+        base = materialise(docs.select(row.alias("row"), mark.alias("mark"), F.unhex(digest).alias("digest")), "texts")
+        classes = base.groupBy("digest").agg(F.count("*").alias("copies"), F.min("row").alias("one")).where("copies > 1")
+        told = classes.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))))
+        flags = base.dropDuplicates(["row", "mark"]).withColumn("share", F.pmod("row", F.lit(_SHARES)).cast("int")).join(told, ["digest", "share"], "left")
+        flags = flags.select(F.col("row").alias("_cl_row"), F.col("mark").alias("_cl_mark"), F.coalesce("copies", F.lit(1)).alias("_cl_copies"), F.coalesce(F.col("one") == F.col("row"), F.lit(True)).alias("_cl_one"))
+        flags = materialise(flags, "text-flags")
+        keys = ["_cl_row", "_cl_mark"]
+        whole = keep(Stored(docs.withColumn("_cl_row", row).withColumn("_cl_mark", mark).join(flags, keys), "repeats", keys))
+        stored = whole.table
+        texts = stored.where("_cl_one").select(F.col("_cl_row").alias("row"), F.col("_cl_mark").alias("mark"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        texts = texts.where(F.octet_length("text") >= min_bytes)
+        anchors = _told(texts.mapInArrow(lambda b: _anchors(b, min_bytes), _ANCHORS), _hot_keys(texts, min_bytes))
+        equal = anchors.where("same > 1").select("row", "mark", "start", (F.col("start") + F.col("windows") + (min_bytes - 1)).alias("stop"))
+        wanted = anchors.where("nth = 1 and kinds > 1 and single").groupBy("row", "mark").agg(F.collect_list(F.struct("key", "start", "windows", "kinds")).alias("wanted"))
+        wanted = materialise(wanted, "wanted")
+
+        def cut(which: str) -> DataFrame:
+            some = wanted.withColumn("wanted", F.expr(f"filter(wanted, x -> x.kinds {which} {crowd})")).where("size(wanted) > 0")
+            joined = stored.where("_cl_one").join(some.select(F.col("row").alias("_cl_row"), F.col("mark").alias("_cl_mark"), "wanted"), keys)
+            joined = joined.select(F.col("_cl_row").alias("row"), F.col("_cl_mark").alias("mark"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), "wanted")
+            return joined.mapInArrow(lambda b: _contexts(b, min_bytes), "row long, mark long, key long, start long, bytes binary")
+
+        blocks = cut("<=").repartition(parts, "key").sortWithinPartitions("key")
+        spans = [equal, blocks.mapInArrow(lambda b: _compare(b, min_bytes), _SPANS)]
+        if wanted.where(F.expr(f"exists(wanted, x -> x.kinds > {crowd})")).limit(1).count():
+            windows = materialise(cut(">").mapInArrow(lambda b: _window_digests(b, min_bytes), "row long, mark long, start long, digest binary"), "windows")
+            twice = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+            spans.append(windows.join(twice, "digest").select("row", "mark", "start", (F.col("start") + min_bytes).alias("stop")))
+        spans = [materialise(s, "spans") for s in spans]
+        every = spans[0]
+        for s in spans[1:]:
+            every = every.union(s)
+        runs = every.groupBy("row", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+        merged = F.udf(lambda spans: merge_spans([tuple(s) for s in spans]), T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])), useArrow=True)
+        runs = keep(materialise(runs.select(F.col("row").alias("_cl_row"), F.col("mark").alias("_cl_mark"), merged("spans").alias("found")), "runs"))
     size = F.octet_length(text)
     every_byte = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.cast("long").alias("stop")))
     out = stored.join(runs, keys, "left")
     out = out.withColumn("_cl_spans", F.when((F.col("_cl_copies") > 1) & (size >= min_bytes), every_byte).when(F.col("_cl_copies") == 1, F.col("found")))
-    return Repeats(out.drop("found", "_cl_one"), name, path)
+    return Repeats(out.drop("found", "_cl_one"), [whole, runs])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +396,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     cut = F.udf(kept, "string", useArrow=True)
     out = found.table.withColumn(text_col, F.when(F.col("_cl_spans").isNotNull(), cut(F.col(text_col), F.col("_cl_spans"))).otherwise(F.col(text_col)))
-    return out.select(*docs.columns)
+    out = materialise(out.select(*docs.columns), "without-repeats")
+    found.close()
+    return out
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
