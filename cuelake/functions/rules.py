@@ -51,17 +51,21 @@ def resolve_mode(wanted: Column, usable: Column, hours: Column, cap: float = 4.0
     return F.struct(mode.alias("mode"), reason.alias("reason"))
 
 
-def drift_verdict(probes: Column, heard: Column, coverage: Column, timed: Column, offset: Column, spread: Column) -> Column:
-    """Struct (action, reason); the order of the tests matters."""
-    rules = [
-        (probes < 2, "skipped", "too_few_probes"), (heard < 8, "skipped", "no_speech_in_probes"),
-        (coverage < 0.4, "discard", "coverage_below_threshold"), (timed < 2, "skipped", "too_few_anchors"),
-        (F.abs(offset) > 0.7, "unreliable", "offset_above_threshold"), (spread > 0.5, "unreliable", "spread_above_threshold"),
-    ]
-    action, reason = F.lit("ok"), F.lit("within_thresholds")
-    for test, a, r in reversed(rules):
-        action, reason = F.when(test, a).otherwise(action), F.when(test, r).otherwise(reason)
-    return F.struct(action.alias("action"), reason.alias("reason"))
+def drift_verdict(
+    probes: Column, heard: Column, coverage: Column, timed: Column, offset: Column, spread: Column,
+    least_probes: int = 2, least_heard: int = 8, least_coverage: float = 0.4, least_timed: int = 2, most_offset: float = 0.7, most_spread: float = 0.5,
+) -> Column:
+    """Struct (action, reason); the order of the tests matters. Actions and reasons are fixed values."""
+    verdict = lambda action, reason: F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))
+    return (
+        F.when(probes < least_probes, verdict("skipped", "too_few_probes"))
+        .when(heard < least_heard, verdict("skipped", "no_speech_in_probes"))
+        .when(coverage < least_coverage, verdict("discard", "coverage_below_threshold"))
+        .when(timed < least_timed, verdict("skipped", "too_few_anchors"))
+        .when(F.abs(offset) > most_offset, verdict("unreliable", "offset_above_threshold"))
+        .when(spread > most_spread, verdict("unreliable", "spread_above_threshold"))
+        .otherwise(verdict("ok", "within_thresholds"))
+    )
 
 
 #: Seconds until the next attempt.
@@ -101,22 +105,50 @@ def stream_duration(field: Column, tag: Column) -> Column:
     return F.coalesce(field.try_cast("double"), F.when(F.size(p) == 3, p[0].try_cast("double") * 3600 + p[1].try_cast("double") * 60 + p[2].try_cast("double")))
 
 
-def audio_plan(codec: Column, profile: Column, channels: Column, bitrate: Column, keep_lossless: Column) -> Column:
-    """Struct (codec, kbps, reason) for the new track; the first rule that fits wins."""
-    pairs = F.greatest(F.lit(1), F.ceil(channels / 2).cast("int"))
-    per = lambda low, high, base: (F.greatest(low * pairs, F.least(high * pairs, F.coalesce((bitrate / 1000).cast("int"), base * pairs)))).cast("int")
-    lossless = codec.isin("flac", "truehd", "alac", "pcm_s16le", "pcm_s24le", "mlp") | ((codec == "dts") & (profile == "DTS-HD MA"))
-    rules = [
-        (keep_lossless & lossless, "flac", F.lit(None).cast("int"), "lossless kept"),
-        (channels > 6, "eac3", per(F.lit(128), F.lit(256), F.lit(192)), "more than six channels"),
-        ((codec == "truehd") & profile.contains("Atmos"), "eac3", per(F.lit(192), F.lit(256), F.lit(256)), "object audio"),
-        (lossless, "ac3", per(F.lit(192), F.lit(214), F.lit(214)), "lossless source"),
-        (codec == "eac3", "eac3", per(F.lit(96), F.lit(256), F.lit(128)), "same codec"),
-        (codec == "ac3", "ac3", per(F.lit(96), F.lit(214), F.lit(149)), "same codec"),
-        (codec == "aac", "aac", per(F.lit(96), F.lit(192), F.lit(128)), "same codec"),
-        (codec.isin("mp3", "vorbis", "opus", "dts"), "aac", per(F.lit(96), F.lit(192), F.lit(160)), "lossy source"),
+#: Fixed values of the audio plan: codecs without a lossy way back, lossy ones that become AAC, and bits per second.
+LOSSLESS_CODECS = (
+    "dts", "dts_hd", "truehd", "mlp", "flac", "alac", "wavpack", "tta", "ape", "dsd_lsbf", "dsd_msbf", "dsd_lsbf_planar", "dsd_msbf_planar",
+    "pcm_s16le", "pcm_s16be", "pcm_s24le", "pcm_s24be", "pcm_s32le", "pcm_s32be", "pcm_f32le", "pcm_f64le", "pcm_dvd", "pcm_bluray",
+)
+LOSSY_CODECS = ("opus", "vorbis", "mp3", "mp2", "mp1", "wmav1", "wmav2", "wmapro", "cook", "sipr", "amrnb")
+SANE_RATES = (32_000, 8_000_000)
+AAC_PER_PAIR = (160_000, 256_000)
+AC3_RATES = (192_000, 640_000)
+EAC3_BY_CHANNELS = {1: 96_000, 2: 224_000, 3: 384_000, 4: 384_000, 5: 640_000, 6: 640_000}
+EAC3_TOP = 1_024_000
+
+
+def audio_plan(codec: Column, profile: Column, channels: Column, bit_rate: Column, lossless: Column, depth: Column | None = None) -> Column:
+    """Struct (encoder, bit_rate, sample_format, reason) for the new audio track; the first rule that fits wins.
+
+    FLAC where ``lossless`` is asked for, for more than six channels, for TrueHD with Atmos and for lossless codecs; it
+    has no bit rate, and 32-bit samples from a ``depth`` over 16. E-AC-3, AC-3 and AAC stay what they are; every other codec becomes AAC. A source
+    bit rate out of ``SANE_RATES`` counts as unknown. Null channels count as one, a null codec as unknown.
+    """
+    name, n = F.lower(F.coalesce(codec, F.lit(""))), F.greatest(F.lit(1), F.coalesce(channels.cast("int"), F.lit(1)))
+    known = F.coalesce(F.when(bit_rate.between(*SANE_RATES), bit_rate.cast("bigint")), F.lit(0))
+    pairs = F.floor((n + 1) / 2)
+    aac = F.greatest(AAC_PER_PAIR[0] * pairs, F.least(AAC_PER_PAIR[1] * pairs, known))
+    ac3 = F.when(n >= 3, AC3_RATES[1]).otherwise(F.least(F.lit(AC3_RATES[1]), F.greatest(F.lit(AC3_RATES[0]), known)))
+    table = F.create_map(*[F.lit(x) for pair in EAC3_BY_CHANNELS.items() for x in pair])
+    eac3 = F.greatest(F.coalesce(F.try_element_at(table, n), F.lit(AC3_RATES[1])), F.least(F.lit(EAC3_TOP), known))
+    none, deep = F.lit(None), F.when(F.coalesce(depth, F.lit(16)) > 16, "s32").otherwise("s16") if depth is not None else F.lit("s16")
+    plans = [
+        (lossless, "flac", none, "forced_lossless"),
+        (n > 6, "flac", none, "channels_gt_6"),
+        ((name == "truehd") & F.lower(profile).contains("atmos"), "flac", none, "truehd_atmos"),
+        (name.isin(*LOSSLESS_CODECS), "flac", none, "lossless_source"),
+        (name == "eac3", "eac3", eac3, "eac3_passthrough"),
+        (name == "ac3", "ac3", ac3, "ac3_passthrough"),
+        (name == "aac", "aac", aac, "aac_passthrough"),
+        (name.isin(*LOSSY_CODECS), "aac", aac, "lossy_fallback_aac"),
+        (F.lit(True), "aac", aac, "unknown_codec_fallback"),
     ]
-    out = F.struct(F.lit("aac").alias("codec"), per(F.lit(96), F.lit(192), F.lit(160)).alias("kbps"), F.lit("unknown source").alias("reason"))
-    for test, name, kbps, reason in reversed(rules):
-        out = F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(name).alias("codec"), kbps.alias("kbps"), F.lit(reason).alias("reason"))).otherwise(out)
+    out = None
+    for test, encoder, rate, reason in plans:
+        plan = F.struct(
+            F.lit(encoder).alias("encoder"), rate.cast("bigint").alias("bit_rate"),
+            (deep if encoder == "flac" else none).cast("string").alias("sample_format"), F.lit(reason).alias("reason"),
+        )
+        out = F.when(test, plan) if out is None else out.when(test, plan)
     return out

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import similarity
 from .intervals import bucketed
+from .lexicon import stands_for
 
 
-def words_near(hits: DataFrame, words: DataFrame, slack: int = 1000, offset: int = 0, width: int = 15_000) -> DataFrame:
+def words_near(hits: DataFrame, words: DataFrame, slack: int = 1000, offset: int = 0, width: int = 15_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each hit (item_id, start_ms, end_ms of its cue) with the words of its item that start within ``slack`` of the
-    cue. An equality join on the item and a stretch of time, not a product of both sides."""
+    cue. An equality join on the item and a stretch of time, not a product of both sides. ``carry``: more columns of the words."""
     wide = hits.withColumns({"_from": F.col("start_ms") + offset - slack, "_to": F.col("end_ms") + offset + slack})
     left = bucketed(wide, "_from", "_to", width, "_b")
-    right = words.select("item_id", "word_index", "word", F.col("start_ms").alias("word_start_ms"), F.col("end_ms").alias("word_end_ms"), F.floor(F.col("start_ms") / width).alias("_b"))
+    right = words.select("item_id", "word_index", "word", F.col("start_ms").alias("word_start_ms"), F.col("end_ms").alias("word_end_ms"), *carry, F.floor(F.col("start_ms") / width).alias("_b"))
     return left.join(right, ["item_id", "_b"]).where(F.col("word_start_ms").between(F.col("_from"), F.col("_to"))).drop("_b", "_from", "_to")
 
 
@@ -51,24 +52,43 @@ def claim_first(pairs: DataFrame, left: str, right: str, order: list[Column]) ->
     return plain.select(*pairs.columns).union(rest.mapInArrow(choose, pairs.schema))
 
 
-def pick_timing(hits: DataFrame, words: DataFrame, threshold: float = 85.0, farthest: int = 2500, **near) -> DataFrame:
-    """For each hit (hit_id, item_id, start_ms, end_ms, expected_ms, targets) the word that gives its time.
+#: How sure a word's time is that was heard as the hit, or as a masked form of it.
+CONFIDENCE_EXACT, CONFIDENCE_CENSORED = 0.95, 0.8
 
-    The best score wins, then the nearest middle. Equal words score 100, others their similarity to the
-    nearest target. A word is claimed once, by hits in order of hit_id: only words that several hits want
-    are settled one after another, the rest stays in plain expressions. Columns: hit_id, word_index, score, confidence, kind.
+
+def pick_timing(hits: DataFrame, words: DataFrame, threshold: float = 85.0, farthest: int = 2500, offset: int = 0, never: tuple[str, ...] = (), **near) -> DataFrame:
+    """For each hit (hit_id, item_id, start_ms, end_ms of its cue, expected_ms, targets) the word that gives its time.
+
+    ``words``: item_id, word_index, word (folded), start_ms, end_ms, and where there are any kind and censor. Words without
+    letters and those of ``never`` give no time, nor do words whose middle is more than ``farthest`` from the cue's middle; the
+    clock of the cues is ``offset`` behind. A masked word scores 95 if it may stand for one of the targets and nothing else; equal
+    words score 100, others their similarity to the nearest target, ``threshold`` at least. The best score wins, then the nearest
+    middle. A word is claimed once, by hits in order of hit_id: only words that several hits want
+    are settled one after another, the rest stays in plain expressions. Columns: hit_id, item_id, word_index, score, confidence, kind.
     """
-    pairs = words_near(hits, words, **near).withColumn("mid", (F.col("word_start_ms") + F.col("word_end_ms")) / 2)
-    pairs = pairs.where(F.abs(F.col("mid") - (F.col("start_ms") + F.col("end_ms")) / 2) <= farthest)
+    if "kind" in words.columns:
+        words = words.where("kind != 'empty'")
+    words = words.where("word != ''")
+    if never:
+        words = words.where(~F.col("word").isin(*never))
+    masked = "censor" in words.columns
+    pairs = words_near(hits, words, offset=offset, carry=("censor",) if masked else (), **near).withColumn("mid", (F.col("word_start_ms") + F.col("word_end_ms")) / 2)
+    pairs = pairs.where(F.abs(F.col("mid") - (F.col("start_ms") + F.col("end_ms")) / 2 - offset) <= farthest)
     equal = F.array_contains("targets", F.col("word"))
     # A word much longer or shorter than every target can't reach the threshold; the table is only filled for the others.
     long_enough = F.exists("targets", lambda t: 200.0 * F.least(F.length(t), F.length("word")) / (F.length(t) + F.length("word")) >= threshold)
     score = F.when(equal, 100.0).when(long_enough, F.array_max(F.transform("targets", lambda t: similarity(F.col("word"), t))))
-    pairs = pairs.withColumn("score", score).where(F.col("score") >= threshold)
-    ranked = pairs.select("item_id", "hit_id", "word_index", "score", F.abs(F.col("mid") - F.col("expected_ms")).alias("distance"))
+    score = F.when(score >= threshold, score)
+    if masked:
+        may = F.exists("targets", lambda t: stands_for(F.col("censor"), t))
+        score = F.when(F.col("censor").isNull(), score).when(may, 95.0)
+    pairs = pairs.withColumn("score", score).where("score is not null")
+    censored = F.col("censor").isNotNull() if masked else F.lit(False)
+    ranked = pairs.select("item_id", "hit_id", "word_index", "score", F.abs(F.col("mid") - F.col("expected_ms") - offset).alias("distance"), censored.alias("masked"))
     out = claim_first(ranked, "hit_id", "word_index", [F.desc("score"), F.col("distance"), F.col("word_index")])
-    confidence = F.when(F.col("score") >= 100, 0.95).otherwise(F.round(F.col("score") / 100 * 0.9, 3))
-    return out.select("hit_id", "item_id", "word_index", "score", confidence.alias("confidence"), F.when(F.col("score") >= 100, "exact").otherwise("fuzzy").alias("kind"))
+    confidence = F.when(F.col("masked"), CONFIDENCE_CENSORED).when(F.col("score") >= 100, CONFIDENCE_EXACT).otherwise(F.round(F.col("score") / 100 * 0.9, 3))
+    kind = F.when(F.col("masked"), "censored").when(F.col("score") >= 100, "exact").otherwise("fuzzy")
+    return out.select("hit_id", "item_id", "word_index", "score", confidence.alias("confidence"), kind.alias("kind"))
 
 
 def pick_phrase_timing(parts: DataFrame) -> DataFrame:

@@ -73,17 +73,33 @@ def mapping_conflicts(path_rules: DataFrame) -> DataFrame:
     return sides[0].union(sides[1])
 
 
-def dedupe_requests(requests: DataFrame, live: DataFrame, within: int = 60) -> DataFrame:
-    """``requests`` (request_id, item_id, at, force) with what becomes of each: at most one live run per item."""
-    run = live.select("item_id", F.col("state").alias("live_state"), F.col("created").alias("live_at"))
-    nth = F.row_number().over(Window.partitionBy("item_id").orderBy("at", "request_id"))
-    joined = requests.withColumn("nth", nth).join(run, "item_id", "left")
-    age = F.col("at").cast("long") - F.col("live_at").cast("long")
+#: States in which a run is over.
+FINISHED = ("done", "failed", "already_clean", "stale", "cancelled")
+
+
+def dedupe_requests(requests: DataFrame, runs: DataFrame, within: int = 60) -> DataFrame:
+    """What becomes of ``requests`` (request_id, item_id, at, supersede): request_id, item_id, reason. At most one run of an item is live.
+
+    Against the item's newest unfinished one of ``runs`` (item_id, state, created): without one the request is ``created``;
+    with ``supersede`` it takes that run's place (``superseded``); a run that has been waiting for no more than ``within``
+    seconds makes it ``deduped``, any other ``already_active``. Requests of one item follow each other by (at, request_id): a run that
+    an earlier request made is a waiting one from then on.
+    """
+    live = runs.where(~F.col("state").isin(*FINISHED)).groupBy("item_id").agg(F.max_by(F.struct("state", "created"), "created").alias("_live"))
+    earlier = Window.partitionBy("item_id").orderBy("at", "request_id")
+    asked = requests.withColumn("supersede", F.coalesce("supersede", F.lit(False))).join(live, "item_id", "left")
+    # A request makes a run if it is an item's first without a live run, or supersedes one.
+    first = F.row_number().over(earlier) == 1
+    makes = F.col("supersede") | (first & F.col("_live").isNull())
+    asked = asked.withColumn("_made", F.when(makes, F.col("at")))
+    asked = asked.withColumn("_before", F.last("_made", ignorenulls=True).over(earlier.rowsBetween(Window.unboundedPreceding, -1)))
+    waiting = F.when(F.col("_before").isNotNull(), F.lit("queued")).otherwise(F.col("_live.state"))
+    age = F.col("at").cast("double") - F.coalesce(F.col("_before"), F.col("_live.created")).cast("double")
     reason = (
-        F.when(F.col("nth") > 1, "deduped").when(F.col("live_state").isNull(), "created").when((F.col("live_state") == "queued") & (age <= within), "deduped")
-        .when(F.col("live_state") == "queued", "superseded").otherwise("already_active")
+        F.when(waiting.isNull(), "created").when(F.col("supersede"), "superseded")
+        .when((waiting == "queued") & (F.coalesce(age, F.lit(0.0)) <= within), "deduped").otherwise("already_active")
     )
-    return joined.select("request_id", "item_id", reason.alias("reason"))
+    return asked.select("request_id", "item_id", reason.alias("reason"))
 
 
 def map_paths(df: DataFrame, path: str, rules: list[tuple[str, str]]) -> DataFrame:

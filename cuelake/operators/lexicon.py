@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, mask_text
+from ..functions.text import detect_censored, fold, mask_text
 
 LEXICON = "canonical string, category string, forms array<string>, is_phrase boolean, enabled boolean"
 _OPEN, _CLOSE = "\u0001", "\u0002"
@@ -17,50 +17,81 @@ def lexicon_frame(spark: SparkSession, entries: list[tuple]) -> DataFrame:
     return spark.createDataFrame(entries, LEXICON)
 
 
-def form_pattern(form: str, is_phrase: bool) -> str:
-    """A form as a regular expression: words of a phrase may be up to three separators apart, parts of a word one mark."""
-    parts = [re.escape(p).replace("\\ ", " ") for p in re.split(r"[\s'’-]+", form) if p]
+#: What may stand between the words of a phrase, between the parts of a word, and after a word that ends in an apostrophe.
+PHRASE_GAP = "[ \\t\\u00a0'’-]{1,3}"
+WORD_GAP = "['’-]?"
+LAST_MARK = "['’]?"
+_GAPS = re.compile(r"[\s'’-]+")
+
+
+def form_parts(form: str) -> list[str]:
+    """What a form is made of once spaces, hyphens and apostrophes are cut out."""
+    parts = _GAPS.sub(" ", form).split()
     if not parts:
-        raise ValueError(f"form {form!r} has no letters")
-    if is_phrase and len(parts) > 1:
-        return "[ \\t\\u00a0'’-]{1,3}".join(parts)
-    return "['’-]?".join(parts) + ("['’]?" if form[-1] in "'’" else "")
+        raise ValueError(f"the word list has a form of separators only: {form!r}")
+    return parts
+
+
+def form_pattern(form: str, is_phrase: bool) -> str:
+    """A form as a regular expression: a word may be written together or with one mark where the form has a gap, the
+    words of a phrase stand one to three separators apart."""
+    parts = [re.escape(p) for p in form_parts(form)]
+    phrase = is_phrase and len(parts) > 1
+    tail = LAST_MARK if not phrase and form.endswith(("'", "’")) else ""
+    return (PHRASE_GAP if phrase else WORD_GAP).join(parts) + tail
+
+
+def ranked_forms(entries: list[tuple]) -> list[tuple[str, str, str, str]]:
+    """(key, pattern, canonical, category) of the enabled forms in the order in which a matcher tries them: entries by
+    their longest form, then by name; an entry's own forms from long to short."""
+    longest_first = sorted((e for e in entries if e[4] and e[2]), key=lambda e: (-max(len(f) for f in e[2]), e[0]))
+    return [
+        (_letters(form), form_pattern(form, is_phrase), canonical, category)
+        for canonical, category, forms, is_phrase, _ in longest_first
+        for form in sorted(set(forms), key=lambda f: (-len(f), f))
+    ]
 
 
 def compile_lexicon(entries: list[tuple]) -> str | None:
-    """One alternation for a matcher: entries by their longest form, then by name; None if there is nothing to match."""
-    alternatives = []
-    for canonical, _, forms, is_phrase, enabled in sorted(entries, key=lambda e: (-max(map(len, e[2]), default=0), e[0])):
-        if enabled:
-            alternatives += [form_pattern(f, is_phrase) for f in sorted(set(forms), key=lambda f: (-len(f), f))]
-    return "(?iuU)(?<!\\w)(?:" + "|".join(alternatives) + ")(?!\\w)" if alternatives else None
+    """One alternation for a matcher; None if there is nothing to match."""
+    patterns = [pattern for _, pattern, _, _ in ranked_forms(entries)]
+    return "(?iuU)(?<!\\w)(?:" + "|".join(patterns) + ")(?!\\w)" if patterns else None
+
+
+def _letters(form: str) -> str:
+    return "".join(form_parts(form.replace("İ", "i").upper().lower().replace("ς", "σ")))
 
 
 def surface_key(c: Column) -> Column:
-    """What a hit and a form are compared by: folded, separators as single spaces dropped at the ends. Upper case comes
+    """What a hit and a form are compared by: letters without any separators. Upper case comes
     first, so that letters which the matcher takes for one another (long s, Kelvin sign, dotted I, final sigma) have one key.
     Spark drops an upper() right below a lower()."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.translate(F.upper(F.translate(c, "’ İ", "' i")), "Σ", "σ")), "[\\s'-]+", " "), " +", " "))
+    return F.regexp_replace(F.lower(F.translate(F.upper(F.translate(c, "’ İ", "' i")), "Σ", "σ")), "[\\s\\u00a0'-]+", "")
 
 
 def form_owners(entries: list[tuple], spark: SparkSession) -> DataFrame:
-    """(key, canonical, category): each form belongs to one entry."""
-    rows, seen = [], set()
-    for canonical, category, forms, _, enabled in sorted(entries, key=lambda e: (-max(map(len, e[2]), default=0), e[0])):
-        for f in forms:
-            key = " ".join(p for p in re.split(r"[\s'’-]+", f.replace("İ", "i").upper().lower().replace("ς", "σ")) if p)
-            if enabled and key not in seen:
-                seen.add(key)
-                rows.append((key, canonical, category))
-    return spark.createDataFrame(rows, "key string, canonical string, category string")
+    """(key, forms): the forms with these letters as (pattern, canonical, category), in the order of the matcher."""
+    owners: dict[str, list[tuple]] = {}
+    for key, pattern, canonical, category in ranked_forms(entries):
+        owners.setdefault(key, []).append((pattern, canonical, category))
+    return spark.createDataFrame(list(owners.items()), "key string, forms array<struct<pattern:string,canonical:string,category:string>>")
+
+
+def word_forms(entries: list[tuple], spark: SparkSession) -> DataFrame:
+    """(form, canonical, category): the folded forms of enabled entries that are no phrases, each once, of its first owner."""
+    first: dict[str, tuple] = {}
+    for key, _, canonical, category in ranked_forms([e for e in entries if not e[3]]):
+        first.setdefault(key, (key, canonical, category))
+    return spark.createDataFrame(list(first.values()), "form string, canonical string, category string")
 
 
 def match_lexicon(df: DataFrame, text: str, entries: list[tuple]) -> DataFrame:
     """One row per hit: the columns of ``df``, char_start, char_end, word_raw, canonical, category.
 
     Hits are leftmost, don't overlap and stand between non-word characters; case doesn't count. The word
-    list comes as a Python list, is compiled to one expression and runs in the JVM. A form with a word
-    break inside another way than written still finds its owner, as both are reduced to one key.
+    list comes as a Python list, is compiled to one expression and runs in the JVM. A hit belongs to the first form
+    of the matcher's order that it matches as a whole; forms that share its letters, however they are parted, come
+    into question. Input columns may have any name but those of the new ones.
     """
     spark = df.sparkSession
     pattern = compile_lexicon(entries)
@@ -77,10 +108,13 @@ def match_lexicon(df: DataFrame, text: str, entries: list[tuple]) -> DataFrame:
         ),
     )["hits"]
     hits = cut.withColumn("_hit", F.explode(ends)).drop("_pieces")
-    hits = hits.select(*[F.col(c) for c in df.columns], F.col("_hit.a").alias("char_start"), F.col("_hit.b").alias("char_end"), F.col("_hit.w").alias("word_raw"))
+    hits = hits.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_hit.a").alias("char_start"), F.col("_hit.b").alias("char_end"), F.col("_hit.w").alias("word_raw"))
     # The owners are as many as the forms that the caller listed.
-    owners = F.broadcast(form_owners(entries, spark))
-    return hits.withColumn("_key", surface_key(F.col("word_raw"))).join(owners, F.col("_key") == F.col("key")).drop("_key", "key")
+    owners = F.broadcast(form_owners(entries, spark).select(F.col("key").alias("_owner_key"), F.col("forms").alias("_forms")))
+    hits = hits.withColumn("_key", surface_key(F.col("word_raw"))).join(owners, F.col("_key") == F.col("_owner_key"))
+    whole = F.filter("_forms", lambda x: F.rlike(F.col("word_raw"), F.concat(F.lit("^(?iuU)(?:"), x["pattern"], F.lit(")$"))))
+    owner = F.when(F.size("_forms") > 1, F.get(whole, F.lit(0))).otherwise(F.col("_forms")[0])
+    return hits.select("*", owner["canonical"].alias("canonical"), owner["category"].alias("category")).drop("_key", "_owner_key", "_forms")
 
 
 def find_hits(cues: DataFrame, entries: list[tuple]) -> DataFrame:
@@ -136,16 +170,33 @@ def redact(df: DataFrame, text: str, entries: list[tuple], mask: str = "*") -> D
     marked = F.regexp_replace(F.translate(F.col(text), _OPEN + _CLOSE, "  "), pattern, f"{_OPEN}$0{_CLOSE}")
     pieces = F.split(marked, f"[{_OPEN}{_CLOSE}]")
     done = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, mask_text(x, mask)).otherwise(x)), "")
-    return df.withColumn("redacted", done).withColumn("n_hits", ((F.size(pieces) - 1) / 2).cast("int"))
+    n_hits = F.when(F.col(text).isNull(), 0).otherwise(((F.size(pieces) - 1) / 2).cast("int"))
+    return df.withColumn("redacted", done).withColumn("n_hits", n_hits)
+
+
+def stands_for(censor: Column, form: Column) -> Column:
+    """Whether a masked word may stand for a form. Masked: about as long, and every letter left in its place; one letter and a
+    tail: the form ends with the tail. Both: the same first letter."""
+    in_place = F.forall(censor["revealed"], lambda r: F.substr(form, r["pos"] + 1, F.lit(1)) == r["letter"])
+    masked = (F.abs(F.length(form) - censor["length"]) <= 1) & in_place
+    tailed = (censor["suffix"] != "") & form.endswith(censor["suffix"])
+    return (F.substring(form, 1, 1) == censor["first_letter"]) & F.when(censor["style"] == "masked", masked).otherwise(tailed)
 
 
 def censored_candidates(tokens: DataFrame, forms: DataFrame) -> DataFrame:
     """Masked words (token_id, censor) with each single-word form (form, canonical) that they may stand for."""
     by_letter = forms.where(~F.col("form").contains(" ")).withColumn("_first", F.substring("form", 1, 1))
     met = tokens.withColumn("_first", F.col("censor.first_letter")).join(by_letter, "_first").drop("_first")
-    masked = (F.abs(F.length("form") - F.col("censor.length")) <= 1) & F.forall("censor.revealed", lambda r: F.substr(F.col("form"), r["pos"] + 1, F.lit(1)) == r["letter"])
-    tailed = (F.col("censor.suffix") != "") & F.col("form").endswith(F.col("censor.suffix"))
-    return met.where(F.when(F.col("censor.style") == "masked", masked).otherwise(tailed)).dropDuplicates(["token_id", "form"])
+    return met.where(stands_for(F.col("censor"), F.col("form"))).dropDuplicates(["token_id", "form"])
+
+
+def innocent_gate(corpus: DataFrame, word: str, entries: list[tuple], never: DataFrame, never_word: str) -> DataFrame:
+    """(word, violation, canonical): words of ``corpus`` that match an entry although they are innocent, each enabled or
+    not as the list says, and words of ``never`` that look censored. No row: the word list passes."""
+    hits = match_lexicon(corpus.select(F.col(word).alias("word")), "word", entries)
+    masked = never.select(F.col(never_word).alias("word")).where(detect_censored(F.col("word")).isNotNull())
+    matched = hits.select("word", F.lit("matches").alias("violation"), "canonical").distinct()
+    return matched.union(masked.select("word", F.lit("censored"), F.lit(None).cast("string")).distinct())
 
 
 def lexicon_conflicts(lexicon: DataFrame, never: list[str]) -> DataFrame:

@@ -8,19 +8,32 @@ from pyspark.sql import functions as F
 from ..functions.text import lang_matches, lang_norm
 
 
-def choose_subtitle(tracks: DataFrame, language: str) -> DataFrame:
-    """All ``tracks`` (item_id, track, sidecar, lang, forced, image) with ``place``, 1 for the one to use.
+#: Why a track may be used, best first.
+SUBTITLE_REASONS = (
+    "sidecar_preferred_language", "sidecar_untagged", "embedded_preferred_language", "embedded_preferred_language_forced",
+    "embedded_any_text", "embedded_forced_only", "ocr_preferred_language", "ocr_preferred_language_forced", "ocr_any",
+)
 
-    Sidecars in the language, sidecars without one, text streams in the language (not forced, then forced), other
-    streams (not forced, then forced), and pictures of text last. Ties: by ``track``.
+
+def choose_subtitle(tracks: DataFrame, language: str, ocr: bool = True) -> DataFrame:
+    """The candidates among ``tracks`` (item_id, track, sidecar, lang, forced, image) with ``reason`` and ``place``, 1 for the best.
+
+    A sidecar counts if it is in the language; one without a language counts where the item has none in it; others are
+    no candidates. Text streams follow, in the language first and others after them, not forced before forced. Pictures
+    of text come last, with an order of their own, and only with ``ocr``. Ties: by ``track``.
     """
     mine, untagged = lang_matches(F.col("lang"), F.lit(language)), F.coalesce(lang_norm(F.col("lang")), F.lit("und")) == "und"
-    forced = F.coalesce("forced", F.lit(False))
-    rank = (
-        F.when(F.col("image"), 7).when(F.col("sidecar") & mine, 1).when(F.col("sidecar") & untagged, 2)
-        .when(mine & ~forced, 3).when(mine, 4).when(~forced, 5).otherwise(6)
-    )
-    return tracks.withColumn("rank", rank).withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy("rank", "track")))
+    side, image, forced = (F.coalesce(F.col(c), F.lit(False)) for c in ("sidecar", "image", "forced"))
+    item = Window.partitionBy("item_id")
+    own = F.max(side & mine).over(item)
+    place = (
+        F.when(side, F.when(mine, 0).when(~own & untagged, 1))
+        .when(image, F.when(F.lit(ocr), F.when(mine & ~forced, 6).when(mine, 7).otherwise(8)))
+        .otherwise(F.when(mine & ~forced, 2).when(mine, 3).when(~forced, 4).otherwise(5))
+    )
+    ranked = tracks.withColumn("rank", place).where("rank is not null")
+    reason = F.array(*[F.lit(r) for r in SUBTITLE_REASONS])[F.col("rank")]
+    return ranked.withColumn("reason", reason).withColumn("place", F.row_number().over(item.orderBy("rank", "track"))).drop("rank")
 
 
 def choose_audio(streams: DataFrame, language: str) -> DataFrame:

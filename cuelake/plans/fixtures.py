@@ -17,25 +17,15 @@ LEXICON = [
 ]
 NEVER = ["the", "and"]
 SQL_FORMS = "(VALUES " + ", ".join(f"('{f}', '{c}', '{g}')" for c, g, fs, p, e in LEXICON if e and not p for f in fs) + ") AS lx(form, canonical, category)"
-ASCII = "regexp_full_match(text, '[\\x00-\\x7F]*')"
+#: What Java's Unicode \w leaves out, and its Unicode white space, for the SQL.
+NO_WORD = "[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+"
+SPACE = "[\\s\\x0B\\x{85}\\p{Z}]+"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def ascii_english(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where((F.col("lang") == "en") & F.col("text").rlike(r"^[\x00-\x7F]*$"))
-
-
-def texts(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    """English ASCII documents, for which there is SQL, or every document."""
-    return table(spark, d, "documents") if every else ascii_english(spark, d)
-
-
-ASCII_SQL = f"(SELECT * FROM documents WHERE lang = 'en' AND {ASCII})"
-
-
 def cues(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select(
         F.col("conv_id").alias("item_id"), F.col("turn").alias("cue_index"), (F.col("turn") * 12000).alias("start_ms"),
@@ -43,16 +33,11 @@ def cues(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def spoken(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    """ASCII cues, for which there is SQL, or every cue."""
-    return cues(spark, d) if every else cues(spark, d).where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-
-
 CUES_SQL = "(SELECT conv_id AS item_id, turn AS cue_index, turn * 12000 AS start_ms, turn * 12000 + least(10000, 60 * length(text)) AS end_ms, text FROM conversations)"
 
 
-def words(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    rows = texts(spark, d, every).select(F.col("doc_id").alias("item_id"), F.posexplode(F.split("text", r"(?U)\s+" if every else r"\s+")).alias("word_index", "word"))
+def words(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.posexplode(F.split("text", r"(?U)\s+")).alias("word_index", "word"))
     return rows.withColumns({
         "start_ms": F.col("word_index").cast("long") * 400, "end_ms": F.col("word_index").cast("long") * 400 + 300,
         "probability": ((F.col("item_id") * 31 + F.col("word_index") * 17) % 100) / 100,
@@ -61,7 +46,7 @@ def words(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
 
 WORDS_SQL = (
     "(SELECT doc_id AS item_id, i - 1 AS word_index, ws[i] AS word, (i - 1) * 400 AS start_ms, (i - 1) * 400 + 300 AS end_ms, ((doc_id * 31 + (i - 1) * 17) % 100) / 100 AS probability "
-    f"FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\\s+') AS ws FROM {ASCII_SQL})))"
+    f"FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '{SPACE}') AS ws FROM documents)))"
 )
 
 

@@ -18,12 +18,8 @@ SQL: dict = {}
 
 
 def add(name: str, sql: str | None = None):
-    """A query that takes ``every`` is also registered over all rows, as ``name``_all. SQL stands for its English ASCII rows only."""
-
     def keep(f):
         Q[name] = f
-        if f.__code__.co_argcount == 3:
-            Q[f"{name}_all"] = lambda spark, d: f(spark, d, True)
         if sql:
             SQL[name] = sql
         return f
@@ -55,18 +51,22 @@ def _(spark, d):
     return out.select("doc", F.col("pos").cast("long").alias("pos"), "kind", F.col("tags")["language"].alias("lang"), F.array_join("flags", ",").alias("flags"), F.col("typed_index").cast("long").alias("typed_index"))
 
 
-_LOSSLESS = "codec IN ('flac', 'truehd') OR (codec = 'dts' AND profile = 'DTS-HD MA')"
+_AUDIO = ("flac", "TrueHD", "dts", "eac3", "ac3", "aac", "opus", "pcm_s24le", "xyz")
 
 
 @add("audio_plan", f"""
-SELECT k, CASE WHEN keep AND ({_LOSSLESS}) THEN 'flac' WHEN ch > 6 THEN 'eac3' WHEN codec = 'truehd' AND profile LIKE '%Atmos%' THEN 'eac3' WHEN {_LOSSLESS} THEN 'ac3' WHEN codec = 'eac3' THEN 'eac3' WHEN codec = 'ac3' THEN 'ac3' ELSE 'aac' END AS codec,
-CASE WHEN keep AND ({_LOSSLESS}) THEN 'lossless kept' WHEN ch > 6 THEN 'more than six channels' WHEN codec = 'truehd' AND profile LIKE '%Atmos%' THEN 'object audio' WHEN {_LOSSLESS} THEN 'lossless source' WHEN codec IN ('eac3', 'ac3', 'aac') THEN 'same codec'
- WHEN codec IN ('opus', 'dts') THEN 'lossy source' ELSE 'unknown source' END AS reason
-FROM (SELECT p_partkey AS k, {_list(_CODECS)}[p_partkey % 8 + 1] AS codec, ['Atmos', 'DTS-HD MA', ''][p_partkey % 3 + 1] AS profile, p_partkey % 9 + 1 AS ch, p_partkey % 5 = 0 AS keep FROM part)""")
+WITH s AS (SELECT p_partkey AS k, lower({_list(_AUDIO)}[p_partkey % 9 + 1]) AS codec, ['Dolby TrueHD + Dolby Atmos', 'x'][p_partkey % 2 + 1] AS profile, p_partkey // 9 % 9 AS ch, p_partkey * 997 % 1200000 AS raw, p_partkey % 11 = 0 AS forced, p_partkey % 3 * 12 AS depth FROM part),
+t AS (SELECT *, greatest(ch, 1) AS n, CASE WHEN raw BETWEEN 32000 AND 8000000 THEN raw ELSE 0 END AS rate FROM s),
+f AS (SELECT *, CASE WHEN forced THEN 'forced_lossless' WHEN n > 6 THEN 'channels_gt_6' WHEN codec = 'truehd' AND k % 2 = 0 THEN 'truehd_atmos' WHEN codec IN ('flac', 'truehd', 'dts', 'pcm_s24le') THEN 'lossless_source' END AS why FROM t)
+SELECT k, CASE WHEN why IS NOT NULL THEN 'flac' WHEN codec IN ('eac3', 'ac3') THEN codec ELSE 'aac' END AS encoder,
+ CASE WHEN why IS NOT NULL THEN NULL WHEN codec = 'eac3' THEN greatest([96000, 224000, 384000, 384000, 640000, 640000][n], least(1024000, rate)) WHEN codec = 'ac3' THEN CASE WHEN n >= 3 THEN 640000 ELSE least(640000, greatest(192000, rate)) END
+  ELSE greatest((n + 1) // 2 * 160000, least((n + 1) // 2 * 256000, rate)) END AS bit_rate,
+ CASE WHEN why IS NOT NULL THEN CASE WHEN depth > 16 THEN 's32' ELSE 's16' END END AS sample_format,
+ coalesce(why, CASE WHEN codec IN ('eac3', 'ac3', 'aac') THEN codec || '_passthrough' WHEN codec = 'opus' THEN 'lossy_fallback_aac' ELSE 'unknown_codec_fallback' END) AS reason FROM f""")
 def _(spark, d):
     k = F.col("k")
-    plan = rules.audio_plan(_pick(_CODECS, k % 8), _pick(("Atmos", "DTS-HD MA", ""), k % 3), (k % 9 + 1).cast("int"), k * 1000, k % 5 == 0)
-    return _parts(spark, d).select("k", plan.alias("p")).select("k", "p.codec", "p.reason")
+    plan = rules.audio_plan(_pick(_AUDIO, k % 9), _pick(("Dolby TrueHD + Dolby Atmos", "x"), k % 2), F.expr("k div 9 % 9"), k * 997 % 1_200_000, k % 11 == 0, k % 3 * 12)
+    return _parts(spark, d).select("k", plan.alias("p")).select("k", "p.*")
 
 
 @add("stream_bitrates", """
@@ -90,10 +90,12 @@ def _tracks(spark, d):
 
 
 @add("choose_subtitle", f"""
-SELECT item_id, track, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN image THEN 7 WHEN sidecar AND lang IN ('en', 'eng') THEN 1 WHEN sidecar AND lang = 'und' THEN 2 WHEN lang IN ('en', 'eng') AND NOT forced THEN 3 WHEN lang IN ('en', 'eng') THEN 4
-WHEN NOT forced THEN 5 ELSE 6 END, track) AS place FROM {_TRACKS}""")
+WITH t AS (SELECT *, lang IN ('en', 'eng') AS mine, max(CASE WHEN sidecar AND lang IN ('en', 'eng') THEN 1 ELSE 0 END) OVER (PARTITION BY item_id) AS own FROM {_TRACKS}),
+r AS (SELECT *, CASE WHEN sidecar THEN CASE WHEN mine THEN 1 WHEN own = 0 AND lang = 'und' THEN 2 END WHEN image THEN CASE WHEN mine AND NOT forced THEN 7 WHEN mine THEN 8 ELSE 9 END WHEN mine THEN CASE WHEN forced THEN 4 ELSE 3 END WHEN forced THEN 6 ELSE 5 END AS rank FROM t)
+SELECT item_id, track, ['sidecar_preferred_language', 'sidecar_untagged', 'embedded_preferred_language', 'embedded_preferred_language_forced', 'embedded_any_text', 'embedded_forced_only', 'ocr_preferred_language', 'ocr_preferred_language_forced', 'ocr_any'][rank] AS reason,
+ row_number() OVER (PARTITION BY item_id ORDER BY rank, track) AS place FROM r WHERE rank IS NOT NULL""")
 def _(spark, d):
-    return media.choose_subtitle(_tracks(spark, d), "eng").select("item_id", "track", F.col("place").cast("long").alias("place"))
+    return media.choose_subtitle(_tracks(spark, d), "eng").select("item_id", "track", "reason", F.col("place").cast("long").alias("place"))
 
 
 @add("choose_audio", f"""
@@ -215,8 +217,8 @@ def _(spark, d):
 
 # Times.
 @add("shifted_words", f"SELECT item_id, word_index, greatest(0, start_ms / 1000 - 1.25)::DOUBLE AS at FROM {fx.WORDS_SQL}")
-def _(spark, d, every=False):
-    return fx.words(spark, d, every).select("item_id", "word_index", rules.shift_clock(F.col("start_ms") / 1000, F.lit(1.25)).alias("at"))
+def _(spark, d):
+    return fx.words(spark, d).select("item_id", "word_index", rules.shift_clock(F.col("start_ms") / 1000, F.lit(1.25)).alias("at"))
 
 
 @add("cue_batches", f"""
@@ -254,25 +256,25 @@ def _(spark, d):
     return align.subtitle_fallback(hits, timed, ocr=F.col("ocr")).select("hit_id", "det_start_ms", "det_end_ms", "suspicious", "found_by", "muted")
 
 
-_NORM = "lower(trim(trim(trim(word), '\"“”«»‹›()[]{}<>,.!?:;…—–~|/\\¡¿+=&^%')))"
+_NORM = "replace(lower(trim(trim(trim(word), '\"“”«»‹›()[]{}<>,.!?:;…—–~|/\\¡¿+=&^%'))), 'ß', 'ss')"
 
 
 @add("stt_only", f"""
 WITH w AS (SELECT item_id, word_index, start_ms, regexp_replace({_NORM}, '[''-]', '', 'g') AS norm FROM {fx.WORDS_SQL})
 SELECT item_id, word_index, lx.canonical FROM w JOIN {fx.SQL_FORMS} ON lx.form = norm WHERE NOT EXISTS (SELECT 1 FROM {fx.WORDS_SQL} x WHERE x.word_index % 9 = 0 AND x.item_id = w.item_id AND w.start_ms < x.end_ms + 300 AND x.start_ms - 300 < w.start_ms + 300)""")
-def _(spark, d, every=False):
-    words = fx.words(spark, d, every).withColumn("norm", text.fold(text.strip_wrappers(F.col("word")), not every))
+def _(spark, d):
+    words = fx.words(spark, d).withColumn("norm", text.fold(text.strip_wrappers(F.col("word"))))
     found = words.where("word_index % 9 = 0").select("item_id", (F.col("start_ms") - 300).alias("d0"), (F.col("end_ms") + 300).alias("d1"))
-    forms = F.broadcast(lexicon.form_owners([e for e in fx.LEXICON if not e[3]], spark))  # as many rows as the caller listed
+    forms = F.broadcast(lexicon.word_forms([e for e in fx.LEXICON if not e[3]], spark).withColumnRenamed("form", "key"))  # as many rows as the caller listed
     return align.stt_only(words, forms, found).select("item_id", "word_index", "canonical")
 
 
 @add("standalone_censored")
 def _(spark, d):
-    words = fx.words(spark, d, True).withColumn("censor", text.detect_censored(text.strip_wrappers(F.col("word")))).where("censor is not null")
+    words = fx.words(spark, d).withColumn("censor", text.detect_censored(text.strip_wrappers(F.col("word")))).where("censor is not null")
     tokens = words.select("item_id", "start_ms", "end_ms", "censor", F.struct("item_id", "word_index").alias("token_id"))
-    forms = lexicon.form_owners([e for e in fx.LEXICON if not e[3]], spark).select(F.col("key").alias("form"), "canonical")
-    found = fx.words(spark, d, True).where("word_index % 9 = 0").select("item_id", F.col("start_ms").alias("d0"), F.col("end_ms").alias("d1"))
+    forms = lexicon.word_forms([e for e in fx.LEXICON if not e[3]], spark)
+    found = fx.words(spark, d).where("word_index % 9 = 0").select("item_id", F.col("start_ms").alias("d0"), F.col("end_ms").alias("d1"))
     return align.standalone_censored(tokens.drop("censor"), lexicon.censored_candidates(tokens.select("token_id", "censor"), forms), found)
 
 

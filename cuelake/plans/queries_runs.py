@@ -230,13 +230,21 @@ def _(spark, d):
     return ev.stale_heartbeats(e, e.agg(F.max("at_us")).first()[0] or 0, 86400)
 
 
-@add("dedupe_requests", f"""
-SELECT request_id, CASE WHEN k > 1 THEN 'deduped' WHEN s IS NULL THEN 'created' WHEN s = 'queued' THEN 'superseded' ELSE 'already_active' END AS reason FROM (
-SELECT o_orderkey AS request_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k, CASE WHEN o_custkey % 3 = 0 THEN NULL WHEN o_custkey % 3 = 1 THEN 'queued' ELSE 'running' END AS s FROM orders)""")
-def _(spark, d):
-    r = fx.runs(spark, d).select(F.col("run_id").alias("request_id"), "item_id", F.col("created").alias("at"))
-    live = r.select("item_id").distinct().where("item_id % 3 != 0").select("item_id", F.when(F.col("item_id") % 3 == 1, "queued").otherwise("running").alias("state"), F.lit("1970-01-01").cast("timestamp").alias("created"))
-    return catalog.dedupe_requests(r, live).select("request_id", "reason")
+@add("dedupe_requests", """
+WITH RECURSIVE q AS (SELECT o_orderkey AS id, o_custkey AS item, epoch(o_orderdate) + o_orderkey % 3 AS at, o_orderkey % 10 = 0 AS sup, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey % 3, o_orderkey) AS k FROM orders),
+r(id, item, k, reason, state, since) AS (
+ SELECT id, item, 0::BIGINT, '', state, since FROM (SELECT NULL::BIGINT AS id, c_custkey AS item, CASE c_custkey % 3 WHEN 1 THEN 'queued' WHEN 2 THEN 'running' END AS state, CASE WHEN c_custkey % 3 > 0 THEN epoch(TIMESTAMP '1998-01-01') END AS since FROM customer)
+ UNION ALL SELECT q.id, q.item, q.k, CASE WHEN r.state IS NULL THEN 'created' WHEN q.sup THEN 'superseded' WHEN r.state = 'queued' AND q.at - r.since <= 60 THEN 'deduped' ELSE 'already_active' END,
+  CASE WHEN r.state IS NULL OR q.sup THEN 'queued' ELSE r.state END, CASE WHEN r.state IS NULL OR q.sup THEN q.at ELSE r.since END FROM r JOIN q ON q.item = r.item AND q.k = r.k + 1)
+SELECT id AS request_id, reason FROM r WHERE id IS NOT NULL""")
+def _(spark, d):
+    o, k = fx.table(spark, d, "orders"), F.col("o_orderkey")
+    at = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + k % 3)
+    asked = o.select(k.alias("request_id"), F.col("o_custkey").alias("item_id"), at.alias("at"), (k % 10 == 0).alias("supersede"))
+    c = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("item_id"))
+    live = c.where("item_id % 3 > 0").select("item_id", F.when(F.col("item_id") % 3 == 1, "queued").otherwise("running").alias("state"), F.lit("1998-01-01").cast("timestamp").alias("created"))
+    over = c.select("item_id", F.lit("done"), F.lit("1999-01-01").cast("timestamp"))
+    return catalog.dedupe_requests(asked, live.union(over)).select("request_id", "reason")
 
 
 # Quality.

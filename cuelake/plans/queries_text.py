@@ -13,12 +13,8 @@ SQL: dict = {}
 
 
 def add(name: str, sql: str | None = None):
-    """A query that takes ``every`` is also registered over all rows, as ``name``_all. SQL stands for its English ASCII rows only."""
-
     def keep(f):
         Q[name] = f
-        if f.__code__.co_argcount == 3:
-            Q[f"{name}_all"] = lambda spark, d: f(spark, d, True)
         if sql:
             SQL[name] = sql
         return f
@@ -27,57 +23,57 @@ def add(name: str, sql: str | None = None):
 
 
 _CORE = "trim(trim(trim(word), '\"“”«»‹›()[]{}<>,.!?:;…—–~|/\\¡¿+=&^%'))"
-_TOKENS = f"(SELECT item_id, word_index, {_CORE} AS core, lower({_CORE}) AS norm FROM {fx.WORDS_SQL})"
+_FOLDED = "regexp_replace(replace(lower(%s), 'ß', 'ss'), '[''-]', '', 'g')"
+_TOKENS = f"(SELECT item_id, word_index, {_CORE} AS core FROM {fx.WORDS_SQL})"
 _FORMS = "(VALUES ('rewh'), ('orre'), ('thatin'), ('ononst'), ('inoran'), ('hehely')) AS f(form)"
+_IN_FORMS = "('rewh', 'orre', 'thatin', 'ononst', 'inoran', 'hehely')"
 #: Single words of the test list, found between non-word characters.
-_WORD_HITS = (
-    f"(SELECT doc_id, lower(u) AS form FROM (SELECT doc_id, unnest(string_split_regex(text, '\\W+')) AS u FROM {fx.ASCII_SQL}))"
-)
+_WORD_HITS = f"(SELECT doc_id, lower(u) AS form FROM (SELECT doc_id, unnest(string_split_regex(text, '{fx.NO_WORD}')) AS u FROM documents))"
+_SINGLE = [e for e in fx.LEXICON if not e[3]]
 
 
 @add("match_word_counts", f"SELECT lx.canonical, lx.category, count(*) AS total, count(DISTINCT h.doc_id) AS documents FROM {_WORD_HITS} h JOIN {fx.SQL_FORMS} ON lx.form = h.form GROUP BY ALL")
-def _(spark, d, every=False):
-    single = [e for e in fx.LEXICON if not e[3]]
-    hits = lexicon.match_lexicon(fx.texts(spark, d, every).select("doc_id", "text"), "text", single)
+def _(spark, d):
+    hits = lexicon.match_lexicon(fx.table(spark, d, "documents").select("doc_id", "text"), "text", _SINGLE)
     return hits.groupBy("canonical", "category").agg(F.count("*").alias("total"), F.count_distinct("doc_id").alias("documents"))
 
 
 @add("strip_wrappers", f"SELECT core, count(*) AS n FROM {_TOKENS} GROUP BY 1")
-def _(spark, d, every=False):
-    return fx.words(spark, d, every).select(text.strip_wrappers(F.col("word")).alias("core")).groupBy("core").agg(F.count("*").alias("n"))
+def _(spark, d):
+    return fx.words(spark, d).select(text.strip_wrappers(F.col("word")).alias("core")).groupBy("core").agg(F.count("*").alias("n"))
 
 
-@add("fold_words", f"SELECT regexp_replace(norm, '[''-]', '', 'g') AS folded, count(*) AS n FROM {_TOKENS} GROUP BY 1")
-def _(spark, d, every=False):
-    return fx.words(spark, d, every).select(text.fold(text.strip_wrappers(F.col("word")), not every).alias("folded")).groupBy("folded").agg(F.count("*").alias("n"))
+@add("fold_words", f"SELECT {_FOLDED % 'core'} AS folded, count(*) AS n FROM {_TOKENS} GROUP BY 1")
+def _(spark, d):
+    return fx.words(spark, d).select(text.fold(text.strip_wrappers(F.col("word"))).alias("folded")).groupBy("folded").agg(F.count("*").alias("n"))
 
 
-_MASKED = "(regexp_full_match(core, '[A-Za-z]-{2,}[A-Za-z]*') OR (regexp_full_match(core, '[A-Za-z][A-Za-z*_#@$]{1,13}') AND regexp_matches(core, '[*_#@$]')))"
+_DASHED = "regexp_full_match(core, '[A-Za-z]-{2,}[A-Za-z]*')"
+_MASKED = f"({_DASHED} OR (regexp_full_match(core, '[A-Za-z][A-Za-z*_#@$]{{1,13}}') AND regexp_matches(core, '[*_#@$]')))"
 _STYLE = f"CASE WHEN length(core) NOT BETWEEN 1 AND 14 OR NOT regexp_matches(core, '[A-Za-z]') THEN NULL WHEN {_MASKED} THEN 'masked' WHEN regexp_full_match(core, '[A-Za-z]-[a-z]{{1,6}}') THEN 'hyphen' END"
 
 
-@add("classify_tokens", f"SELECT CASE WHEN NOT regexp_matches(core, '[A-Za-z]') THEN 'empty' WHEN {_STYLE} IS NOT NULL THEN 'censored' ELSE 'word' END AS kind, count(*) AS n FROM {_TOKENS} GROUP BY 1")
-def _(spark, d, every=False):
+@add("classify_tokens", f"SELECT CASE WHEN NOT regexp_matches(core, '\\p{{L}}') THEN 'empty' WHEN {_STYLE} IS NOT NULL THEN 'censored' ELSE 'word' END AS kind, count(*) AS n FROM {_TOKENS} GROUP BY 1")
+def _(spark, d):
     core = text.strip_wrappers(F.col("word"))
-    return fx.words(spark, d, every).select(text.classify_token(core, text.detect_censored(core)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    return fx.words(spark, d).select(text.classify_token(core, text.detect_censored(core)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @add("censored_tokens", f"SELECT item_id, word_index, {_STYLE} AS style, lower(core[1]) AS first_letter, length(core) AS length FROM {_TOKENS} WHERE {_STYLE} IS NOT NULL")
-def _(spark, d, every=False):
-    rows = fx.words(spark, d, every).select("item_id", "word_index", text.detect_censored(text.strip_wrappers(F.col("word"))).alias("c")).where("c is not null")
+def _(spark, d):
+    rows = fx.words(spark, d).select("item_id", "word_index", text.detect_censored(text.strip_wrappers(F.col("word"))).alias("c")).where("c is not null")
     return rows.select("item_id", "word_index", "c.style", "c.first_letter", "c.length")
 
 
 @add("censored_candidates", f"""
-WITH t AS (SELECT item_id, word_index, lower(core) AS c FROM {_TOKENS} WHERE length(core) BETWEEN 1 AND 14 AND {_MASKED} AND NOT regexp_full_match(core, '[A-Za-z]-{{2,}}[A-Za-z]*'))
+WITH t AS (SELECT item_id, word_index, lower(core) AS c, {_STYLE} AS style FROM {_TOKENS})
 SELECT item_id, word_index, form FROM t, {_FORMS}
-WHERE c[1] = form[1] AND abs(length(form) - length(c)) <= 1
-  AND list_bool_and(list_transform(range(1, length(c) + 1), lambda i: NOT regexp_matches(c[i], '[a-z]') OR c[i] = form[i])) GROUP BY ALL""")
-def _(spark, d, every=False):
-    rows = fx.words(spark, d, every).withColumn("core", text.strip_wrappers(F.col("word"))).withColumn("censor", text.detect_censored(F.col("core")))
-    rows = rows.where("censor is not null" if every else "censor.style = 'masked' and not core rlike '^[A-Za-z]-{2,}[A-Za-z]*$'").select("item_id", "word_index", "censor", F.struct("item_id", "word_index").alias("token_id"))
-    forms = lexicon.form_owners([e for e in fx.LEXICON if not e[3]], spark).select(F.col("key").alias("form"), "canonical")
-    return lexicon.censored_candidates(rows, forms).select("item_id", "word_index", "form")
+WHERE c[1] = form[1] AND CASE style WHEN 'masked' THEN abs(length(form) - length(c)) <= 1 AND list_bool_and(list_transform(range(1, length(c) + 1), lambda i: NOT regexp_matches(c[i], '[a-z]') OR c[i] = form[i]))
+  WHEN 'hyphen' THEN suffix(form, c[3:]) END GROUP BY ALL""")
+def _(spark, d):
+    rows = fx.words(spark, d).withColumn("censor", text.detect_censored(text.strip_wrappers(F.col("word")))).where("censor is not null")
+    rows = rows.select("item_id", "word_index", "censor", F.struct("item_id", "word_index").alias("token_id"))
+    return lexicon.censored_candidates(rows, lexicon.word_forms(_SINGLE, spark)).select("item_id", "word_index", "form")
 
 
 @add("mask_text", f"SELECT item_id, cue_index, regexp_replace(text, '[^ \\t\\x{{00a0}}''’-]', '*', 'g') AS masked FROM {fx.CUES_SQL}")
@@ -116,31 +112,33 @@ def _(spark, d):
 
 
 @add("find_hits", f"""
-SELECT lx.canonical, count(*) AS n FROM (SELECT lower(unnest(string_split_regex(text, '\\W+'))) AS form FROM {fx.CUES_SQL} WHERE {fx.ASCII}) h JOIN {fx.SQL_FORMS} ON lx.form = h.form GROUP BY 1""")
-def _(spark, d, every=False):
-    cues = fx.spoken(spark, d, every)
-    return lexicon.find_hits(cues, [e for e in fx.LEXICON if not e[3]]).groupBy("canonical").agg(F.count("*").alias("n"))
+WITH c AS (SELECT item_id, cue_index, start_ms, end_ms, length(text) AS size, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+|{fx.NO_WORD}') AS ps FROM {fx.CUES_SQL}),
+p AS (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM c), h AS (SELECT *, coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x))), 0) AS a, length(ps[i]) AS n FROM p WHERE lower(ps[i]) IN {_IN_FORMS})
+SELECT item_id, cue_index, CAST(a AS INT) AS char_start, lx.canonical, start_ms + CAST(floor((end_ms - start_ms) * a / size) AS BIGINT) AS hit_start_ms, start_ms + CAST(floor((end_ms - start_ms) * (a + n) / size) AS BIGINT) AS hit_end_ms
+FROM h JOIN {fx.SQL_FORMS} ON lx.form = lower(ps[i])""")
+def _(spark, d):
+    return lexicon.find_hits(fx.cues(spark, d), _SINGLE).select("item_id", "cue_index", "char_start", "canonical", "hit_start_ms", "hit_end_ms")
+
+
+_PIECES = f"regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+|{fx.NO_WORD}')"
+_HIT_COUNT = f"CAST(len(list_filter({_PIECES}, lambda w: lower(w) IN {_IN_FORMS})) AS INT)"
 
 
 @add("redact", f"""
-SELECT doc_id, list_sum(list_transform(string_split_regex(text, '\\W+'), lambda w: CASE WHEN lower(w) IN ('rewh', 'orre', 'thatin', 'ononst', 'inoran', 'hehely') THEN 1 ELSE 0 END))::INT AS n_hits,
-       length(text) AS size FROM {fx.ASCII_SQL}""")
-def _(spark, d, every=False):
-    out = lexicon.redact(fx.texts(spark, d, every), "text", [e for e in fx.LEXICON if not e[3]])
-    return out.select("doc_id", "n_hits", F.length("redacted").alias("size"))
-
-
-@add("redaction_stats", f"""
-SELECT source, count(*) AS documents, count(*) FILTER (n > 0) AS changed, sum(n)::BIGINT AS hits FROM (
-SELECT source, list_sum(list_transform(string_split_regex(text, '\\W+'), lambda w: CASE WHEN lower(w) IN ('rewh', 'orre', 'thatin', 'ononst', 'inoran', 'hehely') THEN 1 ELSE 0 END)) AS n FROM {fx.ASCII_SQL}) GROUP BY 1""")
-def _(spark, d, every=False):
-    out = lexicon.redact(fx.texts(spark, d, every), "text", [e for e in fx.LEXICON if not e[3]])
+SELECT doc_id, {_HIT_COUNT} AS n_hits, CASE WHEN text IS NOT NULL THEN array_to_string(list_transform({_PIECES}, lambda w: CASE WHEN lower(w) IN {_IN_FORMS} THEN repeat('*', length(w)) ELSE w END), '') END AS redacted FROM documents""")
+def _(spark, d):
+    return lexicon.redact(fx.table(spark, d, "documents"), "text", _SINGLE).select("doc_id", "n_hits", "redacted")
+
+
+@add("redaction_stats", f"SELECT source, count(*) AS documents, count(*) FILTER (n > 0) AS changed, sum(n)::BIGINT AS hits FROM (SELECT source, {_HIT_COUNT} AS n FROM documents) GROUP BY 1")
+def _(spark, d):
+    out = lexicon.redact(fx.table(spark, d, "documents"), "text", _SINGLE)
     return out.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("n_hits") > 0).alias("changed"), F.sum("n_hits").alias("hits"))
 
 
-@add("phrase_documents", f"SELECT count(*) AS documents FROM {fx.ASCII_SQL} WHERE regexp_matches(text, '(?i)(^|\\W)of[ \\t''-]{{1,3}}the($|\\W)')")
-def _(spark, d, every=False):
-    hits = lexicon.match_lexicon(fx.texts(spark, d, every).select("doc_id", "text"), "text", [fx.LEXICON[4]])
+@add("phrase_documents", f"SELECT count(*) AS documents FROM documents WHERE regexp_matches(text, '(?i)(^|{fx.NO_WORD[:-1]})of[ \\t\\x{{a0}}''’-]{{1,3}}the($|{fx.NO_WORD[:-1]})')")
+def _(spark, d):
+    hits = lexicon.match_lexicon(fx.table(spark, d, "documents").select("doc_id", "text"), "text", [fx.LEXICON[4]])
     return hits.agg(F.count_distinct("doc_id").alias("documents"))
 
 
@@ -148,21 +146,23 @@ _RULES = [("rewh", "global", None, "", "suppress"), ("rewh", "title", 3, "", "al
 
 
 @add("suppress", f"""
-WITH h AS (SELECT DISTINCT doc_id, lx.canonical, text FROM (SELECT doc_id, text, lower(unnest(string_split_regex(text, '\\W+'))) AS form FROM {fx.ASCII_SQL}) x JOIN {fx.SQL_FORMS} ON lx.form = x.form)
+WITH h AS (SELECT DISTINCT doc_id, lx.canonical, text FROM (SELECT doc_id, text, lower(unnest(string_split_regex(text, '{fx.NO_WORD}'))) AS form FROM documents) x JOIN {fx.SQL_FORMS} ON lx.form = x.form)
 SELECT doc_id, canonical, CASE canonical WHEN 'rewh' THEN doc_id % 20 <> 3 WHEN 'thatin' THEN doc_id <> 7 WHEN 'ononst' THEN doc_id % 20 = 5
-       WHEN 'inoran' THEN contains(replace(replace(lower(text), '''', ''), '-', ''), 'the') ELSE false END AS whitelisted FROM h""")
-def _(spark, d, every=False):
-    hits = lexicon.match_lexicon(fx.texts(spark, d, every).select("doc_id", "text"), "text", [e for e in fx.LEXICON if not e[3]])
+       WHEN 'inoran' THEN contains({_FOLDED % 'text'}, 'the') ELSE false END AS whitelisted FROM h""")
+def _(spark, d):
+    hits = lexicon.match_lexicon(fx.table(spark, d, "documents").select("doc_id", "text"), "text", _SINGLE)
     hits = hits.select("doc_id", "canonical", F.col("text").alias("context")).dropDuplicates(["doc_id", "canonical"])
     hits = hits.select("*", F.struct("doc_id", "canonical").alias("hit_id"), F.col("doc_id").alias("item_id"), (F.col("doc_id") % 20).alias("title_id"))
     table = spark.createDataFrame([(c, s, i, x, m) for c, s, i, x, m in _RULES], "canonical string, scope string, scope_id long, context_text string, mode string")
-    return lexicon.suppress(hits, table, not every).select("doc_id", "canonical", "whitelisted")
+    return lexicon.suppress(hits, table).select("doc_id", "canonical", "whitelisted")
 
 
-@add("innocent_gate", f"SELECT w AS word, count(*) AS n FROM (SELECT lower(unnest(string_split_regex(text, '\\W+'))) AS w FROM {fx.ASCII_SQL}) WHERE w IN ('rewh', 'orre') GROUP BY 1")
-def _(spark, d, every=False):
-    hits = lexicon.match_lexicon(fx.texts(spark, d, every).select("text"), "text", [fx.LEXICON[0]])
-    return hits.groupBy(F.lower("word_raw").alias("word")).agg(F.count("*").alias("n"))
+@add("innocent_gate", f"""
+WITH w AS (SELECT DISTINCT core FROM {_TOKENS}), h AS (SELECT DISTINCT core, lx.canonical FROM (SELECT core, lower(unnest(string_split_regex(core, '{fx.NO_WORD}'))) AS form FROM w) x JOIN {fx.SQL_FORMS} ON lx.form = x.form)
+SELECT core AS word, 'matches' AS violation, canonical FROM h UNION ALL SELECT core, 'censored', NULL FROM w WHERE {_STYLE} IS NOT NULL""")
+def _(spark, d):
+    corpus = fx.words(spark, d).select(text.strip_wrappers(F.col("word")).alias("word")).distinct()
+    return lexicon.innocent_gate(corpus, "word", _SINGLE, corpus, "word")
 
 
 # Ranges.
@@ -244,45 +244,46 @@ def _(spark, d):
 @add("words_near", f"""
 SELECT c.item_id, c.cue_index, count(*) AS n, min(w.word_index) AS first FROM (SELECT item_id, word_index - word_index % 10 AS cue_index, start_ms AS s, start_ms + 2000 AS e FROM {fx.WORDS_SQL} WHERE word_index % 10 = 0) c
 JOIN {fx.WORDS_SQL} w ON w.item_id = c.item_id AND w.start_ms BETWEEN c.s - 1000 AND c.e + 1000 GROUP BY ALL""")
-def _(spark, d, every=False):
-    words = fx.words(spark, d, every)
+def _(spark, d):
+    words = fx.words(spark, d)
     hits = words.where("word_index % 10 = 0").select("item_id", F.col("word_index").alias("cue_index"), "start_ms", (F.col("start_ms") + 2000).alias("end_ms"))
     return align.words_near(hits, words).groupBy("item_id", "cue_index").agg(F.count("*").alias("n"), F.min("word_index").alias("first"))
 
 
 @add("pick_timing")
 def _(spark, d):
-    words = fx.words(spark, d, True).withColumn("word", text.fold(text.strip_wrappers(F.col("word"))))
+    core = text.strip_wrappers(F.col("word"))
+    words = fx.words(spark, d).withColumn("censor", text.detect_censored(core)).withColumn("kind", text.classify_token(core, F.col("censor"))).withColumn("word", text.fold(core))
     hits = words.where("word in ('rewh', 'thatin', 'ononst')").select(
         F.xxhash64("item_id", "word_index").alias("hit_id"), "item_id", (F.col("start_ms") - 500).alias("start_ms"), (F.col("end_ms") + 500).alias("end_ms"),
         F.col("start_ms").cast("double").alias("expected_ms"), F.array("word").alias("targets"),
     )
-    return align.pick_timing(hits, words)
+    return align.pick_timing(hits, words, never=tuple(fx.NEVER))
 
 
 @add("words_in_windows", f"""
 SELECT w.item_id, count(*) FILTER (EXISTS (SELECT 1 FROM (SELECT item_id, start_ms AS s, start_ms + 5000 AS e FROM {fx.WORDS_SQL} WHERE word_index % 100 = 0) x WHERE x.item_id = w.item_id AND w.start_ms BETWEEN x.s - 1000 AND x.e + 1000)) AS inside, count(*) AS n FROM {fx.WORDS_SQL} w GROUP BY 1""")
-def _(spark, d, every=False):
-    words = fx.words(spark, d, every)
+def _(spark, d):
+    words = fx.words(spark, d)
     windows = words.where("word_index % 100 = 0").select("item_id", F.col("start_ms").alias("start"), (F.col("start_ms") + 5000).alias("end"))
     return align.words_in_windows(words, windows).groupBy("item_id").agg(F.count_if("inside").alias("inside"), F.count("*").alias("n"))
 
 
 @add("assign_to_segment", f"""
-WITH w AS (SELECT item_id, word_index, (start_ms + end_ms) / 2 AS mid FROM {fx.WORDS_SQL} WHERE word_index < 400), s AS (SELECT item_id, word_index // 50 AS seg, start_ms AS a, start_ms + 12000 AS b FROM {fx.WORDS_SQL} WHERE word_index % 50 = 0 AND word_index < 400)
+WITH w AS (SELECT item_id, word_index, (start_ms + end_ms) / 2 AS mid FROM {fx.WORDS_SQL}), s AS (SELECT item_id, word_index // 50 AS seg, start_ms AS a, start_ms + 12000 AS b FROM {fx.WORDS_SQL} WHERE word_index % 50 = 0)
 SELECT w.item_id, word_index, min_by(seg, (CASE WHEN mid < a THEN a - mid WHEN mid > b THEN mid - b ELSE 0 END, seg)) AS seg_index FROM w JOIN s USING (item_id) GROUP BY ALL""")
-def _(spark, d, every=False):
-    words = fx.words(spark, d, every).where("true" if every else "word_index < 400")
+def _(spark, d):
+    words = fx.words(spark, d)
     segs = words.where("word_index % 50 = 0").select("item_id", F.expr("word_index div 50").alias("seg_index"), F.col("start_ms").alias("start"), (F.col("start_ms") + 12000).alias("end"))
     return align.assign_to_segment(words, segs)
 
 
 @add("cue_word_spans", f"""
-WITH c AS (SELECT item_id, cue_index, start_ms, end_ms, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM {fx.CUES_SQL} WHERE {fx.ASCII}),
+WITH c AS (SELECT item_id, cue_index, start_ms, end_ms, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM {fx.CUES_SQL}),
 e AS (SELECT *, unnest(range(1, len(ws) + 1)) AS i, length(array_to_string(ws, ' ')) AS size FROM c)
 SELECT item_id, cue_index, i - 1 AS pos, ws[i] AS word, start_ms + CAST(floor((end_ms - start_ms) * (length(array_to_string(ws[1:i], ' ')) - length(ws[i])) / size) AS BIGINT) AS word_start_ms FROM e""")
-def _(spark, d, every=False):
-    cues = fx.spoken(spark, d, every)
+def _(spark, d):
+    cues = fx.cues(spark, d)
     return align.cue_word_spans(cues).select("item_id", "cue_index", "pos", "word", "word_start_ms")
 
 

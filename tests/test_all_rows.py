@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cuelake.functions.text import WRAPPERS
 from cuelake.operators import align, lexicon
 from cuelake.plans import fixtures as fx
-from cuelake.plans.registry import ORACLE_SQL, QUERIES
+from cuelake.plans.registry import QUERIES
 
 TEXTS = [
     ("en", "Rewh, the plain orre."), ("fr", "«REWH» déjà thatin rewhé ononﬅ"), ("de", "Straße THATIN of the — ononſt"), ("es", "¡inoran! th***n o--- h-hely o-st"),
@@ -44,32 +44,30 @@ def rows(spark, data, name):
     return sorted(map(tuple, QUERIES[name](spark, data).collect()), key=repr)
 
 
-def test_names():
-    assert len([n for n in QUERIES if n.endswith("_all")]) == 18 and not [n for n in ORACLE_SQL if n.endswith("_all")]
-
-
 def test_hits_of_all_rows(spark, data):
     found = list(hits())
     assert len(found) > 6
     per = Counter((SINGLE[w], c) for _, w in found for c in {e[1] for e in fx.LEXICON if e[0] == SINGLE[w]})
     docs = {k: len({i for i, w in found if SINGLE[w] == k[0]}) for k in per}
-    assert rows(spark, data, "match_word_counts_all") == sorted(((*k, n, docs[k]) for k, n in per.items()), key=repr)
-    assert rows(spark, data, "find_hits_all") == sorted(((k[0], n) for k, n in per.items()), key=repr)
+    assert rows(spark, data, "match_word_counts") == sorted(((*k, n, docs[k]) for k, n in per.items()), key=repr)
+    assert Counter(r[3] for r in rows(spark, data, "find_hits")) == {k[0]: n for k, n in per.items()}
     n_hits = Counter(i for i, _ in found)
-    assert {r[0]: r[1:] for r in rows(spark, data, "redact_all") if TEXTS[r[0]][1] is not None} == {i: (n_hits[i], len(t)) for i, (_, t) in enumerate(TEXTS) if t is not None}
-    assert rows(spark, data, "redaction_stats_all") == [("s", len(TEXTS), len(n_hits), len(found))]
-    assert rows(spark, data, "innocent_gate_all") == sorted(Counter(w for _, w in found if w in ("rewh", "orre")).items(), key=repr)
-    assert rows(spark, data, "phrase_documents_all") == [(2,)]
+    masked = lambda t: None if t is None else re.sub(r"\w+", lambda m: "*" * len(m[0]) if m[0].replace("ſ", "s").lower() in SINGLE else m[0], t)
+    assert rows(spark, data, "redact") == [(i, n_hits[i], masked(t)) for i, (_, t) in enumerate(TEXTS)]
+    assert rows(spark, data, "redaction_stats") == [("s", len(TEXTS), len(n_hits), len(found))]
+    gate = rows(spark, data, "innocent_gate")
+    assert {r[2] for r in gate if r[1] == "matches"} == {SINGLE[w] for _, w in found} and {r[0] for r in gate if r[1] == "censored"} == {"th***n", "o---", "o-st", "h-hely", "r@wh"}
+    assert rows(spark, data, "phrase_documents") == [(2,)]
 
 
 def test_words_of_all_rows(spark, data):
     fold = lambda w: re.sub("['-]", "", re.sub("[’ʼ‘]", "'", re.sub("[–—‑]", "-", unicodedata.normalize("NFKC", w).casefold())))
-    assert rows(spark, data, "strip_wrappers_all") == sorted(Counter(w for _, _, w in words()).items(), key=repr)
-    assert rows(spark, data, "fold_words_all") == sorted(Counter(fold(w) for _, _, w in words()).items(), key=repr)
-    assert [r[:2] for r in rows(spark, data, "shifted_words_all")] == sorted(((i, k) for i, k, _ in words()), key=repr)
-    assert {r[0] for r in rows(spark, data, "assign_to_segment_all")} == {i for i, _, _ in words()}
+    assert rows(spark, data, "strip_wrappers") == sorted(Counter(w for _, _, w in words()).items(), key=repr)
+    assert rows(spark, data, "fold_words") == sorted(Counter(fold(w) for _, _, w in words()).items(), key=repr)
+    assert [r[:2] for r in rows(spark, data, "shifted_words")] == sorted(((i, k) for i, k, _ in words()), key=repr)
+    assert {r[0] for r in rows(spark, data, "assign_to_segment")} == {i for i, _, _ in words()}
     spoken = [(i, 0, k, w) for i, (_, t) in enumerate(TEXTS) for k, w in enumerate(re.findall(r"[^\t-\r ]+", t or ""))]
-    assert [r[:4] for r in rows(spark, data, "cue_word_spans_all")] == sorted(spoken, key=repr)
+    assert [r[:4] for r in rows(spark, data, "cue_word_spans")] == sorted(spoken, key=repr)
 
 
 def test_candidates_of_all_styles(spark, data):
@@ -83,7 +81,7 @@ def test_candidates_of_all_styles(spark, data):
             elif re.fullmatch(r"[A-Za-z]-[a-z]{1,6}", w) and f[0] == low[0] and f.endswith(w[2:]):
                 want.append((i, k, f))
     assert len({w[:2] for w in want}) >= 4
-    assert rows(spark, data, "censored_candidates_all") == sorted(want, key=repr)
+    assert rows(spark, data, "censored_candidates") == sorted(want, key=repr)
 
 
 def test_context_rules_fold_unicode(spark):
@@ -106,7 +104,7 @@ def test_segments_without_the_product(spark, data):
         if near:
             want[i, k] = min(near)[1]
     assert {(r.item_id, r.word_index): r.seg_index for r in out.collect()} == want
-    assert {r[0:2]: r[2] for r in rows(spark, data, "assign_to_segment_all")}[8, 470] == 9
+    assert {r[0:2]: r[2] for r in rows(spark, data, "assign_to_segment")}[8, 470] == 9
 
 
 def test_segments_of_a_long_text_are_linear(spark):
