@@ -13,6 +13,7 @@ which both are still there.
 from __future__ import annotations
 
 import array
+import functools
 import hashlib
 import json
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import Memo, Pool, byte_letters, encode_batch, pieces_of, stretches
+from .encoding import SLICE, Memo, Pool, byte_letters, encode_batch, pieces_of, stretches
 from .hashing import text_slices
 
 #: Fixed value: the pattern of public byte-level vocabularies that cuts text into words.
@@ -164,12 +165,18 @@ class _Pairs(dict):
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def bpe_of(path: str) -> PrefixBpe:
+    """A vocabulary that a worker keeps from task to task, with the words that it has met."""
+    return PrefixBpe(path)
+
+
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    bpe = PrefixBpe(path)
+    bpe = bpe_of(path)
     names, kinds = ["id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()]
     sha = lambda data: hashlib.sha256(data).hexdigest()
     for batch in batches:
-        for part, _, _ in text_slices(batch):
+        for part, _, _ in text_slices(batch, size=SLICE):
             flat, borders = bpe.encode_batch(part.column("text"))
             back, raw = bpe.decode_batch(flat, borders), memoryview(flat.tobytes())
             cut = [raw[4 * a : 4 * b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]

@@ -10,6 +10,7 @@ distinct ones; Python sees only these, and the ids of all texts are then gathere
 from __future__ import annotations
 
 import array
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -26,7 +27,9 @@ _RUNS = re.compile(r" ?[^\W\d_]+| ?[0-9]+| ?[^\w\s]+|.", re.S)
 _STRANGE = re.compile(r"['_\t\r\x0b\x0c\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]|\n\n|.<\||\A<\||\n |. \Z")
 #: Longer texts are cut into stretches of about so many characters, to bound the list of pieces.
 STRETCH = 1 << 20
-LIMIT = 900_000
+LIMIT = 1_200_000
+#: Bytes of text whose words are told at a time.
+SLICE = 8 << 20
 
 
 def pieces_of(text: str) -> list[str]:
@@ -111,7 +114,8 @@ class Encoder:
         if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
             word = word.lower() if self.lowers else word
             word = " " + word if self.spaced and run[0] == " " else word
-            shown = "".join([self.letters[b] for b in word.encode()])
+            # Letters of ASCII are shown as themselves.
+            shown = word.replace(" ", self.letters[32]) if word.isascii() else "".join([self.letters[b] for b in word.encode()])
             return self._pack([t.id for t in self.model.tokenize(shown)])
         return self._encode(run)
 
@@ -141,8 +145,14 @@ class Encoder:
         return encode_batch(texts, self.tail.__getitem__, self.encode, self.dtype, end)
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str, width: int) -> Encoder:
+    """An encoder that a worker keeps from task to task, with the words that it has met."""
+    return Encoder(path, width)
+
+
 class _Words(dict):
-    """Ids of a word with a space before it. Only words of letters are held."""
+    """Ids of a word with a space before it. Words of letters are held, also with a mark at their end."""
 
     def __init__(self, encoder: Encoder, limit: int = LIMIT):
         super().__init__()
@@ -152,14 +162,15 @@ class _Words(dict):
         encoder, end = self.encoder, word[-1:]
         if word.isalpha():
             out = encoder._run(" " + word)
-            if len(word) <= 48:
-                if len(self) >= self.limit:
-                    self.clear()
-                self[word] = out
-            return out
-        if end in ".,!|" and word[:-1].isalpha():
-            return self[word[:-1]] + encoder.runs[end]
-        return encoder.piece(" " + word)
+        elif end in ".,!|" and word[:-1].isalpha():
+            out = self[word[:-1]] + encoder.runs[end]
+        else:
+            return encoder.piece(" " + word)
+        if len(word) <= 48:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = out
+        return out
 
 
 def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, shuffle_partitions
-from .encoding import Encoder
+from .encoding import SLICE, encoder_of
 from .hashing import text_slices
 
 CAPACITY = 4096
@@ -90,9 +90,9 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path, 4)
+    encoder = encoder_of(path, 4)
     for batch in batches:
-        for part, _, _ in text_slices(batch):
+        for part, _, _ in text_slices(batch, size=SLICE):
             flat, borders = encoder.batch(part.column("text"), end_id)
             size = np.diff(borders)
             pieces = -(-size // capacity)

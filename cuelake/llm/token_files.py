@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, new_folder, opened_file, shuffle_partitions, written_file
-from .encoding import Encoder
+from .encoding import SLICE, encoder_of
 from .hashing import text_slices
 
 #: Fixed values of the file format.
@@ -159,12 +159,12 @@ def decode_blocks(blocks: list[tuple[int, bytes, bytes]], table: tuple[np.ndarra
 
 def _tokens(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Ids of each document as 2-byte integers, and with each task's last row its counts of ids."""
-    encoder = Encoder(path, 2)
+    encoder = encoder_of(path, 2)
     counts = np.zeros(1 << 16, np.int64)
     kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
     names = ["id", "ids", "counts", "row"]
     for batch in batches:
-        for part, _, _ in text_slices(batch):
+        for part, _, _ in text_slices(batch, size=SLICE):
             flat, borders = encoder.batch(part.column("text"), end_id)
             counts += np.bincount(flat, minlength=1 << 16)
             lists = pa.BinaryArray.from_buffers(kinds[1], len(borders) - 1, [None, pa.py_buffer((2 * borders).astype(np.int32)), pa.py_buffer(flat)])
