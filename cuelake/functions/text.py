@@ -38,6 +38,12 @@ def fold(c: Column, ascii_only: bool = False) -> Column:
     return F.regexp_replace(normalize_text(c, ascii_only), "['-]", "")
 
 
+def fold_text(text: str) -> str:
+    """``fold`` of one text, outside Spark."""
+    plain = unicodedata.normalize("NFKC", text).casefold().translate(str.maketrans(*QUOTES_AND_DASHES))
+    return " ".join(plain.split()).replace("'", "").replace("-", "")
+
+
 def detect_censored(core: Column, folded: Column | None = None, never_match: Column | None = None) -> Column:
     """Struct (style, first_letter, length, revealed, suffix) of a masked word, else null.
 
@@ -105,6 +111,22 @@ def json_field(c: Column, path: str, kind: str) -> Column:
     return F.get_json_object(c, path).try_cast(kind) if hasattr(c, "try_cast") else F.get_json_object(c, path).cast(kind)
 
 
+def snapshot_hash(c: Column, field: str = "profile_hash") -> Column:
+    """The hash that a run's stored settings name; null where they are missing, no JSON object, or name none."""
+    return F.get_json_object(c, f"$.{field}")
+
+
+def as_utc(c: Column) -> Column:
+    """A stored time without a zone is UTC: it gets the zone and isn't shifted, whatever the session's zone is."""
+    return F.from_utc_timestamp(c.cast("timestamp"), F.current_timezone())
+
+
+def item_label(kind: Column, title: Column, year: Column, code: Column) -> Column:
+    """``Title (year)`` of a film, ``Title S01E01`` of an episode; what is missing is left out."""
+    film = F.concat(title, F.when(year.isNotNull(), F.format_string(" (%d)", year)).otherwise(""))
+    return F.when(kind == "movie", film).otherwise(F.concat_ws(" ", title, code))
+
+
 def episode_code(season: Column, episodes: Column) -> Column:
     """``S01E01``; a run without gaps ``S01E01-E03``; otherwise the numbers joined by ``+``."""
     eps = F.array_sort(F.array_distinct(episodes))

@@ -27,6 +27,92 @@ def reconcile_listing(files: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.select("path", F.when(F.col("known").isNull(), "adopted").when(F.col("on_disk").isNull(), "purged").otherwise("same").alias("outcome"))
 
 
+#: What a merged row takes from the other one where it has nothing itself.
+MERGED_FIELDS = ("last_run_id", "cleaned_at", "fingerprint")
+
+
+def resolve_items(items: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files of the feed against the stored items, as they are before any of the files: (resolved, merges).
+
+    ``items``: item_id, title_id, kind, season, episode, episode_title, file_id, path, size, status, skip and ``MERGED_FIELDS``.
+    ``files``: title_id, kind, season, episode, episode_title, path, file_id, size, defer. A file's item is that of its
+    (title, season, episode), for films the title's first; else the first one at its path, which then is
+    adopted by the file's title; else it is created, skipped if ``defer`` says so. If both ways lead to different items they are
+    merged: the first one stays, takes over what it lacks, and ``merges`` tells (loser, winner) for the children.
+    ``resolved`` has the columns of ``items`` and ``outcome``: created, adopted, merged, updated (new path) or same.
+    A skip that is there is never changed.
+    """
+    fields = ["episode_title", "path", "size", "status", "skip", *MERGED_FIELDS]
+    held = F.struct("item_id", "title_id", *fields)
+    by_key = items.where("kind = 'episode'").groupBy("title_id", "season", "episode").agg(F.min(F.struct("item_id", held.alias("v")))["v"].alias("_key"))
+    by_title = items.groupBy("title_id").agg(F.min(F.struct("item_id", held.alias("v")))["v"].alias("_film"))
+    by_path = items.groupBy("path").agg(F.min(F.struct("item_id", held.alias("v")))["v"].alias("_path"))
+    found = files.join(by_key, ["title_id", "season", "episode"], "left").join(by_title, "title_id", "left").join(by_path, "path", "left")
+    found = found.withColumn("_key", F.when(F.col("kind") == "movie", F.col("_film")).otherwise(F.col("_key"))).drop("_film")
+    has_key, has_path = F.col("_key").isNotNull(), F.col("_path").isNotNull()
+    both = has_key & has_path & (F.col("_key.item_id") != F.col("_path.item_id"))
+    outcome = (
+        F.when(both, "merged").when(has_key, F.when(F.col("_key.path").eqNullSafe(F.col("path")), "same").otherwise("updated"))
+        .when(has_path, F.when(F.col("_path.title_id").eqNullSafe(F.col("title_id")), "same").otherwise("adopted")).otherwise("created")
+    )
+    old = F.when(has_key, F.col("_key")).otherwise(F.col("_path"))
+    found = found.withColumn("outcome", outcome).withColumn("_old", old)
+    taken = (F.col("outcome") == "merged") & F.col("_old.status").isin("untracked", "pending") & (F.col("_path.status") != "untracked")
+    status = F.when(taken, F.col("_path.status")).otherwise(F.coalesce("_old.status", F.lit("untracked")))
+    resolved = found.select(
+        F.col("_old.item_id").alias("item_id"), "title_id", "kind", "season", "episode", F.coalesce("episode_title", "_old.episode_title").alias("episode_title"),
+        "file_id", "path", F.coalesce("size", "_old.size").alias("size"), status.alias("status"),
+        F.when(F.col("_old").isNull(), F.coalesce("defer", F.lit(False))).otherwise(F.col("_old.skip")).alias("skip"),
+        *[F.when(F.col("outcome") == "merged", F.coalesce(f"_old.{c}", f"_path.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in MERGED_FIELDS], "outcome",
+    )
+    merges = found.where("outcome = 'merged'").select(F.col("_path.item_id").alias("loser"), F.col("_key.item_id").alias("winner")).distinct()
+    return resolved, merges
+
+
+def repoint(children: DataFrame, merges: DataFrame) -> DataFrame:
+    """``children`` with the item_id of merged items exchanged for that of the item that stays; an item merged into several goes to the first."""
+    to = merges.groupBy(F.col("loser").alias("item_id")).agg(F.min("winner").alias("_winner"))
+    return children.join(to, "item_id", "left").withColumn("item_id", F.coalesce("_winner", "item_id")).drop("_winner").select(*children.columns)
+
+
+def stale_items(items: DataFrame, live: DataFrame, synced: DataFrame) -> DataFrame:
+    """(item_id) of items of the ``synced`` titles that the feed no longer lists in ``live`` and that aren't stale yet; titles
+    with a negative id are placeholders and never synced. ``orphan_backups`` tells what becomes of their backups."""
+    titles = synced.where("title_id >= 0").select("title_id").distinct()
+    return items.where("status != 'stale'").join(titles, "title_id", "left_semi").join(live.select("item_id").distinct(), "item_id", "left_anti").select("item_id")
+
+
+def rules_in_scope(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """(item_id, rule_id, scope) of the rules that hold for each item: global ones, those of its title, its own."""
+    kept = rules.select("rule_id", "scope", "scope_id")
+    every = kept.where("scope = 'global'").select("rule_id", "scope")
+    of = lambda scope: kept.where(F.col("scope") == scope).select("rule_id", "scope", F.col("scope_id").alias(f"{scope}_id"))
+    # Global rules hold for every item: their product with the items is the result itself.
+    parts = [items.select("item_id").crossJoin(every), items.select("item_id", "title_id").join(of("title"), "title_id"), items.select("item_id").join(of("item"), "item_id")]
+    return parts[0].select("item_id", "rule_id", "scope").union(parts[1].select("item_id", "rule_id", "scope")).union(parts[2].select("item_id", "rule_id", "scope"))
+
+
+def rule_labels(rules: DataFrame, titles: DataFrame, items: DataFrame) -> DataFrame:
+    """``rules`` with ``label``: the name of the title or item that a rule is for, or what it was if it is gone; null for global rules."""
+    t = titles.select(F.col("title_id").alias("scope_id"), F.lit("title").alias("scope"), F.col("title").alias("_t"))
+    i = items.select(F.col("item_id").alias("scope_id"), F.lit("item").alias("scope"), F.col("label").alias("_i"))
+    named = rules.join(t, ["scope", "scope_id"], "left").join(i, ["scope", "scope_id"], "left")
+    gone = F.concat_ws(" ", F.col("scope"), F.col("scope_id").cast("string"))
+    label = F.when(F.col("scope").isin("title", "item") & F.col("scope_id").isNotNull(), F.coalesce("_t", "_i", gone))
+    return named.select(*rules.columns, label.alias("label"))
+
+
+def profile_usage(profiles: DataFrame, titles: DataFrame) -> DataFrame:
+    """(profile_id, titles): how many titles name each profile; none: 0."""
+    used = titles.where("profile_id is not null").groupBy("profile_id").agg(F.count("*").alias("titles"))
+    return profiles.select("profile_id").join(used, "profile_id", "left").select("profile_id", F.coalesce("titles", F.lit(0)).alias("titles"))
+
+
+def outcome_counts(outcomes: DataFrame) -> DataFrame:
+    """(reason, n, queued) of a batch of requests with a ``reason`` each; ``queued``: whether such a request made a run."""
+    return outcomes.groupBy("reason").agg(F.count("*").alias("n")).withColumn("queued", F.col("reason").isin("created", "superseded"))
+
+
 def group_episode_files(episodes: DataFrame) -> DataFrame:
     """Episodes of one file as one row: the lowest (season, episode) names it, titles joined in order."""
     return episodes.groupBy("file_id").agg(
@@ -102,9 +188,10 @@ def dedupe_requests(requests: DataFrame, runs: DataFrame, within: int = 60) -> D
     return asked.select("request_id", "item_id", reason.alias("reason"))
 
 
-def map_paths(df: DataFrame, path: str, rules: list[tuple[str, str]]) -> DataFrame:
+def map_paths(df: DataFrame, path: str, rules: list[tuple[str, str]], back: bool = False) -> DataFrame:
     """``df`` with ``mapped``: the longest prefix that ends at a separator is exchanged; others pass through. The rules
-    are a list as a user keeps it, so they are tried in place, longest first."""
+    are a list as a user keeps it, so they are tried in place, longest first. ``back``: from the second prefix to the first."""
+    rules = [(b, a) for a, b in rules] if back else rules
     p = F.regexp_replace(F.col(path), r"[/\\]+$", "")
     out = p
     for old, new in sorted(rules, key=lambda r: len(r[0])):

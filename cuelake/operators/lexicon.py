@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import detect_censored, fold, mask_text
+from ..functions.text import detect_censored, fold, fold_text, mask_text
 
 LEXICON = "canonical string, category string, forms array<string>, is_phrase boolean, enabled boolean"
 _OPEN, _CLOSE = "\u0001", "\u0002"
@@ -235,11 +236,97 @@ def ruleset_fingerprint(items: DataFrame, entries_key: str, rules: DataFrame) ->
 
 
 def join_tokens(words: DataFrame) -> DataFrame:
-    """Per item the words joined by spaces, words without letters as a line break, and the places of each word."""
-    lead = Window.partitionBy("item_id").orderBy("word_index")
-    shown = words.withColumn("shown", F.when(F.col("kind") == "empty", "\n").otherwise(F.col("norm")))
-    placed = shown.withColumn("char_end", F.sum(F.length("shown") + 1).over(lead) - 1).withColumn("char_start", F.col("char_end") - F.length("shown"))
+    """(item_id, joined, places): per item the words (item_id, word_index, norm) one space apart, a line break instead where words
+    without letters (``norm`` empty) lie between, so that no phrase reaches across. ``places``: word_index, char_start, char_end."""
+    order = Window.partitionBy("item_id").orderBy("word_index")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    there = F.length("norm") > 0
+    placed = words.withColumns({
+        "_first": F.coalesce(F.max(F.when(there, 1)).over(before), F.lit(0)) == 0,
+        # The word before, if it was one without letters, leaves a break.
+        "_break": F.coalesce(~F.lag(there).over(order), F.lit(False)),
+        "_done": F.coalesce(F.sum(F.when(there, F.length("norm") + 1)).over(before), F.lit(0)),
+    })
+    placed = placed.withColumn("_text", F.when(there, F.concat(F.when(F.col("_first"), "").when(F.col("_break"), "\n").otherwise(" "), F.col("norm"))).otherwise(""))
+    start = F.when(there | F.col("_first"), F.col("_done")).otherwise(F.col("_done") - 1).cast("int")
+    placed = placed.withColumn("char_start", start).withColumn("char_end", start + F.length("norm"))
     return placed.groupBy("item_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "shown"))), lambda x: x["shown"]), " ").alias("joined"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "_text"))), lambda x: x["_text"]), "").alias("joined"),
         F.array_sort(F.collect_list(F.struct("word_index", "char_start", "char_end"))).alias("places"),
     )
+
+
+def span_to_tokens(spans: DataFrame, joined: DataFrame) -> DataFrame:
+    """``spans`` (item_id, char_start, char_end) of joined texts with first_word and last_word, the words that they touch;
+    words without letters have no width and are none of them. A span past the last word has nulls."""
+    named = joined.select("item_id", F.col("places").alias("_places"))
+    touched = F.filter("_places", lambda x: (x["char_start"] < F.col("char_end")) & (x["char_end"] > F.col("char_start")))
+    out = spans.join(named, "item_id").withColumn("_touched", touched)
+    some = F.size("_touched") > 0
+    return out.select(
+        *spans.columns, F.when(some, F.col("_touched")[0]["word_index"]).alias("first_word"), F.when(some, F.element_at("_touched", -1)["word_index"]).alias("last_word")
+    )
+
+
+#: Marks of subtitle files, and what the escapes among them show.
+MARKUP = re.compile(r"(\{[^}]*\}|\\[Nnh])")
+ESCAPES = {"\\N": "\n", "\\n": "\n", "\\h": " "}
+_REDACTED = "struct<redacted:string,n_hits:int,tags_dropped:int>"
+
+
+def redact_markup(df: DataFrame, text: str, entries: list[tuple], mask: str = "*", rules: list[tuple[str, str]] = ()) -> DataFrame:
+    """``df`` with redacted, n_hits and tags_dropped: like ``redact``, but on what a line shows.
+
+    Words that a mark cuts through are found; what stands between their letters goes with them, and blocks in braces are counted.
+    Marks elsewhere stay. ``rules``: (canonical, context) of hits to leave alone, an empty context meaning anywhere, any other where its folded
+    text stands in the folded line. Lines without marks and rules never leave the JVM.
+    """
+    pattern = compile_lexicon(entries)
+    if pattern is None:
+        return df.select("*", F.col(text).alias("redacted"), F.lit(0).alias("n_hits"), F.lit(0).alias("tags_dropped"))
+    finder = re.compile(pattern.replace("(?iuU)", "(?i)"))
+    forms = [(re.compile(f"(?i){p}"), canonical) for _, p, canonical, _ in ranked_forms(entries)]
+    spared: dict[str, list[str]] = {}
+    for canonical, context in rules:
+        spared.setdefault(canonical, []).append(fold_text(context or ""))
+
+    def stays(hit: str, line: str) -> bool:
+        owner = next((c for p, c in forms if p.fullmatch(hit)), None)
+        return any(not context or context in fold_text(line) for context in spared.get(owner, ()))
+
+    def one(raw: str | None) -> dict:
+        if raw is None:
+            return {"redacted": None, "n_hits": 0, "tags_dropped": 0}
+        shown, places, at = [], [], 0
+        for token in MARKUP.split(raw):
+            if MARKUP.fullmatch(token):
+                if token in ESCAPES:
+                    shown.append(ESCAPES[token])
+                    places.append((at, at + len(token)))
+            else:
+                shown.append(token)
+                places += [(at + i, at + i + 1) for i in range(len(token))]
+            at += len(token)
+        line = "".join(shown)
+        out, done, hits, dropped = [], 0, 0, 0
+        for m in finder.finditer(line):
+            if stays(m[0], line):
+                continue
+            a, b = places[m.start()][0], places[m.end() - 1][1]
+            hits += 1
+            dropped += sum(t.startswith("{") for t in MARKUP.findall(raw[a:b]))
+            out += [raw[done:a], re.sub("[^ \t\u00a0'’-]", lambda _: mask, m[0])]
+            done = b
+        return {"redacted": "".join([*out, raw[done:]]), "n_hits": hits, "tags_dropped": dropped}
+
+    @F.arrow_udf(_REDACTED)
+    def by_line(lines: pa.Array) -> pa.Array:
+        kind = pa.struct([("redacted", pa.string()), ("n_hits", pa.int32()), ("tags_dropped", pa.int32())])
+        return pa.array([one(x) for x in lines.to_pylist()], kind)
+
+    plain = redact(df, text, entries, mask)
+    marked = F.col(text).rlike(r"\{[^}]*\}|\\[Nnh]") | F.lit(bool(spared))
+    # The helper gets null for lines that it isn't needed for.
+    out = plain.withColumn("_r", by_line(F.when(marked, F.col(text))))
+    pick = lambda c, other: F.when(marked, F.col(f"_r.{c}")).otherwise(other)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], pick("redacted", F.col("redacted")).alias("redacted"), pick("n_hits", F.col("n_hits")).alias("n_hits"), pick("tags_dropped", F.lit(0)).alias("tags_dropped"))

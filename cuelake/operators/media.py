@@ -44,37 +44,101 @@ def choose_audio(streams: DataFrame, language: str) -> DataFrame:
     return streams.groupBy("item_id").agg(F.min_by("track", F.struct(pool, F.col("commentary"), ~F.col("is_default"), "track")).alias("track"))
 
 
-def compare_streams(source: DataFrame, output: DataFrame, tolerance: float = 0.5) -> DataFrame:
-    """Named checks per item in long form: item_id, check, severity, expected, actual, ok.
+#: Titles of the two tracks, the tag that names the source, changes of subtitle codec that are meant to be.
+CLEAN_TITLE, ORIGINAL_TITLE, SOURCE_TAG = "Clean", "Original", "SRC_FP"
+SUBTITLE_CHANGES = (("mov_text", "subrip"), ("text", "subrip"))
+
+
+def _file(streams: DataFrame, files: DataFrame, side: str) -> DataFrame:
+    """One row per item: a struct of its file with arrays of its streams in order."""
+
+    def of(kind: str, *columns: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("typed_index", *columns))))
+        return F.transform(rows, lambda x: F.struct(*[x[c].alias(c) for c in columns])).alias(kind)
+
+    per = streams.groupBy("item_id").agg(
+        of("video", "codec", "width", "height", "pix_fmt", "attached_pic"), of("audio", "codec", "channels", "lang", "title", "flags"), of("subtitle", "codec", "image")
+    )
+    empty = lambda kind: F.coalesce(kind, F.array().cast(dict(per.dtypes)[kind])).alias(kind)
+    joined = files.join(per, "item_id", "left")
+    return joined.select("item_id", F.struct("duration", "size", "chapters", "attachments", "tags", *[empty(k) for k in ("video", "audio", "subtitle")]).alias(side))
 
-    Both sides: item_id, kind, codec, lang, channels, flags, duration, chapters. Streams are summed per item first, so
-    the join has one row for each item. An item that the output lacks fails its fatal checks.
-    """
 
-    def summary(df: DataFrame, side: str) -> DataFrame:
-        def of(kind: str, c: str) -> Column:
-            return F.to_json(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col(c).cast("string")))))
-
-        return df.groupBy("item_id").agg(F.struct(
-            *[F.count_if(F.col("kind") == k).cast("string").alias(f"{k}_streams") for k in ("video", "audio", "subtitle")],
-            *[of(k, c).alias(f"{k}_{c}") for k, c in (("video", "codec"), ("audio", "lang"), ("audio", "channels"), ("subtitle", "codec"), ("subtitle", "lang"), ("subtitle", "flags"))],
-            F.max("chapters").cast("string").alias("chapters"), F.max("duration").alias("duration"),
-        ).alias(side))
-
-    a, b = summary(source, "a"), summary(output, "b")
-    joined = a.join(b, "item_id", "left")
-    #: What loses content is fatal, what loses a label a warning.
-    severity = {
-        "video_streams": "fatal", "audio_streams": "fatal", "subtitle_streams": "fatal", "video_codec": "fatal", "subtitle_codec": "warning",
-        "audio_lang": "warning", "audio_channels": "warning", "subtitle_lang": "warning", "subtitle_flags": "warning", "chapters": "warning",
-    }
-    tests = [
-        F.struct(F.lit(k).alias("check"), F.lit(s).alias("severity"), F.col(f"a.{k}").alias("expected"), F.col(f"b.{k}").alias("actual"), F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")).alias("ok"))
-        for k, s in severity.items()
-    ]
-    near = F.coalesce(F.abs(F.col("a.duration") - F.col("b.duration")) <= tolerance, F.col("a.duration").isNull() & F.col("b").isNotNull())
-    tests.append(F.struct(F.lit("duration").alias("check"), F.lit("fatal").alias("severity"), F.col("a.duration").cast("string").alias("expected"), F.col("b.duration").cast("string").alias("actual"), near.alias("ok")))
-    return joined.select("item_id", F.explode(F.array(*tests)).alias("t")).select("item_id", "t.*")
+def compare_streams(source: DataFrame, output: DataFrame, source_files: DataFrame, output_files: DataFrame, plan: DataFrame, tolerance: float = 0.5, floor: float = 0.9) -> DataFrame:
+    """Whether new files kept what they should: item_id, check, severity, expected, actual, ok; 20 checks, of which those on the clean track
+    need an audio stream and those on the original track need that track.
+
+    Streams: item_id, kind, typed_index, codec, width, height, pix_fmt, attached_pic, channels, lang, title, flags (array), image.
+    Files: item_id, duration, size, chapters, attachments, tags (map). ``plan``: item_id, encoder, language, source_audio and original (places of the
+    audio streams in source and output), tags. Streams are gathered per file, so the joins have one row for each item. An item without
+    an output has no checks.
+    """
+    t = _file(source, source_files, "a").join(_file(output, output_files, "b"), "item_id").join(plan.select("item_id", F.struct(*[c for c in plan.columns if c != "item_id"]).alias("plan")), "item_id")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    text = lambda c: c.cast("string")
+    listed = lambda c: F.to_json(c)
+    pictures = lambda c: F.transform(F.filter(c, lambda v: ~F.coalesce(v["attached_pic"], F.lit(False))), lambda v: F.struct(v["codec"], v["width"], v["height"], v["pix_fmt"]))
+    default = lambda x: F.array_contains(x["flags"], "default")
+    clean, wanted_audio = F.get(b("audio"), F.lit(0)), F.get(a("audio"), F.col("plan.source_audio"))
+    original = F.get(b("audio"), F.col("plan.original"))
+    want, got = lang_norm(F.col("plan.language")), lang_norm(clean["lang"])
+    want, got = F.when(want != "und", want), F.when(got != "und", got)
+    flags = lambda x: F.array_sort(F.array_remove(x["flags"], "default"))
+    pairs = F.filter(F.arrays_zip(a("subtitle").alias("x"), b("subtitle").alias("y")), lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~p["x"]["codec"].eqNullSafe(p["y"]["codec"]))
+    meant = lambda p: F.struct(p["x"]["codec"], p["y"]["codec"]).isin([F.struct(F.lit(x), F.lit(y)) for x, y in SUBTITLE_CHANGES])
+    images = F.filter(pairs, lambda p: F.coalesce(p["x"]["image"], F.lit(False)))
+    codecs = F.filter(pairs, lambda p: ~F.coalesce(p["x"]["image"], F.lit(False)) & ~meant(p))
+    n_defaults = F.size(F.filter(b("audio"), default))
+    drift = F.abs(a("duration") - b("duration"))
+    lost = F.array_except(F.map_keys("plan.tags"), F.map_keys(b("tags")))
+    fatal, warn = F.lit("fatal"), F.lit("warn")
+    yes, no_clean, no_original = F.lit(True), clean.isNotNull(), original.isNotNull()
+    #: Names of the checks, and whether a failure is fatal.
+    checks = [
+        ("audio_stream_count", fatal, text(F.size(a("audio")) + 1), text(F.size(b("audio"))), F.size(b("audio")) == F.size(a("audio")) + 1, yes),
+        ("video_streams_identical", fatal, listed(pictures(a("video"))), listed(pictures(b("video"))), pictures(a("video")) == pictures(b("video")), yes),
+        ("clean_track_is_audio_zero", fatal, None, None, no_clean, yes),
+        ("clean_track_title", fatal, F.lit(CLEAN_TITLE), clean["title"], clean["title"] == CLEAN_TITLE, no_clean),
+        ("clean_track_default", fatal, None, None, default(clean), no_clean),
+        ("clean_track_codec", warn, F.col("plan.encoder"), clean["codec"], clean["codec"] == F.col("plan.encoder"), no_clean),
+        ("clean_track_channels", fatal, text(wanted_audio["channels"]), text(clean["channels"]), clean["channels"] == wanted_audio["channels"], no_clean),
+        ("clean_track_language", F.when(want.isNull() | got.isNull(), warn).otherwise(fatal), want, got, want.eqNullSafe(got), no_clean),
+        ("single_default_audio", fatal, F.lit("1"), text(n_defaults), n_defaults == 1, yes),
+        ("original_track_title", warn, F.lit(ORIGINAL_TITLE), original["title"], original["title"] == ORIGINAL_TITLE, no_original),
+        ("original_dispositions_preserved", warn, listed(flags(wanted_audio)), listed(flags(original)), F.size(F.array_except(flags(wanted_audio), flags(original))) == 0, no_original),
+        ("subtitle_stream_count", fatal, text(F.size(a("subtitle"))), text(F.size(b("subtitle"))), F.size(a("subtitle")) == F.size(b("subtitle")), yes),
+        ("bitmap_subtitles_untouched", fatal, None, listed(images), F.size(images) == 0, yes),
+        ("subtitle_codecs", warn, None, listed(codecs), F.size(codecs) == 0, yes),
+        ("chapters_preserved", F.when((a("chapters") > 0) & (b("chapters") == 0), fatal).otherwise(warn), text(a("chapters")), text(b("chapters")), (b("chapters") >= a("chapters")) | (b("chapters") > 0), yes),
+        ("attachments_preserved", warn, text(a("attachments")), text(b("attachments")), b("attachments") >= a("attachments"), yes),
+        ("duration_within_tolerance", fatal, F.lit(f"<= {tolerance}"), text(drift), drift <= tolerance, yes),
+        ("output_size_floor", fatal, F.lit(f">= {floor:g}x"), text(b("size")), b("size") >= a("size") * floor, yes),
+        ("idempotency_tags", fatal, listed(F.map_keys("plan.tags")), listed(lost), F.size(lost) == 0, yes),
+        ("source_fingerprint_tag", fatal, F.col("plan.tags")[SOURCE_TAG], b("tags")[SOURCE_TAG], b("tags")[SOURCE_TAG].eqNullSafe(F.col("plan.tags")[SOURCE_TAG]), yes),
+    ]
+    rows = F.array(*[
+        F.struct(
+            F.lit(name).alias("check"), severity.alias("severity"), (F.lit(None) if expected is None else expected).cast("string").alias("expected"),
+            (F.lit(None) if actual is None else actual).cast("string").alias("actual"), F.coalesce(ok, F.lit(False)).alias("ok"), there.alias("there"),
+        )
+        for name, severity, expected, actual, ok, there in checks
+    ])
+    return t.select("item_id", F.explode(F.filter(rows, lambda c: c["there"])).alias("c")).select("item_id", "c.check", "c.severity", "c.expected", "c.actual", "c.ok")
+
+
+def ocr_filter(cues: DataFrame, least: float = 60.0) -> tuple[DataFrame, DataFrame]:
+    """Cues read from pictures (item_id, cue_index, text, confidence, ...): those that hold text, read with a confidence of ``least``, numbered
+    anew from 0 in their order; and per item cues_in, cues_out, dropped_empty, dropped_confidence, mean_confidence (0 without cues)."""
+    empty = F.coalesce(F.col("text") == "", F.lit(True))
+    weak = ~empty & F.coalesce(F.col("confidence") < least, F.lit(True))
+    good = ~empty & ~weak
+    order = Window.partitionBy("item_id").orderBy("cue_index")
+    kept = cues.where(good).withColumn("cue_index", F.row_number().over(order) - 1)
+    stats = cues.groupBy("item_id").agg(
+        F.count("*").alias("cues_in"), F.count_if(good).alias("cues_out"), F.count_if(empty).alias("dropped_empty"), F.count_if(weak).alias("dropped_confidence"),
+        F.coalesce(F.avg(F.when(good, F.col("confidence"))), F.lit(0.0)).alias("mean_confidence"),
+    )
+    return kept, stats
 
 
 def verdicts(checks: DataFrame) -> DataFrame:

@@ -93,3 +93,10 @@ def retire_stale(runs: DataFrame, now: Column, silent: int = 120, most: int = 3)
     quiet = F.col("heartbeat").isNull() | (F.col("heartbeat") < now - F.make_interval(secs=F.lit(silent)))
     outcome = F.when((F.col("attempts") >= most) | (F.col("stage") == "swap"), "retired").otherwise("requeued")
     return runs.where((F.col("state") == "running") & quiet).withColumn("outcome", outcome)
+
+
+def log_tail(lines: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` of each run's log ``lines`` (run_id, line_id, ts, ...), with ``nth`` from 1 in order of (ts, line_id)."""
+    run = Window.partitionBy("run_id")
+    back = lines.withColumn("_back", F.row_number().over(run.orderBy(F.desc("ts"), F.desc("line_id")))).where(F.col("_back") <= n)
+    return back.withColumn("nth", F.row_number().over(run.orderBy("ts", "line_id"))).drop("_back")

@@ -104,16 +104,6 @@ def _(spark, d):
     return media.choose_audio(_tracks(spark, d).withColumnRenamed("forced", "commentary"), "eng")
 
 
-@add("compare_streams", """
-WITH a AS (SELECT p_partkey // 6 AS item_id, count(*) FILTER (p_partkey % 3 = 1) AS n, count(*) FILTER (p_partkey % 3 = 1 AND p_partkey % 4 <> 0) AS m, count(*) FILTER (p_partkey % 4 <> 0) AS k FROM part GROUP BY 1)
-SELECT item_id, k > 0 AND n = m AS audio_ok, k > 0 AS duration_ok FROM a""")
-def _(spark, d):
-    k = F.col("track")
-    source = _tracks(spark, d).withColumns({"kind": _pick(_KINDS, k % 3), "codec": F.lit("x"), "channels": F.lit(2), "flags": F.lit(""), "duration": F.lit(60.0), "chapters": F.lit(0)})
-    checks = media.compare_streams(source, source.where("track % 4 != 0"))
-    return checks.groupBy("item_id").agg(F.bool_and(F.when(F.col("check") == "audio_streams", F.col("ok"))).alias("audio_ok"), F.bool_and(F.when(F.col("check") == "duration", F.col("ok"))).alias("duration_ok"))
-
-
 # Transcripts, labels, the run table.
 @add("transcript_words", """
 WITH w AS (SELECT conv_id AS item_id, turn, string_split(text, ' ') AS ws FROM conversations), e AS (SELECT item_id, turn, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w)

@@ -212,7 +212,7 @@ def _(spark, d):
 
 
 @add("item_state", f"""
-SELECT item_id, CASE WHEN dl IS NULL AND fd IS NULL THEN 'unknown' WHEN fd IS NULL OR dl > fd THEN 'pending' ELSE 'stale' END AS status, renames, n_events FROM (
+SELECT item_id, CASE WHEN dl IS NULL AND fd IS NULL THEN 'unknown' WHEN fd IS NULL OR dl > fd THEN 'pending' ELSE 'stale' END AS status, dl IS NOT NULL AS unskipped, false AS disabled, renames, n_events FROM (
 SELECT item_id, max((at_us, event_id)) FILTER (event_type = 'Download') AS dl, max((at_us, event_id)) FILTER (event_type = 'EpisodeFileDelete') AS fd, count(*) FILTER (event_type = 'Rename') AS renames, count(*) AS n_events FROM {fx.EVENTS_SQL} GROUP BY 1)""")
 def _(spark, d):
     return ev.item_state(fx.catalog_events(spark, d))

@@ -8,18 +8,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Event kinds and what they lead to.
-ROUTES = {"SeriesAdd": "add_title", "Download": "download", "Rename": "rename", "EpisodeFileDelete": "file_delete", "SeriesDelete": "delete_title", "Test": "store_only"}
+from ..operators.lexicon import find_hits
+
+#: Event kinds and what they lead to; kinds that are only stored; actions that need a known title.
+ROUTES = {
+    "SeriesAdd": "add_title", "MovieAdded": "add_title", "SeriesDelete": "delete_title", "MovieDelete": "delete_title",
+    "Rename": "rename", "EpisodeFileDelete": "file_delete", "MovieFileDelete": "file_delete", "Download": "download",
+}
+STORE_ONLY = ("Test", "Grab", "Health", "HealthRestored", "ApplicationUpdate", "ManualInteractionRequired", "Retag")
+NEEDS_TITLE = ("rename", "file_delete", "download")
 
 
 def route_events(events: DataFrame, titles: DataFrame) -> DataFrame:
-    """Events (event_type, title_id) with ``action`` and ``note``; events of unknown titles or kinds are stored with a note."""
+    """Events (event_type, title_id) with ``action`` and ``note``; events without a kind, of an unknown kind or, where a title is needed, of an
+    unknown title are stored with a note. ``titles`` is a table; ``events`` may be a stream."""
     table = F.create_map(*[F.lit(x) for p in ROUTES.items() for x in p])
-    known = titles.select("title_id", F.lit(True).alias("_known"))
+    known = titles.select("title_id").distinct().withColumn("_known", F.lit(True))
     action = F.try_element_at(table, F.col("event_type"))
+    none = F.coalesce(F.col("event_type") == "", F.lit(True))
+    stored = F.col("event_type").isin(*STORE_ONLY)
     joined = events.join(known, "title_id", "left")
-    lost = F.col("_known").isNull() & action.isin("download", "rename", "file_delete", "delete_title")
-    return joined.withColumn("action", F.when(action.isNull() | lost, "store_only").otherwise(action)).withColumn("note", F.when(action.isNull(), "unknown type").when(lost, "unknown title")).drop("_known")
+    lost = F.col("_known").isNull() & action.isin(*NEEDS_TITLE)
+    note = F.when(none, "no event type").when(action.isNull() & ~stored, "unknown type").when(lost, "unknown title")
+    return joined.withColumn("note", note).withColumn("action", F.when(action.isNull() | lost, "store_only").otherwise(action)).drop("_known")
 
 
 def dedupe_stream(events: DataFrame, seconds: int = 60) -> DataFrame:
@@ -48,30 +59,40 @@ def dedupe_events(events: DataFrame, seconds: int = 60) -> DataFrame:
 
 def item_state(events: DataFrame) -> DataFrame:
     """Batch form: the state of each item after its events in order (at_us, event_id): the last download or file delete
-    tells the status, the last download lifts a skip, a title delete disables."""
+    tells the status, any download lifts a skip, a title delete with no later addition disables."""
     order = F.struct("at_us", "event_id")
     of = lambda *kinds: F.col("event_type").isin(*kinds)
     last = lambda cond: F.max(F.when(cond, order))
-    s = events.groupBy("item_id").agg(last(of("Download")).alias("dl"), last(of("EpisodeFileDelete")).alias("fd"), F.count_if(of("Rename")).alias("renames"), F.count("*").alias("n_events"))
+    s = events.groupBy("item_id").agg(
+        last(of("Download")).alias("dl"), last(of("EpisodeFileDelete", "MovieFileDelete")).alias("fd"), last(of("SeriesDelete", "MovieDelete")).alias("td"),
+        last(of("SeriesAdd", "MovieAdded")).alias("ta"), F.count_if(of("Rename")).alias("renames"), F.count("*").alias("n_events"),
+    )
     status = F.when(F.col("dl").isNull() & F.col("fd").isNull(), "unknown").when(F.col("fd").isNull() | (F.col("dl") > F.col("fd")), "pending").otherwise("stale")
-    return s.select("item_id", status.alias("status"), "renames", "n_events")
+    disabled = F.coalesce(F.col("td") > F.col("ta"), F.col("td").isNotNull())
+    return s.select("item_id", status.alias("status"), F.col("dl").isNotNull().alias("unskipped"), disabled.alias("disabled"), "renames", "n_events")
 
 
 def item_state_stream(events: DataFrame) -> DataFrame:
-    """Streaming form of item_state: one row per item and trigger with events, from state held per item."""
+    """Streaming form of item_state: one row per item and trigger with events, from state held per item. Events of one
+    time count in the order in which they come."""
 
     def fold(key, batches, state):
-        at, kind, renames, n = state.get if state.exists else (0, "unknown", 0, 0)
+        at, kind, unskipped, title_at, disabled, renames, n = state.get if state.exists else (-1, "unknown", False, -1, False, 0, 0)
         for pdf in batches:
             for t, e in zip(pdf["at_us"], pdf["event_type"]):
                 n += 1
                 renames += e == "Rename"
-                if e in ("Download", "EpisodeFileDelete") and t >= at:
+                unskipped |= e == "Download"
+                if e in ("Download", "EpisodeFileDelete", "MovieFileDelete") and t >= at:
                     at, kind = t, "pending" if e == "Download" else "stale"
-        state.update((int(at), kind, int(renames), int(n)))
-        yield pd.DataFrame({"item_id": [key[0]], "status": [kind], "renames": [int(renames)], "n_events": [int(n)]})
+                if e in ("SeriesAdd", "MovieAdded", "SeriesDelete", "MovieDelete") and t >= title_at:
+                    title_at, disabled = t, e in ("SeriesDelete", "MovieDelete")
+        state.update((int(at), kind, bool(unskipped), int(title_at), bool(disabled), int(renames), int(n)))
+        yield pd.DataFrame({"item_id": [key[0]], "status": [kind], "unskipped": [bool(unskipped)], "disabled": [bool(disabled)], "renames": [int(renames)], "n_events": [int(n)]})
 
-    return events.groupBy("item_id").applyInPandasWithState(fold, "item_id long, status string, renames long, n_events long", "at long, kind string, renames long, n long", "update", "NoTimeout")
+    out = "item_id long, status string, unskipped boolean, disabled boolean, renames long, n_events long"
+    held = "at long, kind string, unskipped boolean, title_at long, disabled boolean, renames long, n long"
+    return events.groupBy("item_id").applyInPandasWithState(fold, out, held, "update", "NoTimeout")
 
 
 def merge_ranges_stream(events: DataFrame, gap_us: int, late: str = "10 minutes") -> DataFrame:
@@ -92,5 +113,10 @@ def store_events(events: DataFrame, path: str, checkpoint: str):
     return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def match_stream(cues: DataFrame, entries: list[tuple]) -> DataFrame:
+    """Hits of a word list in a stream of cues: no state, each cue by itself, as ``find_hits`` on a table."""
+    return find_hits(cues, entries)
+
+
 def newest_first(events: DataFrame) -> DataFrame:
     return events.withColumn("nth", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("at_us"), F.desc("event_id"))))
