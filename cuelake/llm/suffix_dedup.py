@@ -281,11 +281,12 @@ def _hot_keys(texts: DataFrame, min_bytes: int) -> list[int]:
     return [r[0] for r in counted.orderBy(F.desc("n"), "key").limit(256).collect()]
 
 
-def _told(anchors: DataFrame, hot: list[int]) -> DataFrame:
-    """Rows that may repeat, with ``same`` (rows of equal anchor and context), ``kinds`` (contexts of the anchor), ``single``
-    (one of them stands once) and ``nth`` (1: the row that stands for its context).
+def _told(anchors: DataFrame, hot: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(equal, wanted): rows of contexts that stand more than once, and one row for each context of an anchor that has
+    several ``kinds`` of them, one of which at least stands once.
 
-    Rows of a hot anchor are counted in ``_SHARES`` shares by row, then over the shares.
+    Rows of a hot anchor are counted in ``_SHARES`` shares by row, then over the shares: a row whose context stands twice in
+    its share needs no more, the others ask the sums.
     """
     is_hot = F.col("key").isin(hot) if hot else F.lit(False)
     anchors = anchors.withColumn("share", F.when(is_hot, F.pmod("row", F.lit(_SHARES))).otherwise(-1))
@@ -298,17 +299,19 @@ def _told(anchors: DataFrame, hot: list[int]) -> DataFrame:
         .where("share >= 0 or same > 1 or (kinds > 1 and single)")
     )
     counted = materialise(counted, "anchors")
+    place, ask = ["row", "mark", "start", "windows"], ["row", "mark", "key", "start", "windows", "kinds"]
+    equal = counted.where("same > 1").select(*place)
+    wanted = counted.where("share < 0 and nth = 1 and kinds > 1 and single").select(*ask)
     if not hot:
-        return counted.drop("context", "share")
-    rows = counted.where("share >= 0").select("row", "mark", "key", "context", "start", "windows", "same", "nth")
-    whole = rows.where("nth = 1").groupBy("key", "context").agg(F.sum("same").alias("same"), F.min(F.struct("row", "start")).alias("first"))
+        return equal, wanted
+    rows = counted.where("share >= 0")
+    whole = rows.where("nth = 1").groupBy("key", "context").agg(F.sum("same").alias("same"), F.min(F.struct("row", "start", "mark", "windows")).alias("first"))
     whole = materialise(whole, "hot-contexts")
     # No more rows than hot anchors.
     keys = F.broadcast(whole.groupBy("key").agg(F.count("*").alias("kinds"), (F.min("same") == 1).alias("single")))
-    rows = rows.drop("same", "nth").join(whole.join(keys, "key"), ["key", "context"])
-    rows = rows.withColumn("nth", F.when(F.struct("row", "start") == F.col("first"), 1).otherwise(2)).where("same > 1 or (kinds > 1 and single)")
-    names = ["row", "mark", "key", "start", "windows", "nth", "same", "kinds", "single"]
-    return counted.where("share < 0").select(*names).union(rows.select(*names))
+    asked = whole.join(keys.where("kinds > 1 and single"), "key").select("first.row", "first.mark", "key", "first.start", "first.windows", "kinds")
+    alone = rows.where("same = 1").join(whole.where("same > 1").select("key", "context"), ["key", "context"], "left_semi")
+    return equal.union(alone.select(*place)), wanted.union(asked.select(*ask))
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, crowd: int = CROWD) -> Repeats:
@@ -341,9 +344,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         stored = whole.table
         texts = stored.where("_cl_one").select(F.col("_cl_row").alias("row"), F.col("_cl_mark").alias("mark"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
         texts = texts.where(F.octet_length("text") >= min_bytes)
-        anchors = _told(texts.mapInArrow(lambda b: _anchors(b, min_bytes), _ANCHORS), _hot_keys(texts, min_bytes))
-        equal = anchors.where("same > 1").select("row", "mark", "start", (F.col("start") + F.col("windows") + (min_bytes - 1)).alias("stop"))
-        wanted = anchors.where("nth = 1 and kinds > 1 and single").groupBy("row", "mark").agg(F.collect_list(F.struct("key", "start", "windows", "kinds")).alias("wanted"))
+        equal, wanted = _told(texts.mapInArrow(lambda b: _anchors(b, min_bytes), _ANCHORS), _hot_keys(texts, min_bytes))
+        equal = equal.select("row", "mark", "start", (F.col("start") + F.col("windows") + (min_bytes - 1)).alias("stop"))
+        wanted = wanted.groupBy("row", "mark").agg(F.collect_list(F.struct("key", "start", "windows", "kinds")).alias("wanted"))
         wanted = materialise(wanted, "wanted")
 
         def cut(which: str) -> DataFrame:
