@@ -7,8 +7,10 @@ own tokens then fetch the few rules filed under them, and only those run their e
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ DEFAULT_PATTERNS = [
 ]
 
 
+_JUDGED = "struct<rule:string,verdict:string,n_candidates:int>"
+
+
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; null or no ``://``: empty."""
     host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
@@ -74,45 +79,46 @@ def judge_urls(
     url_col: str = "url",
     default: str = "allow",
 ) -> DataFrame:
-    """``pages`` with host, path, rule, verdict, and n_candidates: rules that ran.
+    """``pages`` with host, path, rule, verdict, and n_candidates: rules whose expression ran.
 
     The longest fitting host rule wins and is named in ``rule``; without one ``rule`` is null and the
-    longest fitting pattern rule decides, else ``default``. A null url or one without ``://`` has an
-    empty host and path and fits no host rule. Repeated rows are judged each for itself; columns named
-    like the new ones are replaced. The rules come as a Python list, so the table of rules is as large
-    as what the caller wrote down, and does not grow with the pages.
+    longest fitting pattern rule decides, else ``default``. Of rules of equal length the later one wins. A null url or one
+    without ``://`` has an empty host and path and fits no host rule. Repeated rows are judged each for itself; columns named
+    like the new ones are replaced; an empty table gives no rows. The rules come as a Python list, so the index is as large as
+    what the caller wrote down, and does not grow with the pages. Each row is judged where it is: nothing is shuffled
+    but the counts of the rules' tokens.
     """
-    spark = pages.sparkSession
     base = pages.withColumn("host", url_host(F.col(url_col))).withColumn("path", url_path(F.col(url_col)))
     base = base.drop("rule", "verdict", "n_candidates")
-    listed = host_rules(rules) + pattern_rules(patterns)
-    if not listed:
-        return base.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(0).alias("n_candidates"))
-    table = spark.createDataFrame(
-        [(i, *r) for i, r in enumerate(listed)],
-        "rule_id int, rule string, pattern string, tokens array<string>, says string, rank int, size int",
-    )
-    urls = base.select(F.col(url_col).alias("_url"), "host", "path").distinct()
-    seen = urls.select("_url", F.concat("host", "path").alias("address"), F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token"))
-    wanted = table.select("rule_id", F.explode("tokens").alias("token"))
-    counts = seen.join(F.broadcast(wanted.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = (
-        wanted.join(counts, "token", "left")
-        .groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    )
-    index = table.drop("tokens").join(rarest, "rule_id")
-    hits = (
-        seen.join(F.broadcast(index), "token")
-        .withColumn("fits", F.expr("address rlike pattern"))
-        .groupBy("_url")
-        .agg(F.expr("max_by(struct(rule, says), struct(rank, size, rule_id)) filter (where fits)").alias("best"), F.count("*").cast("int").alias("n_candidates"))
-    )
-    return base.join(hits, base[url_col] == hits["_url"], "left").select(
-        *[base[c] for c in base.columns],
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.says", F.lit(default)).alias("verdict"),
-        F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
-    )
+    listed = sorted(enumerate(host_rules(rules) + pattern_rules(patterns)), key=lambda r: (-r[1][4], -r[1][5], -r[0]))
+    tokens = sorted({t for _, r in listed for t in r[2]})
+    counts: dict[str, int] = {}
+    if tokens:
+        wanted = F.broadcast(pages.sparkSession.createDataFrame([(t,) for t in tokens], "token string"))
+        seen = base.select(F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token")).join(wanted, "token")
+        counts = {r["token"]: r["count"] for r in seen.groupBy("token").count().collect()}  # no more rows than the rules' tokens
+    index: dict[str, list[tuple]] = {}
+    for place, (_, (name, pattern, needs, says, _, _)) in enumerate(listed):
+        index.setdefault(min(needs, key=lambda t: (counts.get(t, 0), t)), []).append((place, name, pattern, says))
+
+    @F.arrow_udf(_JUDGED)
+    def judged(hosts: pa.Array, paths: pa.Array) -> pa.Array:
+        ready: dict[str, re.Pattern] = {}
+        out = []
+        for host, path in zip(hosts.to_pylist(), paths.to_pylist()):
+            found = {f"h:{x}" for x in host.split(".")} | {f"p:{x}" for x in path.split("/")}
+            # In the order of the rules; the first that fits decides.
+            tried, best = 0, (None, default)
+            for _, name, pattern, says in sorted(x for t in found & index.keys() for x in index[t]):
+                tried += 1
+                if (ready.get(pattern) or ready.setdefault(pattern, re.compile(pattern, re.S))).search(host + path):
+                    best = (name, says)
+                    break
+            out.append({"rule": best[0], "verdict": best[1], "n_candidates": tried})
+        return pa.array(out, pa.struct([("rule", pa.string()), ("verdict", pa.string()), ("n_candidates", pa.int32())]))
+
+    kept = [F.col(f"`{c}`") for c in base.columns]
+    return base.withColumn("_judged", judged("host", "path")).select(*kept, "_judged.rule", "_judged.verdict", "_judged.n_candidates")
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
