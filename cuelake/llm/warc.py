@@ -18,22 +18,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_folder, opened_file, written_file
+from .common import Stored, keep, materialise, new_folder, opened_file, scratch, shuffle_partitions, written_file
 
 CHUNK = 1 << 20
 #: Fixed value: the date written to every record, so that a repeated task writes the same bytes.
 DATE = "2020-01-01T00:00:00Z"
 _FIELDS = {
-    "record_id": pa.int64(), "target": pa.string(), "chunk_no": pa.int32(), "last": pa.bool_(), "bytes": pa.binary(),
-    "record_type": pa.string(), "refers_to": pa.int64(), "digest": pa.string(), "payload_bytes": pa.int64(),
+    "row": pa.int64(), "record_id": pa.int64(), "target": pa.string(), "chunk_no": pa.int32(), "last": pa.bool_(), "bytes": pa.binary(),
+    "digest": pa.string(), "payload_bytes": pa.int64(),
 }
+_CHUNKS = "row long, record_id long, target string, chunk_no int, last boolean, bytes binary, digest string, payload_bytes long"
+
 
 def base32_digest(raw: bytes) -> str:
     return base64.b32encode(raw).decode()
 
 
 def _cut(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-    """Payloads to chunk rows, a few chunks a batch; a revisit has one empty chunk."""
+    """Payloads to chunk rows, a few chunks a batch. The digest goes along from chunk to chunk; the last one has it and the size."""
     rows: dict[str, list] = {c: [] for c in _FIELDS}
 
     def flushed() -> pa.RecordBatch:
@@ -42,25 +44,26 @@ def _cut(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBat
             v.clear()
         return out
 
+    held = 0
     for batch in batches:
-        held = 0
         for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i] for c in batch.schema.names}
-            whole = row["html"].as_buffer() if row["html"].is_valid and row["record_type"].as_py() == "response" else None
-            size = whole.size if whole is not None else 0
+            row, record_id, target = (batch.column(c)[i].as_py() for c in ("row", "record_id", "target"))
+            html = batch.column("html")[i]
+            whole = html.as_buffer() if html.is_valid else None
+            size, sha = (whole.size if whole is not None else 0), hashlib.sha1()
             chunks = max(1, -(-size // chunk))
             for k in range(chunks):
                 piece = whole.slice(k * chunk, min(chunk, size - k * chunk)).to_pybytes() if size else b""
-                for c in ("record_id", "target", "record_type", "refers_to", "digest", "payload_bytes"):
-                    rows[c].append(row[c].as_py())
-                rows["chunk_no"].append(k)
-                rows["last"].append(k == chunks - 1)
-                rows["bytes"].append(piece)
+                sha.update(piece)
+                last = k == chunks - 1
+                values = (row, record_id, target, k, last, piece, base32_digest(sha.digest()) if last else None, size if last else None)
+                for c, v in zip(_FIELDS, values):
+                    rows[c].append(v)
                 held += len(piece)
                 if held >= 4 * chunk:
                     yield flushed()
                     held = 0
-        yield flushed()
+    yield flushed()
 
 
 def _header(record_id: int | None, row: dict, length: int) -> bytes:
@@ -78,7 +81,7 @@ def _header(record_id: int | None, row: dict, length: int) -> bytes:
 
 
 def _write(chunks: Iterator[pa.RecordBatch], folder: str, archive_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Chunk rows in order of (record, chunk) to archive files; yields (path, records). The names come
+    """Chunk rows in order of (row, chunk) to archive files; yields (path, records). The names come
     from the partition's number, so that a repeated task writes the same files."""
     part = TaskContext.get().partitionId()
     done: list[tuple[str, int]] = []
@@ -201,49 +204,38 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(list(v), t) for v, t in zip(columns, _RECORDS.values())], names=list(_RECORDS))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The columns of the batch with digest and size of ``html``."""
-    for batch in batches:
-        html, found, size = batch.column("html"), [], []
-        for i in range(batch.num_rows):
-            buf, sha = (html[i].as_buffer() if html[i].is_valid else None), hashlib.sha1()
-            n = buf.size if buf is not None else 0
-            for k in range(0, n, CHUNK):
-                sha.update(buf.slice(k, min(CHUNK, n - k)))
-            found.append(base32_digest(sha.digest()))
-            size.append(n)
-        yield pa.record_batch([*batch.columns, pa.array(found, pa.string()), pa.array(size, pa.int64())], names=[*batch.schema.names, "digest", "payload_bytes"])
-
-
-def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, archive_bytes: int = 64 << 20) -> DataFrame:
+def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, archive_bytes: int = 64 << 20, chunk: int = CHUNK) -> DataFrame:
     """Write one WARC record per row and return the manifest (path, records) of the archives.
 
     Of records with equal payloads of at least ``min_revisit_bytes`` bytes the one with the smallest id
     is a response and the others are revisits of it; smaller payloads are all responses. Null html is
     an empty payload, a null url leaves out the target. A row that repeats an id gets a record of its
     own, with its own payload, and all records of the id that survives are responses, as are those
-    without an id. A row is known by id, digest and size. An empty table gives no archive. Payloads are shuffled once.
+    without an id. An empty table gives no archive, a page with columns of other names none of its columns in it.
+    Payloads are cut into a table of chunk rows (``row``, ``chunk_no``), bucketed by row, and travel once; from then on no step
+    holds more of a payload than a few chunks. Who revisits whom is told from the last chunks' digests and sizes alone.
     """
     spark = pages.sparkSession
-    base = pages.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).alias("target"), F.col(html_col).alias("html"))
-    found = materialise(base.select("record_id", "html").mapInArrow(_digests, "record_id long, html string, digest string, payload_bytes long").drop("html"), "warc-digests")
-    firsts = found.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("digest", "payload_bytes").agg(F.min("record_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    # A payload that a third of the pages share meets its first record in SHARES pieces.
-    shares = 32
-    firsts = firsts.drop("n").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    plan = found.dropDuplicates(["record_id", "digest", "payload_bytes"]).withColumn("share", F.pmod(F.xxhash64("record_id"), F.lit(shares)).cast("int"))
-    plan = plan.join(firsts, ["digest", "payload_bytes", "share"], "left").withColumn("revisit", F.coalesce(F.col("first") < F.col("record_id"), F.lit(False)))
-    plan = plan.select(
-        F.col("record_id").alias("_id"), F.col("digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"),
-        F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"),
-        F.when(F.col("revisit"), F.col("first")).alias("refers_to"),
-    )
-    known = base.mapInArrow(_digests, "record_id long, target string, html string, digest string, payload_bytes long")
-    same = F.col("record_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
-    joined = known.join(plan, same).drop("_id", "_digest", "_bytes").sortWithinPartitions("record_id")
-    folder = new_folder(spark, "warc")
-    manifest = joined.mapInArrow(lambda b: _write(_cut(b, CHUNK), folder, archive_bytes), "path string, records long")
-    return materialise(manifest, "warc-manifest")
+    parts = shuffle_partitions(spark)
+    with scratch(spark):
+        base = pages.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).cast("string").alias("target"), F.col(html_col).cast("string").alias("html"))
+        chunks = base.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda b: _cut(b, chunk), _CHUNKS)
+        table = Stored(chunks.repartition(parts, "row"), "warc-chunks", ["row"]).table
+        found = materialise(table.where("last").select("row", "record_id", "digest", "payload_bytes"), "warc-digests")
+        firsts = found.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("digest", "payload_bytes").agg(F.min("record_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+        # A payload that a third of the pages share meets its first record in as many pieces as there are partitions.
+        firsts = firsts.drop("n").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        plan = found.withColumn("share", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+        plan = plan.join(firsts, ["digest", "payload_bytes", "share"], "left").withColumn("revisit", F.coalesce(F.col("first") < F.col("record_id"), F.lit(False)))
+        plan = plan.select(
+            "row", "digest", "payload_bytes", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("first")).alias("refers_to")
+        )
+        joined = table.drop("digest", "payload_bytes").join(plan, "row").where("record_type = 'response' or chunk_no = 0")
+        revisit = F.col("record_type") == "revisit"
+        joined = joined.withColumn("bytes", F.when(~revisit, F.col("bytes")).otherwise(F.lit(b""))).withColumn("last", F.col("last") | revisit)
+        folder = new_folder(spark, "warc")
+        manifest = joined.sortWithinPartitions("row", "chunk_no").mapInArrow(lambda b: _write(b, folder, archive_bytes), "path string, records long")
+        return keep(materialise(manifest, "warc-manifest"))
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
