@@ -124,11 +124,11 @@ def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 def _place(batches: Iterator[pa.RecordBatch], plan: np.ndarray, capacity: int) -> Iterator[pa.RecordBatch]:
     key = plan[:, 0] << 46 | plan[:, 1]
     for batch in batches:
-        length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+        length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_cl_rank"))
         at = np.searchsorted(key, length << 46 | rank, "right") - 1
         k = rank - plan[at, 1]
         cols = dict(zip(batch.schema.names, batch.columns))
-        cols.pop("rank")
+        cols.pop("_cl_rank")
         cols["sequence_id"] = pa.array(plan[at, 2] + k // plan[at, 3])
         cols["offset"] = pa.array(plan[at, 4] + k % plan[at, 3] * length)
         yield pa.record_batch(list(cols.values()), names=list(cols))
@@ -138,23 +138,24 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     """``pieces`` (any columns, among them ``length`` from 1 to ``capacity``) with sequence_id and offset.
 
     The pieces of a sequence lie side by side from offset 0. An empty table gives no rows; a length out
-    of range or null raises. Equal rows are separate pieces. Only the count of each length, at most
+    of range or null raises. Equal rows are separate pieces; which of the pieces of one length goes where is told by ``order``, null or
+    repeated ids included. Columns named sequence_id and offset are replaced. Only the count of each length, at most
     ``capacity`` rows, comes to the driver.
     """
     spark = pieces.sparkSession
-    pieces = materialise(pieces, "pieces")
+    pieces = materialise(pieces.drop("sequence_id", "offset"), "pieces")
     if pieces.where("length is null").limit(1).count():
         raise ValueError("a piece has no length")
     # Ranks within a length are counted in shares, since one length may be that of a third of all pieces.
     shares = max(64, shuffle_partitions(spark))
-    dealt = pieces.withColumn("share", F.pmod(F.xxhash64(*order), F.lit(shares)).cast("int"))
-    sizes = materialise(dealt.groupBy("length", "share").agg(F.count("*").alias("n")), "piece-sizes")
+    dealt = pieces.withColumn("_cl_share", F.pmod(F.xxhash64(*order), F.lit(shares)).cast("int"))
+    sizes = materialise(dealt.groupBy("length", "_cl_share").agg(F.count("*").alias("n")), "piece-sizes")
     plan, _ = best_fit_plan({r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
-    before = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("length", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "share").orderBy(*order)
-    ranked = dealt.withColumn("rank", F.row_number().over(within)).join(bases, ["length", "share"])
-    ranked = ranked.select(*pieces.columns, (F.col("rank") - 1 + F.col("base")).cast("long").alias("rank"))
+    before = Window.partitionBy("length").orderBy("_cl_share").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("length", "_cl_share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_cl_base"))
+    within = Window.partitionBy("length", "_cl_share").orderBy(*order)
+    ranked = dealt.withColumn("_cl_rank", F.row_number().over(within)).join(bases, ["length", "_cl_share"])
+    ranked = ranked.select(*pieces.columns, (F.col("_cl_rank") - 1 + F.col("_cl_base")).cast("long").alias("_cl_rank"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return ranked.mapInArrow(lambda b: _place(b, plan, capacity), kinds)
 
