@@ -182,17 +182,17 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _packed(batches: Iterator[pa.RecordBatch], lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
     codes = canonical_codes(lengths)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    names = ["id", "mark", "row", "block", "n_ids", "offsets", "payload"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["id", "block", "n_ids", "offsets", "payload"]
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             rows, arrays = [], []
-            for doc, mark, row, ids in zip(*[part.column(c).to_pylist() for c in ("id", "mark", "row", "ids")]):
+            for doc, ids in zip(*[part.column(c).to_pylist() for c in ("id", "ids")]):
                 ids = np.frombuffer(ids, "<u2")
                 for k, start in enumerate(range(0, len(ids), BLOCK_IDS)):
                     arrays.append(ids[start : start + BLOCK_IDS])
-                    rows.append((doc, mark, row, k, len(arrays[-1])))
+                    rows.append((doc, k, len(arrays[-1])))
             done = encode_blocks(arrays, lengths, codes)
             cols = [*zip(*rows)] + [*zip(*done)] if rows else [[]] * len(kinds)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
@@ -304,18 +304,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     lengths = code_lengths(total)
     size = int((total * lengths).sum()) // 8
     ids = tokens.where("counts is null").select("id", "ids", "row", F.xxhash64("ids").alias("mark"))
-    packed = ids.mapInArrow(lambda b: _packed(b, lengths), "id long, mark long, row long, block int, n_ids int, offsets binary, payload binary")
     files = max(1, min(shuffle_partitions(spark), size // (1 << 20) + 1), size // file_bytes + 1)
-    # Borders between files from the ids alone: the text and the tokens are not read for a sample.
-    cuts = ids.select(F.percentile_approx("id", [k / files for k in range(1, files)], 100 * files)).first()[0] if files > 1 else []
-    borders = sorted(set(cuts or []))
-    if len(borders) < 256:
-        number = F.size(F.filter(F.array(*[F.lit(int(c)) for c in borders]), lambda c: c < F.col("id"))) if borders else F.lit(0)
-        dealt = packed.withColumn("_file", number).repartitionById(len(borders) + 1, "_file").drop("_file")
-    else:
-        dealt = packed.repartitionByRange(files, "id")
     folder = new_folder(spark, "token-files")
-    written = dealt.sortWithinPartitions("id", "mark", "row", "block").mapInArrow(lambda b: _write(b, folder, lengths), "file int, path string, n_ids long")
+    # Ranges of ids are files; rows of one id are never parted. The ids travel, the codes are made where they are written.
+    dealt = ids.repartitionByRange(files, "id").sortWithinPartitions("id", "mark", "row")
+    written = dealt.mapInArrow(lambda b: _write(_packed(b, lengths), folder, lengths), "file int, path string, n_ids long")
     return materialise(written, "token-manifest")
 
 
