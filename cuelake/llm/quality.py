@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -51,8 +51,14 @@ def style_of(text: str) -> list[float]:
     ]
 
 
+#: Letters of a word's beginning that count as a word of their own: stems tell where endings vary.
+STEMS = (5, 7)
+
+
 def words_of(text: str) -> set[str]:
-    return set(_LETTER.findall(text.lower()))
+    """Distinct words of a text, and the beginnings of the longer ones with a hyphen."""
+    words = set(_LETTER.findall(text.lower()))
+    return words.union(*[{w[:k] + "-" for w in words if len(w) > k} for k in STEMS])
 
 
 @dataclass
@@ -122,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, int], id_col: str
     """A head for each target column of ``labels``; ``targets`` says which value of it means "reject".
 
     Labels with a null id or a null target, and labels of unknown documents, are left out; an id with
-    several labels takes part with each. Without labels a head rejects nothing. At most ``sample``
+    several different labels takes part with each, documents that repeat an id with the text of the least hash. Null texts are
+    empty. Without labels a head rejects nothing. At most ``sample``
     labelled documents are read. Their words are counted by Spark; the driver gets the telling ones.
     """
     known = labels.where(F.col(id_col).isNotNull())
@@ -132,10 +139,13 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, int], id_col: str
     # No more than ``sample`` rows of an id and a few numbers: small enough to broadcast.
     known = known.select(F.col(id_col).alias("_id"), wanted.alias("targets")).orderBy(F.xxhash64("_id"), "targets").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
+    # Of rows that repeat an id one is fitted, so that no more come than there are labels.
+    nth = F.row_number().over(Window.partitionBy("_id", "targets").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("_nth", nth).where("_nth = 1")
     measured = materialise(rows.select("text", "targets").mapInArrow(_measured, "style array<double>, words array<string>, targets array<int>"), "labelled")
     telling = [telling_words(measured, k) for k in range(len(targets))]
     any_words = F.array(*[F.lit(w) for w in sorted(set().union(*telling))]).cast("array<string>")
-    got = measured.select("style", F.array_intersect("words", any_words).alias("words"), "targets").limit(2 * sample).toArrow()
+    got = measured.select("style", F.array_intersect("words", any_words).alias("words"), "targets").toArrow()
     if not got.num_rows:
         return {t: Head() for t in targets}
     styles = np.array(got["style"].to_pylist())
@@ -216,12 +226,23 @@ TARGETS = {"quality": 0, "toxic": 1}
 
 
 def judged_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents have a source but no URL: the source is the host, and its part in one language the path."""
+    """Documents have a source but no URL: the source is the host, and its part in one language the path. Columns named like the
+    judgement's are replaced; rows with null or repeated ids are judged each by its own text."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     heads = fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels, TARGETS)
     return judge(docs, heads, F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
+def good_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Those of ``docs`` that are kept, with the columns as they were, whatever their names."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text, source, lang = (plain.columns[names.index(c)] for c in ("text", "source", "lang"))
+    heads = fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS)
+    judged = judge(plain, heads, F.col(source), F.concat_ws("/", source, lang), text_col=text)
+    return judged.where("kept").select(*plain.columns).toDF(*names)
+
+
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = judged_documents(spark, docs, sf_dir)
