@@ -20,11 +20,15 @@ def missing(known: DataFrame, feed: DataFrame, key: str) -> DataFrame:
     return known.where(F.col(key) >= 0).join(feed, key, "left_anti")
 
 
-def reconcile_listing(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """(path, outcome): files without a row are adopted, rows without a file purged."""
+def reconcile_listing(files: DataFrame, rows: DataFrame, today: Column | None = None, days: int = 0) -> DataFrame:
+    """(path, outcome): files without a row are adopted, rows without a file purged. With ``today`` also purge_after of adopted
+    files, ``days`` from then, null for 0."""
     f = files.where(~F.col("path").rlike(r"(^|/)\.") & (F.lower("path") != "readme")).select("path", F.lit(True).alias("on_disk"))
     joined = f.join(rows.select("path", F.lit(True).alias("known")), "path", "full_outer")
-    return joined.select("path", F.when(F.col("known").isNull(), "adopted").when(F.col("on_disk").isNull(), "purged").otherwise("same").alias("outcome"))
+    out = joined.select("path", F.when(F.col("known").isNull(), "adopted").when(F.col("on_disk").isNull(), "purged").otherwise("same").alias("outcome"))
+    if today is None:
+        return out
+    return out.withColumn("purge_after", F.when(F.lit(days > 0) & (F.col("outcome") == "adopted"), F.date_add(today, days)))
 
 
 #: What a merged row takes from the other one where it has nothing itself.
@@ -133,17 +137,27 @@ def needs_cleaning(items: DataFrame, runs: DataFrame, retries: int = 2) -> DataF
     return joined.where(F.col("enabled") & (F.col("status") != "stale") & ~F.col("skip") & want).select("item_id")
 
 
-def mapping_mismatch(items: DataFrame, remote: DataFrame) -> DataFrame:
-    """(item_id, reason) where the remote side lacks the item or has another path or size."""
+def mapping_mismatch(items: DataFrame, remote: DataFrame, now: Column | None = None, delay: int = 3600, oldest: int = 86_400) -> DataFrame:
+    """(item_id, reason) where the remote side lacks the item or has another path or size. With ``now`` only items cleaned between
+    ``oldest`` and ``delay`` seconds ago: later ones the remote side may not have seen yet."""
+    if now is not None:
+        age = now.cast("double") - F.col("cleaned_at").cast("double")
+        items = items.where(age.between(delay, oldest))
     joined = items.join(remote.select("item_id", F.col("path").alias("r_path"), F.col("size").alias("r_size")), "item_id", "left")
     reason = F.when(F.col("r_path").isNull(), "missing").when(F.col("path") != F.col("r_path"), "path").when(F.col("size") != F.col("r_size"), "size")
     return joined.select("item_id", reason.alias("reason")).where("reason is not null")
 
 
-def purge_candidates(backups: DataFrame, today: Column, root: str) -> DataFrame:
-    """(backup_id, outcome): due backups that are kept or orphaned; those outside the root are refused."""
-    due = F.col("state").isin("kept", "orphaned") & ((F.col("purge_after") <= today) | (F.col("state") == "orphaned"))
-    return backups.where(due).select("backup_id", F.when(F.col("path").startswith(root), "purge").otherwise("refused").alias("outcome"))
+def purge_candidates(backups: DataFrame, today: Column, root: str, ids: DataFrame | None = None) -> DataFrame:
+    """(backup_id, outcome): kept or orphaned backups that are due or orphaned, or with ``ids`` (backup_id) those asked for; a date that is
+    missing is never due. Paths that don't lie under the root, or lead out of it again, are refused."""
+    held = backups.where(F.col("state").isin("kept", "orphaned"))
+    if ids is None:
+        held = held.where((F.col("purge_after") <= today) | (F.col("state") == "orphaned"))
+    else:
+        held = held.join(ids.select("backup_id").distinct(), "backup_id", "left_semi")
+    inside = F.col("path").startswith(root.rstrip("/") + "/") & ~F.col("path").rlike(r"(^|/)\.\.(/|$)")
+    return held.select("backup_id", F.when(inside, "purge").otherwise("refused").alias("outcome"))
 
 
 def add_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
@@ -200,8 +214,11 @@ def map_paths(df: DataFrame, path: str, rules: list[tuple[str, str]], back: bool
     return df.withColumn("mapped", out)
 
 
-def change_feed(moves: DataFrame) -> DataFrame:
-    """(path, change) for replaced files: Modified, or Created and Deleted when the name changed."""
+def change_feed(moves: DataFrame, rules: list[tuple[str, str]] = ()) -> DataFrame:
+    """(path, change) for replaced files: Modified, or Created and Deleted when the name changed. ``rules`` map local paths to
+    those of the other side."""
+    for c in ("old_path", "new_path"):
+        moves = map_paths(moves, c, list(rules)).drop(c).withColumnRenamed("mapped", c)
     one = F.array(F.struct(F.col("new_path").alias("path"), F.lit("Modified").alias("change")))
     two = F.array(F.struct(F.col("new_path").alias("path"), F.lit("Created").alias("change")), F.struct(F.col("old_path").alias("path"), F.lit("Deleted").alias("change")))
     return moves.select(F.explode(F.when(F.col("old_path") == F.col("new_path"), one).otherwise(two)).alias("c")).select("c.path", "c.change")

@@ -56,15 +56,24 @@ def coverage(spans: DataFrame, ranges: DataFrame, keys: list[str], width: float)
 
 
 def free_window(ranges: DataFrame, durations: DataFrame, size: int, margin: int, step: int) -> DataFrame:
-    """(item_id, free_start): a stretch of ``size`` clear of all ranges by ``margin``, nearest to the middle; right before left."""
-    middle = F.expr(f"int((duration - {size}) / 2)")
-    candidates = durations.where(F.col("duration") >= size).select("item_id", middle.alias("mid"), "duration").select(
-        "item_id", "mid", F.explode(F.expr(f"sequence(mid % {step}, duration - {size}, {step})")).alias("at")
-    )
-    held = ranges.select("item_id", "start", "end")
-    taken = candidates.alias("c").join(held.alias("r"), "item_id").where(f"c.at < r.end + {margin} and r.start - {margin} < c.at + {size}").select("item_id", "at").distinct()
-    free = candidates.join(taken, ["item_id", "at"], "left_anti")
-    return free.groupBy("item_id").agg(F.min_by("at", F.struct(F.abs(F.col("at") - F.col("mid")), -F.col("at"))).alias("free_start"))
+    """(item_id, free_start): a stretch of ``size`` clear of all ranges by ``margin``, nearest to the middle; right before left. Starts are
+    tried ``step`` apart from the middle on.
+
+    What the ranges forbid is merged first; each gap then has one start that is nearest to the middle, so nothing is tried in a
+    place that is taken.
+    """
+    limits = durations.where(F.col("duration") >= size).select("item_id", (F.col("duration") - size).alias("limit")).withColumn("mid", F.floor(F.col("limit") / 2))
+    # A start is forbidden within these bounds, not on them.
+    barred = merge_ranges(ranges.select("item_id", (F.col("start") - margin - size).alias("start"), (F.col("end") + margin).alias("end")), -1e-9)
+    item = Window.partitionBy("item_id").orderBy("start")
+    before = barred.select("item_id", F.lag("end").over(item).alias("lo"), F.col("start").alias("hi"))
+    after = limits.select("item_id").join(barred.groupBy("item_id").agg(F.max("end").alias("lo")), "item_id", "left").withColumn("hi", F.lit(None).cast(before.schema["hi"].dataType))
+    gaps = before.union(after.select("item_id", "lo", "hi")).join(limits, "item_id")
+    gaps = gaps.withColumns({"lo": F.greatest(F.coalesce("lo", F.lit(0)), F.lit(0)), "hi": F.least(F.coalesce("hi", "limit"), "limit")}).where("lo <= hi")
+    lo, hi, mid = F.col("lo"), F.col("hi"), F.col("mid")
+    at = F.when((lo <= mid) & (mid <= hi), mid).when(lo > mid, mid + F.ceil((lo - mid) / step) * step).otherwise(mid + F.floor((hi - mid) / step) * step)
+    tried = gaps.withColumn("at", at.cast("long")).where("at between lo and hi")
+    return tried.groupBy("item_id").agg(F.min_by("at", F.struct(F.abs(F.col("at") - F.col("mid")), -F.col("at"))).alias("free_start"))
 
 
 def events_to_intervals(df: DataFrame, clears: Column, tail: int) -> DataFrame:

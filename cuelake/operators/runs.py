@@ -47,7 +47,17 @@ def title_status_counts(titles: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def run_stats(detections: DataFrame, sources: list[str]) -> DataFrame:
+def run_stats(detections: DataFrame, sources: list[str], ranges: DataFrame | None = None) -> DataFrame:
+    """Per run: detections, muted, suspicious, whitelisted, from_SOURCE; with mute ``ranges`` (run_id, start, end) also their number
+    and total length, 0 for runs without."""
+    stats = _run_counts(detections, sources)
+    if ranges is None:
+        return stats
+    of = ranges.groupBy("run_id").agg(F.count("*").alias("ranges"), F.sum(F.col("end") - F.col("start")).alias("muted_for"))
+    return stats.join(of, "run_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("ranges", "muted_for")})
+
+
+def _run_counts(detections: DataFrame, sources: list[str]) -> DataFrame:
     return detections.groupBy("run_id").agg(
         F.count("*").alias("detections"), F.count_if("muted").alias("muted"), F.count_if("suspicious").alias("suspicious"), F.count_if("whitelisted").alias("whitelisted"),
         *[F.count_if(F.col("source") == s).alias(f"from_{s}") for s in sources],
@@ -76,8 +86,23 @@ def last_original(backups: DataFrame) -> DataFrame:
     return backups.withColumn("last_original", original & (n == 1) & (F.col("item_status") == "clean"))
 
 
+def runnable(runs: DataFrame, now: Column) -> DataFrame:
+    """Queued ``runs`` whose retry time is past or that have none; the lowest priority number first, then the oldest."""
+    return runs.where((F.col("state") == "queued") & (F.col("retry_at").isNull() | (F.col("retry_at") <= now))).orderBy("priority", "created", "run_id")
+
+
+def page(df: DataFrame, order: list, limit: int, offset: int) -> tuple[DataFrame, DataFrame]:
+    """A page of rows in an order, and one row ``total`` with the number of all."""
+    return df.orderBy(*order).offset(offset).limit(limit), df.agg(F.count("*").alias("total"))
+
+
+def queued_total(runs: DataFrame) -> DataFrame:
+    return runs.agg(F.count_if(F.col("state") == "queued").alias("queued"))
+
+
 def queue_view(runs: DataFrame, n: int) -> DataFrame:
-    """Per state group the top ``n``: running by start, queued by priority and age, the others by end; newest first, nulls last."""
+    """Per state group the top ``n``: running by start, queued by priority and age, the others by end; newest first, nulls last.
+    ``queued_total`` counts what waits beyond them."""
     group = F.when(F.col("state") == "running", "running").when(F.col("state") == "queued", "queued").otherwise("recent")
     part = Window.partitionBy("part")
     order = [

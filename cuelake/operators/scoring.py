@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import claim_first, related
-from .intervals import bucketed, merge_ranges
+from .intervals import bucketed, coverage, merge_ranges, overlap_pairs
 
 
 def claim_pairs(pairs: DataFrame, left: str, right: str, order: list[str]) -> DataFrame:
@@ -27,6 +27,13 @@ def compare_runs(prior: DataFrame, found: DataFrame, slack: int = 1000, width: i
     return joined.select("item_id", "idx", "prior_idx", F.when(F.col("prior_idx").isNull(), "new").when(F.col("better"), "improved").otherwise("matched").alias("outcome"))
 
 
+def promotable(found: DataFrame, outcomes: DataFrame, floor: float = 0.0) -> DataFrame:
+    """Of ``found`` what is new, muted, not whitelisted and heard with a confidence of ``floor`` or with none told: worth a run of its own."""
+    new = outcomes.where("outcome = 'new'").select("item_id", "idx")
+    sure = F.col("confidence").isNull() | (F.col("confidence") >= floor)
+    return found.where(F.col("muted") & ~F.coalesce("whitelisted", F.lit(False)) & sure).join(new, ["item_id", "idx"], "left_semi")
+
+
 def score_detections(labels: DataFrame, detections: DataFrame, slack: int = 500, width: int = 60_000) -> DataFrame:
     """Labels (item_id, label_no in order of time, word, start, end) with the detection that finds each, or null: same
     word, overlapping by more than -``slack``, nearest middle, each detection once."""
@@ -40,6 +47,31 @@ def score_detections(labels: DataFrame, detections: DataFrame, slack: int = 500,
     return labels.join(got, ["item_id", "label_no"], "left")
 
 
+def clip_scores(labels: DataFrame, detections: DataFrame, ranges: DataFrame, negatives: DataFrame, slack: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(scored, per clip). ``scored``: labels (item_id, label_no, word, start, end, verified) with det_idx, and for verified ones timing_error
+    (null if not found) and covered, the share of the label that the mute ``ranges`` silence. Per clip: tp, fn, fp, and negatives
+    (item_id, start, end) that any range touches, as ``violated``."""
+    found = score_detections(labels, detections, slack)
+    spans = found.select("item_id", "label_no", "start", "end")
+    muted = coverage(spans, ranges, ["item_id", "label_no"], 60_000).select("item_id", "label_no", "covered")
+    scored = found.join(muted, ["item_id", "label_no"], "left")
+    share = F.when(F.col("verified"), F.when(F.col("det_idx").isNull(), 0.0).otherwise(F.coalesce("covered", F.lit(0.0))))
+    scored = scored.withColumn("covered", share).withColumn("timing_error", F.when(F.col("verified"), F.col("timing_error")))
+    counts = scored.groupBy("item_id").agg(F.count("det_idx").alias("tp"), F.count_if(F.col("det_idx").isNull()).alias("fn"))
+    used = scored.where("det_idx is not null").select("item_id", F.col("det_idx").alias("idx"))
+    spare = detections.select("item_id", "idx").join(used, ["item_id", "idx"], "left_anti").groupBy("item_id").agg(F.count("*").alias("fp"))
+    touched = overlap_pairs(negatives.withColumn("_n", F.monotonically_increasing_id()), ranges.select("item_id", F.col("start").alias("r_start"), F.col("end").alias("r_end")), 60_000)
+    bad = touched.where("start < r_end and r_start < end").groupBy("item_id").agg(F.count_distinct("_n").alias("violated"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    per = counts.join(spare, "item_id", "full").join(bad, "item_id", "full").select("item_id", *[zero(c) for c in ("tp", "fn", "fp", "violated")])
+    return scored, per
+
+
+def timing_metrics(scored: DataFrame) -> DataFrame:
+    """One row over all clips: median and mean timing error and mean coverage of the verified labels; null without any."""
+    return scored.agg(F.percentile("timing_error", F.lit(0.5)).alias("median_error"), F.avg("timing_error").alias("mean_error"), F.avg("covered").alias("mean_coverage"))
+
+
 def eval_metrics(counts: DataFrame) -> DataFrame:
     """Sums of tp, fp, fn over all rows with precision, recall (1 when empty) and F1."""
     s = counts.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import align, catalog, intervals, lexicon, media, runs, scoring
+from ..session import shared_dir
 from ..sources import readers
 from . import fixtures as fx
 from .queries_runs import _spans
@@ -59,14 +59,14 @@ WITH s AS (SELECT p_partkey AS k, lower({_list(_AUDIO)}[p_partkey % 9 + 1]) AS c
 t AS (SELECT *, greatest(ch, 1) AS n, CASE WHEN raw BETWEEN 32000 AND 8000000 THEN raw ELSE 0 END AS rate FROM s),
 f AS (SELECT *, CASE WHEN forced THEN 'forced_lossless' WHEN n > 6 THEN 'channels_gt_6' WHEN codec = 'truehd' AND k % 2 = 0 THEN 'truehd_atmos' WHEN codec IN ('flac', 'truehd', 'dts', 'pcm_s24le') THEN 'lossless_source' END AS why FROM t)
 SELECT k, CASE WHEN why IS NOT NULL THEN 'flac' WHEN codec IN ('eac3', 'ac3') THEN codec ELSE 'aac' END AS encoder,
- CASE WHEN why IS NOT NULL THEN NULL WHEN codec = 'eac3' THEN greatest([96000, 224000, 384000, 384000, 640000, 640000][n], least(1024000, rate)) WHEN codec = 'ac3' THEN CASE WHEN n >= 3 THEN 640000 ELSE least(640000, greatest(192000, rate)) END
+ CASE WHEN why IS NOT NULL THEN -1 WHEN codec = 'eac3' THEN greatest([96000, 224000, 384000, 384000, 640000, 640000][n], least(1024000, rate)) WHEN codec = 'ac3' THEN CASE WHEN n >= 3 THEN 640000 ELSE least(640000, greatest(192000, rate)) END
   ELSE greatest((n + 1) // 2 * 160000, least((n + 1) // 2 * 256000, rate)) END AS bit_rate,
  CASE WHEN why IS NOT NULL THEN CASE WHEN depth > 16 THEN 's32' ELSE 's16' END END AS sample_format,
  coalesce(why, CASE WHEN codec IN ('eac3', 'ac3', 'aac') THEN codec || '_passthrough' WHEN codec = 'opus' THEN 'lossy_fallback_aac' ELSE 'unknown_codec_fallback' END) AS reason FROM f""")
 def _(spark, d):
     k = F.col("k")
     plan = rules.audio_plan(_pick(_AUDIO, k % 9), _pick(("Dolby TrueHD + Dolby Atmos", "x"), k % 2), F.expr("k div 9 % 9"), k * 997 % 1_200_000, k % 11 == 0, k % 3 * 12)
-    return _parts(spark, d).select("k", plan.alias("p")).select("k", "p.*")
+    return _parts(spark, d).select("k", plan.alias("p")).select("k", "p.encoder", F.coalesce("p.bit_rate", F.lit(-1)).alias("bit_rate"), "p.sample_format", "p.reason")
 
 
 @add("stream_bitrates", """
@@ -124,20 +124,10 @@ def _(spark, d):
     return readers.checked_labels(clips).select("event_id", "problem")
 
 
-def _folder(spark, name):
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="cuelake-")
-    return f"{top}/{name}-{uuid.uuid4().hex}"
-
-
 @add("rewritten_run", 'SELECT l_orderkey AS item_id, l_partkey AS "start", l_suppkey AS "end", l_returnflag AS canonical FROM lineitem WHERE l_orderkey % 8 = 3 AND l_linenumber > 2')
 def _(spark, d):
     rows = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_partkey").alias("start"), F.col("l_suppkey").alias("end"), F.col("l_returnflag").alias("canonical"), (F.col("l_orderkey") % 8).alias("run_id"), "l_linenumber")
-    path = _folder(spark, "run-table")
+    path = f"{shared_dir(spark)}/run-table-{uuid.uuid4().hex}"
     readers.write_run(rows, path)
     readers.write_run(rows.where("run_id = 3 and l_linenumber > 2"), path)
     return readers.read_run(spark, path, 3).select("item_id", "start", "end", "canonical")

@@ -103,14 +103,31 @@ def _(spark, d):
     return runs.queue_view(table, 25).select("part", F.col("place").cast("long").alias("place"), "run_id")
 
 
-@add("runnable_order", f"SELECT run_id FROM {fx.RUNS_SQL} WHERE state = 'queued' ORDER BY priority, created, run_id LIMIT 50")
+@add("runnable_order", f"SELECT run_id FROM {fx.RUNS_SQL} WHERE state = 'queued' AND (run_id % 3 > 0 OR created <= TIMESTAMP '1995-01-01') ORDER BY priority, created, run_id LIMIT 50")
 def _(spark, d):
-    return fx.runs(spark, d).where("state = 'queued'").orderBy("priority", "created", "run_id").limit(50).select("run_id")
+    retry = F.when(F.col("run_id") % 3 == 0, F.col("created"))
+    return runs.runnable(fx.runs(spark, d).withColumn("retry_at", retry), F.lit("1995-01-01").cast("timestamp")).limit(50).select("run_id")
+
+
+@add("catalogue_total", "SELECT count(*) AS total FROM customer WHERE c_name ILIKE '%0%'")
+def _(spark, d):
+    return runs.page(fx.items(spark, d).where(F.col("name").ilike("%0%")), [F.lower("name"), "item_id"], 20, 40)[1]
+
+
+@add("queued_total", f"SELECT count(*) FILTER (state = 'queued') AS queued FROM {fx.RUNS_SQL}")
+def _(spark, d):
+    return runs.queued_total(fx.runs(spark, d))
+
+
+@add("muted_runs", "SELECT l_orderkey AS run_id, count(*) AS ranges, CAST(sum(l_quantity) AS BIGINT) AS muted_for FROM lineitem GROUP BY 1")
+def _(spark, d):
+    spans = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.lit(0).cast("long").alias("start"), F.col("l_quantity").cast("long").alias("end"))
+    return runs.run_stats(fx.detections(spark, d), ["stt"], spans).select("run_id", "ranges", "muted_for")
 
 
 @add("catalogue_page", "SELECT c_custkey AS item_id, c_name AS name FROM customer WHERE c_name ILIKE '%0%' ORDER BY lower(c_name), c_custkey LIMIT 20 OFFSET 40")
 def _(spark, d):
-    return fx.items(spark, d).where(F.col("name").ilike("%0%")).orderBy(F.lower("name"), "item_id").offset(40).limit(20).select("item_id", "name")
+    return runs.page(fx.items(spark, d).where(F.col("name").ilike("%0%")), [F.lower("name"), "item_id"], 20, 40)[0].select("item_id", "name")
 
 
 @add("item_status", f"SELECT run_id, CASE WHEN state = 'already_clean' THEN state WHEN dry_run THEN 'pending' WHEN state = 'done' THEN 'clean' ELSE 'pending' END AS status FROM {fx.RUNS_SQL}")
@@ -218,7 +235,8 @@ def _(spark, d):
     return ev.item_state(fx.catalog_events(spark, d))
 
 
-@add("session_ranges")
+@add("session_ranges", f"""
+SELECT item_id, min("start") AS "start", max("end") AS "end", count(*) AS n FROM (SELECT *, sum(o) OVER (PARTITION BY item_id ORDER BY "start", "end", event_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN "start" - max("end") OVER (PARTITION BY item_id ORDER BY "start", "end", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {fx.HOUR} THEN 0 ELSE 1 END AS o FROM {fx.RANGES_SQL} WHERE "end" > "start")) GROUP BY item_id, island""")
 def _(spark, d):
     r = fx.ranges(spark, d)
     return ev.merge_ranges_stream(r.where("end > start").select("item_id", F.timestamp_micros("start").alias("ts"), (F.col("end") - F.col("start")).alias("dur_us")), fx.HOUR)

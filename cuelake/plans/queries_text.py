@@ -90,7 +90,7 @@ def _(spark, d):
     return rows.groupBy("language").agg(F.count("*").alias("n"), F.count_if("en").alias("english"))
 
 
-@add("content_fingerprint", "SELECT doc_id, sha1(substr(text, 1, 100) || CASE WHEN length(text) > 200 THEN substr(text, length(text) - 99) ELSE '' END || length(text)) AS fingerprint FROM documents")
+@add("content_fingerprint", "SELECT doc_id, sha1(b[1:100] || CASE WHEN octet_length(b) > 200 THEN b[octet_length(b) - 99:octet_length(b)] ELSE ''::BLOB END || encode(octet_length(b)::VARCHAR)) AS fingerprint FROM (SELECT doc_id, encode(text) AS b FROM documents)")
 def _(spark, d):
     from ..sources.readers import content_fingerprint
 

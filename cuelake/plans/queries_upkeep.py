@@ -54,13 +54,14 @@ def _feed(spark, d):
 WITH i AS (SELECT c_custkey AS id, c_nationkey AS title, {_list(_STATUS)}[c_custkey % 4 + 1] AS status, c_custkey % 3 = 0 AS skip, CASE WHEN c_custkey % 5 = 0 THEN c_custkey END AS run, CASE WHEN c_custkey % 2 = 0 THEN 'f' || c_custkey END AS fp FROM customer),
 f AS (SELECT c_custkey AS file_id, {_WAY} AS way, CASE WHEN {_WAY} = 4 THEN 99 ELSE c_nationkey END AS title, CASE WHEN {_WAY} IN (0, 2, 3) THEN c_custkey END AS key_id, CASE {_WAY} WHEN 0 THEN c_custkey WHEN 1 THEN c_custkey WHEN 2 THEN c_custkey + 1 END AS path_id, CASE WHEN c_custkey % 2 = 0 THEN c_custkey * 20 END AS size, c_custkey % 7 = 0 AS defer FROM customer),
 j AS (SELECT f.*, a.id AS aid, b.id AS bid, a.status AS ast, b.status AS bst, a.skip AS ask, b.skip AS bsk, a.run AS arun, b.run AS brun, a.fp AS afp, b.fp AS bfp, b.title AS btitle FROM f LEFT JOIN i a ON a.id = f.key_id LEFT JOIN i b ON b.id = f.path_id)
-SELECT coalesce(aid, bid) AS item_id, file_id, title AS title_id, coalesce(size, coalesce(aid, bid) * 10) AS size,
+SELECT coalesce(aid, bid, -1) AS item_id, file_id, title::BIGINT AS title_id, coalesce(size, coalesce(aid, bid) * 10, -1) AS size,
  CASE WHEN aid IS NOT NULL AND bid IS NOT NULL AND aid <> bid THEN CASE WHEN ast IN ('untracked', 'pending') AND bst <> 'untracked' THEN bst ELSE ast END ELSE coalesce(ast, bst, 'untracked') END AS status, CASE WHEN aid IS NULL AND bid IS NULL THEN defer ELSE coalesce(ask, bsk) END AS skip,
- CASE WHEN aid IS NOT NULL AND bid IS NOT NULL AND aid <> bid THEN coalesce(arun, brun) WHEN aid IS NOT NULL THEN arun ELSE brun END AS last_run_id, CASE WHEN aid IS NOT NULL AND bid IS NOT NULL AND aid <> bid THEN coalesce(afp, bfp) WHEN aid IS NOT NULL THEN afp ELSE bfp END AS fingerprint,
+ coalesce(CASE WHEN aid IS NOT NULL AND bid IS NOT NULL AND aid <> bid THEN coalesce(arun, brun) WHEN aid IS NOT NULL THEN arun ELSE brun END, -1) AS last_run_id, CASE WHEN aid IS NOT NULL AND bid IS NOT NULL AND aid <> bid THEN coalesce(afp, bfp) WHEN aid IS NOT NULL THEN afp ELSE bfp END AS fingerprint,
  CASE WHEN aid IS NOT NULL AND bid IS NOT NULL AND aid <> bid THEN 'merged' WHEN aid IS NOT NULL THEN CASE WHEN way = 0 THEN 'same' ELSE 'updated' END WHEN bid IS NOT NULL THEN CASE WHEN btitle = title THEN 'same' ELSE 'adopted' END ELSE 'created' END AS outcome FROM j""")
 def _(spark, d):
     resolved, _ = catalog.resolve_items(_stored(spark, d), _feed(spark, d))
-    return resolved.select("item_id", "file_id", "title_id", "size", "status", "skip", "last_run_id", "fingerprint", "outcome")
+    told = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return resolved.select(told("item_id"), "file_id", "title_id", told("size"), "status", "skip", told("last_run_id"), "fingerprint", "outcome")
 
 
 @add("repointed_runs", f"SELECT o_orderkey AS run_id, CASE WHEN (o_custkey - 1) % 5 = 2 THEN o_custkey - 1 ELSE o_custkey END AS item_id FROM orders")

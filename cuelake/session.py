@@ -1,8 +1,9 @@
-"""Makes the package importable in Python workers that weren't started with it on their path."""
+"""Makes the package importable in Python workers that weren't started with it on their path, and finds the shared folder."""
 
 from __future__ import annotations
 
 import os
+import posixpath
 import tempfile
 import zipfile
 
@@ -25,3 +26,18 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(path)
     sc._cuelake_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only a purely local session without that setting gets a temporary folder of its own.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="cuelake-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found if "://" in found else "file://" + posixpath.abspath(found)

@@ -26,9 +26,42 @@ def parse_cues(files: DataFrame, path: str = "path", content: str = "value") ->
     return rows.select("item_id", "cue_index", _millis(F.col("block"), 1).alias("start_ms"), _millis(F.col("block"), 5).alias("end_ms"), text.alias("text")).where("text != ''")
 
 
-def read_cues(spark: SparkSession, path: str) -> DataFrame:
-    """Cue files of a folder; each file is an item."""
-    return parse_cues(spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name()))
+#: Marks of styled subtitle lines that show as a space or a line break.
+_SHOWN = r"\\\\[Nnh]"
+_DIALOGUE = r"^Dialogue:\s*[^,]*,(\d+:\d{1,2}:\d{2}[.:]\d{1,3}),(\d+:\d{1,2}:\d{2}[.:]\d{1,3}),(?:[^,]*,){6}([^\n]*)"
+
+
+def parse_styled(files: DataFrame, path: str = "path", content: str = "value") -> DataFrame:
+    """Styled subtitle texts (ASS, SSA) to cues: item_id, cue_index, start_ms, end_ms, text. Comments, drawings and lines without text
+    are left out, but the others keep their ordinal among the events of the file; times may be in hundredths."""
+    body = F.regexp_replace(F.regexp_replace(F.col(content), "^\ufeff", ""), "\r\n?", "\n")
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("^(Dialogue|Comment):"))
+    rows = files.select(F.col(path).alias("item_id"), F.posexplode(lines).alias("cue_index", "line"))
+    part = lambda k: F.regexp_extract("line", _DIALOGUE, k)
+
+    def millis(c: Column) -> Column:
+        p = F.split(c, "[:.]")
+        return ((p[0].try_cast("bigint") * 60 + p[1].try_cast("bigint")) * 60 + p[2].try_cast("bigint")) * 1000 + F.rpad(p[3], 3, "0").try_cast("bigint")
+
+    drawing = part(3).rlike(r"\{[^}]*\\p[1-9][^}]*\}")
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(part(3), r"\{[^}]*\}", ""), r"\\[Nnh]", " "), r"\s+", " "))
+    kept = rows.where(F.col("line").startswith("Dialogue:") & (part(1) != "") & ~drawing)
+    return kept.select("item_id", "cue_index", millis(part(1)).alias("start_ms"), millis(part(2)).alias("end_ms"), text.alias("text")).where("text != ''")
+
+
+def cue_errors(files: DataFrame, cues: DataFrame, path: str = "path") -> DataFrame:
+    """(item_id, error) of files that gave no cue at all: they fail by themselves, not the job."""
+    none = files.select(F.col(path).alias("item_id")).join(cues.select("item_id").distinct(), "item_id", "left_anti")
+    return none.select("item_id", F.lit("no cues").alias("error"))
+
+
+def read_cues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(cues, errors) of the cue files of a folder; each file is an item. Styled files are told by what they hold. Bytes that are no text
+    don't end the job."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("value"))
+    styled = F.col("value").rlike(r"(?m)^Dialogue:")
+    cues = parse_cues(files.where(~styled)).unionByName(parse_styled(files.where(styled)))
+    return cues, cue_errors(files, cues)
 
 
 def read_lexicon(spark: SparkSession, documents: list[dict]) -> list[tuple]:
@@ -92,9 +125,11 @@ def checked_labels(clips: DataFrame) -> DataFrame:
 
 
 def content_fingerprint(content: Column, chunk: int) -> Column:
-    """SHA-1 of the first and, beyond twice the chunk, the last ``chunk`` characters and the length."""
-    head, tail = F.substring(content, 1, chunk), F.when(F.length(content) > 2 * chunk, F.substr(content, F.length(content) - chunk + 1)).otherwise("")
-    return F.sha1(F.concat(head, tail, F.length(content).cast("string")))
+    """SHA-1 of the first and, beyond twice the chunk, the last ``chunk`` bytes and the number of bytes; texts count in UTF-8."""
+    raw = content.cast("binary")
+    size = F.octet_length(raw)
+    tail = F.when(size > 2 * chunk, F.substring(raw, -chunk, chunk)).otherwise(F.lit(b""))
+    return F.sha1(F.concat(F.substring(raw, 1, chunk), tail, size.cast("string").cast("binary")))
 
 
 def write_run(detections: DataFrame, path: str) -> None:

@@ -48,13 +48,30 @@ def test_rules_in_any_order_give_one_fingerprint(spark):
 
 
 def test_file_checks(spark):
-    kind = "item_id long, kind string, codec string, lang string, channels int, flags string, duration double, chapters int"
-    source = spark.createDataFrame([(1, "video", "h264", None, None, "", 60.0, 2), (1, "audio", "ac3", "eng", 6, "", 60.0, 2), (2, "video", "h264", None, None, "", 60.0, 0), (3, "video", "h264", None, None, "", None, 0)], kind)
-    output = spark.createDataFrame([(1, "video", "h264", None, None, "", 60.4, 2), (1, "audio", "eac3", "fra", 6, "", 60.0, 2), (3, "video", "h264", None, None, "", None, 0)], kind)
-    checks = media.compare_streams(source, output)
-    assert {(r.item_id, r.check) for r in checks.where("not ok").collect() if r.item_id != 2} == {(1, "audio_lang")}
-    assert {r.item_id: (r.passed, r.failed > 0) for r in media.verdicts(checks).collect()} == {1: (True, True), 2: (False, True), 3: (True, False)}
-    assert media.compare_streams(source.where(F.lit(False)), output).count() == 0
+    streams = "item_id long, kind string, typed_index int, codec string, width int, height int, pix_fmt string, attached_pic boolean, channels int, lang string, title string, flags array<string>, image boolean"
+    video = lambda i, k, codec="h264", pic=False: (i, "video", k, codec, 1920, 1080, "yuv420p", pic, None, None, None, [], None)
+    audio = lambda i, k, codec, ch, lang, title, flags: (i, "audio", k, codec, None, None, None, None, ch, lang, title, flags, None)
+    sub = lambda i, k, codec, image=False: (i, "subtitle", k, codec, None, None, None, None, None, "eng", None, [], image)
+    source = [video(1, 0), video(1, 1, "png", True), audio(1, 0, "dts", 6, "eng", None, ["comment", "default"]), sub(1, 0, "mov_text"), sub(1, 1, "pgs", True), video(2, 0), audio(2, 0, "ac3", 2, None, None, []), sub(2, 0, "pgs", True), video(3, 0)]
+    output = [video(1, 0), audio(1, 0, "flac", 6, "en", "Clean", ["default"]), audio(1, 1, "dts", 6, "eng", "Original", ["comment"]), sub(1, 0, "subrip"), sub(1, 1, "pgs", True),
+              audio(2, 0, "ac3", 6, "fra", "x", []), audio(2, 1, "ac3", 2, None, "y", ["default"]), sub(2, 0, "subrip", True), video(3, 0, "hevc")]
+    files = "item_id long, duration double, size long, chapters int, attachments int, tags map<string,string>"
+    before = [(1, 60.0, 100, 3, 1, {}), (2, 60.0, 100, 3, 1, {}), (3, 60.0, 100, 0, 0, {}), (4, 1.0, 1, 0, 0, {})]
+    after = [(1, 60.5, 90, 1, 1, {"SRC_FP": "f", "V": "1"}), (2, 60.6, 89, 0, 0, {"SRC_FP": "g"}), (3, 60.0, 100, 0, 0, {"SRC_FP": "f", "V": "1"})]
+    plan = [(i, "flac", None if i == 2 else "eng", 0, 1, {"SRC_FP": "f", "V": "1"}) for i in (1, 2, 3, 4)]
+    make = spark.createDataFrame
+    checks = media.compare_streams(make(source, streams), make(output, streams), make(before, files), make(after, files), make(plan, "item_id long, encoder string, language string, source_audio int, original int, tags map<string,string>"))
+    got = {}
+    for r in checks.collect():
+        got.setdefault(r.item_id, {})[r.check] = (r.ok, r.severity)
+    assert len(got[1]) == 20 and [c for c, (ok, _) in got[1].items() if not ok] == [] and 4 not in got
+    failed = {c: s for c, (ok, s) in got[2].items() if not ok}
+    assert failed == {
+        "video_streams_identical": "fatal", "clean_track_title": "fatal", "clean_track_default": "fatal", "clean_track_codec": "warn", "clean_track_channels": "fatal", "clean_track_language": "warn", "original_track_title": "warn",
+        "bitmap_subtitles_untouched": "fatal", "chapters_preserved": "fatal", "attachments_preserved": "warn", "duration_within_tolerance": "fatal", "output_size_floor": "fatal", "idempotency_tags": "fatal", "source_fingerprint_tag": "fatal",
+    }
+    assert {c for c, (ok, _) in got[3].items() if not ok} == {"audio_stream_count", "video_streams_identical", "clean_track_is_audio_zero", "single_default_audio"}
+    assert {r.item_id: (r.passed, r.failed) for r in media.verdicts(checks).collect()} == {1: (True, 0), 2: (False, 14), 3: (False, 4)}
 
 
 def test_track_choice_with_nothing_known(spark):
