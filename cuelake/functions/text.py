@@ -121,22 +121,30 @@ def as_utc(c: Column) -> Column:
     return F.from_utc_timestamp(c.cast("timestamp"), F.current_timezone())
 
 
-def item_label(kind: Column, title: Column, year: Column, code: Column) -> Column:
-    """``Title (year)`` of a film, ``Title S01E01`` of an episode; what is missing is left out."""
-    film = F.concat(title, F.when(year.isNotNull(), F.format_string(" (%d)", year)).otherwise(""))
-    return F.when(kind == "movie", film).otherwise(F.concat_ws(" ", title, code))
+def item_label(kind: Column, title: Column, year: Column, code: Column, episode_title: Column | None = None) -> Column:
+    """``Title (year)`` of a film, ``Title S01E01 — name`` of an episode; what is missing is left out, a missing title is ``Unknown``."""
+    name = F.coalesce(title, F.lit("Unknown"))
+    film = F.concat(name, F.when(title.isNotNull() & year.isNotNull() & (year != 0), F.format_string(" (%d)", year)).otherwise(""))
+    tail = F.lit("") if episode_title is None else F.when(F.coalesce(episode_title, F.lit("")) != "", F.concat(F.lit(" — "), episode_title)).otherwise("")
+    return F.when(kind == "movie", film).otherwise(F.concat(name, F.when(F.coalesce(code, F.lit("")) != "", F.concat(F.lit(" "), code)).otherwise(""), tail))
+
+
+def span_code(spans: Column) -> Column:
+    """Of an array of struct(season, episode): ``S01E01`` for one; ``S01E01-E03`` for several of a season without gaps; otherwise each by
+    itself, joined by ``+``; empty for none."""
+    every = F.array_sort(F.array_distinct(spans))
+    first, last = F.element_at(every, 1), F.element_at(every, -1)
+    one = lambda x: F.format_string("S%02dE%02d", x["season"], x["episode"])
+    run = (first["season"] == last["season"]) & (last["episode"] - first["episode"] + 1 == F.size(every))
+    return (
+        F.when(F.coalesce(F.size(every), F.lit(0)) < 1, "").when(F.size(every) == 1, one(first))
+        .when(run, F.concat(one(first), F.format_string("-E%02d", last["episode"]))).otherwise(F.array_join(F.transform(every, one), "+"))
+    )
 
 
 def episode_code(season: Column, episodes: Column) -> Column:
-    """``S01E01``; a run without gaps ``S01E01-E03``; otherwise the numbers joined by ``+``."""
-    eps = F.array_sort(F.array_distinct(episodes))
-    first, last = F.element_at(eps, 1), F.element_at(eps, -1)
-    code = F.format_string("S%02d", season)
-    run = (last - first + 1) == F.size(eps)
-    listed = F.array_join(F.transform(eps, lambda e: F.format_string("E%02d", e)), "+")
-    return F.when(F.size(eps) == 0, code).when(F.size(eps) == 1, F.concat(code, F.format_string("E%02d", first))).when(
-        run, F.concat(code, F.format_string("E%02d", first), F.format_string("-E%02d", last))
-    ).otherwise(F.concat(code, listed))
+    """``span_code`` of episodes of one season."""
+    return span_code(F.transform(episodes, lambda e: F.struct(season.alias("season"), e.alias("episode"))))
 
 
 def similarity(a: Column, b: Column) -> Column:

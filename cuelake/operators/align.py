@@ -91,6 +91,22 @@ def pick_timing(hits: DataFrame, words: DataFrame, threshold: float = 85.0, fart
     return out.select("hit_id", "item_id", "word_index", "score", confidence.alias("confidence"), kind.alias("kind"))
 
 
+def locate_phrases(hits: DataFrame, words: DataFrame, **pick) -> DataFrame:
+    """Hits of phrases (the columns of ``pick_timing``, ``said``: the folded text, ``focus``: words to listen for, may be empty) to hit_id, item_id,
+    start_ms, end_ms, confidence, suspicious. The focus words are located, without a focus the first and the last one; each counts as a hit
+    of its own, in order, for the words that they claim. Phrases of which nothing is found have no row."""
+    parts = F.filter(F.split("said", " +"), lambda w: w != "")
+    wanted = F.when(F.size("focus") > 0, F.col("focus")).otherwise(F.array(parts[0], F.element_at(parts, -1)))
+    each = hits.where(F.size(parts) >= 2).select("*", F.size(wanted).alias("wanted"), F.posexplode(wanted).alias("part_no", "part"))
+    each = each.withColumn("phrase", F.col("hit_id")).withColumn("hit_id", F.struct("phrase", "part_no")).withColumn("targets", F.array_union("targets", F.array("part")))
+    timed = pick_timing(each.select("hit_id", "item_id", "start_ms", "end_ms", "expected_ms", "targets"), words, **pick)
+    timed = timed.join(words.select("item_id", "word_index", "start_ms", "end_ms"), ["item_id", "word_index"])
+    got = each.select("item_id", "hit_id", "phrase", "wanted").join(timed.select("item_id", "hit_id", "start_ms", "end_ms", "confidence"), ["item_id", "hit_id"], "left")
+    key = F.struct("item_id", "phrase")
+    out = pick_phrase_timing(got.select(key.alias("hit_id"), "wanted", "start_ms", "end_ms", "confidence"))
+    return out.select(F.col("hit_id.phrase").alias("hit_id"), F.col("hit_id.item_id").alias("item_id"), "start_ms", "end_ms", "confidence", "suspicious")
+
+
 def pick_phrase_timing(parts: DataFrame) -> DataFrame:
     """Timed parts of phrases (hit_id, wanted, start_ms, end_ms, confidence; nulls: not found) to one span per hit."""
     return parts.groupBy("hit_id").agg(

@@ -106,6 +106,15 @@ def rule_labels(rules: DataFrame, titles: DataFrame, items: DataFrame) -> DataFr
     return named.select(*rules.columns, label.alias("label"))
 
 
+def catalogue_filter(titles: DataFrame, kind: str | None = None, enabled: bool | None = None, q: str = "") -> DataFrame:
+    """``titles`` (kind, enabled, title, ...) of a kind, enabled or not, whose title holds ``q`` in any case; what is None or empty isn't asked."""
+    if kind is not None:
+        titles = titles.where(F.col("kind") == kind)
+    if enabled is not None:
+        titles = titles.where(F.col("enabled") == enabled)
+    return titles.where(F.lower("title").contains(q.lower())) if q else titles
+
+
 def profile_usage(profiles: DataFrame, titles: DataFrame) -> DataFrame:
     """(profile_id, titles): how many titles name each profile; none: 0."""
     used = titles.where("profile_id is not null").groupBy("profile_id").agg(F.count("*").alias("titles"))
@@ -257,14 +266,17 @@ def audit_candidates(items: DataFrame, audits: DataFrame, longest: float = 4 * 3
     return open_.where(F.coalesce("failures", F.lit(0)) < retries).select("item_id", "cleaned").orderBy("cleaned", "item_id")
 
 
-def audits_to_promote(audits: DataFrame, evidence: DataFrame, runs: DataFrame, findings: DataFrame, newest: int = 50) -> DataFrame:
+def audits_to_promote(audits: DataFrame, evidence: DataFrame, runs: DataFrame, findings: DataFrame, newest: int = 50, most: int | None = None) -> DataFrame:
     """Of the ``newest`` finished audits (run_id, item_id, finished) those of items whose evidence is another run, that
     no later real run has overtaken, and that found something to promote. ``findings``: run_id, outcome."""
     top = audits.orderBy(F.desc("finished"), F.desc("run_id")).limit(newest)
     other = top.join(evidence, "item_id").where(F.col("evidence_run_id").isNull() | (F.col("evidence_run_id") != F.col("run_id")))
     later = runs.where(~F.col("dry_run")).groupBy("item_id").agg(F.max("created").alias("last_real"))
     current = other.join(later, "item_id", "left").where(F.col("last_real").isNull() | (F.col("last_real") <= F.col("finished")))
-    return current.join(findings.where(F.col("outcome").isin("new", "improved")).select("run_id"), "run_id", "left_semi").select("run_id", "item_id")
+    good = current.join(findings.where(F.col("outcome").isin("new", "improved")).select("run_id"), "run_id", "left_semi")
+    if most is not None:
+        good = good.orderBy(F.desc("finished"), F.desc("run_id")).limit(most)
+    return good.select("run_id", "item_id")
 
 
 def defer_existing(items: DataFrame, runs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 
 import pyarrow as pa
@@ -201,13 +203,18 @@ def innocent_gate(corpus: DataFrame, word: str, entries: list[tuple], never: Dat
 
 
 def lexicon_conflicts(lexicon: DataFrame, never: list[str]) -> DataFrame:
-    """(kind, name): names used twice, forms with two owners, forms that must never match, forms of the wrong shape."""
+    """(kind, name): names used twice, forms with two owners, forms that must never match, forms of the wrong shape, and where there is a
+    ``focus`` of words to listen for, names whose focus isn't part of them."""
     forms = lexicon.select("canonical", "is_phrase", F.explode("forms").alias("form"))
     twice = lexicon.groupBy("canonical").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_canonical").alias("kind"), F.col("canonical").alias("name"))
     owned = forms.groupBy("form").agg(F.count_distinct("canonical").alias("n")).where("n > 1").select(F.lit("two_owners"), "form")
-    barred = forms.where(fold(F.col("form"), True).isin(never)).select(F.lit("never_match"), "form")
+    barred = forms.where(fold(F.col("form")).isin(never)).select(F.lit("never_match"), "form")
     shape = forms.where(~F.col("form").rlike(r"^[\w'’ -]+$") | (F.col("is_phrase") != F.col("form").contains(" "))).select(F.lit("shape"), "form")
-    return twice.union(owned).union(barred).union(shape)
+    found = twice.union(owned).union(barred).union(shape)
+    if "focus" not in lexicon.columns:
+        return found
+    astray = F.size(F.array_except("focus", F.split("canonical", " "))) > 0
+    return found.union(lexicon.where(astray).select(F.lit("focus"), "canonical"))
 
 
 def lexicon_sync_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -222,9 +229,16 @@ def lexicon_sync_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
+def profile_key(categories: list[str], extras: list[str], entries: list[tuple], never: list[str], pads: tuple[int, int] = (80, 120), gap: int = 0, mute_censored: bool = True) -> str:
+    """What of a profile and its word list decides what is muted, as one hash; names, the order of anything and disabled entries don't count."""
+    told = sorted([canonical, category, sorted(set(forms))] for canonical, category, forms, _, enabled in entries if enabled)
+    parts = [sorted(set(categories)), sorted(set(extras)), list(pads), gap, mute_censored, told, sorted(set(never))]
+    return hashlib.sha1(json.dumps(parts).encode()).hexdigest()
+
+
 def ruleset_fingerprint(items: DataFrame, entries_key: str, rules: DataFrame) -> DataFrame:
-    """(item_id, fingerprint): equal exactly when the rules in scope and the entries are equal, in any order."""
-    line = F.to_json(F.struct("canonical", "scope", "context_text", F.when(F.col("mode") != "suppress", F.col("mode")).alias("mode")))
+    """(item_id, fingerprint): equal exactly when the rules in scope, with what they are for, and ``entries_key`` (see ``profile_key``) are equal, in any order."""
+    line = F.to_json(F.struct("canonical", "scope", F.coalesce("scope_id", F.lit(-1)).alias("scope_id"), F.coalesce("context_text", F.lit("")).alias("context_text"), F.when(F.col("mode") != "suppress", F.col("mode")).alias("mode")))
     told = rules.select("scope", "scope_id", line.alias("line"))
     # One row of global rules for all, then an equality join for each narrower scope.
     every = told.where("scope = 'global'").agg(F.collect_set("line").alias("g"))

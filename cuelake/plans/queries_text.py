@@ -104,13 +104,24 @@ def _(spark, d):
 
 @add("episode_codes", """
 SELECT o_custkey AS item, CASE WHEN count(DISTINCT e) = 1 THEN printf('S01E%02d', min(e)) WHEN max(e) - min(e) + 1 = count(DISTINCT e) THEN printf('S01E%02d-E%02d', min(e), max(e))
-       ELSE 'S01' || array_to_string(list_transform(list_sort(list_distinct(list(e))), lambda x: printf('E%02d', x)), '+') END AS code
+       ELSE array_to_string(list_transform(list_sort(list_distinct(list(e))), lambda x: printf('S01E%02d', x)), '+') END AS code
 FROM (SELECT o_custkey, CAST(o_orderkey % 20 + 1 AS INT) AS e FROM orders) GROUP BY 1""")
 def _(spark, d):
     o = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("item"), (F.col("o_orderkey") % 20 + 1).cast("int").alias("e")).groupBy("item").agg(F.collect_set("e").alias("eps"))
     return o.select("item", text.episode_code(F.lit(1), F.col("eps")).alias("code"))
 
 
+@add("span_codes", """
+SELECT o_custkey AS item, CASE WHEN count(DISTINCT (s, e)) = 1 THEN printf('S%02dE%02d', min(s), min(e)) WHEN count(DISTINCT s) = 1 AND max(e) - min(e) + 1 = count(DISTINCT e) THEN printf('S%02dE%02d-E%02d', min(s), min(e), max(e))
+       ELSE array_to_string(list_transform(list_sort(list_distinct(list({'s': s, 'e': e}))), lambda x: printf('S%02dE%02d', x.s, x.e)), '+') END AS code
+FROM (SELECT o_custkey, CAST(o_custkey % 3 + CASE WHEN o_custkey % 5 = 0 THEN o_orderkey % 2 ELSE 0 END AS INT) AS s, CAST(o_orderkey % 4 + 1 AS INT) AS e FROM orders) GROUP BY 1""")
+def _(spark, d):
+    k, item = F.col("o_orderkey"), F.col("o_custkey")
+    season = (item % 3 + F.when(item % 5 == 0, k % 2).otherwise(0)).cast("int")
+    o = fx.table(spark, d, "orders").groupBy(item.alias("item")).agg(F.collect_set(F.struct(season.alias("season"), (k % 4 + 1).cast("int").alias("episode"))).alias("spans"))
+    return o.select("item", text.span_code(F.col("spans")).alias("code"))
+
+
 @add("find_hits", f"""
 WITH c AS (SELECT item_id, cue_index, start_ms, end_ms, length(text) AS size, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+|{fx.NO_WORD}') AS ps FROM {fx.CUES_SQL}),
 p AS (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM c), h AS (SELECT *, coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x))), 0) AS a, length(ps[i]) AS n FROM p WHERE lower(ps[i]) IN {_IN_FORMS})

@@ -100,6 +100,12 @@ def _(spark, d):
     return catalog.rule_labels(_rules(spark, d), titles, items).select("rule_id", "label")
 
 
+@add("catalogue_filter", "SELECT c_custkey AS item_id FROM customer WHERE c_nationkey % 2 = 0 AND c_custkey % 9 <> 0 AND c_name ILIKE '%9%'")
+def _(spark, d):
+    rows = fx.items(spark, d).withColumns({"kind": F.when(F.col("title_id") % 2 == 0, "series").otherwise("movie"), "title": F.col("name")})
+    return catalog.catalogue_filter(rows, "series", True, "9").select("item_id")
+
+
 @add("profile_usage", "SELECT r_regionkey AS profile_id, (SELECT count(*) FROM nation WHERE n_nationkey % 3 > 0 AND n_regionkey % 4 = r_regionkey) AS titles FROM region")
 def _(spark, d):
     titles = fx.table(spark, d, "nation").select(F.when(F.col("n_nationkey") % 3 > 0, F.col("n_regionkey") % 4).alias("profile_id"))
@@ -123,11 +129,11 @@ def _(spark, d):
     return fx.table(spark, d, "events").select("event_id", text.snapshot_hash(F.col("props"), "k").alias("hash"), F.unix_micros(text.as_utc(F.col("ts"))).alias("at_us"))
 
 
-@add("item_labels", "SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_name || CASE WHEN p_partkey % 3 > 0 THEN ' (' || (1990 + p_size) || ')' ELSE '' END ELSE p_name || printf(' S01E%02d', p_size) END AS label FROM part")
+@add("item_labels", "SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_name || CASE WHEN p_partkey % 3 > 0 THEN ' (' || (1990 + p_size) || ')' ELSE '' END ELSE p_name || printf(' S01E%02d', p_size) || CASE WHEN p_partkey % 5 = 0 THEN ' — ' || p_brand ELSE '' END END AS label FROM part")
 def _(spark, d):
     p = fx.table(spark, d, "part")
     k, size = F.col("p_partkey"), F.col("p_size").cast("int")
-    label = text.item_label(F.when(k % 2 == 0, "movie").otherwise("episode"), F.col("p_name"), F.when(k % 3 > 0, size + 1990), text.episode_code(F.lit(1), F.array(size)))
+    label = text.item_label(F.when(k % 2 == 0, "movie").otherwise("episode"), F.col("p_name"), F.when(k % 3 > 0, size + 1990), text.episode_code(F.lit(1), F.array(size)), F.when(k % 5 == 0, F.col("p_brand")))
     return p.select(k.alias("k"), label.alias("label"))
 
 
@@ -167,6 +173,18 @@ def _(spark, d):
     return lexicon.span_to_tokens(hits, joined)
 
 
+@add("located_phrases")
+def _(spark, d):
+    words = fx.words(spark, d).withColumn("word", text.fold(text.strip_wrappers(F.col("word"))))
+    joined = lexicon.join_tokens(words.select("item_id", "word_index", F.col("word").alias("norm")))
+    spans = lexicon.span_to_tokens(lexicon.match_lexicon(joined, "joined", [fx.LEXICON[4]]).select("item_id", "char_start", "char_end"), joined)
+    hits = spans.join(words.select("item_id", F.col("word_index").alias("first_word"), "start_ms"), ["item_id", "first_word"]).select(
+        F.col("first_word").cast("long").alias("hit_id"), "item_id", (F.col("start_ms") - 300).alias("start_ms"), (F.col("start_ms") + 1000).alias("end_ms"), F.col("start_ms").cast("double").alias("expected_ms"),
+        F.array(F.lit("of the")).alias("targets"), F.lit("of the").alias("said"), F.array().cast("array<string>").alias("focus"),
+    )
+    return align.locate_phrases(hits, words)
+
+
 @add("ocr_filter", "SELECT conv_id AS item_id, count(*) AS cues_in, count(*) FILTER (turn % 7 > 0 AND c >= 60) AS cues_out, count(*) FILTER (turn % 7 = 0) AS dropped_empty, count(*) FILTER (turn % 7 > 0 AND c < 60) AS dropped_confidence, coalesce(avg(c) FILTER (turn % 7 > 0 AND c >= 60), 0)::DOUBLE AS mean_confidence FROM (SELECT *, (conv_id * 7 + turn * 31) % 100 AS c FROM conversations) GROUP BY 1")
 def _(spark, d):
     cues = fx.cues(spark, d).withColumn("confidence", ((F.col("item_id") * 7 + F.col("cue_index") * 31) % 100).cast("double")).withColumn("text", F.when(F.col("cue_index") % 7 > 0, F.col("text")))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelake.functions import text
-from cuelake.operators import catalog, lexicon, media
+from cuelake.operators import align, catalog, lexicon, media
 from cuelake.plans import fixtures as fx
 from cuelake.plans.registry import QUERIES
 from cuelake.streaming import events as ev
@@ -112,3 +112,24 @@ def test_streams_equal_tables(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/stored").select("event_id", "props")) == rows(events.select("event_id", "props"))
     seen = run(ev.dedupe_stream(streamed("events").select("item_id", "event_type", "ts")), "deduped")
     assert rows(seen.select("item_id", "event_type").distinct()) == rows(events.select("item_id", "event_type").distinct())
+
+
+def test_located_phrases(spark):
+    words = spark.createDataFrame([(1, i, w, a, a + 200) for i, (w, a) in enumerate([("oh", 10_000), ("god", 10_300), ("darn", 10_700), ("it", 11_000), ("son", 20_000), ("of", 20_300), ("gun", 30_900)])], "item_id int, word_index int, word string, start_ms long, end_ms long")
+    hits = [(1, 1, 10_000, 12_000, 10_500.0, ["god darn"], "god darn", []), (2, 1, 20_000, 22_000, 20_500.0, ["son of a gun"], "son of a gun", []), (3, 1, 10_000, 12_000, 10_500.0, ["oh it"], "oh it", ["it"]), (4, 1, 10_000, 12_000, 10_500.0, ["no way"], "no way", [])]
+    df = spark.createDataFrame(hits, "hit_id int, item_id int, start_ms long, end_ms long, expected_ms double, targets array<string>, said string, focus array<string>")
+    got = {r.hit_id: (r.start_ms, r.end_ms, r.confidence, r.suspicious) for r in align.locate_phrases(df, words).collect()}
+    assert got == {1: (10_300, 10_900, 0.95, False), 2: (20_000, 20_200, 0.95, True), 3: (11_000, 11_200, 0.95, False)}
+
+
+def test_located_phrases_query(spark, tmp_path):
+    spark.createDataFrame([(1, "x of the y"), (2, "of of the"), (3, "Of. The")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["located_phrases"](spark, str(tmp_path)).select("item_id", "hit_id", "start_ms", "end_ms", "suspicious").collect())
+    assert got == [(1, 1, 400, 1100, False), (2, 1, 400, 1100, False), (3, 0, 0, 700, False)]
+
+
+def test_profile_keys():
+    entries = [("a", "mild", ["a", "aa"], False, True), ("b", "mild", ["b"], False, True), ("c", "mild", ["c"], False, False)]
+    key = lexicon.profile_key(["x", "y"], ["q"], entries, ["n"])
+    assert key == lexicon.profile_key(["y", "x", "x"], ["q"], entries[1::-1], ["n"]) != lexicon.profile_key(["x", "y"], ["q"], entries, ["n"], pads=(80, 121))
+    assert key != lexicon.profile_key(["x", "y"], ["q"], [*entries[:2], (*entries[2][:4], True)], ["n"])
