@@ -24,6 +24,8 @@ from .common import materialise
 SAMPLE = 20_000
 WORDS = 256
 _STYLE = 10
+#: Texts whose words are held at a time.
+_AT_ONCE = 200
 _SYMBOLS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _LETTER = re.compile(r"[^\W\d_]+")
 
@@ -118,10 +120,12 @@ def fit_head(styles: np.ndarray, words: list[set[str]], truth: np.ndarray, telli
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        styles = pa.array([style_of(t) for t in texts], pa.list_(pa.float64()))
-        found = pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string()))
-        yield pa.record_batch([styles, found, batch.column("targets")], names=["style", "words", "targets"])
+        for at in range(0, batch.num_rows, _AT_ONCE):
+            part = batch.slice(at, _AT_ONCE)
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            styles = pa.array([style_of(t) for t in texts], pa.list_(pa.float64()))
+            found = pa.array([list(words_of(t)) for t in texts], pa.list_(pa.string()))
+            yield pa.record_batch([styles, found, part.column("targets")], names=["style", "words", "targets"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, int], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict[str, Head]:
@@ -157,13 +161,18 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, int], id_col: str
 def evidence(text: Column, heads: dict[str, Head]) -> Column:
     """Log odds of each head for a text, as an array in the order of the heads."""
 
+    known = set().union(*[h.words.keys() for h in heads.values()])
+
     @F.arrow_udf("array<double>")
     def logits(texts: pa.Array) -> pa.Array:
-        texts = [t or "" for t in texts.to_pylist()]
-        styles = np.array([style_of(t) for t in texts]).reshape(-1, _STYLE)
-        words = [words_of(t) for t in texts]
-        out = np.stack([h.logits(styles, words) for h in heads.values()], axis=1)
-        return pa.array(list(out), pa.list_(pa.float64()))
+        out = []
+        for at in range(0, len(texts), _AT_ONCE):
+            # Of a text's words only the telling ones are held.
+            part = [t or "" for t in texts.slice(at, _AT_ONCE).to_pylist()]
+            styles = np.array([style_of(t) for t in part]).reshape(-1, _STYLE)
+            words = [words_of(t) & known for t in part]
+            out += list(np.stack([h.logits(styles, words) for h in heads.values()], axis=1))
+        return pa.array(out, pa.list_(pa.float64()))
 
     return logits(text)
 
