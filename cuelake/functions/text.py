@@ -29,7 +29,9 @@ def _fold_unicode(texts: pa.Array) -> pa.Array:
 def normalize_text(c: Column, ascii_only: bool = False) -> Column:
     """NFKC and case folding, plain quotes and dashes, single spaces. ``ascii_only`` says that texts are
     ASCII, where lower case is the same and no Python is needed."""
-    folded = F.lower(c) if ascii_only else _fold_unicode(c)
+    plain = c.rlike(r"^[\x00-\x7F]*$")
+    # Of ASCII texts only nulls go to Python.
+    folded = F.lower(c) if ascii_only else F.when(plain, F.lower(c)).otherwise(_fold_unicode(F.when(~plain, c)))
     return F.trim(F.regexp_replace(F.translate(folded, *QUOTES_AND_DASHES), r"\s+", " "))
 
 

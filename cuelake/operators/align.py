@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity
+from ..functions.text import detect_censored, similarity
 from .intervals import bucketed
 from .lexicon import stands_for
 
@@ -59,21 +59,23 @@ CONFIDENCE_EXACT, CONFIDENCE_CENSORED = 0.95, 0.8
 def pick_timing(hits: DataFrame, words: DataFrame, threshold: float = 85.0, farthest: int = 2500, offset: int = 0, never: tuple[str, ...] = (), **near) -> DataFrame:
     """For each hit (hit_id, item_id, start_ms, end_ms of its cue, expected_ms, targets) the word that gives its time.
 
-    ``words``: item_id, word_index, word (folded), start_ms, end_ms, and where there are any kind and censor. Words without
-    letters and those of ``never`` give no time, nor do words whose middle is more than ``farthest`` from the cue's middle; the
+    ``words``: item_id, word_index, word (folded), start_ms, end_ms, and to tell masked words ``core``, the word as it was written without
+    outer punctuation. Words without letters and those of ``never`` give no time, nor do words whose middle is more than ``farthest`` from the cue's middle; the
     clock of the cues is ``offset`` behind. A masked word scores 95 if it may stand for one of the targets and nothing else; equal
     words score 100, others their similarity to the nearest target, ``threshold`` at least. The best score wins, then the nearest
     middle. A word is claimed once, by hits in order of hit_id: only words that several hits want
     are settled one after another, the rest stays in plain expressions. Columns: hit_id, item_id, word_index, score, confidence, kind.
     """
-    if "kind" in words.columns:
-        words = words.where("kind != 'empty'")
     words = words.where("word != ''")
     if never:
         words = words.where(~F.col("word").isin(*never))
-    masked = "censor" in words.columns
-    pairs = words_near(hits, words, offset=offset, carry=("censor",) if masked else (), **near).withColumn("mid", (F.col("word_start_ms") + F.col("word_end_ms")) / 2)
+    masked = "core" in words.columns
+    pairs = words_near(hits, words, offset=offset, carry=("core",) if masked else (), **near).withColumn("mid", (F.col("word_start_ms") + F.col("word_end_ms")) / 2)
     pairs = pairs.where(F.abs(F.col("mid") - (F.col("start_ms") + F.col("end_ms")) / 2 - offset) <= farthest)
+    if masked:
+        # Only words near a hit are looked at for masks.
+        censor = detect_censored(F.col("core"), never_match=F.array(*[F.lit(w) for w in never]) if never else None, folded=F.col("word"))
+        pairs = pairs.where(F.col("core").rlike(r"\p{L}")).withColumn("censor", censor)
     equal = F.array_contains("targets", F.col("word"))
     # A word much longer or shorter than every target can't reach the threshold; the table is only filled for the others.
     long_enough = F.exists("targets", lambda t: 200.0 * F.least(F.length(t), F.length("word")) / (F.length(t) + F.length("word")) >= threshold)

@@ -263,8 +263,7 @@ def _(spark, d):
 
 @add("pick_timing")
 def _(spark, d):
-    core = text.strip_wrappers(F.col("word"))
-    words = fx.words(spark, d).withColumn("censor", text.detect_censored(core)).withColumn("kind", text.classify_token(core, F.col("censor"))).withColumn("word", text.fold(core))
+    words = fx.words(spark, d).withColumn("core", text.strip_wrappers(F.col("word"))).withColumn("word", text.fold(F.col("core")))
     hits = words.where("word in ('rewh', 'thatin', 'ononst')").select(
         F.xxhash64("item_id", "word_index").alias("hit_id"), "item_id", (F.col("start_ms") - 500).alias("start_ms"), (F.col("end_ms") + 500).alias("end_ms"),
         F.col("start_ms").cast("double").alias("expected_ms"), F.array("word").alias("targets"),

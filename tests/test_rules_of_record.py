@@ -41,8 +41,7 @@ def test_no_words_no_hits(spark):
 
 def timed(spark, said, targets=("shoot", "shooting"), offset=0, never=("shout",), cue=(10_000, 12_000), expected=11_000.0):
     words = spark.createDataFrame([(1, i, w, a, b) for i, (w, a, b) in enumerate(said)], "item_id int, word_index int, raw string, start_ms long, end_ms long")
-    core = text.strip_wrappers(F.col("raw"))
-    words = words.withColumn("censor", text.detect_censored(core)).withColumn("kind", text.classify_token(core, F.col("censor"))).withColumn("word", text.fold(core))
+    words = words.withColumn("core", text.strip_wrappers(F.col("raw"))).withColumn("word", text.fold(F.col("core")))
     hits = spark.createDataFrame([(k, 1, *cue, expected, list(targets)) for k in (1,)], "hit_id int, item_id int, start_ms long, end_ms long, expected_ms double, targets array<string>")
     found = align.pick_timing(hits, words, never=never, offset=offset).collect()
     return [(r.word_index, r.kind, r.confidence) for r in found]
