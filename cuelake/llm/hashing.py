@@ -15,7 +15,9 @@ import pyarrow.compute as pc
 _RNG = np.random.default_rng(20240229)
 TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = 0x9E3779B97F4A7C15
-_R_INVERSE = pow(_R, -1, 1 << 64)
+#: Another table and base, for a second hash that has nothing in common with the first.
+SECOND_TABLE = np.random.default_rng(20250611).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SECOND_R = 0xD1342543DE82EF95
 #: Odd factors that tell apart the words of a shingle by their place.
 PLACES = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -28,15 +30,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of R and of its inverse, as far as asked for."""
+    """Powers of a base and of its inverse, as far as asked for."""
 
-    def __init__(self):
+    def __init__(self, base: int):
+        self.bases = (("up", base), ("down", pow(base, -1, 1 << 64)))
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = 1 << n.bit_length()
-            for name, base in (("up", _R), ("down", _R_INVERSE)):
+            for name, base in self.bases:
                 out, have = np.ones(size, np.uint64), 1
                 while have < size:
                     out[have : 2 * have] = out[:have] * np.uint64(pow(base, have, 1 << 64))
@@ -45,19 +48,19 @@ class Powers:
         return self.up, self.down
 
 
-POWERS = Powers()
+POWERS, SECOND_POWERS = Powers(_R), Powers(_SECOND_R)
 
 
-def running_sums(data: np.ndarray) -> np.ndarray:
-    up, _ = POWERS.upto(len(data) + 1)
+def running_sums(data: np.ndarray, table: np.ndarray = TABLE, powers: Powers = POWERS) -> np.ndarray:
+    up, _ = powers.upto(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(TABLE[data] * up[: len(data)], out=out[1:])
+    np.cumsum(table[data] * up[: len(data)], out=out[1:])
     return out
 
 
-def stretch_hashes(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def stretch_hashes(sums: np.ndarray, a: np.ndarray, b: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
     """Unmixed hashes of the stretches from a to b."""
-    _, down = POWERS.upto(len(sums))
+    _, down = powers.upto(len(sums))
     return (sums[b] - sums[a]) * down[a]
 
 

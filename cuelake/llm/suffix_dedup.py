@@ -5,7 +5,7 @@ The corpus is cut into small suffix-sorted blocks such that equal strings always
 1. Each window of ``min_bytes`` bytes belongs to its anchor, the leftmost of its k-grams with the least
    hash. Windows side by side share anchors, so a text has few; the bytes of all windows of one
    anchor are its context. Equal windows have equal anchors. Anchors are matched by their hash.
-2. Contexts that are equal as a whole are repeats in all their windows. Anchors seen once are none. What
+2. Contexts that are equal as a whole, by two unlike 64-bit hashes beside the anchor's, are repeats in all their windows. Anchors seen once are none. What
    is left are anchors with several different contexts; one of each kind is compared byte by byte.
 3. The contexts of whole anchors are sieved by the hashes of their windows, and what may repeat is joined
    to blocks of about ``BLOCK`` bytes. A block gets its
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Stored, keep, materialise, release, scratch, shuffle_partitions
-from .hashing import mix, running_sums, stretch_hashes, text_slices
+from .hashing import SECOND_POWERS, SECOND_TABLE, mix, running_sums, stretch_hashes, text_slices
 
 MIN_BYTES = 200
 BLOCK = 1 << 20
@@ -39,7 +39,7 @@ CROWD = 8192
 _SHARES = 32
 _POSITION_BITS = 22
 _SEGMENT = 1 << 21
-_ANCHORS = "row long, mark long, key long, context long, start long, windows int"
+_ANCHORS = "row long, mark long, key long, context long, context2 long, start long, windows int"
 _SPANS = "row long, mark long, start long, stop long"
 
 
@@ -54,8 +54,9 @@ def _least_in_windows(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors_of(sums: np.ndarray, a: int, b: int, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, context hash, first window, windows) of the anchors of the text between a and b; windows count from a."""
+def anchors_of(sums: np.ndarray, others: np.ndarray, a: int, b: int, min_bytes: int) -> tuple[np.ndarray, ...]:
+    """(key, two hashes of the context, first window, windows) of the anchors of the text between a and b; windows count from a.
+    ``others`` are running sums of the second kind."""
     gram = max(1, min_bytes // 3)
     out = []
     for seg in range(a, b - min_bytes + 1, _SEGMENT):
@@ -67,27 +68,29 @@ def anchors_of(sums: np.ndarray, a: int, b: int, min_bytes: int) -> tuple[np.nda
         place = (best & low).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         count = np.diff(np.concatenate([first, [len(place)]]))
-        context = mix(stretch_hashes(sums, seg + first, seg + first + count + min_bytes - 1) + count.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        ends = seg + first + count + min_bytes - 1
+        context = mix(stretch_hashes(sums, seg + first, ends) + count.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        second = stretch_hashes(others, seg + first, ends, SECOND_POWERS)
         # The anchor's place in its context counts too: equal bytes have it at the same place.
-        out.append((value[place[first]], context, seg - a + first, count))
+        out.append((value[place[first]], context, second, seg - a + first, count))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, starts in text_slices(batch):
-            sums = running_sums(data)
+            sums, others = running_sums(data), running_sums(data, SECOND_TABLE, SECOND_POWERS)
             size = np.diff(starts)
             which = np.flatnonzero(size >= min_bytes)
-            found = [anchors_of(sums, int(starts[i]), int(starts[i + 1]), min_bytes) for i in which]
+            found = [anchors_of(sums, others, int(starts[i]), int(starts[i + 1]), min_bytes) for i in which]
             if not found:
                 continue
             each = [len(f[0]) for f in found]
-            key, context, first, count = (np.concatenate(c) for c in zip(*found))
+            key, context, second, first, count = (np.concatenate(c) for c in zip(*found))
             of = lambda c: np.repeat(part.column(c).to_numpy(zero_copy_only=False)[which], each)
             yield pa.record_batch(
-                [pa.array(of("row")), pa.array(of("mark")), pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(first.astype(np.int64)), pa.array(count.astype(np.int32))],
-                names=["row", "mark", "key", "context", "start", "windows"],
+                [pa.array(of("row")), pa.array(of("mark")), pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(second.view(np.int64)), pa.array(first.astype(np.int64)), pa.array(count.astype(np.int32))],
+                names=["row", "mark", "key", "context", "context2", "start", "windows"],
             )
 
 
@@ -290,7 +293,7 @@ def _told(anchors: DataFrame, hot: list[int]) -> tuple[DataFrame, DataFrame]:
     """
     is_hot = F.col("key").isin(hot) if hot else F.lit(False)
     anchors = anchors.withColumn("share", F.when(is_hot, F.pmod("row", F.lit(_SHARES))).otherwise(-1))
-    by_key, by_context = Window.partitionBy("key", "share"), Window.partitionBy("key", "share", "context")
+    by_key, by_context = Window.partitionBy("key", "share"), Window.partitionBy("key", "share", "context", "context2")
     counted = (
         anchors.withColumn("nth", F.row_number().over(by_context.orderBy("row", "start")))
         .withColumn("same", F.count("*").over(by_context))
@@ -305,12 +308,12 @@ def _told(anchors: DataFrame, hot: list[int]) -> tuple[DataFrame, DataFrame]:
     if not hot:
         return equal, wanted
     rows = counted.where("share >= 0")
-    whole = rows.where("nth = 1").groupBy("key", "context").agg(F.sum("same").alias("same"), F.min(F.struct("row", "start", "mark", "windows")).alias("first"))
+    whole = rows.where("nth = 1").groupBy("key", "context", "context2").agg(F.sum("same").alias("same"), F.min(F.struct("row", "start", "mark", "windows")).alias("first"))
     whole = materialise(whole, "hot-contexts")
     # No more rows than hot anchors.
     keys = F.broadcast(whole.groupBy("key").agg(F.count("*").alias("kinds"), (F.min("same") == 1).alias("single")))
     asked = whole.join(keys.where("kinds > 1 and single"), "key").select("first.row", "first.mark", "key", "first.start", "first.windows", "kinds")
-    alone = rows.where("same = 1").join(whole.where("same > 1").select("key", "context"), ["key", "context"], "left_semi")
+    alone = rows.where("same = 1").join(whole.where("same > 1").select("key", "context", "context2"), ["key", "context", "context2"], "left_semi")
     return equal.union(alone.select(*place)), wanted.union(asked.select(*ask))
 
 
