@@ -153,7 +153,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     before = None
     while True:
         n, mark = now.select(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if (n, mark) == before:
+        if n == 0 or (n, mark) == before:
             break
         before = (n, mark)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
