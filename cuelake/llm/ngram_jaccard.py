@@ -5,7 +5,8 @@
 2. Shingles are counted exactly over all classes. A task sends the shingles of a chunk of texts to buckets by
    hash, six bytes each; a bucket counts them and answers each chunk with those that it has seen elsewhere too.
    The chunk then knows each text's order of shingles: what it has alone first, then by count, then
-   by hash. A prefix whose tokens are all the text's own meets nothing and is left out there, as are
+   by hash. Shingles that a sample of the texts shows to be in very many come last, without being counted: any
+   order that is the same for all texts is right, and so no bucket gets an entry from a third of them. A prefix whose tokens are all the text's own meets nothing and is left out there, as are
    own tokens of the others. Classes of equal size and equal prefix form a group, and groups meet
    where they share a token of their prefixes.
 3. Only components are asked for, so a pair whose ends are already connected needs no test. First every
@@ -38,6 +39,9 @@ IDS = 1 << 24
 CHUNK_TOKENS, BUCKET_TOKENS = 1 << 22, 1 << 21
 #: Rows of a token's list that one task orders at a time.
 STRETCH = 1 << 16
+#: Shingles that aren't counted: at most so many, seen in so many texts of a 64th of them.
+HOT, HOT_FROM = 4096, 64
+_HOT_TOKEN = 1 << 62
 _MESSAGE = "chunk long, bucket int, docs binary, tokens binary, levels binary"
 
 
@@ -63,9 +67,26 @@ def _messages(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, kinds)], names=["chunk", "bucket", "docs", "tokens", "levels"])
 
 
-def _requests(batches: Iterator[pa.RecordBatch], n: int, reps, buckets: int) -> Iterator[pa.RecordBatch]:
+def _token_counts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, sets in _distinct(batch, n):
+            if sets:
+                tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(counts)], names=["token", "n"])
+
+
+def _hot_tokens(placed: DataFrame, n: int) -> np.ndarray:
+    """Shingles of very many texts, sorted. Which ones are told changes no result."""
+    some = placed.where(F.pmod(F.col("place"), F.lit(64)) == 0).mapInArrow(lambda b: _token_counts(b, n), "token long, n long")
+    counted = some.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_FROM)
+    rows = counted.orderBy(F.desc("n"), "token").limit(HOT).collect()
+    return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
+
+
+def _requests(batches: Iterator[pa.RecordBatch], n: int, reps, hot: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Chunks of texts to one message for each bucket: which document (2 bytes) has which token (4 bytes), the bucket
-    standing for the token's other bytes. One more message tells the chunk's ids and sizes; its bucket is negative."""
+    standing for the token's other bytes. Two more messages stay with the chunk, their bucket is negative: its ids and sizes, and
+    which document has which hot token."""
     chunk = TaskContext.get().partitionId() << 32
     ids: list[np.ndarray] = []
     sets: list[np.ndarray] = []
@@ -74,11 +95,15 @@ def _requests(batches: Iterator[pa.RecordBatch], n: int, reps, buckets: int) ->
     def sent() -> list[tuple]:
         size = np.array([len(s) for s in sets], np.int32)
         grams, doc = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), size)
+        place = np.searchsorted(hot, grams)
+        is_hot = hot[np.minimum(place, len(hot) - 1)] == grams if len(hot) else np.zeros(len(grams), bool)
+        often = (chunk, -1 - chunk % buckets, doc[is_hot].tobytes(), place[is_hot].astype(np.uint32).tobytes(), b"\xff" * int(is_hot.sum()))
+        grams, doc = grams[~is_hot], doc[~is_hot]
         bucket = ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
         doc, grams = doc[order], grams[order].astype(np.uint32)
-        rows = [(chunk, -1 - chunk % buckets, np.concatenate(ids).tobytes(), size.tobytes(), None)]
+        rows = [(chunk, -1 - chunk % buckets, np.concatenate(ids).tobytes(), size.tobytes(), None), often]
         rows += [(chunk, b, doc[x:y].tobytes(), grams[x:y].tobytes(), None) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:])) if x < y]
         return rows
 
@@ -146,11 +171,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
     held: list[tuple] = []
 
     def heads() -> pa.RecordBatch:
-        (ids, size), = [(np.frombuffer(x[2], np.int64), np.frombuffer(x[3], np.int32)) for x in held if x[1] < 0]
-        told = [x for x in held if x[1] >= 0]
+        (ids, size), = [(np.frombuffer(x[2], np.int64), np.frombuffer(x[3], np.int32)) for x in held if x[4] is None]
+        told = [x for x in held if x[4] is not None]
         doc = np.concatenate([np.frombuffer(x[2], np.uint16) for x in told] or [np.zeros(0, np.uint16)]).astype(np.int64)
         level = np.concatenate([np.frombuffer(x[4], np.uint8) for x in told] or [np.zeros(0, np.uint8)])
-        token = np.concatenate([np.frombuffer(x[3], np.uint32).astype(np.int64) | x[1] << 32 for x in told] or [np.zeros(0, np.int64)])
+        token = np.concatenate([np.frombuffer(x[3], np.uint32).astype(np.int64) | (x[1] << 32 if x[1] >= 0 else _HOT_TOKEN) for x in told] or [np.zeros(0, np.int64)])
         held.clear()
         order = np.lexsort((token, level, doc))
         doc, token = doc[order], token[order]
@@ -310,7 +335,8 @@ def _found(rows: DataFrame, n: int, similarity: tuple[int, int], every: bool):
     # A bucket's tokens fit into a task; there are as many buckets as the tokens ask for.
     buckets = max(parts, (classes.agg(F.sum("n")).first()[0] or 0) // BUCKET_TOKENS + 1)
     reps = _bitmap_of(classes.select(F.col("rep").alias("id")))
-    asked = placed.mapInArrow(lambda b: _requests(b, n, reps, buckets), _MESSAGE)
+    hot = _hot_tokens(placed, n)
+    asked = placed.mapInArrow(lambda b: _requests(b, n, reps, hot, buckets), _MESSAGE)
     told = asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_replies, _MESSAGE)
     heads = told.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(lambda b: _prefixes(b, num, den), "id long, n int, own int, prefix array<long>")
     # The bitmap may let copies through, which aren't representatives.

@@ -38,6 +38,16 @@ def test_groups_whose_members_part(spark):
 def test_many_chunks_and_buckets(spark, monkeypatch):
     """Texts of several chunks per task meet in the same lists, and one text may be a chunk."""
     monkeypatch.setattr(ngram_jaccard, "CHUNK_TOKENS", 40)
+    hot_tokens = ngram_jaccard._hot_tokens
+    told = []
+
+    def hot(placed, n):
+        # Every text is a sample, and what three texts share is often.
+        monkeypatch.setattr(ngram_jaccard, "HOT_FROM", 3)
+        told.append(hot_tokens(placed.withColumn("place", F.col("place") * 64), n))
+        return told[-1]
+
+    monkeypatch.setattr(ngram_jaccard, "_hot_tokens", hot)
     rng = random.Random(5)
     base = [[f"w{rng.randrange(90)}" for _ in range(30)] for _ in range(4)]
     rows = []
@@ -47,6 +57,7 @@ def test_many_chunks_and_buckets(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert got(ngram_jaccard.near_documents(df, n=2, similarity=(8, 10)), "id", "n_shingles", "component_id") == sorted(brute.near(rows, 2, 8, 10), key=repr)
+    assert len(told[0]) > 50
 
 
 def test_pieces_of_repeated_and_missing_ids(spark):
