@@ -1,7 +1,5 @@
 """Goldens for operators whose queries have no SQL, and edge cases of the file checks."""
 
-from pyspark.sql import functions as F
-
 from cuelake.operators import align, lexicon, media, scoring
 
 
