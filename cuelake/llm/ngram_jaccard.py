@@ -414,12 +414,12 @@ def _found(rows: DataFrame, n: int, similarity: tuple[int, int], every: bool):
         turn += 1
 
     # A bundle is what a token's list holds of one component. Bundles meet if some sizes and places in them
-    # allow a link, then their groups by their own, then the members of the groups. A sixteenth of the tokens goes first and three more
+    # allow a link, then their groups by their own, then the members of the groups. A 64th of the tokens goes first and three larger parts
     # follow, since what they connect needs no test under the others.
     may = " and ".join(f"hi{s} * {den} >= lo{t} * {num} and hi{s} - p{s} >= ceil({num} * (hi{s} + lo{t}) / {den + num})" for s, t in ("xy", "yx"))
     ends, one = {"part": "b", "lo": "lo", "hi": "hi", "pos": "p"}, one | {"part": "b"}
-    for low, high in ((0, 0), (1, 3), (4, 15)):
-        some = postings.where(F.pmod(F.xxhash64("token", F.lit("turn")), F.lit(16)).between(low, high)).select("token", "gid", "n", "pos")
+    for low, high in ((0, 0), (1, 3), (4, 15), (16, 63)):
+        some = postings.where(F.pmod(F.xxhash64("token", F.lit("turn")), F.lit(64)).between(low, high)).select("token", "gid", "n", "pos")
         placed = part_of(some, "gid", "part")
         mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
         placed = materialise(placed.join(mixed, "token"), "mixed-postings")
