@@ -6,6 +6,7 @@ from .bpe import op3_bpe
 from .divergence import OP11_SQL, op11_divergence
 from .embedding_dedup import OP8_SQL, op8_embedding_dedup
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .language_id import op13_language_id
 from .ngram_jaccard import OP5_SQL, op5_ngram_jaccard
 from .packing import op1_best_fit_packing
 from .quality import op7_quality
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_warc": op10_warc,
     "op11_divergence": op11_divergence,
+    "op13_language_id": op13_language_id,
 }
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_embedding_dedup": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_divergence": OP11_SQL}
