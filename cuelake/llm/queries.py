@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .collocations import OP12_SQL, op12_collocations
 from .divergence import OP11_SQL, op11_divergence
 from .embedding_dedup import OP8_SQL, op8_embedding_dedup
 from .exact_dedup import OP4_SQL, op4_exact_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_warc": op10_warc,
     "op11_divergence": op11_divergence,
+    "op12_collocations": op12_collocations,
     "op13_language_id": op13_language_id,
 }
-ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_embedding_dedup": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_divergence": OP11_SQL}
+ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op8_embedding_dedup": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_divergence": OP11_SQL, "op12_collocations": OP12_SQL}
