@@ -239,15 +239,18 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sampl
     rows = rows.withColumn("hash", F.xxhash64("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
     bound = rows.select("lang", "hash").withColumn("nth", nth).where(F.col("nth") <= sample).groupBy("lang").agg(F.max("hash").alias("bound"))
-    with scratch(docs.sparkSession):
-        some = rows.join(bound, "lang").where("hash <= bound").select("lang", "text")
+    spark = docs.sparkSession
+    # One row a language, as the model has one tree.
+    told = sorted((tuple(r) for r in bound.collect()), key=lambda r: r[0].encode())
+    langs = [lang for lang, _ in told]
+    with scratch(spark):
+        some = rows.join(F.broadcast(spark.createDataFrame(told, "lang string, bound long")), "lang").where("hash <= bound").select("lang", "text")
         counts = some.mapInArrow(lambda b: _follow_counts(b, order), "lang string, context long, symbol int, n long")
         counts = materialise(counts.groupBy("lang", "context", "symbol").agg(F.sum("n").alias("n")), "follow-counts")
         # A context's parent is at least as frequent and shorter, so it is kept with it.
         most = counts.groupBy("lang", "context").agg(F.sum("n").alias("n"))
         most = most.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "context"))).where(F.col("nth") <= contexts)
         got = counts.join(most.select("lang", "context"), ["lang", "context"]).orderBy("lang", "context", "symbol").toArrow()
-        langs = sorted({r[0] for r in bound.select("lang").collect()}, key=lambda x: x.encode())
     trees, names = [], got["lang"].to_numpy(zero_copy_only=False)
     for lang in langs:
         mine = names == lang
