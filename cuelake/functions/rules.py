@@ -44,11 +44,20 @@ def item_status(state: Column, dry_run: Column) -> Column:
     )
 
 
-def resolve_mode(wanted: Column, usable: Column, hours: Column, cap: float = 4.0) -> Column:
-    """Struct (mode, reason). A wanted mode wins; unusable cues mean the full pass unless it is too long."""
-    mode = F.when(wanted.isin("full", "windowed"), wanted).when(usable, "windowed").when(hours > cap, "windowed").otherwise("full")
-    reason = F.when(wanted.isin("full", "windowed"), "requested").when(usable, "cues").when(hours > cap, "too_long").otherwise("no_cues")
-    return F.struct(mode.alias("mode"), reason.alias("reason"))
+def resolve_mode(wanted: Column, usable: Column, cues: Column, windows: Column, seconds: Column, cap_hours: Column | float = 4.0) -> Column:
+    """Struct (mode, reason). ``windowed`` is what is done unless something else is asked for, and then that wins, whatever the cap. Without
+    usable subtitles (``usable``), or without ``cues``, everything is listened to, unless that takes more than ``cap_hours``; 0 is no cap.
+    Cues without a window (``windows``) are evidence that there is nothing. Modes and reasons are fixed values."""
+    says = lambda mode, reason: F.struct(mode.alias("mode"), reason.alias("reason"))
+    windowed, full = F.lit("windowed"), F.lit("full")
+    cap = F.coalesce(F.lit(cap_hours) if isinstance(cap_hours, float | int) else cap_hours, F.lit(0.0)) * 3600
+    return (
+        F.when(wanted != "windowed", says(wanted, F.lit("explicit")))
+        .when(usable & cues & windows, says(windowed, F.lit("subtitles")))
+        .when(usable & cues, says(windowed, F.lit("no_candidate_windows")))
+        .when((cap > 0) & (seconds > cap), says(windowed, F.lit("full_skipped_too_long")))
+        .otherwise(says(full, F.when(~usable, "subtitles_unusable").otherwise("no_subtitles")))
+    )
 
 
 def drift_verdict(
@@ -68,20 +77,31 @@ def drift_verdict(
     )
 
 
-#: Seconds until the next attempt.
-BACKOFF = (60, 300, 900)
+#: Seconds until the next attempt, after each one made; most attempts; stages after which a failure costs little, and those that end a run.
+BACKOFF, MOST_ATTEMPTS = (60.0, 300.0, 900.0), 3
+BEST_EFFORT_STAGES, TERMINAL_STAGES = ("refresh", "snippets"), ("render", "verify", "swap")
+MOVED_DELAY, BLIND_DELAY = 5.0, 60.0
 
 
-def retry_plan(kind: Column, attempts: Column, presence: Column) -> Column:
-    """Struct (outcome, delay): retry with a backoff, stale, ignored or terminal."""
-    outcome = (
-        F.when(kind == "best_effort", "ignored")
-        .when((kind == "source") & presence.isin("moved", "gone"), "stale")
-        .when(kind.isin("transient", "source") & (attempts < 3), "retry")
-        .otherwise("terminal")
-    )
-    delay = F.element_at(F.array(*[F.lit(x) for x in BACKOFF]), F.greatest(F.lit(1), F.least(attempts.cast("int"), F.lit(3))))
-    return F.struct(outcome.alias("outcome"), F.when(outcome == "retry", delay).alias("delay"))
+def retry_plan(stage: Column, error: Column, attempts: Column, resolved: Column) -> Column:
+    """Struct (verdict, state, delay) of a failed stage; the order of the tests matters.
+
+    ``error``: ``swap_broken``, ``stale_source``, or anything else. ``resolved``: where a lost source went, ``moved``, ``gone``,
+    ``unchanged``, ``unavailable`` or null if nobody asked. A moved source is queued again, one of which nothing is known once.
+    """
+    says = lambda verdict, state, delay=None: F.struct(F.lit(verdict).alias("verdict"), F.lit(state).alias("state"), (F.lit(delay).cast("double") if delay is None or isinstance(delay, float) else delay).alias("delay"))
+    nth = F.greatest(F.lit(1), F.least(attempts.cast("int"), F.lit(len(BACKOFF))))
+    unknown = resolved.isNull() | (resolved == "unavailable")
+    stale = (
+        F.when(resolved == "moved", says("stale", "queued", MOVED_DELAY))
+        .when(unknown & (attempts <= 1), says("stale", "queued", BLIND_DELAY)).otherwise(says("stale", "stale"))
+    )
+    return (
+        F.when(error == "swap_broken", says("terminal", "failed")).when(error == "stale_source", stale)
+        .when(stage.isin(*BEST_EFFORT_STAGES), says("best_effort", "done"))
+        .when(stage.isin(*TERMINAL_STAGES) | (attempts >= MOST_ATTEMPTS), says("terminal", "failed"))
+        .otherwise(says("retry", "queued", F.element_at(F.array(*[F.lit(x) for x in BACKOFF]), nth)))
+    )
 
 
 def is_pre_existing(kind: Column, added: Column, watermark: Column) -> Column:

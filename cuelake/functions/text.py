@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,28 +86,41 @@ def mask_text(c: Column, mask: str = "*") -> Column:
     return F.regexp_replace(c, "[^ \\t\\u00a0'’-]", mask.replace("\\", "\\\\").replace("$", "\\$"))
 
 
-#: Two-letter languages and their three-letter names.
-LANGUAGES = {"en": "eng", "fr": "fra", "de": "deu", "es": "spa", "it": "ita", "pt": "por", "nl": "nld", "ja": "jpn"}
-OTHER_NAMES = {"fre": "fra", "ger": "deu", "dut": "nld"}
+#: Two-letter languages and their three-letter names, that for output first.
+LANGUAGES = {
+    "en": "eng", "es": "spa", "fr": "fre fra", "de": "ger deu", "it": "ita", "pt": "por", "ru": "rus", "ja": "jpn", "ko": "kor", "zh": "chi zho",
+    "nl": "dut nld", "sv": "swe", "no": "nor", "da": "dan", "fi": "fin", "pl": "pol", "cs": "cze ces", "hu": "hun", "el": "gre ell", "tr": "tur",
+    "ar": "ara", "he": "heb", "hi": "hin", "th": "tha", "vi": "vie", "id": "ind", "ms": "may msa", "uk": "ukr", "bg": "bul", "ro": "rum ron",
+    "sk": "slo slk", "sl": "slv", "hr": "hrv", "sr": "srp", "et": "est", "lv": "lav", "lt": "lit", "ca": "cat", "ta": "tam", "te": "tel",
+    "bn": "ben", "mr": "mar", "ur": "urd", "fa": "fas per", "is": "isl ice", "ga": "gle", "cy": "wel cym", "eu": "eus baq", "gl": "glg", "af": "afr",
+    "sw": "swa", "ml": "mal", "kn": "kan",
+}
+#: Each name of a language and the one it goes by here.
+LANGUAGE_NAMES = {name: names.split()[0] for two, names in LANGUAGES.items() for name in (two, *names.split())}
 
 
-def lang_norm(c: Column) -> Column:
-    """Lower case, region cut off, one name for each language; null stays null."""
+def lang_tag(c: Column) -> Column:
+    """Lower case, region cut off; null where nothing is named. ``und`` stays: tagged as unknown is not untagged."""
     cut = F.split(F.lower(F.trim(c)), "[-_]")[0]
-    names = F.create_map(*[F.lit(x) for pair in (LANGUAGES | OTHER_NAMES).items() for x in pair])
+    return F.when(F.trim(c) != "", cut)
+
+
+def lang_norm(c: Column) -> Column:
+    """``lang_tag`` with one three-letter name for each language; unknown names stay as they are, null stays null."""
+    names = F.create_map(*[F.lit(x) for pair in LANGUAGE_NAMES.items() for x in pair])
+    cut = lang_tag(c)
     return F.coalesce(F.try_element_at(names, cut), cut)
 
 
 def lang_matches(a: Column, b: Column) -> Column:
-    """Same known language; an unknown one (null or ``und``) matches nothing."""
-    x, y = lang_norm(a), lang_norm(b)
-    return F.coalesce((x == y) & (x != "und"), F.lit(False))
+    """Same language, whichever of its names; also the same unknown name. A null or empty tag matches nothing."""
+    return F.coalesce(lang_norm(a) == lang_norm(b), F.lit(False))
 
 
 def lang_effective(tag: Column, default: Column) -> Column:
-    """The tag's language, or the default where the tag says nothing."""
-    named = lang_norm(tag)
-    return F.when(named.isNull() | (named == "und"), lang_norm(default)).otherwise(named)
+    """The tag's language, or the default where the tag says nothing; ``und`` says nothing."""
+    told = lambda c: F.nullif(lang_norm(c), F.lit("und"))
+    return F.coalesce(told(tag), told(default))
 
 
 def json_field(c: Column, path: str, kind: str) -> Column:
@@ -169,3 +184,75 @@ def similarity(a: Column, b: Column) -> Column:
     table = F.aggregate(F.split(a, ""), start, next_row)
     total = F.length(a) + n
     return F.when(total == 0, 100.0).when((F.length(a) == 0) | (n == 0), 0.0).otherwise(F.lit(200.0) * F.element_at(table, -1) / total)
+
+
+def _letters_of(words: list[str]) -> np.ndarray:
+    """Code points of words, one row each, zeros after the end."""
+    width = max(1, max(map(len, words), default=1))
+    return np.array(words, f"<U{width}").view("<u4").reshape(len(words), width)
+
+
+def _bags(letters: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How often the letters of each of 32 classes stand in a word."""
+    out = np.zeros((len(size), 32), np.int32)
+    row = np.repeat(np.arange(len(size)), size)
+    np.add.at(out, (row, letters[np.arange(letters.shape[1]) < size[:, None]] % 32), 1)
+    return out
+
+
+def common_letters(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair of words. A word's row of the usual table is one number, of which a bit
+    is out where the length grows; all pairs take a step at once. Longer words than 63 letters go one by one, with long numbers."""
+    out = np.zeros(len(a), np.int64)
+    size_a, size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    short = np.flatnonzero((size_a < 64) & (size_b < 64))
+    if len(short):
+        x, y = _letters_of([a[i] for i in short]), _letters_of([b[i] for i in short])
+        n, m = size_a[short], size_b[short]
+        bits = np.uint64(1) << np.arange(y.shape[1], dtype=np.uint64)
+        row = np.full(len(short), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for k in range(x.shape[1]):
+            at = np.where((y == x[:, k : k + 1]) & (n > k)[:, None] & (np.arange(y.shape[1]) < m[:, None]), bits, np.uint64(0)).sum(1, dtype=np.uint64)
+            met = row & at
+            row = (row + met) | (row - met)
+        out[short] = np.bitwise_count(~row)
+    for i in np.flatnonzero((size_a > 63) | (size_b > 63)):
+        places: dict[str, int] = {}
+        for k, c in enumerate(b[i]):
+            places[c] = places.get(c, 0) | 1 << k
+        whole = (1 << len(b[i])) - 1
+        row = whole
+        for c in a[i]:
+            met = row & places.get(c, 0)
+            row = ((row + met) | (row - met)) & whole
+        out[i] = len(b[i]) - row.bit_count()
+    return out
+
+
+def best_similarity(word: Column, targets: Column, least: float) -> Column:
+    """``similarity`` of a word to the nearest of its targets, null below ``least``. Of a batch each pair of a word and a target is measured once, and only
+    where their lengths and letters let it reach ``least``."""
+
+    @F.arrow_udf("double")
+    def best(words: pa.Array, lists: pa.Array) -> pa.Array:
+        of = pc.list_parent_indices(lists)
+        pairs = pa.table({"w": words.take(of), "t": lists.flatten(), "of": of})
+        pairs = pairs.filter(pc.and_(pc.is_valid(pairs["w"]), pc.is_valid(pairs["t"])))
+        each = pairs.group_by(["w", "t"]).aggregate([])
+        a, b = each["w"].to_pylist(), each["t"].to_pylist()
+        n, m = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        total = n + m
+        score = np.where(total == 0, 100.0, 0.0)
+        maybe = np.flatnonzero(200.0 * np.minimum(n, m) >= least * np.maximum(total, 1))
+        if len(maybe):
+            bag = [_bags(_letters_of([x[i] for i in maybe]), k[maybe]) for x, k in ((a, n), (b, m))]
+            maybe = maybe[(200.0 * np.minimum(*bag).sum(1) >= least * total[maybe]) & (total[maybe] > 0)]
+            if len(maybe):
+                score[maybe] = 200.0 * common_letters([a[i] for i in maybe], [b[i] for i in maybe]) / total[maybe]
+        joined = pairs.join(each.append_column("s", pa.array(score)), ["w", "t"])
+        row, s = joined["of"].to_numpy(), joined["s"].to_numpy()
+        out = np.full(len(words), -1.0)
+        np.maximum.at(out, row, s)
+        return pa.array(out, mask=out < max(least, 0.0))
+
+    return best(word, targets)

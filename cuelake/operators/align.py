@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import detect_censored, similarity
+from ..functions.text import best_similarity, detect_censored
+from .claims import claim_first
 from .intervals import bucketed
 from .lexicon import stands_for
+from .medians import exact_medians
 
 
 def words_near(hits: DataFrame, words: DataFrame, slack: int = 1000, offset: int = 0, width: int = 15_000, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -23,35 +22,6 @@ def words_near(hits: DataFrame, words: DataFrame, slack: int = 1000, offset: int
     return left.join(right, ["item_id", "_b"]).where(F.col("word_start_ms").between(F.col("_from"), F.col("_to"))).drop("_b", "_from", "_to")
 
 
-def claim_first(pairs: DataFrame, left: str, right: str, order: list[Column]) -> DataFrame:
-    """One-to-one choice per item: left sides in order take their first right side, by ``order``, that is free.
-
-    Left sides that share no right side with another one choose by themselves. The pairs of the others pass in
-    order, and only the right sides taken so far in an item are held.
-    """
-    wanted = pairs.groupBy("item_id", right).agg(F.count_distinct(left).alias("n")).where("n > 1").select("item_id", right)
-    contested = pairs.join(wanted, ["item_id", right], "left_semi").select("item_id", left).distinct()
-    first = Window.partitionBy("item_id", left).orderBy(*order)
-    plain = pairs.join(contested, ["item_id", left], "left_anti").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item, taken, served = None, set(), None
-        for batch in batches:
-            rows = []
-            for i, (at, who, what) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("item_id", left, right)])):
-                if at != item:
-                    item, taken, served = at, set(), None
-                if who != served and what not in taken:
-                    taken.add(what)
-                    served = who
-                    rows.append(i)
-            yield batch.take(pa.array(rows, pa.int64()))
-
-    rest = pairs.join(contested, ["item_id", left], "left_semi").select(*pairs.columns)
-    rest = rest.repartition("item_id").sortWithinPartitions("item_id", left, *order)
-    return plain.select(*pairs.columns).union(rest.mapInArrow(choose, pairs.schema))
-
-
 #: How sure a word's time is that was heard as the hit, or as a masked form of it.
 CONFIDENCE_EXACT, CONFIDENCE_CENSORED = 0.95, 0.8
 
@@ -63,8 +33,7 @@ def pick_timing(hits: DataFrame, words: DataFrame, threshold: float = 85.0, fart
     outer punctuation. Words without letters and those of ``never`` give no time, nor do words whose middle is more than ``farthest`` from the cue's middle; the
     clock of the cues is ``offset`` behind. A masked word scores 95 if it may stand for one of the targets and nothing else; equal
     words score 100, others their similarity to the nearest target, ``threshold`` at least. The best score wins, then the nearest
-    middle. A word is claimed once, by hits in order of hit_id: only words that several hits want
-    are settled one after another, the rest stays in plain expressions. Columns: hit_id, item_id, word_index, score, confidence, kind.
+    middle. A word is claimed once, by hits in order of hit_id (``claim_first``). Columns: hit_id, item_id, word_index, score, confidence, kind.
     """
     words = words.where("word != ''")
     if never:
@@ -77,10 +46,11 @@ def pick_timing(hits: DataFrame, words: DataFrame, threshold: float = 85.0, fart
         censor = detect_censored(F.col("core"), never_match=F.array(*[F.lit(w) for w in never]) if never else None, folded=F.col("word"))
         pairs = pairs.where(F.col("core").rlike(r"\p{L}")).withColumn("censor", censor)
     equal = F.array_contains("targets", F.col("word"))
-    # A word much longer or shorter than every target can't reach the threshold; the table is only filled for the others.
-    long_enough = F.exists("targets", lambda t: 200.0 * F.least(F.length(t), F.length("word")) / (F.length(t) + F.length("word")) >= threshold)
-    score = F.when(equal, 100.0).when(long_enough, F.array_max(F.transform("targets", lambda t: similarity(F.col("word"), t))))
-    score = F.when(score >= threshold, score)
+    # A word much longer or shorter than every target can't reach the threshold: the helper gets null for it, and for masked ones.
+    long_enough = ~equal & F.exists("targets", lambda t: 200.0 * F.least(F.length(t), F.length("word")) / (F.length(t) + F.length("word")) >= threshold)
+    if masked:
+        long_enough = long_enough & F.col("censor").isNull()
+    score = F.when(equal, 100.0).otherwise(best_similarity(F.when(long_enough, F.col("word")), F.col("targets"), threshold))
     if masked:
         may = F.exists("targets", lambda t: stands_for(F.col("censor"), t))
         score = F.when(F.col("censor").isNull(), score).when(may, 95.0)
@@ -247,13 +217,13 @@ def align_probe(probes: DataFrame) -> DataFrame:
 
 def drift_measure(deltas: DataFrame) -> DataFrame:
     """Per item (item_id, probe, delta, coverage, word): median of all deltas, spread of the probes' medians, coverage, counts."""
-    per = deltas.groupBy("item_id", "probe").agg(F.percentile("delta", F.lit(0.5)).alias("median"), F.max("coverage").alias("coverage"), F.count("delta").alias("n"))
+    per = deltas.groupBy("item_id", "probe").agg(F.max("coverage").alias("coverage")).join(exact_medians(deltas, ["item_id", "probe"], "delta"), ["item_id", "probe"], "left")
     probes = per.groupBy("item_id").agg(
         F.when(F.count("median") > 1, F.max("median") - F.min("median")).otherwise(0.0).alias("spread"),
         F.avg("coverage").alias("coverage"), F.count("*").alias("probes"), F.count("median").alias("timed"),
     )
-    whole = deltas.groupBy("item_id").agg(F.coalesce(F.percentile("delta", F.lit(0.5)), F.lit(0.0)).alias("offset"), F.count_distinct("word").alias("heard"))
-    return probes.join(whole, "item_id")
+    whole = deltas.groupBy("item_id").agg(F.count_distinct("word").alias("heard")).join(exact_medians(deltas, ["item_id"], "delta", "offset"), "item_id", "left")
+    return probes.join(whole.withColumn("offset", F.coalesce("offset", F.lit(0.0))), "item_id")
 
 
 def uncovered(spans: DataFrame, detections: DataFrame, keys: list[str], width: int = 15_000) -> DataFrame:

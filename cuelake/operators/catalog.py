@@ -266,16 +266,19 @@ def audit_candidates(items: DataFrame, audits: DataFrame, longest: float = 4 * 3
     return open_.where(F.coalesce("failures", F.lit(0)) < retries).select("item_id", "cleaned").orderBy("cleaned", "item_id")
 
 
-def audits_to_promote(audits: DataFrame, evidence: DataFrame, runs: DataFrame, findings: DataFrame, newest: int = 50, most: int | None = None) -> DataFrame:
-    """Of the ``newest`` finished audits (run_id, item_id, finished) those of items whose evidence is another run, that
-    no later real run has overtaken, and that found something to promote. ``findings``: run_id, outcome."""
-    top = audits.orderBy(F.desc("finished"), F.desc("run_id")).limit(newest)
-    other = top.join(evidence, "item_id").where(F.col("evidence_run_id").isNull() | (F.col("evidence_run_id") != F.col("run_id")))
-    later = runs.where(~F.col("dry_run")).groupBy("item_id").agg(F.max("created").alias("last_real"))
-    current = other.join(later, "item_id", "left").where(F.col("last_real").isNull() | (F.col("last_real") <= F.col("finished")))
-    good = current.join(findings.where(F.col("outcome").isin("new", "improved")).select("run_id"), "run_id", "left_semi")
+def audits_to_promote(audits: DataFrame, items: DataFrame, evidence: DataFrame, runs: DataFrame, findings: DataFrame, floor: float = 0.0, newest: int = 50, most: int | None = None) -> DataFrame:
+    """Of the ``newest`` finished audits (run_id, item_id, created) those worth a run of their own: of items that are clean and have evidence, which is
+    another run; that no later finished real run (``runs``: item_id, dry_run, state, created) has overtaken; and that found something new that is muted,
+    not whitelisted and as sure as ``floor`` or of no told confidence. ``findings``: run_id, outcome, muted, whitelisted, confidence; what is only improved doesn't count."""
+    top = audits.orderBy(F.desc("created"), F.desc("run_id")).limit(newest)
+    other = top.join(items.where("status = 'clean'").select("item_id"), "item_id", "left_semi").join(evidence, "item_id").where("evidence_run_id != run_id")
+    later = runs.where(~F.col("dry_run") & (F.col("state") == "done")).groupBy("item_id").agg(F.max("created").alias("last_real"))
+    current = other.join(later, "item_id", "left").where("last_real is null or last_real <= created")
+    sure = F.col("confidence").isNull() | (F.col("confidence") >= floor)
+    new = findings.where((F.col("outcome") == "new") & F.col("muted") & ~F.coalesce("whitelisted", F.lit(False)) & sure).select("run_id")
+    good = current.join(new, "run_id", "left_semi")
     if most is not None:
-        good = good.orderBy(F.desc("finished"), F.desc("run_id")).limit(most)
+        good = good.orderBy(F.desc("created"), F.desc("run_id")).limit(most)
     return good.select("run_id", "item_id")
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import pad_span
+from ..stores import keep, materialise, scratch
+from .chains import numbered, reached
 
 
 def merge_ranges(df: DataFrame, gap: float = 0) -> DataFrame:
@@ -20,11 +18,6 @@ def merge_ranges(df: DataFrame, gap: float = 0) -> DataFrame:
     return numbered.groupBy("item_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def pad_ranges(df: DataFrame, duration: Column, **pads) -> DataFrame:
-    a, b = pad_span(F.col("start"), F.col("end"), duration, **pads)
-    return df.withColumns({"start": a, "end": b})
-
-
 def quantize_outward(df: DataFrame, duration: Column, most: int = 2000) -> DataFrame:
     """Ranges widened to whole milliseconds inside [0, duration] and merged again; more than ``most`` an item is an error."""
     cut = lambda c: F.least(F.greatest(c, F.lit(0.0)), duration)
@@ -77,8 +70,9 @@ def free_window(ranges: DataFrame, durations: DataFrame, size: int, margin: int,
 
 
 def events_to_intervals(df: DataFrame, clears: Column, tail: int) -> DataFrame:
-    """An event lasts until the next later time of its item, the last one ``tail`` longer; clearing events emit nothing."""
-    later = Window.partitionBy("item_id").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
+    """An event lasts until the next later time of its item, the last one ``tail`` longer; clearing events emit nothing. ``at`` is a whole number."""
+    # From the last event on, so that the least time so far is carried along.
+    later = Window.partitionBy("item_id").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
     return df.withColumn("end", F.coalesce(F.min("at").over(later), F.col("at") + tail)).where(~clears).withColumnRenamed("at", "start")
 
 
@@ -97,26 +91,34 @@ def cue_windows(cues: DataFrame, hits: DataFrame, pad: float, gap: float, offset
 
 
 def batch_segments(df: DataFrame, max_span: float = 300, max_n: int = 128) -> DataFrame:
-    """Number of the batch of each segment: a batch ends before it spans ``max_span`` or holds ``max_n``. Where a
-    batch starts depends on all before it, so an item's segments pass in order; one state per item is held."""
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item, batch, first, count = None, -1, 0.0, 0
-        for rows in batches:
-            out = []
-            for at, start, end in zip(*[rows.column(c).to_pylist() for c in ("item_id", "start", "end")]):
-                if at != item:
-                    item, batch = at, -1
-                unknown = batch >= 0 and (end is None or first is None)
-                if batch < 0 or count >= max_n or (not unknown and end - first > max_span):
-                    batch, first, count = batch + 1, start, 0
-                count += 1
-                out.append(batch)
-            yield pa.record_batch([*rows.columns, pa.array(out, pa.int32())], names=[*rows.schema.names, "batch"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", batch int"
+    """Number of the batch of each segment (item_id, start, end, in order of both, nulls last): a batch ends before it spans ``max_span`` or holds ``max_n``;
+    a segment without a start or end doesn't end one by its span. ``df`` with ``batch``, from 0.
+
+    Where a batch would end if it began with a segment is told by at most ``max_n`` segments after it, stretch by stretch of an item; which
+    segments do begin one is a chain. An item with a third of all segments is numbered, searched and followed by many tasks.
+    """
+    spark, item = df.sparkSession, F.struct("item_id")
     nulls_last = [F.asc_nulls_last(c) for c in ("start", "end")]
-    return df.repartition("item_id").sortWithinPartitions("item_id", *nulls_last).mapInArrow(number, kinds)
+    with scratch(spark):
+        rows = materialise(numbered(df.withColumn("_k", item), ["_k"], nulls_last, "_idx"), "segments")
+        size = F.lit(16 * max_n)
+        spans = rows.select("_k", F.col("_idx"), F.floor(F.col("_idx") / size).alias("_c"), F.col("start").cast("double").alias("s"), F.coalesce(F.col("end").cast("double"), F.lit(float("-inf"))).alias("e"))
+        # The first ones of a stretch also stand behind the one before.
+        behind = spans.where(f"_c > 0 and _idx % {16 * max_n} < {max_n}").withColumn("_c", F.col("_c") - 1)
+        both = spans.withColumn("mine", F.lit(True)).union(behind.withColumn("mine", F.lit(False)))
+        ahead = F.collect_list("e").over(Window.partitionBy("_k", "_c").orderBy("_idx").rowsBetween(1, max_n))
+        placed = both.withColumn("ahead", ahead).where("mine")
+        far = F.array_position(F.transform("ahead", lambda e: F.coalesce(e - F.col("s") > max_span, F.lit(False))), F.lit(True))
+        step = F.when(far > 0, far).when(F.size("ahead") == max_n, F.lit(max_n))
+        begins = materialise(reached(placed.select("_k", F.col("_idx").alias("idx"), (F.col("_idx") + step).alias("next")), ["_k"]), "begins")
+        # How many begin up to each segment: counted by stretches, then within.
+        flags = rows.join(begins.select("_k", F.col("idx").alias("_idx"), F.lit(1).alias("_one")), ["_k", "_idx"], "left").withColumn("_c", F.floor(F.col("_idx") / 4096))
+        counts = begins.withColumn("_c", F.floor(F.col("idx") / 4096)).groupBy("_k", "_c").agg(F.count("*").alias("_n"))
+        before = flags.select("_k", "_c").distinct().join(counts, ["_k", "_c"], "left")
+        before = before.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+        inside = Window.partitionBy("_k", "_c").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
+        out = flags.join(before, ["_k", "_c"]).withColumn("batch", (F.col("_base") + F.coalesce(F.sum("_one").over(inside), F.lit(0)) - 1).cast("int"))
+        return keep(materialise(out.select(*df.columns, "batch"), "batches"))
 
 
 def stage_progress(events: DataFrame, weights: dict[str, int]) -> DataFrame:

@@ -11,15 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import detect_censored, fold, fold_text, mask_text
+from .intervals import bucketed
 
-LEXICON = "canonical string, category string, forms array<string>, is_phrase boolean, enabled boolean"
 _OPEN, _CLOSE = "\u0001", "\u0002"
 
 
-def lexicon_frame(spark: SparkSession, entries: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(entries, LEXICON)
-
-
 #: What may stand between the words of a phrase, between the parts of a word, and after a word that ends in an apostrophe.
 PHRASE_GAP = "[ \\t\\u00a0'’-]{1,3}"
 WORD_GAP = "['’-]?"
@@ -270,16 +266,16 @@ def join_tokens(words: DataFrame) -> DataFrame:
     )
 
 
-def span_to_tokens(spans: DataFrame, joined: DataFrame) -> DataFrame:
+def span_to_tokens(spans: DataFrame, joined: DataFrame, width: int = 128) -> DataFrame:
     """``spans`` (item_id, char_start, char_end) of joined texts with first_word and last_word, the words that they touch;
-    words without letters have no width and are none of them. A span past the last word has nulls."""
-    named = joined.select("item_id", F.col("places").alias("_places"))
-    touched = F.filter("_places", lambda x: (x["char_start"] < F.col("char_end")) & (x["char_end"] > F.col("char_start")))
-    out = spans.join(named, "item_id").withColumn("_touched", touched)
-    some = F.size("_touched") > 0
-    return out.select(
-        *spans.columns, F.when(some, F.col("_touched")[0]["word_index"]).alias("first_word"), F.when(some, F.element_at("_touched", -1)["word_index"]).alias("last_word")
-    )
+    words without letters have no width and are none of them. A span past the last word has nulls. Spans meet the words of their stretch of the text."""
+    places = joined.select("item_id", F.explode("places").alias("p")).select("item_id", "p.word_index", F.col("p.char_start").alias("_w0"), F.col("p.char_end").alias("_w1"))
+    words = bucketed(places.where("_w1 > _w0"), "_w0", "_w1", width, "_b")
+    key = ["item_id", "char_start", "char_end"]
+    asked = bucketed(spans.select(*key).distinct(), "char_start", "char_end", width, "_b")
+    met = asked.join(words, ["item_id", "_b"]).where("_w0 < char_end and _w1 > char_start")
+    found = met.groupBy(*key).agg(F.min("word_index").alias("first_word"), F.max("word_index").alias("last_word"))
+    return spans.join(found, key, "left").select(*spans.columns, "first_word", "last_word")
 
 
 #: Marks of subtitle files, and what the escapes among them show.

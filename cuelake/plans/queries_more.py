@@ -296,15 +296,20 @@ def _(spark, d):
 
 
 @add("audits_to_promote", f"""
-WITH r AS {fx.RUNS_SQL}, t AS (SELECT run_id, item_id, created FROM r WHERE priority = 1 ORDER BY created DESC, run_id DESC LIMIT 50)
-SELECT run_id, item_id FROM t WHERE run_id % 7 <> 0 AND NOT EXISTS (FROM r WHERE r.item_id = t.item_id AND NOT r.dry_run AND r.created > t.created) AND run_id % 2 = 0""")
+WITH r AS {fx.RUNS_SQL}, t AS (SELECT run_id, item_id, created FROM r WHERE priority = 1 ORDER BY created DESC, run_id DESC LIMIT 50),
+f AS (SELECT run_id, ['new', 'improved', 'matched', 'new'][(run_id + idx) % 4 + 1] AS outcome, muted, whitelisted, CASE WHEN idx % 3 > 0 THEN idx % 5 / 4.0 END AS confidence FROM {fx.DETECTIONS_SQL}),
+e AS (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN max(run_id) ELSE min(run_id) END AS evidence FROM r WHERE item_id % 7 > 0 GROUP BY 1),
+last AS (SELECT item_id, max(created) AS last FROM r WHERE NOT dry_run AND state = 'done' GROUP BY 1)
+SELECT t.run_id, t.item_id FROM t JOIN e USING (item_id) LEFT JOIN last USING (item_id) WHERE t.item_id % 3 > 0 AND e.evidence <> t.run_id AND coalesce(last.last <= t.created, true)
+ AND t.run_id IN (SELECT run_id FROM f WHERE outcome = 'new' AND muted AND NOT whitelisted AND coalesce(confidence >= 0.5, true))""")
 def _(spark, d):
     r = fx.runs(spark, d)
-    audits = r.where("priority = 1").select("run_id", "item_id", F.col("created").alias("finished"))
-    top = audits.select("run_id", "item_id")
-    evidence = top.select("item_id", "run_id").groupBy("item_id").agg(F.max(F.when(F.col("run_id") % 7 == 0, F.col("run_id"))).alias("evidence_run_id"))
-    findings = r.select("run_id", F.when(F.col("run_id") % 2 == 0, "new").otherwise("matched").alias("outcome"))
-    return catalog.audits_to_promote(audits, evidence, r, findings)
+    audits = r.where("priority = 1").select("run_id", "item_id", "created")
+    items = r.select("item_id", F.when(F.col("item_id") % 3 > 0, "clean").otherwise("pending").alias("status")).distinct()
+    evidence = r.where("item_id % 7 > 0").groupBy("item_id").agg(F.when(F.col("item_id") % 5 == 0, F.max("run_id")).otherwise(F.min("run_id")).alias("evidence_run_id"))
+    outcome = F.element_at(F.array(*[F.lit(x) for x in ("new", "improved", "matched", "new")]), ((F.col("run_id") + F.col("idx")) % 4 + 1).cast("int"))
+    findings = fx.detections(spark, d).select("run_id", outcome.alias("outcome"), "muted", "whitelisted", F.when(F.col("idx") % 3 > 0, (F.col("idx") % 5) / 4).alias("confidence"))
+    return catalog.audits_to_promote(audits, items, evidence, r, findings, floor=0.5)
 
 
 @add("defer_existing", f"SELECT c_custkey AS item_id, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 2 = 0 AND NOT EXISTS (FROM orders WHERE o_custkey = c_custkey) THEN true ELSE c_custkey % 5 = 0 END AS skip FROM customer")

@@ -135,12 +135,24 @@ def _(spark, d):
     return fx.runs(spark, d).select("run_id", rules.item_status(F.col("state"), F.col("dry_run")).alias("status"))
 
 
-@add("retry_plan", f"SELECT run_id, CASE WHEN kind = 'best_effort' THEN 'ignored' WHEN kind = 'source' AND run_id % 2 = 0 THEN 'stale' WHEN kind IN ('transient', 'source') AND a < 3 THEN 'retry' ELSE 'terminal' END AS outcome FROM (SELECT run_id, run_id % 5 AS a, ['transient', 'source', 'best_effort', 'config'][priority % 4 + 1] AS kind FROM {fx.RUNS_SQL})")
-def _(spark, d):
-    kinds = F.array(*[F.lit(x) for x in ("transient", "source", "best_effort", "config")])
-    r = fx.runs(spark, d)
-    plan = rules.retry_plan(F.element_at(kinds, F.col("priority") % 4 + 1), (F.col("run_id") % 5).cast("int"), F.when(F.col("run_id") % 2 == 0, "gone").otherwise("unchanged"))
-    return r.select("run_id", plan["outcome"].alias("outcome"))
+#: Every stage, error, number of attempts and place of the source, one of them to each run.
+_STAGES, _ERRORS, _PLACES = ("probe", "transcribe", "render", "verify", "swap", "refresh", "snippets"), ("other", "stale_source", "swap_broken", "stale_source", "timeout"), ("moved", "gone", "unchanged", "unavailable", None)
+
+
+@add("retry_plan", f"""
+WITH f AS (SELECT run_id, ['probe', 'transcribe', 'render', 'verify', 'swap', 'refresh', 'snippets'][run_id % 7 + 1] AS stage, ['other', 'stale_source', 'swap_broken', 'stale_source', 'timeout'][run_id // 7 % 5 + 1] AS error,
+ 1 + run_id // 35 % 4 AS n, ['moved', 'gone', 'unchanged', 'unavailable', NULL][run_id // 140 % 5 + 1] AS place FROM {fx.RUNS_SQL}),
+lost(place, first, state, delay) AS (VALUES ('moved', true, 'queued', 5.0), ('moved', false, 'queued', 5.0), ('gone', true, 'stale', NULL), ('gone', false, 'stale', NULL), ('unchanged', true, 'stale', NULL),
+ ('unchanged', false, 'stale', NULL), ('unknown', true, 'queued', 60.0), ('unknown', false, 'stale', NULL)),
+ends(stage, verdict, state) AS (VALUES ('render', 'terminal', 'failed'), ('verify', 'terminal', 'failed'), ('swap', 'terminal', 'failed'), ('refresh', 'best_effort', 'done'), ('snippets', 'best_effort', 'done'))
+SELECT run_id, 'terminal' AS verdict, 'failed' AS state, NULL::DOUBLE AS delay FROM f WHERE error = 'swap_broken'
+UNION ALL SELECT run_id, 'stale', state, delay::DOUBLE FROM f JOIN lost ON lost.first = (n = 1) AND lost.place = CASE WHEN f.place IN ('moved', 'gone', 'unchanged') THEN f.place ELSE 'unknown' END WHERE error = 'stale_source'
+UNION ALL SELECT run_id, coalesce(e.verdict, if(n > 2, 'terminal', 'retry')), coalesce(e.state, if(n > 2, 'failed', 'queued')), CASE WHEN e.verdict IS NULL AND n < 3 THEN [60.0, 300.0][n] END::DOUBLE
+ FROM f LEFT JOIN ends e USING (stage) WHERE error IN ('other', 'timeout')""")
+def _(spark, d):
+    k, pick = F.col("run_id"), lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), (i + 1).cast("int"))
+    plan = rules.retry_plan(pick(_STAGES, k % 7), pick(_ERRORS, F.floor(k / 7) % 5), (1 + F.floor(k / 35) % 4).cast("int"), pick(_PLACES, F.floor(k / 140) % 5))
+    return fx.runs(spark, d).select("run_id", plan.alias("p")).select("run_id", "p.verdict", "p.state", "p.delay")
 
 
 @add("queue_rows", f"SELECT r.run_id, i.name, n_name AS title FROM {fx.RUNS_SQL} r JOIN {fx.ITEMS_SQL} i USING (item_id) LEFT JOIN nation ON n_nationkey = i.title_id WHERE r.state = 'queued'")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import align, intervals, lexicon
+from ..operators import align, intervals, large_lexicon, lexicon
 from . import fixtures as fx
 
 Q: dict = {}
@@ -81,7 +81,7 @@ def _(spark, d):
     return fx.cues(spark, d).select("item_id", "cue_index", text.mask_text(F.col("text")).alias("masked"))
 
 
-_LANG = "CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' ELSE lang END"
+_LANG = "CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fre' WHEN 'de' THEN 'ger' WHEN 'es' THEN 'spa' ELSE lang END"
 
 
 @add("language_names", f"SELECT {_LANG} AS language, count(*) AS n, count(*) FILTER ({_LANG} = 'eng') AS english FROM documents GROUP BY 1")
@@ -169,13 +169,39 @@ def _(spark, d):
 
 
 @add("innocent_gate", f"""
-WITH w AS (SELECT DISTINCT core FROM {_TOKENS}), h AS (SELECT DISTINCT core, lx.canonical FROM (SELECT core, lower(unnest(string_split_regex(core, '{fx.NO_WORD}'))) AS form FROM w) x JOIN {fx.SQL_FORMS} ON lx.form = x.form)
+WITH w AS MATERIALIZED (SELECT DISTINCT core FROM {_TOKENS}),
+p AS (SELECT core, CASE WHEN regexp_full_match(core, '[A-Za-z0-9_]*') THEN [core] ELSE string_split_regex(core, '{fx.NO_WORD}') END AS parts FROM w),
+h AS (SELECT DISTINCT core, lx.canonical FROM (SELECT core, lower(unnest(parts)) AS form FROM p) x JOIN {fx.SQL_FORMS} ON lx.form = x.form)
 SELECT core AS word, 'matches' AS violation, canonical FROM h UNION ALL SELECT core, 'censored', NULL FROM w WHERE {_STYLE} IS NOT NULL""")
 def _(spark, d):
     corpus = fx.words(spark, d).select(text.strip_wrappers(F.col("word")).alias("word")).distinct()
     return lexicon.innocent_gate(corpus, "word", _SINGLE, corpus, "word")
 
 
+_PHRASES = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+')"
+
+
+@add("large_lexicon", f"""
+WITH RECURSIVE b AS (SELECT {_PHRASES} AS w FROM benchmark),
+forms AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) AS form FROM b UNION SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM b),
+d AS (SELECT doc_id, {_PIECES} AS p FROM documents),
+t AS (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM d),
+r AS (SELECT doc_id, w, lead(w) OVER o AS g, lead(w, 2) OVER o AS x, lead(w, 3) OVER o AS h, lead(w, 4) OVER o AS y, sum(length(w)) OVER o - length(w) AS a FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, a, w || g || x AS raw, lower(w || ' ' || x) AS form FROM r WHERE regexp_full_match(g, '[ \\t\\x{{a0}}''’-]{{1,3}}')
+ UNION ALL SELECT doc_id, a, w || g || x || h || y, lower(w || ' ' || x || ' ' || y) FROM r WHERE regexp_full_match(g, '[ \\t\\x{{a0}}''’-]{{1,3}}') AND regexp_full_match(h, '[ \\t\\x{{a0}}''’-]{{1,3}}')),
+hits AS MATERIALIZED (SELECT doc_id, a, max_by(form, length(form)) AS form, a + max_by(length(raw), length(form)) AS e FROM k JOIN forms USING (form) GROUP BY doc_id, a),
+jump AS MATERIALIZED (SELECT u.doc_id, u.a, u.form, u.e, v.a AS nxt FROM hits u ASOF LEFT JOIN hits v ON u.doc_id = v.doc_id AND u.e <= v.a),
+walk AS (SELECT doc_id, min(a) AS a FROM hits GROUP BY doc_id UNION ALL SELECT j.doc_id, j.nxt FROM walk JOIN jump j ON j.doc_id = walk.doc_id AND j.a = walk.a WHERE j.nxt IS NOT NULL)
+SELECT doc_id, CAST(a AS INT) AS char_start, CAST(e AS INT) AS char_end, form AS canonical FROM walk JOIN jump USING (doc_id, a)""")
+def _(spark, d):
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))
+    empty = F.array().cast("array<string>")
+    phrases = fx.table(spark, d, "benchmark").select(w.alias("w")).select(F.explode(F.concat(F.coalesce(runs(2), empty), F.coalesce(runs(3), empty))).alias("form")).distinct()
+    lists = phrases.select(F.col("form").alias("canonical"), F.lit("strong").alias("category"), F.array("form").alias("forms"), F.lit(True).alias("is_phrase"), F.lit(True).alias("enabled"))
+    return large_lexicon.match_table(fx.table(spark, d, "documents"), "text", lists, ["doc_id"]).select("doc_id", "char_start", "char_end", "canonical")
+
+
 # Ranges.
 _MERGE = (
     "SELECT item_id, min(\"start\") AS \"start\", max(\"end\") AS \"end\" FROM (SELECT *, sum(o) OVER (PARTITION BY item_id ORDER BY \"start\", \"end\", event_id ROWS UNBOUNDED PRECEDING) AS island FROM "

@@ -223,10 +223,15 @@ def _(spark, d):
 
 # The rest of the scalar rules and small operators.
 @add("resolved_modes", """
-SELECT event_id, CASE WHEN w IN ('full', 'windowed') THEN w WHEN u THEN 'windowed' WHEN h > 4 THEN 'windowed' ELSE 'full' END AS mode FROM (SELECT event_id, ['auto', 'full', 'windowed'][event_id % 3 + 1] AS w, event_id % 2 = 0 AS u, event_id % 9 AS h FROM events)""")
+WITH e AS (SELECT event_id, ['windowed', 'full', 'audit', 'windowed'][event_id % 4 + 1] AS wanted, event_id // 4 % 3 > 0 AS usable, event_id // 12 % 3 > 0 AS cues, event_id // 36 % 2 = 0 AS windows, event_id // 72 % 5 * 3600 AS seconds, [0, 2][event_id // 360 % 2 + 1] AS cap FROM events)
+SELECT event_id, wanted AS mode, 'explicit' AS reason FROM e WHERE wanted IN ('full', 'audit')
+UNION ALL SELECT event_id, 'windowed', if(windows, 'subtitles', 'no_candidate_windows') FROM e WHERE wanted = 'windowed' AND usable AND cues
+UNION ALL SELECT event_id, if(cap = 2 AND seconds > 7200, 'windowed', 'full'), if(cap = 2 AND seconds > 7200, 'full_skipped_too_long', if(usable, 'no_subtitles', 'subtitles_unusable')) FROM e WHERE wanted = 'windowed' AND NOT (usable AND cues)""")
 def _(spark, d):
     e = F.col("event_id")
-    return fx.table(spark, d, "events").select("event_id", rules.resolve_mode(_pick(("auto", "full", "windowed"), e % 3), e % 2 == 0, e % 9)["mode"].alias("mode"))
+    part = lambda k, n: F.floor(e / k) % n
+    mode = rules.resolve_mode(_pick(("windowed", "full", "audit", "windowed"), e % 4), part(4, 3) > 0, part(12, 3) > 0, part(36, 2) == 0, part(72, 5) * 3600, _pick((0.0, 2.0), part(360, 2)))
+    return fx.table(spark, d, "events").select("event_id", mode.alias("m")).select("event_id", "m.mode", "m.reason")
 
 
 @add("selected_entries", "SELECT 'w' || p_partkey AS canonical FROM part WHERE p_partkey % 3 <> 0 AND (p_brand IN ('Brand#12', 'Brand#34') OR p_partkey IN (1, 2, 3))")
@@ -235,10 +240,17 @@ def _(spark, d):
     return lexicon.select_entries(rows, ["Brand#12", "Brand#34"], ["w1", "w2", "w3"]).select("canonical")
 
 
-@add("effective_languages", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR lang IS NULL THEN 'jpn' ELSE CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' ELSE lang END END AS language FROM documents")
+_TAGS = ("rus", "ru-RU", "zho", "zh_TW", "fre", "DE-at", "ger", " pt-BR ", "xx", "und", "", None, "isl", "cym", "per", "KO")
+_TAG_NAMES = ("rus", "rus", "chi", "chi", "fre", "ger", "ger", "por", "xx", "und", None, None, "isl", "wel", "fas", "kor")
+
+
+@add("effective_languages", f"""
+WITH t AS (SELECT event_id, ['{"', '".join(str(x) for x in _TAG_NAMES)}'][event_id % 16 + 1] AS a, ['rus', 'chi', 'wel', 'und'][event_id // 16 % 4 + 1] AS b FROM events)
+SELECT event_id, nullif(a, 'None') AS name, CASE WHEN a IN ('None', 'und') THEN nullif(b, 'und') ELSE a END AS language, a <> 'None' AND a = b AS same FROM t""")
 def _(spark, d):
-    tag = F.when(F.col("doc_id") % 5 == 0, "und").otherwise(F.concat("lang", F.lit("-XX")))
-    return fx.table(spark, d, "documents").select("doc_id", text.lang_effective(tag, F.lit("ja")).alias("language"))
+    e = F.col("event_id")
+    a, b = _pick(_TAGS, e % 16), _pick(("ru", "zh-Hans", "cy", "und"), F.floor(e / 16) % 4)
+    return fx.table(spark, d, "events").select("event_id", text.lang_norm(a).alias("name"), text.lang_effective(a, b).alias("language"), text.lang_matches(a, b).alias("same"))
 
 
 @add("film_events", f"""

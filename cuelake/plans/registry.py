@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_more, queries_runs, queries_text, queries_upkeep
+from . import queries_more, queries_runs, queries_scale, queries_text, queries_upkeep
 
 FLAGSHIP = "match_word_counts"
-QUERIES: dict = queries_text.Q | queries_runs.Q | queries_more.Q | queries_upkeep.Q
-ORACLE_SQL: dict = queries_text.SQL | queries_runs.SQL | queries_more.SQL | queries_upkeep.SQL
+QUERIES: dict = queries_text.Q | queries_runs.Q | queries_more.Q | queries_upkeep.Q | queries_scale.Q
+ORACLE_SQL: dict = queries_text.SQL | queries_runs.SQL | queries_more.SQL | queries_upkeep.SQL | queries_scale.SQL

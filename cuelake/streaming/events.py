@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.chains import first_from, numbered, reached
 from ..operators.lexicon import find_hits
+from ..stores import keep, materialise, scratch
 
 #: Event kinds and what they lead to; kinds that are only stored; actions that need a known title.
 ROUTES = {
@@ -39,22 +39,18 @@ def dedupe_stream(events: DataFrame, seconds: int = 60) -> DataFrame:
 
 
 def dedupe_events(events: DataFrame, seconds: int = 60) -> DataFrame:
-    """Batch form, exact: of an item's events of one type, one within ``seconds`` after a kept one goes. Whether an event
-    stays depends on the last that stayed, so it goes event by event, held in one number per item and type."""
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple | None = None
-        for pdf in batches:
-            stay = []
-            for key, at in zip(zip(pdf["item_id"], pdf["event_type"]), pdf["at_us"]):
-                new = last is None or last[0] != key or at - last[1] > seconds * 1_000_000
-                stay.append(new)
-                if new:
-                    last = (key, at)
-            yield pdf[stay]
+    """Batch form, exact: of an item's events of one type (in order of at_us, event_id), those within ``seconds`` after a kept one go.
 
-    parts = events.repartition("item_id", "event_type").sortWithinPartitions("item_id", "event_type", "at_us", "event_id")
-    return parts.select("event_id", "item_id", "event_type", "at_us").mapInPandas(keep, "event_id long, item_id long, event_type string, at_us long")
+    Whether an event stays depends on the last that stayed: each event finds the first one that it would let stay, and the chain from
+    an item's first is followed. Items and types may be null, and one may hold a third of all events."""
+    with scratch(events.sparkSession):
+        rows = events.select("event_id", "item_id", "event_type", "at_us", F.struct("item_id", "event_type").alias("_k"))
+        placed = materialise(numbered(rows, ["_k"], [F.col("at_us"), F.col("event_id")]), "events")
+        silent = seconds * 1_000_000
+        linked = first_from(placed.select("_k", "idx", "at_us"), ["_k"], F.col("at_us"), F.col("at_us") + silent + 1, max(1, 64 * silent))
+        stay = reached(linked, ["_k"])
+        out = placed.join(stay, ["_k", "idx"], "left_semi").select("event_id", "item_id", "event_type", "at_us")
+        return keep(materialise(out, "deduped"))
 
 
 def item_state(events: DataFrame) -> DataFrame:
@@ -116,7 +112,3 @@ def store_events(events: DataFrame, path: str, checkpoint: str):
 def match_stream(cues: DataFrame, entries: list[tuple]) -> DataFrame:
     """Hits of a word list in a stream of cues: no state, each cue by itself, as ``find_hits`` on a table."""
     return find_hits(cues, entries)
-
-
-def newest_first(events: DataFrame) -> DataFrame:
-    return events.withColumn("nth", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("at_us"), F.desc("event_id"))))
