@@ -7,7 +7,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,14 @@ def normalize_text(c: Column, ascii_only: bool = False) -> Column:
 
 def fold(c: Column, ascii_only: bool = False) -> Column:
     """The key by which words are compared."""
-    return F.regexp_replace(normalize_text(c, ascii_only), "['-]", "")
+    return F.translate(normalize_text(c, ascii_only), "'-", "")
+
+
+def with_folded(df: DataFrame, source: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the ``fold`` of a column. ASCII rows, as most are, and nulls go a way of their own, on which nothing is sent to Python."""
+    other = F.col(source).rlike(r"[^\x00-\x7F]")
+    plain = df.where(~F.coalesce(other, F.lit(False))).withColumn(name, fold(F.col(source), ascii_only=True))
+    return plain.unionByName(df.where(other).withColumn(name, fold(F.col(source))))
 
 
 def fold_text(text: str) -> str:

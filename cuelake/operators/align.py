@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import best_similarity, detect_censored
+from ..functions.text import best_similarity, detect_censored, fold
+from ..stores import materialise, release
 from .claims import claim_first
 from .intervals import bucketed
 from .lexicon import stands_for
@@ -30,17 +31,23 @@ def pick_timing(hits: DataFrame, words: DataFrame, threshold: float = 85.0, fart
     """For each hit (hit_id, item_id, start_ms, end_ms of its cue, expected_ms, targets) the word that gives its time.
 
     ``words``: item_id, word_index, word (folded), start_ms, end_ms, and to tell masked words ``core``, the word as it was written without
-    outer punctuation. Words without letters and those of ``never`` give no time, nor do words whose middle is more than ``farthest`` from the cue's middle; the
+    outer punctuation; with ``core`` alone the words near a hit are folded here. Words without letters and those of ``never`` give no time, nor do words whose middle is more than ``farthest`` from the cue's middle; the
     clock of the cues is ``offset`` behind. A masked word scores 95 if it may stand for one of the targets and nothing else; equal
     words score 100, others their similarity to the nearest target, ``threshold`` at least. The best score wins, then the nearest
     middle. A word is claimed once, by hits in order of hit_id (``claim_first``). Columns: hit_id, item_id, word_index, score, confidence, kind.
     """
-    words = words.where("word != ''")
-    if never:
-        words = words.where(~F.col("word").isin(*never))
-    masked = "core" in words.columns
+    masked, late = "core" in words.columns, "word" not in words.columns
+    if late:
+        words = words.where(F.col("core").rlike(r"\p{L}")).withColumn("word", F.col("core"))
     pairs = words_near(hits, words, offset=offset, carry=("core",) if masked else (), **near).withColumn("mid", (F.col("word_start_ms") + F.col("word_end_ms")) / 2)
     pairs = pairs.where(F.abs(F.col("mid") - (F.col("start_ms") + F.col("end_ms")) / 2 - offset) <= farthest)
+    # Stored, lest the tests of words that follow are drawn back to before the join, where all words are.
+    pairs = near = materialise(pairs, "near")
+    if late:
+        pairs = pairs.withColumn("word", fold(F.col("core")))
+    pairs = pairs.where("word != ''")
+    if never:
+        pairs = pairs.where(~F.col("word").isin(*never))
     if masked:
         # Only words near a hit are looked at for masks.
         censor = detect_censored(F.col("core"), never_match=F.array(*[F.lit(w) for w in never]) if never else None, folded=F.col("word"))
@@ -58,6 +65,7 @@ def pick_timing(hits: DataFrame, words: DataFrame, threshold: float = 85.0, fart
     censored = F.col("censor").isNotNull() if masked else F.lit(False)
     ranked = pairs.select("item_id", "hit_id", "word_index", "score", F.abs(F.col("mid") - F.col("expected_ms") - offset).alias("distance"), censored.alias("masked"))
     out = claim_first(ranked, "hit_id", "word_index", [F.desc("score"), F.col("distance"), F.col("word_index")])
+    release(near)
     confidence = F.when(F.col("masked"), CONFIDENCE_CENSORED).when(F.col("score") >= 100, CONFIDENCE_EXACT).otherwise(F.round(F.col("score") / 100 * 0.9, 3))
     kind = F.when(F.col("masked"), "censored").when(F.col("score") >= 100, "exact").otherwise("fuzzy")
     return out.select("hit_id", "item_id", "word_index", "score", confidence.alias("confidence"), kind.alias("kind"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..stores import spread
+
 #: Test word list: canonical, category, forms, is_phrase, enabled.
 LEXICON = [
     ("rewh", "strong", ["rewh", "orre"], False, True),
@@ -23,7 +25,9 @@ SPACE = "[\\s\\x0B\\x{85}\\p{Z}]+"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    # Of each text hundreds of rows are made.
+    return spread(rows) if name == "documents" else rows
 
 
 def cues(spark: SparkSession, d: str) -> DataFrame:
