@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, keep, materialise, new_folder, opened_file, scratch, shuffle_partitions, written_file
+from .common import keep, materialise, new_folder, opened_file, scratch, shuffle_partitions, written_file
 
 CHUNK = 1 << 20
 #: Fixed value: the date written to every record, so that a repeated task writes the same bytes.
@@ -92,8 +92,12 @@ def _write(chunks: Iterator[pa.RecordBatch], folder: str, archive_bytes: int) ->
         nonlocal size
         size += out.write(data) or len(data)
 
+    at = None
     for batch in chunks:
         for row in batch.to_pylist():
+            if (row["row"], row["chunk_no"]) != (at or (row["row"], 0)):
+                raise ValueError(f"the chunks of record {row['record_id']} don't lie side by side")
+            at = None if row["last"] else (row["row"], row["chunk_no"] + 1)
             if file is None:
                 path, count, size = f"{folder}/pages-{part:06d}-{len(done):04d}.warc.gz", 0, 0
                 file = written_file(path)
@@ -212,25 +216,24 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     an empty payload, a null url leaves out the target. A row that repeats an id gets a record of its
     own, with its own payload, and all records of the id that survives are responses, as are those
     without an id. An empty table gives no archive, a page with columns of other names none of its columns in it.
-    Payloads are cut into a table of chunk rows (``row``, ``chunk_no``), bucketed by row, and travel once; from then on no step
-    holds more of a payload than a few chunks. Who revisits whom is told from the last chunks' digests and sizes alone.
+    Payloads are cut into a table of chunk rows (``row``, ``chunk_no``) where they are read, and travel once; from then on no step
+    holds more of a payload than a few chunks, however long it is. Who revisits whom is told from the last chunks' digests and sizes alone.
     """
     spark = pages.sparkSession
     parts = shuffle_partitions(spark)
     with scratch(spark):
         base = pages.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).cast("string").alias("target"), F.col(html_col).cast("string").alias("html"))
         chunks = base.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda b: _cut(b, chunk), _CHUNKS)
-        table = Stored(chunks.repartition(parts, "row"), "warc-chunks", ["row"]).table
+        table = materialise(chunks, "warc-chunks")
         found = materialise(table.where("last").select("row", "record_id", "digest", "payload_bytes"), "warc-digests")
         firsts = found.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("digest", "payload_bytes").agg(F.min("record_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-        # A payload that a third of the pages share meets its first record in as many pieces as there are partitions.
-        firsts = firsts.drop("n").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        plan = found.withColumn("share", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
-        plan = plan.join(firsts, ["digest", "payload_bytes", "share"], "left").withColumn("revisit", F.coalesce(F.col("first") < F.col("record_id"), F.lit(False)))
+        # One row a payload on that side: adaptive execution can split the records of one that a third of the pages share.
+        plan = found.join(firsts.drop("n"), ["digest", "payload_bytes"], "left").withColumn("revisit", F.coalesce(F.col("first") < F.col("record_id"), F.lit(False)))
         plan = plan.select(
             "row", "digest", "payload_bytes", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("first")).alias("refers_to")
         )
-        joined = table.drop("digest", "payload_bytes").join(plan, "row").where("record_type = 'response' or chunk_no = 0")
+        # A record's chunks are brought together here, whatever way the join then goes.
+        joined = table.drop("digest", "payload_bytes").repartition(parts, "row").join(plan, "row").where("record_type = 'response' or chunk_no = 0")
         revisit = F.col("record_type") == "revisit"
         joined = joined.withColumn("bytes", F.when(~revisit, F.col("bytes")).otherwise(F.lit(b""))).withColumn("last", F.col("last") | revisit)
         folder = new_folder(spark, "warc")
