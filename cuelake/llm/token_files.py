@@ -306,8 +306,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     ids = tokens.where("counts is null").select("id", "ids", "row", F.xxhash64("ids").alias("mark"))
     files = max(1, min(shuffle_partitions(spark), size // (1 << 20) + 1), size // file_bytes + 1)
     folder = new_folder(spark, "token-files")
-    # Ranges of ids are files; rows of one id are never parted. The ids travel, the codes are made where they are written.
-    dealt = ids.repartitionByRange(files, "id").sortWithinPartitions("id", "mark", "row")
+    # Ranges of documents in their order are files; an id on very many rows is parted too. The ids travel, the codes are made where they are written.
+    dealt = ids.repartitionByRange(files, "id", "mark", "row").sortWithinPartitions("id", "mark", "row")
     written = dealt.mapInArrow(lambda b: _write(_packed(b, lengths), folder, lengths), "file int, path string, n_ids long")
     return materialise(written, "token-manifest")
 
