@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions
+from .common import by_place, materialise, shuffle_partitions
 
 RUNS = 64
 _ENTRY = "run int, digest binary, n_bytes int, keep long, copies long"
@@ -92,21 +92,23 @@ def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """``docs`` without the copies: of equal texts the row with the surviving id stays, columns as they were.
+    """``docs`` without the copies: of equal texts the row with the surviving id stays, columns as they were, whatever their names.
 
     Of rows that repeat the surviving id with the same text one stays. A row is known by its id and the digest
     of its text, so other texts of the same id, or of rows without one, are not touched.
     """
-    groups = digest_groups(docs, id_col, text_col, keep).where("group_size > 1")
+    plain = by_place(docs)
+    own_id, text = (plain.columns[docs.columns.index(c)] for c in (id_col, text_col))
+    groups = digest_groups(plain, own_id, text, keep).where("group_size > 1")
     key = ["id", "digest", "n_bytes"]
     drop = groups.groupBy(*key).agg(F.max(F.col("id").eqNullSafe(F.col("keep_id"))).alias("stays"), F.count("*").alias("rows"))
     drop = materialise(drop, "drop")
     gone = drop.where("not stays").select(F.col("id").alias("_gone"), F.col("digest").alias("_gone_digest"))
-    digest = text_digest(F.col(text_col))
-    marked = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (digest == F.col("_gone_digest")), "left_anti")
+    digest = text_digest(F.col(text))
+    marked = plain.join(gone, F.col(own_id).cast("long").eqNullSafe(F.col("_gone")) & (digest == F.col("_gone_digest")), "left_anti")
     if drop.where("stays and rows > 1").limit(1).count():
-        marked = marked.withColumn("_digest", digest).dropDuplicates([id_col, "_digest"]).drop("_digest")
-    return marked
+        marked = marked.withColumn("_digest", digest).dropDuplicates([own_id, "_digest"]).drop("_digest")
+    return marked.toDF(*docs.columns)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, connected_components, gathered, keep, materialise, scratch, shuffle_partitions
+from .common import Stored, by_place, connected_components, gathered, keep, materialise, scratch, shuffle_partitions
 from .hashing import mix, shingles, text_slices
 
 #: Places of a bitmap of ids: 2 MB, whatever the input.
@@ -448,24 +448,26 @@ def _own_numbers(rows: DataFrame, n: int, similarity: tuple[int, int]) -> DataFr
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; columns as they were.
+    """``docs`` with one document of each component, that of the smallest id; columns as they were, whatever their names.
 
     Where ids repeat, each row is a text of its own: of a component's rows with the smallest id one stays, and
     rows whose texts link with nothing all stay, as do rows without an id.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
+    plain = by_place(docs)
+    own_id, text = (plain.columns[docs.columns.index(c)] for c in (id_col, text_col))
+    ids = plain.select(F.col(own_id).cast("long").alias("id")).where("id is not null")
     if ids.groupBy("id").count().where("count > 1").limit(1).count():
-        docs_n = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "near-numbered")
-        known = docs_n.select("_row", F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
+        plain = materialise(plain.withColumn("_row", F.monotonically_increasing_id()), "near-numbered")
+        known = plain.select("_row", F.col(own_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
         found = near_documents(known.where("_doc is not null"), "_row", "_text", n, similarity)
         placed = materialise(found.join(known.select(F.col("_row").alias("id"), "_doc"), "id"), "near-flags")
         # A row that links with nothing is its own component.
         stays = placed.groupBy("component_id").agg(F.min_by("id", F.struct("_doc", "id")).alias("id"))
         gone = placed.join(stays.select("id"), "id", "left_anti").select(F.col("id").alias("_gone"))
-        return docs_n.join(gone, docs_n["_row"] == gone["_gone"], "left_anti").select(*docs.columns)
-    found = near_documents(docs, id_col, text_col, n, similarity)
+        return plain.join(gone, plain["_row"] == gone["_gone"], "left_anti").drop("_row").toDF(*docs.columns)
+    found = near_documents(plain, own_id, text, n, similarity)
     gone = materialise(found.where("component_id < id").select(F.col("id").alias("_gone")), "near-flags")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return plain.join(gone, plain[own_id] == gone["_gone"], "left_anti").toDF(*docs.columns)
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

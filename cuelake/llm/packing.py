@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions
+from .common import by_place, materialise, shuffle_partitions
 from .encoding import SLICE, encoder_of
 from .hashing import text_slices
 
@@ -121,10 +121,10 @@ def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     return rows.mapInArrow(lambda b: _pieces(b, tokenizer, end_id, capacity, with_ids), kinds)
 
 
-def _place(batches: Iterator[pa.RecordBatch], plan: np.ndarray, capacity: int) -> Iterator[pa.RecordBatch]:
+def _place(batches: Iterator[pa.RecordBatch], plan: np.ndarray, size: str) -> Iterator[pa.RecordBatch]:
     key = plan[:, 0] << 46 | plan[:, 1]
     for batch in batches:
-        length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_cl_rank"))
+        length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (size, "_cl_rank"))
         at = np.searchsorted(key, length << 46 | rank, "right") - 1
         k = rank - plan[at, 1]
         cols = dict(zip(batch.schema.names, batch.columns))
@@ -139,25 +139,28 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
 
     The pieces of a sequence lie side by side from offset 0. An empty table gives no rows; a length out
     of range or null raises. Equal rows are separate pieces; which of the pieces of one length goes where is told by ``order``, null or
-    repeated ids included. Columns named sequence_id and offset are replaced. Only the count of each length, at most
+    repeated ids included. Columns named sequence_id and offset are replaced, others may have any names. Only the count of each length, at most
     ``capacity`` rows, comes to the driver.
     """
     spark = pieces.sparkSession
-    pieces = materialise(pieces.drop("sequence_id", "offset"), "pieces")
-    if pieces.where("length is null").limit(1).count():
+    pieces = pieces.drop("sequence_id", "offset")
+    names = pieces.columns
+    plain = materialise(by_place(pieces), "pieces")
+    length, *order = (plain.columns[names.index(c)] for c in ("length", *order))
+    if plain.where(F.col(length).isNull()).limit(1).count():
         raise ValueError("a piece has no length")
     # Ranks within a length are counted in shares, since one length may be that of a third of all pieces.
     shares = max(64, shuffle_partitions(spark))
-    dealt = pieces.withColumn("_cl_share", F.pmod(F.xxhash64(*order), F.lit(shares)).cast("int"))
-    sizes = materialise(dealt.groupBy("length", "_cl_share").agg(F.count("*").alias("n")), "piece-sizes")
-    plan, _ = best_fit_plan({r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
-    before = Window.partitionBy("length").orderBy("_cl_share").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("length", "_cl_share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_cl_base"))
-    within = Window.partitionBy("length", "_cl_share").orderBy(*order)
-    ranked = dealt.withColumn("_cl_rank", F.row_number().over(within)).join(bases, ["length", "_cl_share"])
-    ranked = ranked.select(*pieces.columns, (F.col("_cl_rank") - 1 + F.col("_cl_base")).cast("long").alias("_cl_rank"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(lambda b: _place(b, plan, capacity), kinds)
+    dealt = plain.withColumn("_cl_share", F.pmod(F.xxhash64(*order), F.lit(shares)).cast("int"))
+    sizes = materialise(dealt.groupBy(length, "_cl_share").agg(F.count("*").alias("n")), "piece-sizes")
+    plan, _ = best_fit_plan({r[length]: r["n"] for r in sizes.groupBy(length).agg(F.sum("n").alias("n")).collect()}, capacity)
+    before = Window.partitionBy(length).orderBy("_cl_share").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(length, "_cl_share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_cl_base"))
+    within = Window.partitionBy(length, "_cl_share").orderBy(*order)
+    ranked = dealt.withColumn("_cl_rank", F.row_number().over(within)).join(bases, [length, "_cl_share"])
+    ranked = ranked.select(*plain.columns, (F.col("_cl_rank") - 1 + F.col("_cl_base")).cast("long").alias("_cl_rank"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", sequence_id long, offset long"
+    return ranked.mapInArrow(lambda b: _place(b, plan, length), kinds).toDF(*names, "sequence_id", "offset")
 
 
 def sequence_ids(packed: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stored, keep, materialise, release, scratch, shuffle_partitions
+from .common import Stored, by_place, keep, materialise, release, scratch, shuffle_partitions
 from .hashing import SECOND_POWERS, SECOND_TABLE, mix, running_sums, stretch_hashes, text_slices
 
 MIN_BYTES = 200
@@ -391,20 +391,22 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of the text column; rows and other columns stay.
+    """``docs`` with the repeated bytes cut out of the text column; rows and other columns stay, whatever their names.
 
     A character that is cut through goes whole. Null texts stay null.
     """
-    found = find_repeats(docs, id_col, text_col, min_bytes)
+    plain = by_place(docs)
+    own_id, text = (plain.columns[docs.columns.index(c)] for c in (id_col, text_col))
+    found = find_repeats(plain, own_id, text, min_bytes)
 
     def kept(text, spans):
         return None if text is None else keep_outside(text.encode(), [(s["start"], s["stop"]) for s in spans or []]).decode("utf-8", "ignore")
 
     cut = F.udf(kept, "string", useArrow=True)
-    out = found.table.withColumn(text_col, F.when(F.col("_cl_spans").isNotNull(), cut(F.col(text_col), F.col("_cl_spans"))).otherwise(F.col(text_col)))
-    out = materialise(out.select(*docs.columns), "without-repeats")
+    out = found.table.withColumn(text, F.when(F.col("_cl_spans").isNotNull(), cut(F.col(text), F.col("_cl_spans"))).otherwise(F.col(text)))
+    out = materialise(out.select(*plain.columns), "without-repeats")
     found.close()
-    return out
+    return out.toDF(*docs.columns)
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

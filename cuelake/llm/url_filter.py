@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_place
+
 #: The rules of the query's contract, (host, path, verdict).
 CONTRACT_RULES = [
     ("org", "/", "allow"),
@@ -117,8 +119,10 @@ def judge_urls(
             out.append({"rule": best[0], "verdict": best[1], "n_candidates": tried})
         return pa.array(out, pa.struct([("rule", pa.string()), ("verdict", pa.string()), ("n_candidates", pa.int32())]))
 
-    kept = [F.col(f"`{c}`") for c in base.columns]
-    return base.withColumn("_judged", judged("host", "path")).select(*kept, "_judged.rule", "_judged.verdict", "_judged.n_candidates")
+    names = base.columns
+    told = by_place(base.select("*", judged("host", "path")))
+    last = told.columns[-1]
+    return told.select(*told.columns[:-1], f"{last}.rule", f"{last}.verdict", f"{last}.n_candidates").toDF(*names, "rule", "verdict", "n_candidates")
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
