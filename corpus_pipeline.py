@@ -25,20 +25,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id stays, and one row where rows repeat. Null texts are equal to empty ones; other
-    texts of a repeated or missing id stay; an empty table gives no rows. Names from ``_gone`` on are the stage's own."""
-    return drop_copies(docs).select(*docs.columns)
+    texts of a repeated or missing id stay; an empty table gives no rows; columns may have any names."""
+    return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts connected by a Jaccard similarity of 0.8 on five-word shingles that of the smallest doc_id stays. Texts without words and
-    rows without an id link with nothing and stay; rows that repeat an id are told apart; an empty table gives no rows."""
-    return drop_near_copies(docs, n=5, similarity=(8, 10)).select(*docs.columns)
+    rows without an id link with nothing and stay; rows that repeat an id are told apart; an empty table gives no rows; columns may have any names."""
+    return drop_near_copies(docs, n=5, similarity=(8, 10))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes that stand anywhere else are cut out; every document stays. Null texts stay null, texts of any length are
-    read whole, repeated rows repeat each other; names that start with ``_cl_`` are refused."""
-    return drop_repeats(docs).select(*docs.columns)
+    read whole, repeated rows repeat each other; an empty table gives no rows; columns may have any names."""
+    return drop_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
