@@ -266,6 +266,15 @@ def _lone(a: str, b: str) -> str:
     return f"case when size({a}) = size({b}) then aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p & ~q)), 0, (t, c) -> t + c) else 0 end"
 
 
+def _fields_fit(num: int, den: int) -> str:
+    """Whether the bit fields fx and fy of two groups of nx and ny shingles allow a link; a field that is null says nothing."""
+    half = lambda x, y: f"(case when size({x}) > size({y}) then zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (p, q) -> p | q) else {x} end)"
+    x, y = half("fx", "fy"), half("fy", "fx")
+    # What one set has alone is at most its size less the least intersection.
+    bound = lambda a, b, n: f"{_lone(a, b)} * {num + den} <= {n} * {num + den} - {num} * (nx + ny)"
+    return f"(fx is null or fy is null or ({bound(x, y, 'nx')} and {bound(y, x, 'ny')}))"
+
+
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
     """One row per row: id, n_shingles, component_id (smallest id reachable by links, itself included).
 
@@ -414,18 +423,22 @@ def _found(rows: DataFrame, n: int, similarity: tuple[int, int], every: bool):
         turn += 1
 
     # A bundle is what a token's list holds of one component. Bundles meet if some sizes and places in them
-    # allow a link, then their groups by their own, then the members of the groups. A 64th of the tokens goes first and three larger parts
+    # allow a link, then their groups by their own and by their bit fields, which tell nearly all groups that don't link apart within the join, then the members of
+    # the groups. A group of several members has no field, as its members have fields of their own. A 64th of the tokens goes first and three larger parts
     # follow, since what they connect needs no test under the others.
     may = " and ".join(f"hi{s} * {den} >= lo{t} * {num} and hi{s} - p{s} >= ceil({num} * (hi{s} + lo{t}) / {den + num})" for s, t in ("xy", "yx"))
-    ends, one = {"part": "b", "lo": "lo", "hi": "hi", "pos": "p"}, one | {"part": "b"}
+    ends, one = {"part": "b", "lo": "lo", "hi": "hi", "pos": "p"}, one | {"part": "b", "field": "f"}
+    several = stay.where("gid != id").select("gid").distinct().withColumn("several", F.lit(True))
+    fields = whole.join(postings.select("gid").distinct(), whole["id"] == F.col("gid"), "left_semi").select(F.col("id").alias("gid"), "bits").join(several, "gid", "left")
+    fields = materialise(fields.select("gid", F.when(F.col("several").isNull(), F.col("bits")).alias("field")), "fields")
     for low, high in ((0, 0), (1, 3), (4, 15), (16, 63)):
         some = postings.where(F.pmod(F.xxhash64("token", F.lit("turn")), F.lit(64)).between(low, high)).select("token", "gid", "n", "pos")
         placed = part_of(some, "gid", "part")
         mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
-        placed = materialise(placed.join(mixed, "token"), "mixed-postings")
+        placed = materialise(placed.join(mixed, "token").join(fields, "gid", "left"), "mixed-postings")
         bundle = placed.groupBy("token", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"))
         meets = end(bundle, "x", ends).join(end(bundle, "y", ends), "token").where(f"bx < by and {may}").select("token", "bx", "by")
-        across = meets.join(end(placed, "x", one), ["token", "bx"]).join(end(placed, "y", one), ["token", "by"]).where(_fits(num, den)).select("gx", "gy").distinct()
+        across = meets.join(end(placed, "x", one), ["token", "bx"]).join(end(placed, "y", one), ["token", "by"]).where(f"{_fits(num, den)} and {_fields_fit(num, den)}").select("gx", "gy").distinct()
         links = verified(expanded(across, stay).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
         known = materialise(connected_components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "near-parts")
 
