@@ -14,14 +14,15 @@ def pad_span(start: Column, end: Column, duration: Column, pre: float = 0.08, po
     return a, F.when(b - a < least, cut(a + least)).otherwise(b)
 
 
-def guard_span(start: Column, end: Column, cue_start: Column, cue_end: Column, offset: Column, longest: float = 3.0, farthest: float = 2.5, around: float = 0.4) -> Column:
-    """Struct (start, end, suspicious, reason): a span too long or too far from its cue falls back to the cue
+def guard_span(start: Column, end: Column, cue_start: Column, cue_end: Column, offset: Column, longest: float = 3.0, farthest: float = 2.5, around: float = 0.4, fallback: tuple[Column, Column] | None = None) -> Column:
+    """Struct (start, end, suspicious, reason): a span too long or too far from its cue falls back to the ``fallback`` (start, end) given for it, else to the cue
     or, without one, to one second. Length is tested first, before any padding."""
     has_cue = cue_start.isNotNull()
     drift = F.abs((start + end) / 2 - ((cue_start + cue_end) / 2 + offset))
     reason = F.when(end - start > longest, "length").when(has_cue & (drift > farthest), "distance")
-    a = F.when(reason.isNull(), start).when(has_cue, F.greatest(F.lit(0.0), cue_start + offset - around)).otherwise(start)
-    b = F.when(reason.isNull(), end).when(has_cue, cue_end + offset + around).otherwise(start + 1.0)
+    given, (f0, f1) = (fallback[0].isNotNull(), fallback) if fallback else (F.lit(False), (F.lit(None), F.lit(None)))
+    a = F.when(reason.isNull(), start).when(given, f0).when(has_cue, F.greatest(F.lit(0.0), cue_start + offset - around)).otherwise(start)
+    b = F.when(reason.isNull(), end).when(given, f1).when(has_cue, cue_end + offset + around).otherwise(start + 1.0)
     return F.struct(a.alias("start"), b.alias("end"), reason.isNotNull().alias("suspicious"), reason.alias("reason"))
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +14,7 @@ from ..functions.text import best_similarity, detect_censored, fold
 from ..stores import materialise, release
 from .claims import claim_first
 from .intervals import bucketed
-from .lexicon import stands_for
+from .lexicon import join_tokens, match_lexicon, span_to_tokens, stands_for, suppress
 from .medians import exact_medians
 
 
@@ -183,44 +187,80 @@ def plan_probes(cues: DataFrame, positions: tuple[float, ...] = (0.1, 0.5, 0.9),
     return chosen.select("item_id", "cue_index", F.greatest(F.lit(0), F.col("start_ms") - pad).alias("probe_start_ms"), (F.col("end_ms") + pad).alias("probe_end_ms"))
 
 
+#: Cells of the tables that are filled at a time.
+_CELLS = 1 << 22
+
+
+def _edit_tables(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probe, i, j) of the words that a best alignment pairs, in order. ``a`` and ``b``: numbers of words, one probe a row, of ``n`` and ``m`` words.
+
+    All probes' tables grow by one diagonal at a time, and all ways back go one step at a time."""
+    rows, wide, high = len(a), a.shape[1], b.shape[1]
+    cost = np.zeros((rows, wide + 1, high + 1), np.int32)
+    cost[:, :, 0], cost[:, 0, :] = np.arange(wide + 1), np.arange(high + 1)
+    for d in range(2, wide + high + 1):
+        i = np.arange(max(1, d - high), min(wide, d - 1) + 1)
+        j = d - i
+        step = cost[:, i - 1, j - 1] + (a[:, i - 1] != b[:, j - 1])
+        cost[:, i, j] = np.minimum(np.minimum(cost[:, i - 1, j], cost[:, i, j - 1]) + 1, step)
+    i, j, who = n.copy(), m.copy(), np.arange(rows)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(who := who[(i[who] > 0) & (j[who] > 0)]):
+        x, y = i[who], j[who]
+        now, back = cost[who, x, y], cost[who, x - 1, y - 1]
+        pair = (a[who, x - 1] == b[who, y - 1]) & (now == back)
+        both = pair | (now == back + 1)
+        up = ~both & (now == cost[who, x - 1, y] + 1)
+        found.append((who[pair], x[pair] - 1, y[pair] - 1))
+        i[who[both | up]] -= 1
+        j[who[both | ~up]] -= 1
+    k, x, y = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((x, k))
+    return k[order], x[order], y[order]
+
+
 def align_probe(probes: DataFrame) -> DataFrame:
     """Monotone alignment of cue words and heard words per probe.
 
     In: item_id, probe, sub (array of struct(word, start_ms)), stt (the same). Out: item_id, probe, deltas (ms, of
-    words of three letters or more), coverage. Both lists are as short as a cue, so each probe is aligned as a whole.
+    words of three letters or more), coverage. Of equally good alignments that which pairs, then replaces, then leaves out a cue word, from the end on. Probes of like
+    length are aligned together, as many as a bounded table holds; one pair of lists needs a table of its own size.
     """
 
-    def pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-        cost = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a) + 1):
-            for j in range(len(b) + 1):
-                if i == 0 or j == 0:
-                    cost[i][j] = i + j
-                else:
-                    cost[i][j] = min(cost[i - 1][j] + 1, cost[i][j - 1] + 1, cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
-        i, j, out = len(a), len(b), []
-        while i and j:
-            if a[i - 1] == b[j - 1] and cost[i][j] == cost[i - 1][j - 1]:
-                out.append((i - 1, j - 1))
-                i, j = i - 1, j - 1
-            elif cost[i][j] == cost[i - 1][j - 1] + 1:
-                i, j = i - 1, j - 1
-            elif cost[i][j] == cost[i - 1][j] + 1:
-                i -= 1
-            else:
-                j -= 1
-        return out[::-1]
-
-    def run(batches):
-        for pdf in batches:
-            deltas, covered = [], []
-            for sub, stt in zip(pdf["sub"], pdf["stt"]):
-                met = pairs([x["word"] for x in sub], [x["word"] for x in stt])
-                deltas.append([int(stt[j]["start_ms"] - sub[i]["start_ms"]) for i, j in met if len(sub[i]["word"]) >= 3])
-                covered.append(len(met) / len(sub) if len(sub) else 0.0)
-            yield pd.DataFrame({"item_id": pdf["item_id"], "probe": pdf["probe"], "deltas": deltas, "coverage": covered})
-
-    return probes.select("item_id", "probe", "sub", "stt").mapInPandas(run, "item_id long, probe int, deltas array<long>, coverage double")
+    def lists(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        flat = column.flatten()
+        size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return flat.field("word"), flat.field("start_ms").to_numpy(zero_copy_only=False), size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (sub, sub_at, n), (stt, stt_at, m) = lists(batch.column("sub")), lists(batch.column("stt"))
+            words = pa.concat_arrays([sub, stt]).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            left, right = words[: len(sub)], words[len(sub) :]
+            begin, start = np.cumsum(n) - n, np.cumsum(m) - m
+            long = pc.fill_null(pc.greater_equal(pc.utf8_length(sub), 3), False).to_numpy(zero_copy_only=False)
+            order, at, got = np.lexsort((m, n)), 0, []
+            while at < len(order):
+                to = at + 1
+                while to < len(order) and (to + 1 - at) * (n[order[to]] + 1) * (m[order[at : to + 1]].max() + 1) <= _CELLS:
+                    to += 1
+                some = order[at:to]
+                padded = lambda flat, first, size, none: np.where(np.arange(max(1, size.max())) < size[:, None], flat[np.minimum(first[:, None] + np.arange(max(1, size.max())), max(0, len(flat) - 1))] if len(flat) else none, none)
+                k, x, y = _edit_tables(padded(left, begin[some], n[some], -1), n[some], padded(right, start[some], m[some], -2), m[some])
+                got.append((some[k], x, y))
+                at = to
+            k, x, y = (np.concatenate(c) for c in zip(*got)) if got else (np.zeros(0, np.int64),) * 3
+            by_row = np.argsort(k, kind="stable")
+            k, x, y = k[by_row], x[by_row], y[by_row]
+            met = np.bincount(k, minlength=batch.num_rows)
+            coverage = np.where(n > 0, met / np.maximum(n, 1), 0.0)
+            kept = long[begin[k] + x] if len(k) else np.zeros(0, bool)
+            k, x, y = k[kept], x[kept], y[kept]
+            deltas = (stt_at[start[k] + y] - sub_at[begin[k] + x]).astype(np.int64) if len(k) else np.zeros(0, np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(k, minlength=batch.num_rows))])
+            yield pa.record_batch([batch.column("item_id"), batch.column("probe"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(deltas)), pa.array(coverage)], names=["item_id", "probe", "deltas", "coverage"])
+
+    return probes.select("item_id", "probe", "sub", "stt").mapInArrow(run, "item_id long, probe int, deltas array<long>, coverage double")
 
 
 def drift_measure(deltas: DataFrame) -> DataFrame:
@@ -257,6 +297,28 @@ def stt_only(words: DataFrame, forms: DataFrame, detections: DataFrame, longest:
     return uncovered(hits, detections, ["item_id", "word_index", "n_words"])
 
 
+def transcript_hits(words: DataFrame, entries: list[tuple], detections: DataFrame, rules: DataFrame | None = None, width: int = 15_000) -> DataFrame:
+    """What a transcript says that no detection has yet: item_id, canonical, category, word_raw, start_ms, end_ms, confidence.
+
+    ``words``: item_id, word_index, norm (folded), start_ms, end_ms, probability; those without a start are left out, those without letters part phrases.
+    The word list is matched to the joined words as to any text. Hits that the ``rules`` (as of ``suppress``, with title_id null) tell to leave alone are none, nor are those that touch
+    a detection (item_id, canonical, d0, d1) of the same or a related name. ``confidence`` is the mean probability of the words, null if none is told."""
+    timed = words.where("start_ms is not null")
+    joined = join_tokens(timed)
+    hits = match_lexicon(joined.select("item_id", "joined"), "joined", entries)
+    if rules is not None:
+        told = hits.select("*", F.struct("item_id", "char_start").alias("hit_id"), F.lit(None).cast("long").alias("title_id"), F.col("joined").alias("context"))
+        hits = suppress(told, rules).where("not whitelisted")
+    spans = span_to_tokens(hits.select("item_id", "canonical", "category", "word_raw", "char_start", "char_end"), joined).where("first_word is not null")
+    each = spans.withColumn("word_index", F.explode(F.sequence("first_word", "last_word"))).join(timed.select("item_id", "word_index", "start_ms", "end_ms", "probability"), ["item_id", "word_index"])
+    key = ["item_id", "canonical", "category", "word_raw", "char_start"]
+    found = each.groupBy(*key).agg(F.min_by("start_ms", "word_index").alias("start_ms"), F.max_by("end_ms", "word_index").alias("end_ms"), F.round(F.avg("probability"), 3).alias("confidence"))
+    a = bucketed(found, "start_ms", "end_ms", width, "_b")
+    b = bucketed(detections.select("item_id", F.col("canonical").alias("_c"), "d0", "d1"), "d0", "d1", width, "_b")
+    known = a.join(b, ["item_id", "_b"]).where((F.col("d1") >= F.col("start_ms")) & (F.col("end_ms") >= F.col("d0")) & related(F.col("_c"), F.col("canonical"))).select("item_id", "char_start").distinct()
+    return found.join(known, ["item_id", "char_start"], "left_anti").select("item_id", "canonical", "category", "word_raw", "start_ms", "end_ms", "confidence")
+
+
 def standalone_censored(tokens: DataFrame, candidates: DataFrame, detections: DataFrame) -> DataFrame:
     """Masked words (token_id, item_id, start_ms, end_ms) that no detection overlaps and that may stand for something:
     under the one name they may stand for, or as ``<censored>``; at confidence 0.6, to be looked at."""

@@ -20,11 +20,19 @@ def missing(known: DataFrame, feed: DataFrame, key: str) -> DataFrame:
     return known.where(F.col(key) >= 0).join(feed, key, "left_anti")
 
 
-def reconcile_listing(files: DataFrame, rows: DataFrame, today: Column | None = None, days: int = 0) -> DataFrame:
-    """(path, outcome): files without a row are adopted, rows without a file purged. With ``today`` also purge_after of adopted
-    files, ``days`` from then, null for 0."""
-    f = files.where(~F.col("path").rlike(r"(^|/)\.") & (F.lower("path") != "readme")).select("path", F.lit(True).alias("on_disk"))
-    joined = f.join(rows.select("path", F.lit(True).alias("known")), "path", "full_outer")
+#: Fixed value: the file at the root of the backups that is none.
+README = "README.txt"
+
+
+def reconcile_listing(files: DataFrame, rows: DataFrame, today: Column | None = None, days: int = 0, root: str = "", relocating: bool = False) -> DataFrame:
+    """(path, outcome): files without a row are adopted; rows (path, and ``state`` if there is one) of kept and orphaned backups without a file are purged. With ``today`` also purge_after of adopted
+    files, ``days`` from then, null for 0. Files whose name begins with a dot are none, nor is the README at ``root``; rows of other states without a file are as they
+    should be. While backups are ``relocating`` a row may still name a file's old place, so nothing is told at all."""
+    readme = f"{root.rstrip('/')}/{README}" if root else README
+    f = files.where(~F.col("path").rlike(r"(^|/)\.[^/]*$") & (F.col("path") != readme)).select("path", F.lit(True).alias("on_disk"))
+    state = F.col("state") if "state" in rows.columns else F.lit("kept")
+    joined = f.join(rows.select("path", F.lit(True).alias("known"), state.alias("state")), "path", "full_outer").where(F.lit(not relocating))
+    joined = joined.where(F.col("on_disk") | F.coalesce(F.col("state").isin("kept", "orphaned"), F.lit(False)))
     out = joined.select("path", F.when(F.col("known").isNull(), "adopted").when(F.col("on_disk").isNull(), "purged").otherwise("same").alias("outcome"))
     if today is None:
         return out
@@ -147,13 +155,13 @@ def needs_cleaning(items: DataFrame, runs: DataFrame, retries: int = 2) -> DataF
 
 
 def mapping_mismatch(items: DataFrame, remote: DataFrame, now: Column | None = None, delay: int = 3600, oldest: int = 86_400) -> DataFrame:
-    """(item_id, reason) where the remote side lacks the item or has another path or size. With ``now`` only items cleaned between
+    """(item_id, reason) where the remote side lacks the item or has another path or size; a size of 0 or null is none and tells nothing. With ``now`` only items cleaned between
     ``oldest`` and ``delay`` seconds ago: later ones the remote side may not have seen yet."""
     if now is not None:
         age = now.cast("double") - F.col("cleaned_at").cast("double")
         items = items.where(age.between(delay, oldest))
     joined = items.join(remote.select("item_id", F.col("path").alias("r_path"), F.col("size").alias("r_size")), "item_id", "left")
-    reason = F.when(F.col("r_path").isNull(), "missing").when(F.col("path") != F.col("r_path"), "path").when(F.col("size") != F.col("r_size"), "size")
+    reason = F.when(F.col("r_path").isNull(), "missing").when(F.col("path") != F.col("r_path"), "path").when((F.col("size") != F.col("r_size")) & (F.col("size") != 0) & (F.col("r_size") != 0), "size")
     return joined.select("item_id", reason.alias("reason")).where("reason is not null")
 
 

@@ -121,15 +121,27 @@ def batch_segments(df: DataFrame, max_span: float = 300, max_n: int = 128) -> Da
         return keep(materialise(out.select(*df.columns, "batch"), "batches"))
 
 
-def stage_progress(events: DataFrame, weights: dict[str, int]) -> DataFrame:
-    """``percent`` done at each event (run_id, seq, stage, part 0..1): weights of finished stages and the part of this one, never falling."""
-    spark = events.sparkSession
-    total, before, rows = sum(weights.values()), 0, []
-    for stage, w in weights.items():
-        rows.append((stage, before, w))
-        before += w
-    table = spark.createDataFrame(rows, "stage string, before int, weight int")
-    now = events.join(F.broadcast(table), "stage").withColumn("raw", (F.col("before") + F.col("weight") * F.col("part")) * 100 / total)
-    return now.withColumn("percent", F.max("raw").over(Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))).drop("raw", "before", "weight")
-
-
+def stage_progress(events: DataFrame, weights: dict[str, int], completed: DataFrame | None = None, tables: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """``percent`` done at each event (run_id, seq, stage, part): weights of the planned stages before, and of this one as far as ``part`` goes, kept between 0 and 1; never falling.
+
+    ``weights`` has the planned stages in order. A stage that isn't planned leaves the percentage as it is. ``completed`` (run_id, stage): what a resumed run has
+    behind it, and starts from. ``tables``: other weights of the planned stages by name (1 where one has none), in force from an event on whose column ``weights`` names them."""
+    spark, rows = events.sparkSession, []
+    for name, table in [(None, weights), *(tables or {}).items()]:
+        each = {stage: table.get(stage, 1) for stage in weights}
+        before, total = 0, sum(each.values()) or 1
+        for stage, w in each.items():
+            rows.append((name, stage, before, w, total))
+            before += w
+    # As many rows as stages and tables.
+    plan = F.broadcast(spark.createDataFrame(rows, "_table string, stage string, before int, weight int, total int"))
+    order = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    now = events.withColumn("_of", F.last("weights", ignorenulls=True).over(order) if tables else F.lit(None).cast("string"))
+    now = now.join(plan.withColumnRenamed("stage", "_stage"), (F.col("stage") == F.col("_stage")) & F.col("_of").eqNullSafe(F.col("_table")), "left")
+    raw = (F.col("before") + F.col("weight") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("part")))) * 100 / F.col("total")
+    percent = F.coalesce(F.max(raw).over(order), F.lit(0.0))
+    if completed is not None:
+        done = completed.join(plan.where("_table is null"), "stage").groupBy("run_id").agg(F.max((F.col("before") + F.col("weight")) * 100 / F.col("total")).alias("_floor"))
+        now = now.join(done, "run_id", "left")
+        percent = F.greatest(percent, F.coalesce("_floor", F.lit(0.0)))
+    return now.withColumn("percent", percent).select(*events.columns, "percent")

@@ -125,3 +125,17 @@ def log_tail(lines: DataFrame, n: int) -> DataFrame:
     run = Window.partitionBy("run_id")
     back = lines.withColumn("_back", F.row_number().over(run.orderBy(F.desc("ts"), F.desc("line_id")))).where(F.col("_back") <= n)
     return back.withColumn("nth", F.row_number().over(run.orderBy("ts", "line_id"))).drop("_back")
+
+
+def newest_kept_backup(backups: DataFrame) -> DataFrame:
+    """(item_id, backup_id, path): what an audit of an item reads, the newest of its kept backups (backup_id, item_id, state, path, created) that is no subtitle file. Items without one have no row."""
+    kept = backups.where((F.col("state") == "kept") & ~F.lower("path").endswith(".srt"))
+    # A backup without a time is older than any.
+    newest = kept.groupBy("item_id").agg(F.max(F.struct(F.col("created").isNotNull().alias("told"), "created", "backup_id", "path")).alias("b"))
+    return newest.select("item_id", "b.backup_id", "b.path")
+
+
+def clips(detections: DataFrame, most: int = 300) -> DataFrame:
+    """``detections`` (run_id, idx, start) with ``clip``: whether a clip is cut, for the first ``most`` of each run in order of start; the rest is told, not dropped."""
+    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("start", "idx"))
+    return detections.withColumn("clip", nth <= most)

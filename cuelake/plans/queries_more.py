@@ -212,10 +212,18 @@ def _(spark, d):
 
 
 @add("stage_progress", """
-SELECT event_id, max(raw) OVER (PARTITION BY user_id ORDER BY event_id) AS percent FROM (SELECT event_id, user_id, (b + w * ((event_id % 10) / 10)) * 100 / 100 AS raw FROM events JOIN (VALUES ('signup', 0, 5), ('view', 5, 70), ('click', 75, 5), ('purchase', 80, 20)) s(t, b, w) ON t = event_type)""")
+WITH e AS (SELECT event_id, user_id, event_type, least(1, greatest(0, (event_id % 14 - 2) / 10)) AS part, last_value(CASE WHEN event_id % 97 = 0 THEN 'full' WHEN event_id % 89 = 0 THEN 'short' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS w FROM events),
+s(w, t, b, n, total) AS (VALUES ('', 'signup', 0, 5, 100), ('', 'view', 5, 70, 100), ('', 'click', 75, 5, 100), ('', 'purchase', 80, 20, 100), ('full', 'signup', 0, 5, 427), ('full', 'view', 5, 400, 427), ('full', 'click', 405, 2, 427), ('full', 'purchase', 407, 20, 427),
+ ('short', 'signup', 0, 1, 4), ('short', 'view', 1, 1, 4), ('short', 'click', 2, 1, 4), ('short', 'purchase', 3, 1, 4))
+SELECT event_id, round(greatest(coalesce(max((b + n * part) * 100 / total) OVER (PARTITION BY user_id ORDER BY event_id), 0), CASE WHEN user_id % 3 = 0 THEN 75 ELSE 0 END), 6) AS percent FROM e LEFT JOIN s ON s.t = e.event_type AND s.w = coalesce(e.w, '')""")
 def _(spark, d):
-    ev = fx.table(spark, d, "events").select("event_id", F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), (F.col("event_id") % 10 / 10).alias("part"))
-    return intervals.stage_progress(ev, {"signup": 5, "view": 70, "click": 5, "purchase": 20}).select("event_id", "percent")
+    e = F.col("event_id")
+    named = F.when(e % 97 == 0, "full").when(e % 89 == 0, "short")
+    ev = fx.table(spark, d, "events").select("event_id", F.col("user_id").alias("run_id"), e.alias("seq"), F.col("event_type").alias("stage"), ((e % 14 - 2) / 10).alias("part"), named.alias("weights"))
+    done = ev.where("run_id % 3 = 0").select("run_id", F.explode(F.array(F.lit("signup"), F.lit("view"), F.lit("other"))).alias("stage")).distinct()
+    tables = {"full": {"signup": 5, "view": 400, "click": 2, "purchase": 20}, "short": {}}
+    out = intervals.stage_progress(ev, {"signup": 5, "view": 70, "click": 5, "purchase": 20}, done, tables)
+    return out.select("event_id", F.round("percent", 6).alias("percent"))
 
 
 @add("phrase_timing", """

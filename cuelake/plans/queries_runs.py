@@ -184,10 +184,17 @@ def _(spark, d):
     return catalog.missing(c, c.where("remote_id % 7 != 0"), "remote_id")
 
 
-@add("reconcile_listing", f"SELECT path, CASE WHEN k IS NULL THEN 'adopted' WHEN f IS NULL THEN 'purged' ELSE 'same' END AS outcome FROM (SELECT path, true AS f FROM {fx.BACKUPS_SQL} WHERE backup_id % 3 <> 0) FULL JOIN (SELECT path, true AS k FROM {fx.BACKUPS_SQL} WHERE backup_id % 4 <> 0) USING (path)")
+@add("reconcile_listing", f"""
+WITH b AS {fx.BACKUPS_SQL}, f AS (SELECT CASE backup_id % 11 WHEN 0 THEN '/backup/.' || backup_id WHEN 1 THEN '/backup/x' || backup_id || '/README.txt' ELSE path END AS path, backup_id FROM b WHERE backup_id % 3 <> 0 UNION ALL SELECT '/backup/README.txt', NULL),
+k AS (SELECT path, state FROM b WHERE backup_id % 9 <> 0)
+SELECT path, 'adopted' AS outcome FROM f WHERE coalesce(backup_id % 11, 0) <> 0 AND path NOT IN (SELECT path FROM k)
+UNION ALL SELECT path, CASE WHEN path IN (SELECT path FROM f) THEN 'same' ELSE 'purged' END FROM k WHERE path IN (SELECT path FROM f) OR state IN ('kept', 'orphaned')""")
 def _(spark, d):
     b = fx.backups(spark, d)
-    return catalog.reconcile_listing(b.where("backup_id % 3 != 0"), b.where("backup_id % 4 != 0"))
+    k = F.col("backup_id")
+    path = F.when(k % 11 == 0, F.concat(F.lit("/backup/."), k.cast("string"))).when(k % 11 == 1, F.concat(F.lit("/backup/x"), k.cast("string"), F.lit("/README.txt"))).otherwise(F.col("path"))
+    files = b.where("backup_id % 3 != 0").select(path.alias("path")).union(spark.createDataFrame([("/backup/README.txt",)], "path string"))
+    return catalog.reconcile_listing(files, b.where("backup_id % 9 != 0"), root="/backup")
 
 
 @add("group_episode_files", "SELECT file_id, min((s, e))[1] AS season, min((s, e))[2] AS episode, string_agg(t, ' + ' ORDER BY s, e, t) AS title FROM (SELECT l_orderkey AS file_id, l_linenumber % 2 + 1 AS s, l_linenumber AS e, l_returnflag || l_linestatus AS t FROM lineitem) GROUP BY 1")
@@ -196,10 +203,10 @@ def _(spark, d):
     return catalog.group_episode_files(e).select("file_id", "season", "episode", "title")
 
 
-@add("mapping_mismatch", f"SELECT backup_id AS item_id, CASE WHEN backup_id % 5 = 0 THEN 'missing' WHEN backup_id % 3 = 0 THEN 'path' WHEN backup_id % 2 = 0 THEN 'size' END AS reason FROM {fx.BACKUPS_SQL} WHERE backup_id % 5 = 0 OR backup_id % 3 = 0 OR backup_id % 2 = 0")
+@add("mapping_mismatch", f"SELECT backup_id AS item_id, CASE WHEN backup_id % 5 = 0 THEN 'missing' WHEN backup_id % 3 = 0 THEN 'path' WHEN backup_id % 2 = 0 AND backup_id % 7 > 0 THEN 'size' END AS reason FROM {fx.BACKUPS_SQL} WHERE backup_id % 5 = 0 OR backup_id % 3 = 0 OR (backup_id % 2 = 0 AND backup_id % 7 > 0)")
 def _(spark, d):
     b = fx.backups(spark, d).select(F.col("backup_id").alias("item_id"), "path", "size")
-    remote = b.where("item_id % 5 != 0").withColumn("path", F.when(F.col("item_id") % 3 == 0, "elsewhere").otherwise(F.col("path"))).withColumn("size", F.when(F.col("item_id") % 2 == 0, -1).otherwise(F.col("size")))
+    remote = b.where("item_id % 5 != 0").withColumn("path", F.when(F.col("item_id") % 3 == 0, "elsewhere").otherwise(F.col("path"))).withColumn("size", F.when(F.col("item_id") % 7 == 0, 0).when(F.col("item_id") % 2 == 0, -1).otherwise(F.col("size")))
     return catalog.mapping_mismatch(b, remote)
 
 

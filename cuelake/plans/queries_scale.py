@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import medians
+from ..operators import medians, runs
 from ..streaming import handling
 from . import fixtures as fx
 from .queries_more import _pick
@@ -58,3 +58,15 @@ def _(spark, d):
     rows = fx.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_extendedprice").cast("double").alias("price"))
     every = medians.exact_medians(rows, [], "price", "price").select(F.lit("all"), F.lit(None).cast("string"), "price")
     return medians.exact_medians(rows, ["flag", "status"], "price", "price").union(every)
+
+
+@add("newest_backups", f"SELECT item_id, backup_id, path FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY purge_after DESC NULLS LAST, backup_id DESC) AS k FROM (SELECT * REPLACE (path || CASE WHEN is_subtitle THEN '.SRT' ELSE '' END AS path) FROM {fx.BACKUPS_SQL}) WHERE state = 'kept' AND NOT is_subtitle) WHERE k = 1")
+def _(spark, d):
+    b = fx.backups(spark, d).withColumn("created", F.col("purge_after")).withColumn("path", F.concat("path", F.when(F.col("is_subtitle"), ".SRT").otherwise("")))
+    return runs.newest_kept_backup(b)
+
+
+@add("capped_clips", "SELECT l_orderkey AS run_id, l_linenumber AS idx, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) <= 3 AS clip FROM lineitem")
+def _(spark, d):
+    rows = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("idx"), F.col("l_partkey").alias("start"))
+    return runs.clips(rows, 3).select("run_id", "idx", "clip")

@@ -222,10 +222,17 @@ def _(spark, d):
 
 
 @add("guard_spans", """
-SELECT event_id, CASE WHEN e - s > 3 THEN 'length' WHEN abs((s + e) / 2 - (s + 1)) > 2.5 THEN 'distance' END AS reason FROM (SELECT event_id, CAST(event_id % 600 AS DOUBLE) AS s, CAST(event_id % 600 AS DOUBLE) + value / 10 AS e FROM events)""")
-def _(spark, d):
-    ev = fx.table(spark, d, "events").select("event_id", (F.col("event_id") % 600).cast("double").alias("s"), "value").withColumn("e", F.col("s") + F.col("value") / 10)
-    return ev.select("event_id", rules.guard_span(F.col("s"), F.col("e"), F.col("s"), F.col("s") + 2, F.lit(0.0))["reason"].alias("reason"))
+WITH e AS (SELECT event_id, CAST(event_id % 600 AS DOUBLE) AS s, CAST(event_id % 600 AS DOUBLE) + value / 10 AS e, CASE WHEN event_id % 3 > 0 THEN event_id % 600 - event_id % 4 END AS c, CASE WHEN event_id % 5 = 0 THEN event_id % 600 + 0.5 END AS f FROM events),
+r AS (SELECT *, CASE WHEN e - s > 3 THEN 'length' WHEN abs((s + e) / 2 - (c + 1.5)) > 2.5 THEN 'distance' END AS reason FROM e)
+SELECT event_id, round(s, 6) AS "start", round(e, 6) AS "end", false AS suspicious, reason FROM r WHERE reason IS NULL
+UNION ALL SELECT event_id, round(coalesce(f, CASE WHEN c IS NOT NULL THEN greatest(0, c + 0.1) END, s), 6), round(coalesce(f + 1, c + 2.9, s + 1), 6), true, reason FROM r WHERE reason IS NOT NULL""")
+def _(spark, d):
+    e, k = F.col("event_id"), F.col("event_id") % 600
+    ev = fx.table(spark, d, "events").select("event_id", k.cast("double").alias("s"), "value").withColumn("e", F.col("s") + F.col("value") / 10)
+    c, f = F.when(e % 3 > 0, k - e % 4), F.when(e % 5 == 0, k + 0.5)
+    span = rules.guard_span(F.col("s"), F.col("e"), c, c + 2, F.lit(0.5), fallback=(f, f + 1))
+    ev = ev.select("event_id", span.alias("g"))
+    return ev.select("event_id", F.round("g.start", 6).alias("start"), F.round("g.end", 6).alias("end"), "g.suspicious", "g.reason")
 
 
 @add("clip_windows", "SELECT event_id, round(greatest(0, least((s + e) / 2 - w / 2, 600 - w)), 6) AS a, round(least(600, greatest(0, least((s + e) / 2 - w / 2, 600 - w)) + w), 6) AS b FROM (SELECT event_id, s, e, greatest(5, e - s) AS w FROM (SELECT event_id, CAST(event_id % 600 AS DOUBLE) AS s, CAST(event_id % 600 AS DOUBLE) + value / 10 AS e FROM events))")

@@ -78,6 +78,41 @@ def read_lexicon(spark: SparkSession, documents: list[dict]) -> list[tuple]:
     return rows
 
 
+_ENTRY = "canonical:string,forms:array<string>,is_phrase:boolean,enabled:boolean,note:string,focus:array<string>"
+WORD_LISTS = f"category string, entries array<struct<{_ENTRY},compounds:array<struct<{_ENTRY}>>>>"
+
+
+def read_word_lists(spark: SparkSession, path: str) -> DataFrame:
+    """Word-list files of a folder, each a JSON object (category, entries) that may run over several lines, as a table: canonical, category, forms, is_phrase,
+    enabled, focus, parent, note, what ``match_table`` takes.
+
+    The name is a form of its own, compounds become entries of their own with their ``parent``, forms are unique and longest first, a name with a space is a phrase. An error, raised when the row is read: a file that
+    isn't named after its category, a disabled entry without a note, a name given twice, ``is_phrase`` or forms that contradict the name, focus words that aren't part of a phrase.
+    """
+    files = spark.read.schema(WORD_LISTS).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("_file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1))
+    entries = files.select("category", "_file", F.explode("entries").alias("e"))
+    own = [f"e.{c}" for c in ("canonical", "forms", "is_phrase", "enabled", "note", "focus")]
+    tops = entries.select("category", "_file", *own, F.lit(None).cast("string").alias("parent"))
+    below = entries.select("category", "_file", F.col("e.canonical").alias("parent"), F.explode("e.compounds").alias("e")).select("category", "_file", *own, "parent")
+    rows = tops.unionByName(below)
+    twice = F.count("*").over(Window.partitionBy("canonical"))
+    forms = F.array_distinct(F.concat(F.array("canonical"), F.coalesce("forms", F.array().cast("array<string>"))))
+    ordered = F.transform(F.array_sort(F.transform(forms, lambda f: F.struct((-F.length(f)).alias("n"), f.alias("f")))), lambda x: x["f"])
+    phrase = F.col("canonical").contains(" ")
+    words = F.split("canonical", " +")
+    focus = F.coalesce("focus", F.array().cast("array<string>"))
+    enabled = F.coalesce("enabled", F.lit(True))
+    problem = (
+        F.when(F.col("canonical").isNull(), "an entry without a name").when(F.col("category") != F.col("_file"), "the file isn't named after its category").when(F.col("_n") > 1, "the name is given twice")
+        .when(~enabled & (F.coalesce("note", F.lit("")) == ""), "disabled without a note").when(F.col("is_phrase") != phrase, "is_phrase contradicts the name")
+        .when(~phrase & F.exists(ordered, lambda f: f.contains(" ")), "a word with forms of several words").when((F.size(focus) > 0) & ~phrase, "focus on a word")
+        .when(F.size(F.array_except(focus, words)) > 0, "focus words that aren't part of the name")
+    )
+    checked = rows.withColumn("_n", twice).withColumn("_problem", problem)
+    fine = F.when(F.col("_problem").isNotNull(), F.raise_error(F.concat_ws(": ", "_file", "canonical", "_problem")).cast("boolean")).otherwise(True)
+    return checked.where(fine).select("canonical", "category", ordered.alias("forms"), phrase.alias("is_phrase"), enabled.alias("enabled"), focus.alias("focus"), "parent", "note")
+
+
 def read_catalog_events(raw: DataFrame, body: str = "body", longest: int = 1 << 20) -> DataFrame:
     """Raw event texts with event_type (cut to 48 characters), payload fields and ``accepted``; the body stays as it is."""
     kind = F.get_json_object(body, "$.eventType")
@@ -92,14 +127,18 @@ def read_catalog_events(raw: DataFrame, body: str = "body", longest: int = 1 <<
 STREAMS = "streams array<struct<codec_name:string,codec_type:string,profile:string,channels:int,bit_rate:string,start_time:string,disposition:map<string,int>,tags:map<string,string>>>, chapters array<string>, format struct<duration:string,size:string,tags:map<string,string>>"
 
 
-def explode_media_streams(docs: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
-    """One row per stream: typed_index counts within its kind, tag names in small letters, flags that are set, sorted."""
-    rows = docs.select(F.col(doc).alias("doc"), F.from_json(body, STREAMS).alias("j")).select("doc", F.size("j.chapters").alias("chapters"), F.posexplode("j.streams").alias("pos", "s"))
+def explode_media_streams(docs: DataFrame, doc: str = "doc", body: str = "body", hash_tag: str = "profile_hash", profile: str | None = None) -> DataFrame:
+    """One row per stream: typed_index counts within its kind, tag names in small letters, flags that are set, sorted; of the file its chapters, its attachments, and
+    ``already_clean``, whether its tag ``hash_tag`` (in letters of any size) names the ``profile``, never without one."""
+    attached = F.size(F.filter("j.streams", lambda x: x["codec_type"] == "attachment")).alias("attachments")
+    said = F.map_values(F.map_filter(F.coalesce("j.format.tags", F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k) == hash_tag.lower()))
+    clean = F.coalesce(F.get(said, F.lit(0)) == profile, F.lit(False)) if profile else F.lit(False)
+    rows = docs.select(F.col(doc).alias("doc"), F.from_json(body, STREAMS).alias("j")).select("doc", F.size("j.chapters").alias("chapters"), attached, clean.alias("already_clean"), F.posexplode("j.streams").alias("pos", "s"))
     nth = F.row_number().over(Window.partitionBy("doc", "kind").orderBy("pos")) - 1
     tags = F.transform_keys(F.coalesce("s.tags", F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
     return rows.select(
         "doc", "pos", F.col("s.codec_type").alias("kind"), F.col("s.codec_name").alias("codec"), F.col("s.profile").alias("profile"), F.col("s.channels").alias("channels"),
-        F.col("s.bit_rate").alias("bit_rate"), tags.alias("tags"), F.array_sort(F.map_keys(F.map_filter(F.coalesce("s.disposition", F.create_map().cast("map<string,int>")), lambda k, v: v == 1))).alias("flags"), "chapters",
+        F.col("s.bit_rate").alias("bit_rate"), tags.alias("tags"), F.array_sort(F.map_keys(F.map_filter(F.coalesce("s.disposition", F.create_map().cast("map<string,int>")), lambda k, v: v == 1))).alias("flags"), "chapters", "attachments", "already_clean",
     ).withColumn("typed_index", nth)
 
 
