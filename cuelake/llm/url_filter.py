@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place
+from .common import by_place, keep, materialise, scratch
 
 #: The rules of the query's contract, (host, path, verdict).
 CONTRACT_RULES = [
@@ -35,6 +35,8 @@ DEFAULT_PATTERNS = [
 ]
 
 
+#: A list of more rules is too large to send to every task: it is a table's (``judge_urls_by_table``).
+MOST_RULES = 10_000
 _JUDGED = "struct<rule:string,verdict:string,n_candidates:int>"
 
 
@@ -86,12 +88,14 @@ def judge_urls(
     The longest fitting host rule wins and is named in ``rule``; without one ``rule`` is null and the
     longest fitting pattern rule decides, else ``default``. Of rules of equal length the later one wins. A null url or one
     without ``://`` has an empty host and path and fits no host rule. Repeated rows are judged each for itself; columns named
-    like the new ones are replaced; an empty table gives no rows. The rules come as a Python list, so the index is as large as
-    what the caller wrote down, and does not grow with the pages. Each row is judged where it is: nothing is shuffled
+    like the new ones are replaced; an empty table gives no rows. The rules come as a Python list of at most ``MOST_RULES`` in all; more are an error,
+    and go through ``judge_urls_by_table``. Each row is judged where it is: nothing is shuffled
     but the counts of the rules' tokens.
     """
     base = pages.withColumn("host", url_host(F.col(url_col))).withColumn("path", url_path(F.col(url_col)))
     base = base.drop("rule", "verdict", "n_candidates")
+    if len(rules) + len(patterns) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules: use judge_urls_by_table")
     listed = sorted(enumerate(host_rules(rules) + pattern_rules(patterns)), key=lambda r: (-r[1][4], -r[1][5], -r[0]))
     tokens = sorted({t for _, r in listed for t in r[2]})
     counts: dict[str, int] = {}
@@ -125,6 +129,34 @@ def judge_urls(
     return told.select(*told.columns[:-1], f"{last}.rule", f"{last}.verdict", f"{last}.n_candidates").toDF(*names, "rule", "verdict", "n_candidates")
 
 
+def rule_table(spark, rules: Sequence[tuple[str, str, str]] = (), patterns: Sequence[tuple[str, list[str], str]] = ()) -> DataFrame:
+    """Rules as ``judge_urls_by_table`` takes them: rule, pattern, needs (the tokens), verdict, place (the order in which they decide)."""
+    listed = sorted(enumerate(host_rules(rules) + pattern_rules(patterns)), key=lambda r: (-r[1][4], -r[1][5], -r[0]))
+    rows = [(name, pattern, needs, says, place) for place, (_, (name, pattern, needs, says, _, _)) in enumerate(listed)]
+    return spark.createDataFrame(rows, "rule string, pattern string, needs array<string>, verdict string, place long")
+
+
+def judge_urls_by_table(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
+    """``judge_urls`` for any number of rules, a table as of ``rule_table``: nothing is sent to all tasks or to the driver. Each rule is filed under its rarest
+    token by a join with the tokens' counts; a URL's tokens fetch their rules by another, and only those run, in the JVM. ``n_candidates`` counts all of them. A rule that needs no token is an
+    error. Patterns are of Java's kind, places have no ties."""
+    with scratch(pages.sparkSession):
+        named = by_place(pages.drop("host", "path", "rule", "verdict", "n_candidates"))
+        url = named.columns[pages.drop("host", "path", "rule", "verdict", "n_candidates").columns.index(url_col)]
+        rows = materialise(named.withColumn("_row", F.monotonically_increasing_id()).withColumn("host", url_host(F.col(url))).withColumn("path", url_path(F.col(url))), "urls")
+        tokens = materialise(rows.select("_row", F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token"), F.concat("host", "path").alias("said")), "url-tokens")
+        filed = rules.where(F.when(F.coalesce(F.size("needs"), F.lit(0)) < 1, F.raise_error(F.concat(F.lit("a rule needs no token: "), "pattern")).cast("boolean")).otherwise(True))
+        asked = filed.select("place", F.explode("needs").alias("token"))
+        counts = tokens.join(asked.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
+        rarest = asked.join(counts, "token", "left").groupBy("place").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("r")).select("place", "r.token")
+        index = materialise(filed.join(rarest, "place").select("token", "place", "pattern", "rule", "verdict"), "rule-index")
+        met = tokens.join(index, "token").withColumn("fits", F.rlike("said", F.concat(F.lit("(?s)"), "pattern")))
+        best = met.groupBy("_row").agg(F.count("*").cast("int").alias("n_candidates"), F.min(F.when(F.col("fits"), F.struct("place", "rule", "verdict"))).alias("b"))
+        out = rows.join(best, "_row", "left").select(*named.columns, "host", "path", "b.rule", F.coalesce("b.verdict", F.lit(default)).alias("verdict"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
+        told = keep(materialise(out, "judged-urls"))
+        return told.toDF(*pages.drop("host", "path", "rule", "verdict", "n_candidates").columns, "host", "path", "rule", "verdict", "n_candidates")
+
+
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
