@@ -340,3 +340,9 @@ def redact_markup(df: DataFrame, text: str, entries: list[tuple], mask: str = "*
     out = plain.withColumn("_r", by_line(F.when(marked, F.col(text))))
     pick = lambda c, other: F.when(marked, F.col(f"_r.{c}")).otherwise(other)
     return out.select(*[F.col(f"`{c}`") for c in df.columns], pick("redacted", F.col("redacted")).alias("redacted"), pick("n_hits", F.col("n_hits")).alias("n_hits"), pick("tags_dropped", F.lit(0)).alias("tags_dropped"))
+
+
+def redaction_totals(df: DataFrame, by: list[str], text: str, entries: list[tuple], **more) -> DataFrame:
+    """What ``redact_markup`` did, for each ``by``: lines, changed ones, hits and dropped marks. Lines of null text count and have none."""
+    out = redact_markup(df, text, entries, **more)
+    return out.groupBy(*by).agg(F.count("*").alias("lines"), F.count_if(F.col("n_hits") > 0).alias("changed"), F.sum("n_hits").alias("hits"), F.sum("tags_dropped").alias("tags_dropped"))

@@ -147,14 +147,24 @@ def _(spark, d):
 _SAFE = "replace(replace(text, '{{', '('), chr(92), '/')".replace("{{", "{")
 
 
-@add("redact_markup", f"""
-SELECT doc_id, CAST(len(list_filter(ps, lambda w: lower(w) IN ('rewh', 'orre'))) AS INT) AS n_hits, CAST(len(list_filter(ps, lambda w: lower(w) IN ('rewh', 'orre') AND contains(w, 're'))) AS INT) AS tags_dropped,
+_MARKED = f"""(SELECT doc_id, source, coalesce(CAST(len(list_filter(ps, lambda w: lower(w) IN ('rewh', 'orre'))) AS INT), 0) AS n_hits, coalesce(CAST(len(list_filter(ps, lambda w: lower(w) IN ('rewh', 'orre') AND contains(w, 're'))) AS INT), 0) AS tags_dropped,
  array_to_string(list_transform(ps, lambda w: CASE WHEN lower(w) IN ('rewh', 'orre') THEN '****' ELSE replace(w, 're', 'r{{' || chr(92) || 'i1}}e') END), '') AS redacted
-FROM (SELECT doc_id, regexp_extract_all({_SAFE}, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+|{fx.NO_WORD}') AS ps FROM documents WHERE text IS NOT NULL)""")
-def _(spark, d):
+FROM (SELECT doc_id, source, regexp_extract_all({_SAFE}, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+|{fx.NO_WORD}') AS ps FROM documents))"""
+
+
+def _marked(spark, d):
     safe = F.translate("text", "{\\", "(/")
-    docs = fx.table(spark, d, "documents").where("text is not null").select("doc_id", F.replace(safe, F.lit("re"), F.lit("r{\\i1}e")).alias("text"))
-    return lexicon.redact_markup(docs, "text", [fx.LEXICON[0]]).select("doc_id", "n_hits", "tags_dropped", "redacted")
+    return fx.table(spark, d, "documents").select("doc_id", "source", F.replace(safe, F.lit("re"), F.lit("r{\\i1}e")).alias("text"))
+
+
+@add("redact_markup", f"SELECT doc_id, n_hits, tags_dropped, redacted FROM {_MARKED}")
+def _(spark, d):
+    return lexicon.redact_markup(_marked(spark, d), "text", [fx.LEXICON[0]]).select("doc_id", "n_hits", "tags_dropped", "redacted")
+
+
+@add("markup_totals", f"SELECT source, count(*) AS lines, count(*) FILTER (n_hits > 0) AS changed, sum(n_hits)::BIGINT AS hits, sum(tags_dropped)::BIGINT AS tags_dropped FROM {_MARKED} GROUP BY source")
+def _(spark, d):
+    return lexicon.redaction_totals(_marked(spark, d), ["source"], "text", [fx.LEXICON[0]])
 
 
 @add("joined_tokens", f"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cuelake.operators import medians
 
 
-@pytest.mark.parametrize("bins", [2, 1024])
+@pytest.mark.parametrize("bins", [16, 1024])
 def test_medians(spark, monkeypatch, bins):
     monkeypatch.setattr(medians, "BINS", bins)
     rng = random.Random(1)
