@@ -244,7 +244,7 @@ def _(spark, d):
 
 @add("range_coverage", f"""
 WITH m AS ({_MERGE}), s AS (SELECT item_id, event_id, "start" - {fx.HOUR} AS a, "start" + {fx.HOUR} AS b FROM {fx.RANGES_SQL})
-SELECT s.event_id, least(1.0, coalesce(sum(greatest(0, least(b, m."end") - greatest(a, m."start"))), 0) / (b - a))::DOUBLE AS covered FROM s LEFT JOIN m ON m.item_id = s.item_id AND a <= m."end" AND m."start" <= b GROUP BY s.event_id, a, b""")
+SELECT s.event_id, least(1.0, coalesce(sum(greatest(0, least(b, m."end") - greatest(a, m."start"))) FILTER (m."start" IS NOT NULL), 0) / (b - a))::DOUBLE AS covered FROM s LEFT JOIN m ON m.item_id = s.item_id AND a <= m."end" AND m."start" <= b GROUP BY s.event_id, a, b""")
 def _(spark, d):
     ranges = fx.ranges(spark, d)
     spans = ranges.select("item_id", "event_id", (F.col("start") - fx.HOUR).alias("start"), (F.col("start") + fx.HOUR).alias("end"))
