@@ -16,3 +16,28 @@ def test_a_span_that_no_range_touches_is_not_covered(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert got == dict(con.sql(ORACLE_SQL["range_coverage"]).fetchall()) == {1: 0.0, 2: 600 / 7200, 3: 0.0}
+
+
+ODD = ["of", "the", "--", "Of’", "(THE)", "", "ﬁne", "of\x1cthe", "¨", "rewh!", "*", "“Straße”", "REWH", "of", "...", "the", "of", "the", "İnoran", "x\u0085y", "a b", "hehely"]
+
+
+def test_hits_in_lists_of_words(spark):
+    """Without a row or a shuffle for each word, and what the joined rows of words say."""
+    from pyspark.sql import functions as F
+
+    from cuelake.functions import text
+    from cuelake.operators import lexicon
+    from cuelake.plans import fixtures as fx
+
+    lists = spark.createDataFrame([(1, ODD), (2, []), (3, ["--"]), (4, None), (5, ["of", None, "the", "of", "the"]), (6, ODD[::-1] * 300)], "item_id long, words array<string>")
+    rows = lists.select("item_id", F.posexplode("words").alias("word_index", "word"))
+    norms = rows.select("item_id", "word_index", F.coalesce(text.fold(text.strip_wrappers(F.col("word"))), F.lit("")).alias("norm"))
+    folded = lists.select("item_id", F.posexplode(text.folded_lists(F.col("words"))).alias("word_index", "norm"))
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    assert plain(folded.select("item_id", "word_index", F.coalesce("norm", F.lit("")))) == plain(norms)
+    joined = lexicon.join_tokens(norms)
+    hits = lexicon.match_lexicon(joined.select("item_id", "joined"), "joined", fx.LEXICON).drop("joined")
+    want = lexicon.span_to_tokens(hits, joined)
+    got = lexicon.list_hits(lists, "words", fx.LEXICON)
+    assert plain(got) == plain(want.select(*got.columns)) and got.count() > 900
+    assert "Exchange" not in got._jdf.queryExecution().optimizedPlan().toString() and "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
