@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stores import shuffle_partitions
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str], kept: dict[str, Column]) -> DataFrame:
     """Full outer join: a new value wins unless it is null; ``kept`` columns are the old ones, or a default for new rows."""
@@ -94,14 +96,33 @@ def stale_items(items: DataFrame, live: DataFrame, synced: DataFrame) -> DataFra
     return items.where("status != 'stale'").join(titles, "title_id", "left_semi").join(live.select("item_id").distinct(), "item_id", "left_anti").select("item_id")
 
 
+#: Rules of a scope that go to an item together, and groups that the items of a title are dealt to.
+_PACK, _SHARES = 4096, 64
+
+
 def rules_in_scope(items: DataFrame, rules: DataFrame) -> DataFrame:
-    """(item_id, rule_id, scope) of the rules that hold for each item: global ones, those of its title, its own."""
+    """(item_id, rule_id, scope) of the rules that hold for each item: global ones, those of its title, its own.
+
+    The result grows with items times rules of a scope, so rules travel in packs, and a pair is made only where it is told. Items of a title are dealt
+    to many tasks, each of which gets the packs of that title.
+    """
     kept = rules.select("rule_id", "scope", "scope_id")
-    every = kept.where("scope = 'global'").select("rule_id", "scope")
-    of = lambda scope: kept.where(F.col("scope") == scope).select("rule_id", "scope", F.col("scope_id").alias(f"{scope}_id"))
-    # Global rules hold for every item: their product with the items is the result itself.
-    parts = [items.select("item_id").crossJoin(every), items.select("item_id", "title_id").join(of("title"), "title_id"), items.select("item_id").join(of("item"), "item_id")]
-    return parts[0].select("item_id", "rule_id", "scope").union(parts[1].select("item_id", "rule_id", "scope")).union(parts[2].select("item_id", "rule_id", "scope"))
+    share = lambda c: F.pmod(F.xxhash64(c), F.lit(_SHARES)).cast("int")
+    packed = lambda rows, *key: rows.withColumn("_p", F.pmod(F.xxhash64("rule_id", F.lit(1)), F.ceil(F.col("_n") / _PACK))).groupBy(*key, "_p").agg(F.collect_list("rule_id").alias("_ids")).drop("_p")
+    every = kept.where("scope = 'global'").select("rule_id")
+    every = packed(every.crossJoin(every.agg(F.count("*").alias("_n"))))  # one row
+    title = kept.where("scope = 'title' and scope_id is not null").select("rule_id", F.col("scope_id").alias("title_id"))
+    title = packed(title.join(title.groupBy("title_id").agg(F.count("*").alias("_n")), "title_id"), "title_id")
+    shares = lambda rows: rows.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))))
+    # Little comes in and much goes out: by its size alone the input would be a task or two.
+    spark = items.sparkSession
+    dealt = items.select("item_id", "title_id", share("item_id").alias("_s")).repartition(max(shuffle_partitions(spark), 4 * spark.sparkContext.defaultParallelism))
+    own = kept.where("scope = 'item'").select("rule_id", F.col("scope_id").alias("item_id"))
+    told = lambda rows, scope: rows.select("item_id", F.explode("_ids").alias("rule_id"), F.lit(scope).alias("scope"))
+    return (
+        told(dealt.join(shares(every), "_s"), "global").union(told(dealt.join(shares(title), ["title_id", "_s"]), "title"))
+        .union(items.select("item_id").join(own, "item_id").select("item_id", "rule_id", F.lit("item").alias("scope")))
+    )
 
 
 def rule_labels(rules: DataFrame, titles: DataFrame, items: DataFrame) -> DataFrame:

@@ -41,3 +41,17 @@ def test_hits_in_lists_of_words(spark):
     got = lexicon.list_hits(lists, "words", fx.LEXICON)
     assert plain(got) == plain(want.select(*got.columns)) and got.count() > 900
     assert "Exchange" not in got._jdf.queryExecution().optimizedPlan().toString() and "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_in_scope_travel_in_packs(spark, monkeypatch):
+    from cuelake.operators import catalog
+
+    monkeypatch.setattr(catalog, "_PACK", 3)
+    items = [(i, i % 3 if i % 5 else None) for i in range(40)] + [(7, 1)]
+    rules = [(r, ("global", "title", "item")[r % 3], None if r % 3 == 0 else r % 4 if r % 3 == 1 else r) for r in range(50)] + [(99, "title", None), (1, "title", 1)]
+    got = catalog.rules_in_scope(spark.createDataFrame(items, "item_id long, title_id long"), spark.createDataFrame(rules, "rule_id long, scope string, scope_id long"))
+    want = [(i, r, s) for i, t in items for r, s, k in rules if s == "global" or k is not None and k == {"title": t, "item": i}[s]]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan
+    assert not catalog.rules_in_scope(spark.createDataFrame(items, "item_id long, title_id long"), spark.createDataFrame([], "rule_id long, scope string, scope_id long")).count()
