@@ -42,6 +42,8 @@ STRETCH = 1 << 16
 #: Shingles that aren't counted: at most so many, seen in so many texts of a 64th of them.
 HOT, HOT_FROM = 4096, 64
 _HOT_TOKEN = 1 << 62
+#: Bits of the fields that are compared for each pair of a list; sets of more shingles than ``LARGE`` have a field that grows with them as well.
+WIDE, LARGE = 2048, 512
 _MESSAGE = "chunk long, bucket int, docs binary, tokens binary, levels binary"
 
 
@@ -266,6 +268,27 @@ def _lone(a: str, b: str) -> str:
     return f"case when size({a}) = size({b}) then aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p & ~q)), 0, (t, c) -> t + c) else 0 end"
 
 
+def _wide_fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gid, wide, weight): a field of ``WIDE`` bits of each set, whatever its size, and how many of them are set."""
+    for batch in batches:
+        grams = batch.column("grams")
+        flat, size = grams.flatten().to_numpy().view(np.uint64), np.diff(grams.offsets.to_numpy())
+        field = np.zeros((len(size), WIDE), bool)
+        field[np.repeat(np.arange(len(size)), size), (flat >> np.uint64(20) & np.uint64(WIDE - 1)).astype(np.int64)] = True
+        words = np.packbits(field, axis=1, bitorder="little").view(np.int64)
+        ends = pa.array(np.arange(len(size) + 1, dtype=np.int32) * (WIDE // 64))
+        yield pa.record_batch([batch.column("gid"), pa.ListArray.from_arrays(ends, pa.array(words.ravel())), pa.array(field.sum(axis=1, dtype=np.int32))], names=["gid", "wide", "weight"])
+
+
+def _wide_fit(num: int, den: int, nx: str = "nx", ny: str = "ny") -> str:
+    """Whether the wide fields vx and vy, of wx and wy bits, of two sets of nx and ny shingles allow a link; null says nothing. Spelt
+    out word by word, as this is what each pair of a token's list costs."""
+    common = " + ".join(f"bit_count(vx[{i}] & vy[{i}])" for i in range(WIDE // 64))
+    # Bits that one set has alone stand for as many shingles at least, which are at most its size less the least intersection.
+    least = lambda w, n, m: f"{w} * {num + den} - {den} * {n} + {num} * {m}"
+    return f"(vx is null or vy is null or ({common}) * {num + den} >= greatest({least('wx', nx, ny)}, {least('wy', ny, nx)}))"
+
+
 def _fields_fit(num: int, den: int) -> str:
     """Whether the bit fields fx and fy of two groups of nx and ny shingles allow a link; a field that is null says nothing."""
     half = lambda x, y: f"(case when size({x}) > size({y}) then zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (p, q) -> p | q) else {x} end)"
@@ -422,23 +445,28 @@ def _found(rows: DataFrame, n: int, similarity: tuple[int, int], every: bool):
         known = materialise(connected_components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "near-parts")
         turn += 1
 
-    # A bundle is what a token's list holds of one component. Bundles meet if some sizes and places in them
-    # allow a link, then their groups by their own and by their bit fields, which tell nearly all groups that don't link apart within the join, then the members of
-    # the groups. A group of several members has no field, as its members have fields of their own. A 64th of the tokens goes first and three larger parts
-    # follow, since what they connect needs no test under the others.
+    # A bundle is what a token's list holds of one component. Bundles meet if some sizes and places in them, and the wide fields of
+    # bundles of one group, allow a link, then their groups by their own, then the members of the groups. So nearly all groups that don't link
+    # are told apart within the join. A group of several members has no field, as its members have fields of their own. A 64th of the
+    # tokens goes first and three larger parts follow, since what they connect needs no test under the others.
     may = " and ".join(f"hi{s} * {den} >= lo{t} * {num} and hi{s} - p{s} >= ceil({num} * (hi{s} + lo{t}) / {den + num})" for s, t in ("xy", "yx"))
-    ends, one = {"part": "b", "lo": "lo", "hi": "hi", "pos": "p"}, one | {"part": "b", "field": "f"}
+    ends, one = {"part": "b", "lo": "lo", "hi": "hi", "pos": "p", "wide": "v", "weight": "w"}, one | {"part": "b", "field": "f", "wide": "v", "weight": "w"}
     several = stay.where("gid != id").select("gid").distinct().withColumn("several", F.lit(True))
-    fields = whole.join(postings.select("gid").distinct(), whole["id"] == F.col("gid"), "left_semi").select(F.col("id").alias("gid"), "bits").join(several, "gid", "left")
-    fields = materialise(fields.select("gid", F.when(F.col("several").isNull(), F.col("bits")).alias("field")), "fields")
+    fields = whole.join(postings.select("gid").distinct(), whole["id"] == F.col("gid"), "left_semi").select(F.col("id").alias("gid"), "n", "bits", "grams")
+    wide = fields.select("gid", "grams").mapInArrow(_wide_fields, "gid long, wide array<long>, weight int")
+    fields = fields.select("gid", F.when(F.col("n") > LARGE, F.col("bits")).alias("field")).join(wide, "gid").join(several, "gid", "left")
+    fields = materialise(fields.where("several is null").drop("several"), "fields")
     for low, high in ((0, 0), (1, 3), (4, 15), (16, 63)):
         some = postings.where(F.pmod(F.xxhash64("token", F.lit("turn")), F.lit(64)).between(low, high)).select("token", "gid", "n", "pos")
         placed = part_of(some, "gid", "part")
         mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
-        placed = materialise(placed.join(mixed, "token").join(fields, "gid", "left"), "mixed-postings")
-        bundle = placed.groupBy("token", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"))
-        meets = end(bundle, "x", ends).join(end(bundle, "y", ends), "token").where(f"bx < by and {may}").select("token", "bx", "by")
-        across = meets.join(end(placed, "x", one), ["token", "bx"]).join(end(placed, "y", one), ["token", "by"]).where(f"{_fits(num, den)} and {_fields_fit(num, den)}").select("gx", "gy").distinct()
+        placed = materialise(placed.join(mixed, "token"), "mixed-postings")
+        bundle = placed.groupBy("token", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"), F.when(F.count("*") == 1, F.min("gid")).alias("gid"))
+        placed, bundle = placed.join(fields, "gid", "left"), bundle.join(fields.drop("field"), "gid", "left")
+        meets = end(bundle, "x", ends).join(end(bundle, "y", ends), "token").where(f"bx < by and {may} and {_wide_fit(num, den, 'hix', 'hiy')}").select("token", "bx", "by", "vy", "wy", "hiy")
+        # The first side's groups are told by the other bundle's field, if it is of one group, before they meet its groups.
+        half = meets.join(end(placed, "x", one), ["token", "bx"]).where(_wide_fit(num, den, "nx", "hiy")).drop("vy", "wy", "hiy")
+        across = half.join(end(placed, "y", one), ["token", "by"]).where(f"{_fits(num, den)} and {_wide_fit(num, den)} and {_fields_fit(num, den)}").select("gx", "gy").distinct()
         links = verified(expanded(across, stay).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
         known = materialise(connected_components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "near-parts")
 
