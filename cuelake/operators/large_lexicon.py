@@ -2,14 +2,18 @@
 
 A text is cut into runs of word characters and what lies between. Runs next to each other, up to as many as the longest form
 has, make a key that is joined to the keys of the forms; only what meets runs the one expression of its form,
-at its place. So the list is never compiled, sent to tasks as a whole or held by the driver. Which of several
+at its place. So the list is never compiled, sent to tasks as a whole or held by the driver; tasks get a bitmap of fixed size with the
+places of its keys, and make strings only of the keys that it lets through. Which of several
 overlapping hits stay is told as by a matcher that goes from left to right (``match_lexicon``), by chains.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,13 +48,91 @@ def form_table(lexicon: DataFrame) -> DataFrame:
     )
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _running(sizes: pa.Array) -> pa.Array:
-    """Running sums of each list."""
-    flat = sizes.flatten().to_numpy(zero_copy_only=False)
-    offsets = sizes.offsets.to_numpy() - sizes.offsets[0].as_py()
-    sums = np.concatenate([[0], np.cumsum(flat)])
-    return pa.ListArray.from_arrays(sizes.offsets if sizes.offsets[0].as_py() == 0 else pa.array(offsets, pa.int32()), pa.array((sums[1:] - np.repeat(sums[offsets[:-1]], np.diff(offsets))).astype(np.int32)))
+#: Places of the bitmap of keys, 2 MB: where it fills up, more keys travel and results stay the same.
+PLACES_BITS = 24
+#: Texts that are cut into keys at a time, and words whose hashes a task remembers.
+TEXTS, WORDS = 256, 1 << 18
+_BASE, _MIX, _ALL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
+
+
+def _hashes(words: list[str], known: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word and the factor for what stands before it: that of two words in one is h(x) * f(y) + h(y)."""
+    if len(known) > WORDS:
+        known.clear()
+    for w in words:
+        if w not in known:
+            h, f = 0, 1
+            for c in w:
+                h, f = (h * _BASE + ord(c) + 1) & _ALL, f * _BASE & _ALL
+            known[w] = h, f
+    found = np.array([known[w] for w in words], np.uint64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _places(hashes: np.ndarray) -> np.ndarray:
+    return (hashes * np.uint64(_MIX) >> np.uint64(64 - PLACES_BITS)).astype(np.int64)
+
+
+def _key_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([pa.array(_places(_hashes(batch.column(0).to_pylist(), {})[0]))], names=["place"])
+
+
+def _bitmap(forms: DataFrame):
+    """Broadcast bitmap with the places of the keys of ``forms``."""
+    places = forms.select("key").distinct().mapInArrow(_key_places, "place long")
+    rows = places.groupBy(F.expr("place div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
+    field = np.zeros((1 << PLACES_BITS) // 64, np.int64)
+    field[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return forms.sparkSession.sparkContext.broadcast(field.view(np.uint64))
+
+
+def _grams(batches: Iterator[pa.RecordBatch], keys: int, most: int, apart: int, after: int, lead: int, bitmap) -> Iterator[pa.RecordBatch]:
+    """Texts as pieces (the key's columns, _p, _f: folded, _odd: where the first run of word characters is) to the keys of 1 to ``most`` runs
+    that the bitmap lets through: the key's columns, begin, before, _key, core, after."""
+    known: dict[str, tuple[int, int]] = {}
+
+    def of(values: pa.Array, at: np.ndarray, there: np.ndarray) -> pa.Array:
+        return pc.fill_null(values.take(pa.array(at, mask=~there)), "")
+
+    for batch in batches:
+        for low in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(low, TEXTS)
+            pieces, folded = (part.column(c).flatten() for c in ("_p", "_f"))
+            pieces = pieces.cast(pa.string())
+            size = pc.list_value_length(part.column("_p")).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc, first = np.repeat(np.arange(len(size)), size), np.repeat(np.cumsum(size) - size, size)
+            place, length = np.arange(len(doc)) - first, pc.utf8_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+            begin = np.cumsum(length) - length
+            begin = begin - begin[first] if len(first) else begin
+            words = folded.dictionary_encode()
+            h, f = (x[words.indices.to_numpy(zero_copy_only=False)] for x in _hashes(words.dictionary.to_pylist(), known))
+            from_odd = place - np.repeat(part.column("_odd").to_numpy(zero_copy_only=False), size)
+            at = np.flatnonzero((from_odd >= 0) & (from_odd % 2 == 0))
+            name = h[at]
+            for k in range(1, most + 1):
+                end = at + 2 * k - 2
+                if k > 1:
+                    there = place[at] + 2 * k - 2 < size[doc[at]]
+                    at, name, end = at[there], name[there], end[there]
+                    there = length[end - 1] <= apart
+                    at, name, end = at[there], name[there], end[there]
+                    name = name * f[end] + h[end]
+                spot = _places(name)
+                hit = (bitmap.value[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                a, e = at[hit], end[hit]
+                if not len(a):
+                    continue
+                last = size[doc[a]] + first[a]
+                join = lambda values, step: pc.binary_join_element_wise(*[values.take(pa.array(a + j)) for j in range(0, 2 * k - 1, step)], "")  # noqa: B023, E731
+                rest, beyond = of(pieces, e + 1, e + 1 < last), of(pieces, e + 2, e + 2 < last)
+                # What follows decides whether the hit ends here; of a long stretch its beginning is enough.
+                more = pc.if_else(pc.less(pc.utf8_length(rest), after), pc.utf8_slice_codeunits(beyond, 0, 1), "")
+                ends = pc.binary_join_element_wise(pc.utf8_slice_codeunits(rest, 0, after), more, "")
+                ahead = pc.binary_join_element_wise(pc.if_else(pa.array(place[a] > 1), "w", ""), of(pieces, a - 1, place[a] > 0), "")
+                mine = [c.take(pa.array(doc[a])) for c in part.columns[:keys]]
+                told = [pa.array(begin[a].astype(np.int32)), pc.utf8_slice_codeunits(ahead, -lead - 1), join(folded.cast(pa.string()), 2), join(pieces, 1), ends]
+                yield pa.record_batch([*mine, *told], names=[*part.schema.names[:keys], "begin", "before", "_key", "core", "after"])
 
 
 def candidates(df: DataFrame, text: str, forms: DataFrame, key: list[str]) -> DataFrame:
@@ -61,32 +143,18 @@ def candidates(df: DataFrame, text: str, forms: DataFrame, key: list[str]) -> Da
         none = {"char_start": "int", "char_end": "int", "word_raw": "string"} | {c: forms.schema[c].dataType for c in ("rank", "canonical", "category")}
         return df.limit(0).select(*key, *[F.lit(None).cast(kind).alias(c) for c, kind in none.items()])
     apart, after = max(3, inner), max(1, tail) + 1
-    cut = df.where(F.col(text) != "").select(*key, _matches(F.col(text), r"(?U)\w+|\W+").alias("_p"))
+    cut = df.where(F.col(text) != "").select(*key, _matches(F.col(text), r"(?U)\w+|\W+").alias("_p"), F.contains(F.col(text), F.lit("\0")).alias("_nul"))
+    # The pieces are folded as one string; a text that has the character between them goes piece by piece.
     folded = F.transform("_p", lambda x: F.lower(F.translate(F.upper(F.translate(x, "’ İ", "' i")), "Σ", "σ")))
-    cut = cut.withColumn("_f", folded).withColumn("_e", _running(F.transform("_p", F.length)))
+    whole = F.array_join("_p", "\0")
+    for x, y in zip("’\u0020İ", "' i"):
+        whole = F.replace(whole, F.lit(x), F.lit(y))
+    whole = F.lower(F.replace(F.upper(whole), F.lit("Σ"), F.lit("σ")))
+    folded = F.when(F.col("_nul"), folded).otherwise(F.split(whole, "\0"))
     # Runs and what is between them take turns.
-    odd = F.when(F.col("_p")[0].rlike(r"(?U)^\w"), 0).otherwise(1)
-    places = F.sequence(odd, F.size("_p") - 1, F.lit(2))
-    empty = F.array().cast("array<struct<k:int,key:string,core:string,after:string>>")
-
-    def run(i: Column) -> Column:
-        piece = lambda j: F.coalesce(F.get("_p", j), F.lit(""))
-        each, core, name, near = [], F.get("_p", i), F.get("_f", i), F.lit(True)
-        for k in range(1, most + 1):
-            if k > 1:
-                gap = piece(i + 2 * k - 3)
-                core, name = F.concat(core, gap, piece(i + 2 * k - 2)), F.concat(name, F.coalesce(F.get("_f", i + 2 * k - 2), F.lit("")))
-                near = near & (F.length(gap) <= apart) & (i + 2 * k - 2 < F.size("_p"))
-            rest = piece(i + 2 * k - 1)
-            # What follows decides whether the hit ends here; of a long stretch its beginning is enough.
-            ends = F.concat(F.left(rest, F.lit(after)), F.when(F.length(rest) < after, F.left(piece(i + 2 * k), F.lit(1))).otherwise(""))
-            each.append(F.when(near, F.struct(F.lit(k).alias("k"), name.alias("key"), core.alias("core"), ends.alias("after"))))
-        begin = F.get("_e", i) - F.length(F.get("_p", i))
-        ahead = F.when(i > 0, F.concat(F.when(i > 1, F.lit("w")).otherwise(""), piece(i - 1))).otherwise("")
-        return F.struct(begin.alias("begin"), F.right(ahead, F.lit(lead + 1)).alias("before"), F.coalesce(F.filter(F.array(*each), lambda x: x.isNotNull()), empty).alias("grams"))
-
-    runs = cut.where(F.size("_p") > odd).select(*key, F.explode(F.transform(places, run)).alias("_r")).select(*key, "_r.begin", "_r.before", F.explode("_r.grams").alias("_g"))
-    grams = runs.select(*key, "begin", "before", F.col("_g.key").alias("_key"), "_g.core", "_g.after")
+    cut = cut.withColumn("_f", folded).withColumn("_odd", F.when(F.col("_p")[0].rlike(r"(?U)^\w"), 0).otherwise(1))
+    bitmap, kinds = _bitmap(forms), T.StructType([*df.select(*key).schema.fields, *T.StructType.fromDDL("begin int, before string, _key string, core string, after string").fields])
+    grams = cut.mapInArrow(lambda b: _grams(b, len(key), most, apart, after, lead, bitmap), kinds)
     met = grams.join(forms.withColumnRenamed("key", "_key"), "_key")
     # Before a form that begins with a mark there must be no word character.
     free = (F.col("lead") == 0) | (F.length("before") >= F.col("lead")) & ~F.substr(F.col("before"), F.length("before") - F.col("lead"), F.lit(1)).rlike(r"(?U)^\w")

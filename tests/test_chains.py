@@ -108,3 +108,16 @@ def test_a_hundred_thousand_forms(spark):
     got = large_lexicon.match_table(docs, "text", many.union(spark.createDataFrame(small, LEXICON)), ["doc_id"])
     want = lexicon.match_lexicon(docs, "text", small).select("doc_id", "char_start", "char_end", "word_raw", "canonical", "category")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_only_keys_of_the_list_become_strings(spark):
+    text = "of\0THE end, Of the ENDİ; of  thE end-of of the end"
+    rows = spark.createDataFrame([(1, text), (2, "the of"), (3, text.replace("\0", " ")), (4, None), (5, "")], "row long, text string")
+    lists = spark.createDataFrame([("of the", "x", ["of the", "of the end"], True, True), ("endi", "x", ["endi"], False, True)], LEXICON)
+    forms = large_lexicon.form_table(lists)
+    got = large_lexicon.candidates(rows, "text", forms, ["row"])
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    found = sorted((r.row, r.char_start, r.word_raw) for r in got.collect())
+    assert [(s, w) for r, s, w in found if r == 3] == [(0, "of THE"), (0, "of THE end"), (12, "Of the"), (19, "ENDİ"), (25, "of  thE"), (25, "of  thE end"), (40, "of the"), (40, "of the end")]
+    assert [(s, w) for r, s, w in found if r == 1] == [(12, "Of the"), (19, "ENDİ"), (25, "of  thE"), (25, "of  thE end"), (40, "of the"), (40, "of the end")]
+    assert {r for r, _, _ in found} == {1, 3}
