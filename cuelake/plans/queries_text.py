@@ -297,7 +297,7 @@ def _(spark, d):
 @add("pick_timing")
 def _(spark, d):
     words = fx.words(spark, d).withColumn("core", text.strip_wrappers(F.col("word"))).drop("word")
-    hits = text.with_folded(words, "core", "word").where("word in ('rewh', 'thatin', 'ononst')").select(
+    hits = fx.said(spark, d, ["rewh", "thatin", "ononst"]).select(
         F.xxhash64("item_id", "word_index").alias("hit_id"), "item_id", (F.col("start_ms") - 500).alias("start_ms"), (F.col("end_ms") + 500).alias("end_ms"),
         F.col("start_ms").cast("double").alias("expected_ms"), F.array("word").alias("targets"),
     )
