@@ -13,8 +13,8 @@
    group of a token's list meets the list's smallest, then its neighbours in the list that belong to other
    components: as many pairs as rows, not as their square. Such rounds go on, each in another order and
    over lists that still hold several components, while they find links and many pairs are left. What
-   then still lies in different components meets in full: per token, bundles of groups of one component pair
-   up where sizes and places allow a link, and only pairs across bundles are expanded and verified.
+   then still lies in different components meets in full: per token, blocks of groups meet in Arrow, where sizes, places and
+   bit fields tell most pairs apart, and only pairs across components that nearly link are expanded and verified.
 4. A pair is verified by the exact size of the intersection. Before that, bit fields of both sets give
    an upper bound, which costs a fiftieth of the bytes. Only sets that some list needs travel, and texts never do.
 """
@@ -42,6 +42,8 @@ STRETCH = 1 << 16
 #: Shingles that aren't counted: at most so many, seen in so many texts of a 64th of them.
 HOT, HOT_FROM = 4096, 64
 _HOT_TOKEN = 1 << 62
+#: Groups of a token's list that meet those of another block, or each other, in one step.
+BLOCK = 1024
 #: Bits of the fields that are compared for each pair of a list; sets of more shingles than ``LARGE`` have a field that grows with them as well.
 WIDE, LARGE = 2048, 512
 _MESSAGE = "chunk long, bucket int, docs binary, tokens binary, levels binary"
@@ -281,21 +283,94 @@ def _wide_fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _wide_fit(num: int, den: int, nx: str = "nx", ny: str = "ny") -> str:
-    """Whether the wide fields vx and vy, of wx and wy bits, of two sets of nx and ny shingles allow a link; null says nothing. Spelt
-    out word by word, as this is what each pair of a token's list costs."""
+    """Whether the wide fields vx and vy, of wx and wy bits, of two sets of nx and ny shingles allow a link; null says nothing. As SQL:
+    the query tells the same in ``_met_across``, as the driver compiles and keeps an expression of this length anew at each step of a plan."""
     common = " + ".join(f"bit_count(vx[{i}] & vy[{i}])" for i in range(WIDE // 64))
     # Bits that one set has alone stand for as many shingles at least, which are at most its size less the least intersection.
     least = lambda w, n, m: f"{w} * {num + den} - {den} * {n} + {num} * {m}"
     return f"(vx is null or vy is null or ({common}) * {num + den} >= greatest({least('wx', nx, ny)}, {least('wy', ny, nx)}))"
 
 
-def _fields_fit(num: int, den: int) -> str:
-    """Whether the bit fields fx and fy of two groups of nx and ny shingles allow a link; a field that is null says nothing."""
-    half = lambda x, y: f"(case when size({x}) > size({y}) then zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (p, q) -> p | q) else {x} end)"
-    x, y = half("fx", "fy"), half("fy", "fx")
-    # What one set has alone is at most its size less the least intersection.
-    bound = lambda a, b, n: f"{_lone(a, b)} * {num + den} <= {n} * {num + den} - {num} * (nx + ny)"
-    return f"(fx is null or fy is null or ({bound(x, y, 'nx')} and {bound(y, x, 'ny')}))"
+def _met_across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (gx < gy) of groups of other components that may link, of rows (token, low, high, block, gid, n, pos, part, wide, weight, field)
+    sorted by token, low and high: those of block low meet those of block high. Sizes and places tell first (as ``_fits``), then the wide fields
+    (as ``_wide_fit``), then the bit fields of large sets; fields that are null, or differ in length by more than two, say nothing."""
+    both, step, room = num + den, 256, 1 << 20
+
+    def met(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``x`` and ``y`` whose sizes and places fit."""
+        n, left, part = c["n"], c["n"] - c["pos"], c["part"]
+        nx, ny = n[x, None], n[None, y]
+        need = num * (nx + ny)
+        fit = (part[x, None] != part[None, y]) & (nx * den >= ny * num) & (ny * den >= nx * num) & (left[x, None] * both >= need) & (left[None, y] * both >= need)
+        i, j = np.nonzero(fit)
+        return x[i], y[j]
+
+    def wide_fit(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n, w = c["n"], c["weight"]
+        common = np.bitwise_count(c["wide"][i] & c["wide"][j]).sum(axis=1, dtype=np.int64)
+        least = np.maximum(w[i] * both - den * n[i] + num * n[j], w[j] * both - den * n[j] + num * n[i])
+        return ~(c["known"][i] & c["known"][j]) | (common * both >= least)
+
+    def fields_fit(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n, size, fit = c["n"], c["length"], np.ones(len(i), bool)
+        swap = size[i] < size[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        for words in np.unique(size[j][size[j] > 0]).tolist():
+            at = np.arange(words)
+            for times in (1, 2):
+                of = np.flatnonzero((size[j] == words) & (size[i] == times * words))
+                for k in range(0, len(of), max(1, room // words)):
+                    some = of[k : k + max(1, room // words)]
+                    a, b = i[some], j[some]
+                    x, y = (c["flat"][c["start"][r][:, None] + at] for r in (a, b))
+                    if times == 2:
+                        x = x | c["flat"][c["start"][a][:, None] + words + at]
+                    bound = num * (n[a] + n[b])
+                    lone = lambda p, q: np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64) * both
+                    fit[some] = (lone(x, y) <= n[a] * both - bound) & (lone(y, x) <= n[b] * both - bound)
+        return fit
+
+    def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        c = {k: batch.column(k).to_numpy().astype(np.int64) for k in ("token", "low", "high", "block", "gid", "n", "pos", "part")}
+        wide, field = batch.column("wide"), batch.column("field")
+        c["known"], c["weight"] = wide.is_valid().to_numpy(zero_copy_only=False), batch.column("weight").fill_null(0).to_numpy().astype(np.int64)
+        c["wide"] = np.zeros((len(batch), WIDE // 64), np.uint64)
+        c["wide"][c["known"]] = wide.flatten().to_numpy().view(np.uint64).reshape(-1, WIDE // 64)
+        c["flat"], c["length"] = field.flatten().to_numpy().view(np.uint64), field.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        c["start"] = np.cumsum(c["length"]) - c["length"]
+        return c
+
+    def pairs(c: dict[str, np.ndarray], ends: list[int]) -> Iterator[pa.RecordBatch]:
+        for a, b in zip(ends, ends[1:]):
+            rows = np.arange(a, b)
+            alike = c["low"][a] == c["high"][a]
+            lower, upper = rows[c["block"][a:b] == c["low"][a]], rows[c["block"][a:b] == c["high"][a]]
+            for k in range(0, len(lower), step):
+                i, j = met(c, lower[k : k + step], upper[k:] if alike else upper)
+                if alike:
+                    i, j = i[i < j], j[i < j]
+                for m in range(0, len(i), room // WIDE * 64):
+                    p, q = i[m : m + room // WIDE * 64], j[m : m + room // WIDE * 64]
+                    fit = wide_fit(c, p, q)
+                    p, q = p[fit], q[fit]
+                    fit = fields_fit(c, p, q)
+                    x, y = c["gid"][p[fit]], c["gid"][q[fit]]
+                    if len(x):
+                        yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["gx", "gy"])
+
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not len(batch):
+            continue
+        c = columns(batch)
+        ends = [0, *(np.flatnonzero(np.any([c[k][1:] != c[k][:-1] for k in ("token", "low", "high")], axis=0)) + 1).tolist()]
+        yield from pairs(c, ends)
+        held = batch.slice(ends[-1])
+    if held is not None:
+        yield from pairs(columns(held), [0, len(held)])
 
 
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -347,6 +422,20 @@ def _fits(num: int, den: int, x: str = "x", y: str = "y") -> str:
     return " and ".join(f"n{s} * {den} >= n{t} * {num} and n{s} - p{s} >= ceil({num} * (n{x} + n{y}) / {den + num})" for s, t in ((x, y), (y, x)))
 
 
+def _dealt(placed: DataFrame) -> DataFrame:
+    """Rows (token, gid, part, ...) of lists that hold several components, once for each pair of blocks (low, high) of the list that their ``block`` is of."""
+    heavy = F.col("c") > BLOCK
+    lists = placed.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(
+        F.count("*").alias("parts"), F.ceil(F.sum(F.when(heavy, 0).otherwise(F.col("c"))) / BLOCK).alias("light"),
+        F.collect_list(F.when(heavy, F.struct("part", F.ceil(F.col("c") / BLOCK).alias("blocks")))).alias("heavy"),
+    )
+    rows = placed.join(lists.where("parts > 1").drop("parts"), "token").withColumn("own", F.expr("try_element_at(filter(heavy, h -> h.part = part), 1).blocks"))
+    rows = rows.withColumn("first", F.expr("if(own is null, 0, aggregate(filter(heavy, h -> h.part < part), light, (t, h) -> t + h.blocks))"))
+    rows = rows.withColumn("block", F.expr("first + pmod(xxhash64(gid, 'block'), coalesce(own, light))"))
+    others = F.expr("filter(sequence(0L, aggregate(heavy, light, (t, h) -> t + h.blocks) - 1), o -> own is null or o < first or o >= first + own)")
+    return rows.withColumn("other", F.explode(others)).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("light", "heavy", "own", "first", "other")
+
+
 def _near(rows: DataFrame, n: int, similarity: tuple[int, int], every: bool = False):
     """``near_documents`` of (id, text); with ``every`` the verified pairs of classes and (id, n_shingles, class), ids being unique."""
     with scratch(rows.sparkSession):
@@ -445,12 +534,10 @@ def _found(rows: DataFrame, n: int, similarity: tuple[int, int], every: bool):
         known = materialise(connected_components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "near-parts")
         turn += 1
 
-    # A bundle is what a token's list holds of one component. Bundles meet if some sizes and places in them, and the wide fields of
-    # bundles of one group, allow a link, then their groups by their own, then the members of the groups. So nearly all groups that don't link
-    # are told apart within the join. A group of several members has no field, as its members have fields of their own. A 64th of the
+    # Groups of a token's list meet in blocks where they are of other components, sizes, places and fields are told there, and only pairs that
+    # nearly link come out; then their members meet. A component with more groups of a list than a block holds has blocks of its own, which don't meet
+    # each other. A group of several members has no field, as its members have fields of their own. A 64th of the
     # tokens goes first and three larger parts follow, since what they connect needs no test under the others.
-    may = " and ".join(f"hi{s} * {den} >= lo{t} * {num} and hi{s} - p{s} >= ceil({num} * (hi{s} + lo{t}) / {den + num})" for s, t in ("xy", "yx"))
-    ends, one = {"part": "b", "lo": "lo", "hi": "hi", "pos": "p", "wide": "v", "weight": "w"}, one | {"part": "b", "field": "f", "wide": "v", "weight": "w"}
     several = stay.where("gid != id").select("gid").distinct().withColumn("several", F.lit(True))
     fields = whole.join(postings.select("gid").distinct(), whole["id"] == F.col("gid"), "left_semi").select(F.col("id").alias("gid"), "n", "bits", "grams")
     wide = fields.select("gid", "grams").mapInArrow(_wide_fields, "gid long, wide array<long>, weight int")
@@ -458,17 +545,15 @@ def _found(rows: DataFrame, n: int, similarity: tuple[int, int], every: bool):
     fields = materialise(fields.where("several is null").drop("several"), "fields")
     for low, high in ((0, 0), (1, 3), (4, 15), (16, 63)):
         some = postings.where(F.pmod(F.xxhash64("token", F.lit("turn")), F.lit(64)).between(low, high)).select("token", "gid", "n", "pos")
-        placed = part_of(some, "gid", "part")
-        mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("token")
-        placed = materialise(placed.join(mixed, "token"), "mixed-postings")
-        bundle = placed.groupBy("token", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"), F.when(F.count("*") == 1, F.min("gid")).alias("gid"))
-        placed, bundle = placed.join(fields, "gid", "left"), bundle.join(fields.drop("field"), "gid", "left")
-        meets = end(bundle, "x", ends).join(end(bundle, "y", ends), "token").where(f"bx < by and {may} and {_wide_fit(num, den, 'hix', 'hiy')}").select("token", "bx", "by", "vy", "wy", "hiy")
-        # The first side's groups are told by the other bundle's field, if it is of one group, before they meet its groups.
-        half = meets.join(end(placed, "x", one), ["token", "bx"]).where(_wide_fit(num, den, "nx", "hiy")).drop("vy", "wy", "hiy")
-        across = half.join(end(placed, "y", one), ["token", "by"]).where(f"{_fits(num, den)} and {_wide_fit(num, den)} and {_fields_fit(num, den)}").select("gx", "gy").distinct()
+        rows = _dealt(part_of(some, "gid", "part")).join(fields, "gid", "left")
+        rows = rows.select("token", "low", "high", "block", "gid", "n", "pos", "part", "wide", "weight", "field").repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high")
+        across = materialise(rows.mapInArrow(lambda b: _met_across(b, num, den), "gx long, gy long").distinct(), "met-groups")
+        # Most turns of most tables connect nothing more.
+        if across.isEmpty():
+            continue
         links = verified(expanded(across, stay).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
-        known = materialise(connected_components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "near-parts")
+        if not links.isEmpty():
+            known = materialise(connected_components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "near-parts")
 
     # A set that a third of all texts have is one row on the right; adaptive execution splits its rows on the left.
     told = classes.join(known.withColumnRenamed("id", "rep"), "rep", "left").select(*sig, F.coalesce("component", "rep").alias("part"))
