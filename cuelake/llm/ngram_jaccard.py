@@ -14,7 +14,8 @@
    components: as many pairs as rows, not as their square. Such rounds go on, each in another order and
    over lists that still hold several components, while they find links and many pairs are left. What
    then still lies in different components meets in full: per token, blocks of groups meet in Arrow, where sizes, places and
-   bit fields tell most pairs apart, and only pairs across components that nearly link are expanded and verified.
+   bit fields tell most pairs apart, and only pairs across components that nearly link are verified: the most promising
+   ones of each two components first, and all of those that still lie apart at last.
 4. A pair is verified by the exact size of the intersection. Before that, bit fields of both sets give
    an upper bound, which costs a fiftieth of the bytes. Only sets that some list needs travel, and texts never do.
 """
@@ -291,10 +292,13 @@ def _wide_fit(num: int, den: int, nx: str = "nx", ny: str = "ny") -> str:
     return f"(vx is null or vy is null or ({common}) * {num + den} >= greatest({least('wx', nx, ny)}, {least('wy', ny, nx)}))"
 
 
-def _met_across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _met_across(batches: Iterator[pa.RecordBatch], num: int, den: int, few: int | None = None) -> Iterator[pa.RecordBatch]:
     """Pairs (gx < gy) of groups of other components that may link, of rows (token, low, high, block, gid, n, pos, part, wide, weight, field)
     sorted by token, low and high: those of block low meet those of block high. Sizes and places tell first (as ``_fits``), then the wide fields
-    (as ``_wide_fit``), then the bit fields of large sets; fields that are null, or differ in length by more than two, say nothing."""
+    (as ``_wide_fit``), then the bit fields of large sets; fields that are null, or differ in length by more than two, say nothing.
+
+    With ``few``, of the pairs that come together from the same two components only so many come out, those whose wide fields have most
+    in common, and ``cut`` tells whether that leaves any out or groups of several members stand for these."""
     both, step, room = num + den, 256, 1 << 20
 
     def met(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,11 +310,23 @@ def _met_across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
         i, j = np.nonzero(fit)
         return x[i], y[j]
 
-    def wide_fit(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def spare(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How much more the wide fields have in common than a link needs; 0 if they say nothing."""
         n, w = c["n"], c["weight"]
         common = np.bitwise_count(c["wide"][i] & c["wide"][j]).sum(axis=1, dtype=np.int64)
         least = np.maximum(w[i] * both - den * n[i] + num * n[j], w[j] * both - den * n[j] + num * n[i])
-        return ~(c["known"][i] & c["known"][j]) | (common * both >= least)
+        return np.where(c["known"][i] & c["known"][j], common * both - least, 0)
+
+    def best(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ``few`` pairs of each two components with most to spare, and ``cut``."""
+        x, y = np.minimum(c["part"][i], c["part"][j]), np.maximum(c["part"][i], c["part"][j])
+        order = np.lexsort((j, i, -more, y, x))
+        i, j, x, y = i[order], j[order], x[order], y[order]
+        first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        size = np.diff(np.append(first, len(x)))
+        stays = np.arange(len(x)) - np.repeat(first, size) < few
+        cut = (np.repeat(size, size) > few) | ~(c["known"][i] & c["known"][j])
+        return i[stays], j[stays], cut[stays]
 
     def fields_fit(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
         n, size, fit = c["n"], c["length"], np.ones(len(i), bool)
@@ -352,12 +368,18 @@ def _met_across(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterat
                     i, j = i[i < j], j[i < j]
                 for m in range(0, len(i), room // WIDE * 64):
                     p, q = i[m : m + room // WIDE * 64], j[m : m + room // WIDE * 64]
-                    fit = wide_fit(c, p, q)
-                    p, q = p[fit], q[fit]
+                    more = spare(c, p, q)
+                    p, q, more = p[more >= 0], q[more >= 0], more[more >= 0]
                     fit = fields_fit(c, p, q)
-                    x, y = c["gid"][p[fit]], c["gid"][q[fit]]
-                    if len(x):
-                        yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["gx", "gy"])
+                    p, q, more = p[fit], q[fit], more[fit]
+                    if not len(p):
+                        continue
+                    cut = []
+                    if few:
+                        p, q, cut = best(c, p, q, more)
+                    x, y = c["gid"][p], c["gid"][q]
+                    found = {"gx": np.minimum(x, y), "gy": np.maximum(x, y)} | ({"cut": cut} if few else {})
+                    yield pa.record_batch([pa.array(v) for v in found.values()], names=[*found])
 
     held = None
     for batch in batches:
@@ -503,6 +525,15 @@ def _found(rows: DataFrame, n: int, similarity: tuple[int, int], every: bool):
     links = verified(star.union(more.where("gid != id").select(F.col("gid").alias("a"), F.col("id").alias("b"))))
     known = materialise(connected_components(links), "near-parts")
 
+    def united(known: DataFrame, links: DataFrame) -> DataFrame:
+        """``known`` after some more links. Only components and what joins them go through the rounds: many links between two are one edge."""
+        named = lambda frame, c, to: frame.join(known.select(F.col("id").alias(c), F.col("component").alias(to)), c, "left")
+        joined = named(named(links, "a", "pa"), "b", "pb").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+        tops = connected_components(joined)
+        told = known.join(tops.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left")
+        fresh = tops.join(known.select("id"), "id", "left_anti").select("id", "component")
+        return materialise(told.select("id", F.coalesce("top", "component").alias("component")).union(fresh), "near-parts")
+
     # Members of other components than their group's are groups of their own from here on: in the group's
     # lists, and in one that they have with the group alone.
     part_of = lambda frame, c, to: frame.join(known.select(F.col("id").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
@@ -531,29 +562,38 @@ def _found(rows: DataFrame, n: int, similarity: tuple[int, int], every: bool):
         beside = postings.withColumn("next", F.lead(F.struct("gid", "n", "pos", "part")).over(lists)).where("next.part != part")
         beside = beside.selectExpr("gid", "next.gid as g", "n as nx", "pos as px", "next.n as ny", "next.pos as py").where(_fits(num, den))
         links = verified(beside.select(F.least("gid", "g").alias("a"), F.greatest("gid", "g").alias("b")))
-        known = materialise(connected_components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "near-parts")
+        known = united(known, links)
         turn += 1
 
     # Groups of a token's list meet in blocks where they are of other components, sizes, places and fields are told there, and only pairs that
-    # nearly link come out; then their members meet. A component with more groups of a list than a block holds has blocks of its own, which don't meet
-    # each other. A group of several members has no field, as its members have fields of their own. A 64th of the
-    # tokens goes first and three larger parts follow, since what they connect needs no test under the others.
+    # nearly link come out. A component with more groups of a list than a block holds has blocks of its own, which don't meet
+    # each other. A group of several members has no field, as its members have fields of their own. Two components that link do so by very
+    # many pairs and one is enough: their most promising pairs go first, a group's smallest member standing for it, those of a sixteenth
+    # of the tokens before those of all. Components that these don't connect meet in full at the end, with all members.
     several = stay.where("gid != id").select("gid").distinct().withColumn("several", F.lit(True))
     fields = whole.join(postings.select("gid").distinct(), whole["id"] == F.col("gid"), "left_semi").select(F.col("id").alias("gid"), "n", "bits", "grams")
     wide = fields.select("gid", "grams").mapInArrow(_wide_fields, "gid long, wide array<long>, weight int")
     fields = fields.select("gid", F.when(F.col("n") > LARGE, F.col("bits")).alias("field")).join(wide, "gid").join(several, "gid", "left")
     fields = materialise(fields.where("several is null").drop("several"), "fields")
-    for low, high in ((0, 0), (1, 3), (4, 15), (16, 63)):
-        some = postings.where(F.pmod(F.xxhash64("token", F.lit("turn")), F.lit(64)).between(low, high)).select("token", "gid", "n", "pos")
+    for high, few in ((3, 1), (63, 1), (63, 16), (63, None)):
+        some = postings.where(F.pmod(F.xxhash64("token", F.lit("turn")), F.lit(64)) <= high).select("token", "gid", "n", "pos")
         rows = _dealt(part_of(some, "gid", "part")).join(fields, "gid", "left")
         rows = rows.select("token", "low", "high", "block", "gid", "n", "pos", "part", "wide", "weight", "field").repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high")
-        across = materialise(rows.mapInArrow(lambda b: _met_across(b, num, den), "gx long, gy long").distinct(), "met-groups")
+        if few:
+            across = rows.mapInArrow(lambda b: _met_across(b, num, den, few), "gx long, gy long, cut boolean").groupBy("gx", "gy").agg(F.max("cut").alias("cut"))
+        else:
+            across = rows.mapInArrow(lambda b: _met_across(b, num, den), "gx long, gy long").distinct()
+        across = materialise(across, "met-groups")
         # Most turns of most tables connect nothing more.
         if across.isEmpty():
-            continue
-        links = verified(expanded(across, stay).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
+            if high < 63:
+                continue
+            break
+        links = verified((expanded(across, stay) if not few else across.select(F.col("gx").alias("i"), F.col("gy").alias("j"))).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
         if not links.isEmpty():
-            known = materialise(connected_components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), "near-parts")
+            known = united(known, links)
+        if high == 63 and few and across.where("cut").isEmpty():
+            break
 
     # A set that a third of all texts have is one row on the right; adaptive execution splits its rows on the left.
     told = classes.join(known.withColumnRenamed("id", "rep"), "rep", "left").select(*sig, F.coalesce("component", "rep").alias("part"))
