@@ -96,33 +96,40 @@ def stale_items(items: DataFrame, live: DataFrame, synced: DataFrame) -> DataFra
     return items.where("status != 'stale'").join(titles, "title_id", "left_semi").join(live.select("item_id").distinct(), "item_id", "left_anti").select("item_id")
 
 
-#: Rules of a scope that go to an item together, and groups that the items of a title are dealt to.
-_PACK, _SHARES = 4096, 64
+#: Rules of a scope, and items, that go together: a pack of each makes at most about the square of this many pairs at once.
+_PACK = 256
+
+
+def _packed(rows: DataFrame, key: list[str], value: str, name: str) -> DataFrame:
+    """``key`` and ``name``, arrays of about ``_PACK`` values of that key, dealt by their hash; nulls are kept."""
+    count = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    sized = rows.join(count, key) if key else rows.crossJoin(count)  # one row
+    dealt = sized.withColumn("_p", F.pmod(F.xxhash64(value, F.lit(1)), F.ceil(F.col("_n") / _PACK)))
+    return dealt.groupBy(*key, "_p").agg(F.transform(F.collect_list(F.struct(value)), lambda x: x[value]).alias(name)).drop("_p")
 
 
 def rules_in_scope(items: DataFrame, rules: DataFrame) -> DataFrame:
     """(item_id, rule_id, scope) of the rules that hold for each item: global ones, those of its title, its own.
 
-    The result grows with items times rules of a scope, so rules travel in packs, and a pair is made only where it is told. Items of a title are dealt
-    to many tasks, each of which gets the packs of that title.
+    The result grows with items times rules of a scope, so packs of items meet packs of rules, the meetings are dealt evenly to many tasks, and a pair is
+    made only where it is told. No task holds more than the pairs of one meeting, however many rules or items a title has.
     """
     kept = rules.select("rule_id", "scope", "scope_id")
-    share = lambda c: F.pmod(F.xxhash64(c), F.lit(_SHARES)).cast("int")
-    packed = lambda rows, *key: rows.withColumn("_p", F.pmod(F.xxhash64("rule_id", F.lit(1)), F.ceil(F.col("_n") / _PACK))).groupBy(*key, "_p").agg(F.collect_list("rule_id").alias("_ids")).drop("_p")
     every = kept.where("scope = 'global'").select("rule_id")
-    every = packed(every.crossJoin(every.agg(F.count("*").alias("_n"))))  # one row
     title = kept.where("scope = 'title' and scope_id is not null").select("rule_id", F.col("scope_id").alias("title_id"))
-    title = packed(title.join(title.groupBy("title_id").agg(F.count("*").alias("_n")), "title_id"), "title_id")
-    shares = lambda rows: rows.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))))
+    own = kept.where("scope = 'item'").select("rule_id", F.col("scope_id").alias("item_id"))
+    titled = items.where("title_id is not null").select("item_id", "title_id")
     # Little comes in and much goes out: by its size alone the input would be a task or two.
     spark = items.sparkSession
-    dealt = items.select("item_id", "title_id", share("item_id").alias("_s")).repartition(max(shuffle_partitions(spark), 4 * spark.sparkContext.defaultParallelism))
-    own = kept.where("scope = 'item'").select("rule_id", F.col("scope_id").alias("item_id"))
-    told = lambda rows, scope: rows.select("item_id", F.explode("_ids").alias("rule_id"), F.lit(scope).alias("scope"))
-    return (
-        told(dealt.join(shares(every), "_s"), "global").union(told(dealt.join(shares(title), ["title_id", "_s"]), "title"))
-        .union(items.select("item_id").join(own, "item_id").select("item_id", "rule_id", F.lit("item").alias("scope")))
-    )
+    tasks = max(shuffle_partitions(spark), 4 * spark.sparkContext.defaultParallelism)
+
+    def meet(scope: str, key: list[str], left: DataFrame, right: DataFrame) -> DataFrame:
+        a, b = _packed(left, key, "item_id", "_items").repartition(tasks), _packed(right, key, "rule_id", "_rules").repartition(tasks)
+        return (a.join(b, key) if key else a.crossJoin(b)).select(F.lit(scope).alias("scope"), "_items", "_rules")
+
+    met = meet("global", [], items.select("item_id"), every).union(meet("title", ["title_id"], titled, title)).repartition(tasks)
+    pairs = met.select("scope", "_rules", F.explode("_items").alias("item_id")).select("item_id", F.explode("_rules").alias("rule_id"), "scope")
+    return pairs.union(items.select("item_id").join(own, "item_id").select("item_id", "rule_id", F.lit("item").alias("scope")))
 
 
 def rule_labels(rules: DataFrame, titles: DataFrame, items: DataFrame) -> DataFrame:

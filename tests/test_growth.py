@@ -55,3 +55,18 @@ def test_rules_in_scope_travel_in_packs(spark, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" in plan
     assert not catalog.rules_in_scope(spark.createDataFrame(items, "item_id long, title_id long"), spark.createDataFrame([], "rule_id long, scope string, scope_id long")).count()
+
+
+def test_rules_in_scope_are_dealt_evenly(spark, monkeypatch):
+    """Whichever side is small, and whichever is broadcast: pairs are spread over tasks, and nulls are told as SQL tells them."""
+    from pyspark.sql import functions as F
+
+    from cuelake.operators import catalog
+
+    monkeypatch.setattr(catalog, "_PACK", 16)
+    items = [(i, 1) for i in range(3000)] + [(None, 2)]
+    rules = [(r, "global" if r % 2 else "title", None if r % 2 else 1) for r in range(40)] + [(None, "title", 2)]
+    got = catalog.rules_in_scope(spark.createDataFrame(items, "item_id long, title_id long"), spark.createDataFrame(rules, "rule_id long, scope string, scope_id long"))
+    parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 3001 * 20 + 3000 * 20 + 1 and max(parts) < 0.15 * sum(parts)
+    assert sorted((r.rule_id or -1 for r in got.where("item_id is null").collect())) == [-1, *range(1, 40, 2)]
