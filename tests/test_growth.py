@@ -70,3 +70,35 @@ def test_rules_in_scope_are_dealt_evenly(spark, monkeypatch):
     parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(parts) == 3001 * 20 + 3000 * 20 + 1 and max(parts) < 0.15 * sum(parts)
     assert sorted((r.rule_id or -1 for r in got.where("item_id is null").collect())) == [-1, *range(1, 40, 2)]
+
+
+def test_only_what_may_matter_leaves_the_lists(spark):
+    """Pieces where the phrase may stand, and words like its own; of long lists without them nothing."""
+    from pyspark.sql import functions as F
+
+    from cuelake.functions import text
+    from cuelake.operators import lexicon
+    from cuelake.plans import fixtures as fx
+
+    phrase = [fx.LEXICON[4]]
+    far = ["of", *["x"] * 20, "the"]
+    lists = spark.createDataFrame([(1, ["x"] * 500 + ["Of", "The,"] + ["x"] * 500), (2, far * 9), (3, ["thé", "then", "--", "of", "--", "the"]), (4, ["of\x01the", "of", "the"]), (5, ["oF", "the"] * 3), (6, []), (7, None)], "item_id long, words array<string>")
+    told = lists.select("item_id", lexicon.hit_pieces("words", phrase).alias("p"), text.resembling(F.col("words"), ["of the", "of", "the"], 85.0).alias("w")).collect()
+    assert {r.item_id: [(x["at"], x["joined"].split(" ")[:2]) for x in r.p] for r in told if r.item_id < 3} == {1: [(1000, ["of", "the"])], 2: []}
+    assert {r.item_id: [tuple(x) for x in r.w] for r in told if r.item_id in (1, 3)} == {1: [(500, "of"), (501, "the")], 3: [(1, "then"), (3, "of"), (5, "the")]}
+    assert max(len(x["index"]) for r in told for x in r.p or []) < 20
+    # A control character between the words is no gap, whatever else the list holds.
+    got = sorted(tuple(r) for r in lexicon.list_hits(lists, "words", phrase).select("item_id", "char_start", "first_word", "last_word").collect())
+    assert got == [(1, 1000, 500, 501), (4, 7, 1, 2), (5, 0, 0, 1), (5, 7, 2, 3), (5, 14, 4, 5)]
+
+
+def test_folded_words_all_at_once():
+    import random
+
+    import pyarrow as pa
+
+    from cuelake.functions import text
+
+    random.seed(1)
+    said = ["".join(random.choice("aB'-–—’ʼ‘‑ \t\x1c\x00.,“”*$ﬁß¨İſKς\x85…ÉØ×«¿́") for _ in range(random.randint(0, 6))) for _ in range(5000)]
+    assert text._fold_words(pa.array([*ODD, *said])).to_pylist() == [text._fold_word(w) for w in [*ODD, *said]]
